@@ -61,9 +61,7 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(b) - MATCH + 1
     if n <= 0:
         return tuple(np.zeros(0, np.int64) for _ in range(5))
-    powers = [_P]
-    while len(powers) < 5:
-        powers.append(powers[-1] * powers[-1])
+    powers = [np.uint64(pow(int(_P), 1 << i, 1 << 64)) for i in range(4)]
     h = [_A[b]]
     for i in range(4):  # hashes of 2, 4, 8 and 16 bytes
         s = 1 << i
