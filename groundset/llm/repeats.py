@@ -51,16 +51,16 @@ def _span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
 
 
 def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, start, windows, anchor, passage) of the passages of texts laid end to end in `b`, ending at `ends`.
+    """(text, start, windows, offset, anchor, passage) of the passages of texts laid end to end in `b`, ending at `ends`.
 
     A window is MATCH bytes of one text; its anchor is its ANCHOR bytes of least hash (the first of equals). Windows in
     a row with the same anchor are a passage, which is their union. `anchor` and `passage` are 64-bit hashes of the bytes,
-    `passage` also of the anchor's place. What depends on a window's bytes alone is the same in every text that has it.
+    `passage` also of the anchor's offset. What depends on a window's bytes alone is the same in every text that has it.
     """
     k, wide = ANCHOR, MATCH - ANCHOR + 1
     n = len(b) - MATCH + 1
     if n <= 0:
-        return tuple(np.zeros(0, np.int64) for _ in range(5))
+        return tuple(np.zeros(0, np.int64) for _ in range(6))
     powers = [np.uint64(pow(int(_P), 1 << i, 1 << 64)) for i in range(4)]
     h = [_A[b]]
     for i in range(4):  # hashes of 2, 4, 8 and 16 bytes
@@ -79,7 +79,7 @@ def anchors(b: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
     start, last = np.flatnonzero(new), np.flatnonzero(stop)
     q = at[start]
     passage = _span_hash(_prefix_sums(b), start, last + MATCH) ^ ((q - start).astype(np.uint64) * _BASE)
-    return owner[start], start, last - start + 1, full[q].view(np.int64), passage.view(np.int64)
+    return owner[start], start, last - start + 1, q - start, full[q].view(np.int64), passage.view(np.int64)
 
 
 def _pieces(ids: pd.Series, texts: pd.Series) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -104,7 +104,9 @@ def _pieces(ids: pd.Series, texts: pd.Series) -> Iterator[tuple[np.ndarray, np.n
         yield out()
 
 
-_ROWS = "anchor long, passage long, id long, start int, windows int, sure boolean"
+#: `place` packs what a passage's row has besides its keys: start * 4096 + offset of the anchor * 64 + windows * 2 + sure.
+_ROWS = "anchor long, passage long, id long, place long"
+_START, _OFFSET, _WINDOWS = "cast(place DIV 4096 AS int) AS start", "cast(place DIV 64 % 64 AS int) AS offset", "cast(place DIV 2 % 32 AS int) AS windows"
 
 
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -112,12 +114,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     compared with other tasks'; the others are sure to be repeats, and get a key of their own."""
     for batch in batches:
         for ids, offsets, b, ends in _pieces(batch["id"], batch["text"]):
-            owner, start, windows, anchor, passage = anchors(b, ends)
+            owner, start, windows, offset, anchor, passage = anchors(b, ends)
             if not len(owner):
                 continue
             origin = np.r_[0, ends[:-1]]
             own = ids[owner].astype(np.int64)
-            place = (start - origin[owner] + offsets[owner]).astype(np.int32)
+            place = ((start - origin[owner] + offsets[owner]) * 64 + offset) * 64 + windows * 2
             order = np.lexsort((own, passage, anchor))
             a, p, o = anchor[order], passage[order], own[order]
             new = np.r_[True, (a[1:] != a[:-1]) | (p[1:] != p[:-1])]
@@ -125,7 +127,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             sure = np.zeros(len(own), bool)
             sure[order] = o > least
             key = np.where(sure, _mix((own * 31 + place).view(np.uint64)).view(np.int64), anchor)
-            yield pd.DataFrame({"anchor": key, "passage": np.where(sure, 0, passage), "id": own, "start": place, "windows": windows.astype(np.int32), "sure": sure})
+            yield pd.DataFrame({"anchor": key, "passage": np.where(sure, 0, passage), "id": own, "place": place + sure})
 
 
 class RunLengthIndex:
@@ -147,7 +149,11 @@ class RunLengthIndex:
         inside[self.first + sizes] = False
         text[inside] = np.frombuffer(b"".join(passages), np.uint8).astype(np.int64) + self.many
         text[~inside] = np.arange(self.many)
-        rank, width, ranks = np.unique(text, return_inverse=True)[1].astype(np.int64), 1, {}
+        bits, width, ranks, packed = (self.many + 256).bit_length(), 4 if self.many + 256 < 1 << 15 else 1, {}, text.copy()
+        for i in range(1, width):
+            packed = packed << bits
+            packed[: n - i] |= text[i:]
+        rank = np.unique(packed, return_inverse=True)[1].astype(np.int64)
         while width < max(2 * MATCH, int(sizes.max()) + 1):
             ranks[width] = rank
             after = np.zeros(n, np.int64)
@@ -201,10 +207,34 @@ class RunLengthIndex:
 
 
 def _resolve(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard: index its passages, stream them, return the windows that repeat a smaller document's."""
-    index = RunLengthIndex(list(pdf["bytes"]), pdf["id"].to_numpy(np.int64))
-    which, at = index.earlier()
-    return pd.DataFrame({"id": pdf["id"].to_numpy()[which], "start": (pdf["start"].to_numpy()[which] + at).astype(np.int32), "windows": np.ones(len(at), np.int32)})
+    """One shard: index its passages, stream them, return the windows that repeat a smaller document's.
+
+    A window is its anchor and MATCH - ANCHOR bytes on both sides of it, so it has half of these on one side: passages
+    that share an anchor but neither half with another document can't share a window and are left out.
+    """
+    half = (MATCH - ANCHOR) // 2
+    docs, seen = pdf["id"].to_numpy(np.int64), {}
+    keys = []
+    for raw, anchor, at, doc in zip(pdf["bytes"], pdf["anchor"], pdf["offset"], docs):
+        own = []
+        if at >= half:
+            own.append((anchor, 0, raw[at - half : at]))
+        if at + ANCHOR + half <= len(raw):
+            own.append((anchor, 1, raw[at + ANCHOR : at + ANCHOR + half]))
+        keys.append(own)
+        for k in own:
+            seen[k] = doc if seen.get(k, doc) == doc else -1
+    some = np.fromiter((any(seen[k] == -1 for k in own) for own in keys), bool, len(keys))
+    empty = pd.DataFrame({"id": np.zeros(0, np.int64), "start": np.zeros(0, np.int32), "windows": np.zeros(0, np.int32)})
+    if not some.any():
+        return empty
+    pdf = pdf[some]
+    which, at = RunLengthIndex(list(pdf["bytes"]), docs[some]).earlier()
+    order = np.lexsort((at, which))
+    which, at = which[order], at[order]
+    new = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (at[1:] != at[:-1] + 1)]) if len(at) else np.zeros(0, np.int64)
+    length = np.diff(np.r_[new, len(at)])
+    return pd.DataFrame({"id": docs[some][which[new]], "start": (pdf["start"].to_numpy()[which[new]] + at[new]).astype(np.int32), "windows": length.astype(np.int32)})
 
 
 def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,8 +243,8 @@ def _cut_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
         for i, t, wanted in zip(batch["id"], batch["text"], batch["wanted"]):
             raw = (t or "").encode()
-            out += [(w["anchor"], i, w["start"], raw[w["start"] : w["start"] + w["windows"] + MATCH - 1]) for w in wanted]
-        yield pd.DataFrame(out, columns=["anchor", "id", "start", "bytes"])
+            out += [(w["anchor"], i, w["start"], w["offset"], raw[w["start"] : w["start"] + w["windows"] + MATCH - 1]) for w in wanted]
+        yield pd.DataFrame(out, columns=["anchor", "id", "start", "offset", "bytes"])
 
 
 _REMOVED = "n_bytes long, n_removed long, n_spans long, kept binary, starts array<int>, ends array<int>"
@@ -260,18 +290,20 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     texts = base.select("id", "key", "text").repartition("id")
     rows = base.select("id", "text").where(F.octet_length("text") >= MATCH).mapInPandas(_scan, _ROWS)
     same, near = W.partitionBy("anchor", "passage"), W.partitionBy("anchor")
-    seen = rows.withColumn("first", F.min("id").over(same)).withColumn("least", F.min("id").over(near)).withColumn("most", F.max("id").over(near))
-    seen = seen.withColumn("repeat", F.col("sure") | (F.col("id") > F.col("first")))
-    seen = stored(seen.where("repeat OR least < most").select("anchor", "passage", "id", "start", "windows", "repeat"))
-    marks = seen.where("repeat").select("id", "start", "windows")
-    open_ = seen.where("NOT repeat").select("anchor", "passage", "id", "start", "windows")
+    seen = rows.withColumn("first", F.min("id").over(same))
+    for name, value in (("least", F.min("id")), ("most", F.max("id")), ("one", F.min("passage")), ("two", F.max("passage"))):
+        seen = seen.withColumn(name, value.over(near))
+    seen = seen.withColumn("repeat", (F.col("place") % 2 == 1) | (F.col("id") > F.col("first")))
+    seen = stored(seen.where("repeat OR (least < most AND one != two)").select("anchor", "id", "place", "repeat"))
+    marks = seen.where("repeat").selectExpr("id", _START, _WINDOWS)
+    open_ = seen.where("NOT repeat").selectExpr("anchor", "id", _START, _OFFSET, _WINDOWS)
     large = open_.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("anchor")
     n = open_.count()
     shards = max(1, math.ceil(n / SHARD))
 
     def passages(rows: DataFrame) -> DataFrame:
-        wanted = rows.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "windows")).alias("wanted"))  # passages of one text
-        return merge_join(texts, wanted, "id").select("id", "key", "text", "wanted").mapInPandas(_cut_out, "anchor long, id long, start int, bytes binary")
+        wanted = rows.groupBy("id").agg(F.collect_list(F.struct("anchor", "start", "offset", "windows")).alias("wanted"))  # passages of one text
+        return merge_join(texts, wanted, "id").select("id", "key", "text", "wanted").mapInPandas(_cut_out, "anchor long, id long, start int, offset int, bytes binary")
 
     dealt = passages(merge_join(open_, large, "anchor", "left_anti")).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
     marks = marks.union(dealt.groupBy("shard").applyInPandas(_resolve, "id long, start int, windows int"))
