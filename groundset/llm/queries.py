@@ -87,15 +87,15 @@ WITH rows AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          md5(coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
 sources AS (
-  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS at FROM rows GROUP BY source),
-weighed AS (SELECT *, [5, 2, 1][(at % 3 + 1)::INT] AS weight FROM sources),
+  SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS nr FROM rows GROUP BY source),
+weighed AS (SELECT *, [5, 2, 1][(nr % 3 + 1)::INT] AS weight FROM sources),
 -- the sources that stop at their cap come first in the order of cap by weight
 prefixes AS (
   SELECT *, coalesce(sum(3 * source_size) OVER w, 0) AS capped, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open_weight,
-         sum(source_size) OVER () AS total
-  FROM weighed WINDOW w AS (ORDER BY 3 * source_size / weight::DOUBLE, at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+         sum(source_size) OVER () AS total, row_number() OVER (ORDER BY 3 * source_size / weight::DOUBLE, nr) AS place
+  FROM weighed WINDOW w AS (ORDER BY 3 * source_size / weight::DOUBLE, nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 rate AS (
-  SELECT coalesce(min((total - capped)::DOUBLE / open_weight::DOUBLE) FILTER (3 * source_size >= weight * ((total - capped)::DOUBLE / open_weight::DOUBLE)), 0.0) AS rate FROM prefixes),
+  SELECT coalesce(arg_min((total - capped)::DOUBLE / open_weight::DOUBLE, place) FILTER (3 * source_size >= weight * ((total - capped)::DOUBLE / open_weight::DOUBLE)), 0.0) AS rate FROM prefixes),
 targets AS (SELECT w.*, least(source_size * 3.0::DOUBLE, weight * rate) AS target FROM weighed w, rate),
 placed AS (
   SELECT r.doc_id, r.size, t.source_size, t.target, floor(t.target + 0.5) AS due,
