@@ -17,11 +17,6 @@ def tokens(text: Column, pattern: str = "[a-z0-9]+") -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
 
 
-def word_grams(words: Column, n: int) -> Column:
-    """Distinct runs of n words, as text."""
-    return F.when(F.size(words) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " ")))).otherwise(F.array().cast("array<string>"))
-
-
 def jaccard(a: Column, b: Column) -> Column:
     """Of token sets; 0 if either is empty."""
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)))

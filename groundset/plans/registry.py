@@ -1,9 +1,46 @@
-"""All queries of the library's own operators."""
+"""All queries of the library's own operators, gathered from the plan modules."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
 
-def oracle_sql():
-    return {}
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+class Tables:
+    """The given tables, read on first use."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    """Registers a plan, a function of Tables, under its name, with its SQL twin."""
+
+    def register(plan):
+        _QUERIES[plan.__name__] = lambda spark, sf_dir: plan(Tables(spark, sf_dir))
+        if sql:
+            _SQL[plan.__name__] = sql
+        return plan
+
+    return register
+
+
+def _load() -> None:
+    from . import audits, geometry, grounding, records, retrieval, samples, statistics, texts  # noqa: F401
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    _load()
+    return dict(_SQL)
