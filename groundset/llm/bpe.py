@@ -1,12 +1,16 @@
 """BPE encoding and decoding through a table of distinct words."""
 
+import os
 import re
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 
 
@@ -16,9 +20,12 @@ TASK_WORDS = 1 << 18
 #: Words are cut at ASCII white space only; other white space stays inside a word, where the tokenizer drops it.
 _WORD = re.compile(r"[^ \t-\r]+")
 _BATCH = 4096
+#: Characters of text whose ids are held at once, beyond one text.
+SLICE_CHARS = 4_000_000
 
 
 def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads cost a third more CPU time
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(path)
@@ -60,26 +67,42 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", broadcast_
     frequent = words.orderBy(F.desc("n"), "word").limit(broadcast_words).mapInPandas(_encode_words(path), "word string, n long, ids array<int>")
     table = {r["word"]: list(r["ids"]) for r in frequent.select("word", "ids").collect()}  # at most broadcast_words rows
     shared = docs.sparkSession.sparkContext.broadcast(table)
+    kept = docs.drop("ids", "decoded")
+    return kept.mapInArrow(_encode_texts(path, shared, text_col), StructType([*kept.schema.fields, StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        tok, known, rare = _tokenizer(path), shared.value, {}
+
+def _encode_texts(path: str, shared, text_col: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tok = _tokenizer(path)
         piece = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
-        for texts in batches:
-            ids, decoded = [], []
-            for text in texts:
-                split = _WORD.findall(text) if text else []
-                new = [w for w in set(split) if w not in known and w not in rare]
-                if len(rare) + len(new) > TASK_WORDS:
-                    rare.clear()
-                    new = [w for w in set(split) if w not in known]
-                for at in range(0, len(new), _BATCH):
-                    part = new[at : at + _BATCH]
-                    rare.update(zip(part, (e.ids for e in tok.encode_batch(part, add_special_tokens=False))))
-                own = list(chain.from_iterable([known[w] if w in known else rare[w] for w in split]))
-                ids.append(own)
-                decoded.append(" ".join([piece[i] for i in own]))
-            yield pd.DataFrame({"ids": ids, "decoded": decoded})
-
-    found = docs.withColumn("_bpe", run(F.col(text_col)))
-    return found.withColumns({"ids": F.col("_bpe.ids"), "decoded": F.col("_bpe.decoded")}).drop("_bpe")
+        entry = lambda ids: (ids, " ".join([piece[i] for i in ids]), len(ids))
+        known = {w: entry(ids) for w, ids in shared.value.items()}
+        table = dict(known)
+        for batch in batches:
+            # a batch of long texts is worked on in slices, so that memory follows the texts' size
+            column, start = batch.column(text_col), 0
+            while start < batch.num_rows:
+                flat, sizes, decoded, chars, at = [], [], [], 0, start
+                while at < batch.num_rows and chars < SLICE_CHARS:
+                    text = column[at].as_py() or ""
+                    chars, at = chars + len(text) + 1, at + 1
+                    words = _WORD.findall(text)
+                    new = list({w for w in words if w not in table})
+                    if new:
+                        if len(table) + len(new) > len(known) + TASK_WORDS:
+                            table = dict(known)
+                            new = list({w for w in words if w not in table})
+                        for i in range(0, len(new), _BATCH):
+                            part = new[i : i + _BATCH]
+                            table.update((w, entry(e.ids)) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)))
+                    found = [table[w] for w in words]
+                    flat.append(np.fromiter(chain.from_iterable([f[0] for f in found]), np.int32))
+                    # a word that is all white space to the tokenizer has no pieces, and so no place between spaces
+                    decoded.append(" ".join([f[1] for f in found if f[2]]))
+                    sizes.append(len(flat[-1]))
+                ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.concatenate(flat)))
+                part = batch.slice(start, at - start)
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(decoded, pa.string())], names=[*part.schema.names, "ids", "decoded"])
+                start = at
+
+    return run
