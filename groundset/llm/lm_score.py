@@ -23,13 +23,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 def _grams(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(owner, unigram, bigram) for every word of a block: the text it is in, the hash of the word, and that of the word
-    with the one before it; 0 for the first word of a text. Words are lower-cased runs without ASCII white space."""
+    with the one before it; 0 for the first word of a text. Words are lower-cased runs without ASCII white space (bytes split so)."""
     import xxhash
 
-    code: dict[str, int] = {}
+    code: dict[bytes, int] = {}
     each, sizes = [], []
     for t in texts:
-        words = t.lower().split() if t else []
+        words = t.lower().encode().split() if t else []
         sizes.append(len(words))
         each.append(np.fromiter((code.setdefault(w, len(code)) for w in words), np.int64, len(words)))
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) | 1 for w in code), np.uint64, len(code))
