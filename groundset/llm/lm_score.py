@@ -43,15 +43,21 @@ def _grams(texts: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner, uni, bi
 
 
+def _sent(uni: np.ndarray, bi: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n-grams, counts, hash partitions): a block's distinct n-grams by hash partition, then by key, whatever the order of its rows."""
+    grams, n = np.unique(np.concatenate([uni, bi[bi != 0]]), return_counts=True)
+    to = (_mix(grams) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    return grams[order], n[order], to[order]
+
+
 def _count_block(buckets: int):
     """A block's distinct n-grams with their counts, in one row for each hash partition."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         _, uni, bi = _grams(pdf["text"])
-        grams, n = np.unique(np.concatenate([uni, bi[bi != 0]]), return_counts=True)
-        to = (_mix(grams) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(to, kind="stable")
-        grams, n, to = grams[order].view(np.int64), n[order].astype(np.int32), to[order]
+        grams, n, to = _sent(uni, bi, buckets)
+        grams, n = grams.view(np.int64), n.astype(np.int32)
         at = np.flatnonzero(np.r_[True, to[1:] != to[:-1]]) if len(to) else np.zeros(0, np.int64)
         return pd.DataFrame({"block": int(pdf["block"].iloc[0]) if len(pdf) else 0, "bucket": to[at], "grams": np.split(grams, at[1:]) if len(at) else [], "n": np.split(n, at[1:]) if len(at) else []})
 
@@ -59,19 +65,19 @@ def _count_block(buckets: int):
 
 
 def _total(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One hash partition of the count tables: adds up the blocks' counts and gives each block the totals of its n-grams."""
+    """One hash partition of the count tables: adds up the blocks' counts and gives each block the totals of its n-grams, in the order it sent them."""
     sizes = [len(g) for g in pdf["grams"]]
     grams = np.concatenate(list(pdf["grams"]))
     _, at = np.unique(grams, return_inverse=True)
     total = np.bincount(at, np.concatenate(list(pdf["n"]))).astype(np.int64)[at]
-    return pd.DataFrame({"block": pdf["block"], "grams": pdf["grams"], "total": np.split(total, np.cumsum(sizes)[:-1])})
+    return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "total": np.split(total, np.cumsum(sizes)[:-1])})
 
 
-def _score_block(words: int, min_count: int, alpha: float):
+def _score_block(words: int, min_count: int, alpha: float, buckets: int):
     def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         owner, uni, bi = _grams(docs["text"])
-        grams = np.concatenate(list(told["grams"])).view(np.uint64) if len(told) else np.zeros(0, np.uint64)
-        total = np.concatenate(list(told["total"])).astype(np.float64) if len(told) else np.zeros(0)
+        grams, _, _ = _sent(uni, bi, buckets)
+        total = np.concatenate(list(told.sort_values("bucket")["total"])).astype(np.float64) if len(told) else np.zeros(0)
         order = np.argsort(grams)
         grams, total = grams[order], total[order]
 
@@ -101,7 +107,7 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents are dealt by hash into blocks of about `block_chars`, as many as the corpus needs. A block sends each of its
     distinct n-grams, with a count, to the hash partition of the count table that owns it; the partition adds up
-    and sends the totals back to the block, where they are joined to the block's n-grams and summed per document.
+    and sends the totals back, in the order received, to the block, which joins them to its n-grams and sums per document.
     An n-gram is sent once for a block, so no frequent word makes a partition large. Bigrams are keyed by 64-bit hashes.
     """
     size = docs.agg(F.sum(F.length(text_col)), F.sum(n_words(F.col(text_col)))).first()
@@ -109,8 +115,8 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     dealt = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)))
     dealt = dealt.repartition(blocks, "block")
     counted = dealt.groupBy("block").applyInPandas(_count_block(blocks), "block long, bucket long, grams array<long>, n array<int>")
-    told = counted.groupBy("bucket").applyInPandas(_total, "block long, grams array<long>, total array<long>")
+    told = counted.groupBy("bucket").applyInPandas(_total, "block long, bucket long, total array<long>")
     kind = dict(docs.dtypes)[id_col]
-    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score_block(words, min_count, alpha), "id string, n_words long, n_backoff long, log_score double")
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score_block(words, min_count, alpha, blocks), "id string, n_words long, n_backoff long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))

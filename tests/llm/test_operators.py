@@ -216,7 +216,7 @@ def test_backoff_scores(edge, none, docs, rows):
     def check(found, given, **kw):
         one, two, texts = Counter(), Counter(), []
         for i, t in given:
-            w = (t or "").encode().lower().split() if False else (t or "").lower().split()
+            w = WORD.findall((t or "").lower())
             texts.append((i, w))
             one.update(w)
             two.update(zip(w, w[1:]))
