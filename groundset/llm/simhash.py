@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, cut, merge_join
+from .common import components, cut, merge_join, stored
 
 SEED = 42
 BLOCK = 1 << 16
+#: Wanted chance that no table brings a pair just at the threshold together.
+MISS = 0.05
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -79,10 +82,117 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return merge_join(prints, classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 2) -> DataFrame:
-    """The rows of `docs` whose id is the component_id of their class: one document of each near-duplicate group.
+def plan_tables(texts: int, similarity: float, miss: float = MISS) -> tuple[int, int]:
+    """(bits, tables): fingerprints of log2(texts) + 5 bits, so that a variant's bucket holds less than one unlike text on average
+    at any size, and as many of them as make the chance that a pair at the threshold lies beyond two bits in all at most `miss`."""
+    bits = min(48, max(16, math.ceil(math.log2(max(2, texts))) + 5))
+    flip = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
+    hit = sum(math.comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(3))
+    return bits, max(1, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - hit))))
 
-    Five-word shingles by default. Rows with a null id stay only if no row of their class has an id.
+
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """Sorted XXH64 of the text's distinct word shingles; empty without words. Words and short texts as in `fingerprint`."""
+    parts = (text or "").encode().lower().split()
+    if not parts:
+        return np.zeros(0, np.uint64)
+    k = min(words, len(parts))
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1)), np.uint64))
+
+
+def _majorities(shingles: np.ndarray, blocks: int) -> np.ndarray:
+    """64 * `blocks` SimHash bits of a set of shingle hashes, each block from hashes mixed anew."""
+    total = np.zeros((blocks, 64), np.int64)
+    for at in range(0, len(shingles), BLOCK):
+        part = shingles[at : at + BLOCK]
+        for j in range(blocks):
+            h = (part ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(29)
+            total[j] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return (total * 2 > len(shingles)).reshape(-1)
+
+
+def _digests(words: int):
+    """Two hashes of the set of shingles, the same for texts with the same set."""
+
+    @F.pandas_udf("h1 long, h2 long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingle_set(t, words).tobytes() for t in texts]
+        return pd.DataFrame({f"h{s}": np.array([xxhash.xxh64_intdigest(x, s) for x in sets], np.uint64).view(np.int64) for s in (1, 2)})
+
+    return run
+
+
+def _sketches(words: int, bits: int, tables: int):
+    """A 64-bit code for a cheap check, and a fingerprint of `bits` bits for each table."""
+
+    @F.pandas_udf("code long, keys array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        codes, keys = [], []
+        for t in texts:
+            found = _majorities(shingle_set(t, words), 1 + math.ceil(bits * tables / 64))
+            codes.append(int(np.packbits(found[:64], bitorder="little").view(np.int64)[0]))
+            keys.append(found[64 : 64 + bits * tables].reshape(tables, bits) @ (1 << np.arange(bits, dtype=np.int64)))
+        return pd.DataFrame({"code": codes, "keys": keys})
+
+    return run
+
+
+def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, component_id) for every row: the smallest id reached by links between texts whose sets of word shingles have a Jaccard
+    similarity of `similarity` or more.
+
+    One 64-bit fingerprint differs in about ten bits at 0.8, too far for a ball of two. So each text has several shorter
+    fingerprints (`plan_tables`), and each emits its variants within one bit. In a variant's bucket every text is
+    tied to the first and to the one before it, in an order that differs from table to table: two ties a variant, however
+    large the bucket. Ties are deduplicated and verified on the whole sets. Texts with equal sets are one node.
+
+    A link is found with a chance of at least 1 - MISS when its texts meet first or side by side in a bucket, which unlike texts
+    seldom prevent; inside a large group, a link may go unseen whose ends are joined by other links.
+
+    Texts without words (null, empty) have equal sets. Null ids never become a component_id unless all ids of the class
+    are null. Repeated rows each get their row; an empty table gives an empty result; other columns are not read.
+    """
+    rows = cut(docs.select(F.col(id_col).alias("id"), _digests(words)(F.col(text_col)).alias("d")).select("id", "d.*"))
+    classes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("first")).withColumn("class", F.monotonically_increasing_id()))
+    bits, tables = plan_tables(classes.count(), similarity)
+    # one text of each class, found again by id and checked by digest, as ids may repeat
+    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
+    named = classes.withColumnRenamed("first", "_first").hint("merge")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        found = text.join(wanted, F.col("_id").eqNullSafe(F.col("_first"))).withColumn("d", _digests(words)("t"))
+        return found.where("d.h1 = h1 AND d.h2 = h2").select("class", "t").dropDuplicates(["class"])
+
+    sketched = texts_of(named).select("class", _sketches(words, bits, tables)("t").alias("s")).select("class", "s.*")
+    each = sketched.select("class", "code", F.posexplode("keys").alias("table", "key"))
+    masks = F.array(*[F.lit(m).cast("long") for m in [0] + [1 << i for i in range(bits)]])
+    variants = each.withColumn("mask", F.explode(masks)).select("class", "code", (F.col("key").bitwiseXOR(F.col("mask")) * 32768 + F.col("table")).alias("variant"))
+    inner = W.partitionBy("variant").orderBy(F.xxhash64("class", F.col("variant") % 32768), "class")
+    met = F.struct("class", "code")
+    tied = variants.select(met.alias("x"), F.array(F.first(met).over(inner), F.lag(met).over(inner)).alias("ties")).select("x", F.explode("ties").alias("y"))
+    near = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi * 64
+    most = math.ceil(near + 4 * math.sqrt(near))  # bits in which codes of a pair at the threshold differ, and over 4 standard deviations
+    close = tied.where(F.col("x.class") != F.col("y.class")).where(F.bit_count(F.col("x.code").bitwiseXOR(F.col("y.code"))) <= most)
+    pairs = stored(close.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    wanted = merge_join(classes, ends, "class", "left_semi").withColumnRenamed("first", "_first").hint("merge")
+    sets = F.pandas_udf(lambda t: pd.Series([shingle_set(x, words).view(np.int64) for x in t]), "array<long>")
+    sets = stored(texts_of(wanted).select("class", sets("t").alias("s")))
+    both = merge_join(merge_join(pairs, sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a"), sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    links = both.select("a", "b", common.alias("n"), (F.size("sa") + F.size("sb")).alias("m")).where(F.col("n") >= similarity * (F.col("m") - F.col("n")))
+    placed = merge_join(classes, components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
+    told = merge_join(placed, firsts, "root").select("h1", "h2", "component_id")
+    return merge_join(rows, told, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` whose id is the component_id of their class in `near_copy_groups`: one document of each group.
+
+    Rows with a null id stay only if no row of their class has an id.
     """
-    kept = simhash_groups(docs, id_col, text_col, words, bits).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
+    kept = near_copy_groups(docs, id_col, text_col, words, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
     return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_id"]), "left_semi")

@@ -137,6 +137,33 @@ def test_simhash_links_all_pairs_within_two_bits(spark):
     assert got == {k: v for k, v in want.items() if k != v}
 
 
+def slow_shingles(text, k=5):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+def alike(a, b, similarity=0.8):
+    return len(a & b) >= similarity * len(a | b)
+
+
+def test_near_copies_are_found_down_to_the_threshold(spark, edge, none):
+    random.seed(4)
+    texts = []
+    for _ in range(160):
+        words = [f"w{random.randrange(5000)}" for _ in range(random.choice((40, 150, 600)))]
+        texts.append(" ".join(words))
+        copy = list(words)
+        for _ in range(max(1, len(words) // random.choice((45, 60, 100)))):  # five shingles change with each word
+            copy[random.randrange(len(copy))] = "changed"
+        texts.append(" ".join(copy).upper())
+    sets = [slow_shingles(t) for t in texts]
+    links = {(i, i + 1) for i in range(0, 320, 2) if alike(sets[i], sets[i + 1])}
+    found = simhash.near_copy_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    joined = {(r.component_id, r.doc_id) for r in found if r.component_id != r.doc_id}
+    assert len(links) > 80 and joined <= links and len(joined) >= 0.95 * len(links) and len(found) == 320
+    assert simhash.near_copy_groups(none).count() == 0 and simhash.near_copy_groups(edge).count() == edge.count()
+
+
 def test_near_copies_keep_one_of_each_group(edge):
     kept = simhash.drop_near_copies(edge)
     assert kept.columns == edge.columns and {1, 8, 13, None} <= {r.doc_id for r in kept.collect()} and not {4, 5, 7} & {r.doc_id for r in kept.collect()}

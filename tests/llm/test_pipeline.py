@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import corpus_pipeline
 from groundset.llm import queries
-from test_operators import WORD, closure, slow_fingerprint
+from test_operators import WORD, alike, closure, slow_shingles
 
 
 def test_pipeline_against_brute_force(spark, sf):
@@ -17,9 +17,9 @@ def test_pipeline_against_brute_force(spark, sf):
     for r in docs:
         groups[re.sub(r"[\x20\x09-\x0D]", "", r.text)].append((-len(r.text), r.doc_id, r))
     docs = [min(g, key=lambda x: x[:2])[2] for g in groups.values()]
-    prints = {r.doc_id: slow_fingerprint(r.text, 5) for r in docs}
-    ids = sorted(prints)
-    roots = closure(ids, [(a, b) for i, b in enumerate(ids) for a in ids[:i] if (prints[a] ^ prints[b]).bit_count() <= 2])
+    sets = {r.doc_id: slow_shingles(r.text) for r in docs}
+    ids = sorted(sets)
+    roots = closure(ids, [(a, b) for i, b in enumerate(ids) for a in ids[:i] if alike(sets[a], sets[b])])
     docs = [r for r in docs if roots[r.doc_id] == r.doc_id]
     size = {r.doc_id: len(WORD.findall(r.text)) for r in docs}
     per = defaultdict(list)
