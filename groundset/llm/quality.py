@@ -71,11 +71,9 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 class _Sparse:
     """Rows of hashed features, laid end to end."""
 
-    def __init__(self, at: list, value: list):
-        self.n = len(at)
-        self.at = np.concatenate(at) if at else np.zeros(0, np.int32)
-        self.value = np.concatenate(value) if value else np.zeros(0)
-        self.row = np.repeat(np.arange(self.n), [len(x) for x in at])
+    def __init__(self, at: np.ndarray, value: np.ndarray, lengths: np.ndarray):
+        self.n, self.at, self.value = len(lengths), at, value
+        self.row = np.repeat(np.arange(self.n), lengths)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.value * w[self.at], self.n)
@@ -162,12 +160,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s"))
     free = F.broadcast(merge_join(base.select("id").where("id IS NOT NULL"), given.select("id"), "id", "left_anti").orderBy(*order).limit(pool_rows).withColumn("y", F.lit(None).cast("double")))
     chosen = base.join(taken, "id").unionByName(base.join(free, "id"))
-    rows = chosen.select("id", "y", F.pandas_udf(_features, _FEATURES)("t", "l", "s").alias("f")).select("id", "y", "f.*").toPandas()
-    rows = rows.sort_values(["id"], kind="stable").reset_index(drop=True)
-    y = rows["y"].to_numpy(np.float64)
+    rows = chosen.select("id", "y", F.pandas_udf(_features, _FEATURES)("t", "l", "s").alias("f")).select("id", "y", "f.*").toArrow().sort_by("id")
+    y = np.asarray(rows["y"].to_pandas(), np.float64)
     if not (y == 1).any() or not (y == 0).any():
         return None
-    return co_train(_Sparse(list(rows["at"]), list(rows["value"])), _Dense(np.stack(rows["meta"]).astype(np.float64)), y)
+    at, value, meta = (rows[c].combine_chunks() for c in ("at", "value", "meta"))
+    words = _Sparse(at.flatten().to_numpy(), value.flatten().to_numpy(), at.value_lengths().to_numpy())
+    return co_train(words, _Dense(meta.flatten().to_numpy().reshape(len(y), META).astype(np.float64)), y)
 
 
 def score(docs: DataFrame, model: QualityModel | None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
