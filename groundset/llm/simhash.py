@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, cut, merge_join, stored
+from .common import components, cut, merge_join, ranked, stored
 
 SEED = 42
 BLOCK = 1 << 16
-#: Wanted chance that no table brings a pair just at the threshold together.
-MISS = 0.05
+#: Rows of the sample that tells common shingles, and shingles it may name; texts of a crowd compared as one block, and shingles counted at once.
+SAMPLE_ROWS, COMMON, MEMBERS, WIDTH = 20_000, 1 << 17, 1024, 4096
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -82,35 +82,14 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return merge_join(prints, classes, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def plan_tables(texts: int, similarity: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits, tables): fingerprints of log2(texts) + 5 bits, so that a variant's bucket holds less than one unlike text on average
-    at any size, and as many of them as make the chance that a pair at the threshold lies beyond two bits in all at most `miss`."""
-    bits = min(48, max(16, math.ceil(math.log2(max(2, texts))) + 5))
-    flip = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi
-    hit = sum(math.comb(bits, k) * flip**k * (1 - flip) ** (bits - k) for k in range(3))
-    return bits, max(1, math.ceil(math.log(miss) / math.log(max(1e-12, 1 - hit))))
-
-
 def shingle_set(text: str | None, words: int) -> np.ndarray:
     """Sorted XXH64 of the text's distinct word shingles; empty without words. Words and short texts as in `fingerprint`."""
     parts = (text or "").encode().lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    k = min(words, len(parts))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(parts[i : i + k]), SEED) for i in range(len(parts) - k + 1)), np.uint64))
-
-
-def _majorities(shingles: np.ndarray, blocks: int) -> np.ndarray:
-    """64 * `blocks` SimHash bits of a set of shingle hashes, each block from hashes mixed anew."""
-    total = np.zeros((blocks, 64), np.int64)
-    for at in range(0, len(shingles), BLOCK):
-        part = shingles[at : at + BLOCK]
-        for j in range(blocks):
-            h = (part ^ np.uint64(0x9E3779B97F4A7C15 * (j + 1) % 2**64)) * np.uint64(0xBF58476D1CE4E5B9)
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
-            h ^= h >> np.uint64(29)
-            total[j] += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return (total * 2 > len(shingles)).reshape(-1)
+    joined, k, hashed = b" ".join(parts), min(words, len(parts)), xxhash.xxh64_intdigest
+    ends = list(accumulate(len(w) + 1 for w in parts))
+    return np.unique(np.fromiter((hashed(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[k - 1 :])), np.uint64))
 
 
 def _digests(words: int):
@@ -124,39 +103,128 @@ def _digests(words: int):
     return run
 
 
-def _sketches(words: int, bits: int, tables: int):
-    """A 64-bit code for a cheap check, and a fingerprint of `bits` bits for each table."""
+def _sets(words: int):
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, words).view(np.int64) for t in texts])
 
-    @F.pandas_udf("code long, keys array<long>")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        codes, keys = [], []
+    return run
+
+
+def _common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int) -> np.ndarray:
+    """Shingles that a hash sample of about SAMPLE_ROWS rows holds more than once, the rarest first; of too many, the most frequent.
+
+    They only order the shingles; what is found does not depend on them.
+    """
+    part = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, rows // SAMPLE_ROWS))) == 0)
+    counts = part.select(F.explode(_sets(words)(F.col(text_col))).alias("x")).groupBy("x").count().where("count > 1")
+    found = counts.orderBy(F.desc("count"), "x").limit(COMMON).toPandas()
+    return found.x.to_numpy(np.int64).view(np.uint64)[::-1].copy()
+
+
+def _prefixes(words: int, similarity: float, common: np.ndarray):
+    """The shingles that come first in an order of all shingles (those not in `common` by hash, then `common`), so many that two
+    sets with a Jaccard similarity of `similarity` have one of them in common."""
+    by_hash = np.argsort(common)
+    known = common[by_hash]
+
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
         for t in texts:
-            found = _majorities(shingle_set(t, words), 1 + math.ceil(bits * tables / 64))
-            codes.append(int(np.packbits(found[:64], bitorder="little").view(np.int64)[0]))
-            keys.append(found[64 : 64 + bits * tables].reshape(tables, bits) @ (1 << np.arange(bits, dtype=np.int64)))
-        return pd.DataFrame({"code": codes, "keys": keys})
+            x = shingle_set(t, words)
+            place = np.full(len(x), -1, np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
+                place = np.where(known[at] == x, by_hash[at], -1)
+            most = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1
+            out.append(x[np.argsort(place, kind="stable")[:most]].view(np.int64))
+        return pd.Series(out)
 
     return run
 
 
+def near_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Positions of pairs of sets with a Jaccard similarity of `similarity` or more, which join all that such pairs join."""
+    sizes, n = np.array([len(s) for s in sets]), len(sets)
+    owner = np.repeat(np.arange(n), sizes)
+    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = counts[at] > 1
+    owner, at = owner[shared], (np.cumsum(counts > 1) - 1)[at[shared]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    both = np.zeros((n, n))
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, WIDTH):
+        a, b = np.searchsorted(at, [low, low + WIDTH])
+        x = np.zeros((n, WIDTH), np.float32)
+        x[owner[a:b], at[a:b] - low] = 1
+        both += x @ x.T
+    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
+    left, links = np.ones(n, bool), []
+    for start in range(n):
+        if left[start]:
+            left[start] = False
+            todo = [start]
+            while todo:
+                u = todo.pop()
+                met = np.flatnonzero(near[u] & left)
+                left[met] = False
+                todo.extend(met.tolist())
+                links.extend((u, v) for v in met.tolist())
+    return links
+
+
+def _block_links(similarity: float):
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        links: list[tuple[int, int]] = []
+        for _, g in part.groupby("super"):
+            names = g["class"].to_numpy()
+            links.extend((names[a], names[b]) for a, b in near_forest(g["s"].tolist(), similarity))
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return run
+
+
+def _links_of_crowds(pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links between members of a crowd that `links` leave apart: all pairs of blocks of a crowd's members are verified in full.
+
+    A crowd is what `pairs` join, so texts of different crowds have no prefix shingle in common. Members stand in the order of
+    their sizes, and of what `links` join; two blocks that lie in one such part, or whose sizes are too far apart, are not compared.
+    """
+    crowds, parts = components(pairs), components(links)
+    members = merge_join(sets.select("class", F.size("s").alias("n")), crowds.select(F.col("node").alias("class"), F.col("root").alias("super")), "class", "left")
+    members = merge_join(members, parts.select(F.col("node").alias("class"), "root"), "class", "left")
+    members = cut(members.select("class", "n", F.coalesce("super", "class").alias("super"), F.coalesce("root", "class").alias("root")))
+    # the only pair of a crowd of two has been verified
+    mixed = members.groupBy("super").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high AND rows > 2").select("super")
+    band = F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(similarity)) if similarity < 1 else F.col("n")
+    placed = cut(ranked(merge_join(members, mixed, "super"), F.col("super"), band, F.col("root"), F.col("class")).withColumn("block", F.floor(F.col("rank") / MEMBERS)))
+    bounds = [f(c).alias(f"{f.__name__}_{c}") for c in ("super", "root", "n") for f in (F.min, F.max)]
+    blocks = cut(placed.groupBy("block").agg(*bounds))
+    a, b = blocks.alias("a"), blocks.alias("b")
+    one_part = (F.col("a.min_super") == F.col("b.max_super")) & (F.col("a.min_root") == F.col("a.max_root")) & (F.col("b.min_root") == F.col("b.max_root")) & (F.col("a.min_root") == F.col("b.min_root"))
+    near_sizes = (F.col("a.max_n") >= F.col("b.min_n") * (similarity - 1e-6)) & (F.col("b.max_n") >= F.col("a.min_n") * (similarity - 1e-6))
+    met = a.join(b, (F.col("a.block") <= F.col("b.block")) & (F.col("b.min_super") <= F.col("a.max_super")) & ~one_part & near_sizes)
+    met = met.select(F.col("a.block").alias("i"), F.col("b.block").alias("j"), F.explode(F.array_distinct(F.array("a.block", "b.block"))).alias("block"))
+    dealt = merge_join(merge_join(placed.select("class", "super", "block"), met, "block"), sets, "class").select("i", "j", "super", "class", "s")
+    return dealt.groupBy("i", "j").applyInPandas(_block_links(similarity), "a long, b long")
+
+
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) for every row: the smallest id reached by links between texts whose sets of word shingles have a Jaccard
     similarity of `similarity` or more.
 
-    One 64-bit fingerprint differs in about ten bits at 0.8, too far for a ball of two. So each text has several shorter
-    fingerprints (`plan_tables`), and each emits its variants within one bit. In a variant's bucket every text is
-    tied to the first and to the one before it, in an order that differs from table to table: two ties a variant, however
-    large the bucket. Ties are deduplicated and verified on the whole sets. Texts with equal sets are one node.
-
-    A link is found with a chance of at least 1 - MISS when its texts meet first or side by side in a bucket, which unlike texts
-    seldom prevent; inside a large group, a link may go unseen whose ends are joined by other links.
+    Links are exact up to equal 64-bit hashes. In an order of all shingles that puts the common ones last, two such sets share one
+    of their first |set| - ceil(similarity * |set|) + 1 shingles. Texts are put together by these prefix shingles, and
+    each is tied to the smallest text that has the shingle: ties grow with the prefixes, not with the square of a
+    crowd. Ties are verified on the whole sets. Crowds (what ties join) that verified ties do not join into one group are
+    then compared pair by pair in blocks of MEMBERS texts. Texts with equal sets are one node.
 
     Texts without words (null, empty) have equal sets. Null ids never become a component_id unless all ids of the class
     are null. Repeated rows each get their row; an empty table gives an empty result; other columns are not read.
     """
     rows = cut(docs.select(F.col(id_col).alias("id"), _digests(words)(F.col(text_col)).alias("d")).select("id", "d.*"))
     classes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("first")).withColumn("class", F.monotonically_increasing_id()))
-    bits, tables = plan_tables(classes.count(), similarity)
     # one text of each class, found again by id and checked by digest, as ids may repeat
     text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
     named = classes.withColumnRenamed("first", "_first").hint("merge")
@@ -165,24 +233,18 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         found = text.join(wanted, F.col("_id").eqNullSafe(F.col("_first"))).withColumn("d", _digests(words)("t"))
         return found.where("d.h1 = h1 AND d.h2 = h2").select("class", "t").dropDuplicates(["class"])
 
-    sketched = texts_of(named).select("class", _sketches(words, bits, tables)("t").alias("s")).select("class", "s.*")
-    each = sketched.select("class", "code", F.posexplode("keys").alias("table", "key"))
-    masks = F.array(*[F.lit(m).cast("long") for m in [0] + [1 << i for i in range(bits)]])
-    variants = each.withColumn("mask", F.explode(masks)).select("class", "code", (F.col("key").bitwiseXOR(F.col("mask")) * 32768 + F.col("table")).alias("variant"))
-    inner = W.partitionBy("variant").orderBy(F.xxhash64("class", F.col("variant") % 32768), "class")
-    met = F.struct("class", "code")
-    tied = variants.select(met.alias("x"), F.array(F.first(met).over(inner), F.lag(met).over(inner)).alias("ties")).select("x", F.explode("ties").alias("y"))
-    near = math.acos(min(1.0, 2 * similarity / (1 + similarity))) / math.pi * 64
-    most = math.ceil(near + 4 * math.sqrt(near))  # bits in which codes of a pair at the threshold differ, and over 4 standard deviations
-    close = tied.where(F.col("x.class") != F.col("y.class")).where(F.bit_count(F.col("x.code").bitwiseXOR(F.col("y.code"))) <= most)
-    pairs = stored(close.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")).distinct())
+    common = _common_shingles(docs, id_col, text_col, words, rows.count())
+    prefixes = texts_of(named).select("class", F.explode(_prefixes(words, similarity, common)("t")).alias("shingle"))
+    tied = prefixes.select(F.first("class").over(W.partitionBy("shingle").orderBy("class")).alias("a"), F.col("class").alias("b"))
+    pairs = stored(tied.where("a < b").distinct())
     ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
     wanted = merge_join(classes, ends, "class", "left_semi").withColumnRenamed("first", "_first").hint("merge")
-    sets = F.pandas_udf(lambda t: pd.Series([shingle_set(x, words).view(np.int64) for x in t]), "array<long>")
-    sets = stored(texts_of(wanted).select("class", sets("t").alias("s")))
+    sets = stored(texts_of(wanted).select("class", _sets(words)("t").alias("s")))
     both = merge_join(merge_join(pairs, sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a"), sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    links = both.select("a", "b", common.alias("n"), (F.size("sa") + F.size("sb")).alias("m")).where(F.col("n") >= similarity * (F.col("m") - F.col("n")))
+    shared = F.size(F.array_intersect("sa", "sb"))
+    links = both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb")).alias("m")).where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("a", "b")
+    links = stored(links)
+    links = links.union(stored(_links_of_crowds(pairs, links, sets, similarity)))
     placed = merge_join(classes, components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     told = merge_join(placed, firsts, "root").select("h1", "h2", "component_id")

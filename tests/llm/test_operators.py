@@ -164,6 +164,46 @@ def test_near_copies_are_found_down_to_the_threshold(spark, edge, none):
     assert simhash.near_copy_groups(none).count() == 0 and simhash.near_copy_groups(edge).count() == edge.count()
 
 
+def test_near_copies_of_stars_and_of_small_sets(spark):
+    """Edits of one original that link to it and seldom to one another; pairs of 8 and 9 words; against brute force."""
+    random.seed(9)
+    texts = []
+    for star, n in ((0, 500), (1, 2000)):
+        words = [f"s{star}w{i}" for i in range(400)]
+        texts.append(" ".join(words))
+        for c in range(n):
+            copy = list(words)
+            for at in range(6, 380, 50 if c % 10 else 25):  # every tenth lies below the threshold to the original
+                copy[at + random.randrange(20)] = f"c{star}.{c}.{at}"
+            texts.append(" ".join(copy))
+    for i in range(40):
+        words = [f"p{i}.{j}" for j in range(9)]
+        texts += [" ".join(words), " ".join(words[: 8 - i % 2])]
+    order = random.sample(range(len(texts)), len(texts))
+    sets = dict(zip(order, map(slow_shingles, texts)))
+    holders = defaultdict(set)
+    for i, s in sets.items():
+        for x in s:
+            holders[x].add(i)
+    links = []
+    for i, s in sets.items():
+        met = Counter(j for x in s for j in holders[x] if j < i) if len(s) < 10 else None
+        if met is not None:
+            links += [(j, i) for j in met if alike(sets[j], s)]
+    ids = {x: n for n, x in enumerate(holders)}
+    big = [i for i, s in sets.items() if len(s) >= 10]
+    rows = np.zeros((len(big), len(ids)), bool)
+    for at, i in enumerate(big):
+        rows[at, [ids[x] for x in sets[i]]] = True
+    shared = rows[:, rows.sum(0) > 1].astype(np.float32)
+    both, size = shared @ shared.T, rows.sum(1)
+    links += [(big[a], big[b]) for a, b in np.argwhere(np.triu(both >= 0.8 * (size[:, None] + size - both), 1))]
+    want = closure(sorted(sets), links)
+    df = spark.createDataFrame(list(zip(order, texts)), "doc_id long, text string").repartition(8)
+    assert {r.doc_id: r.component_id for r in simhash.near_copy_groups(df).collect()} == want
+    assert len({want[i] for i in order[:501]}) < 100 and len({want[i] for i in order[501:2502]}) < 400
+
+
 def test_near_copies_keep_one_of_each_group(edge):
     kept = simhash.drop_near_copies(edge)
     assert kept.columns == edge.columns and {1, 8, 13, None} <= {r.doc_id for r in kept.collect()} and not {4, 5, 7} & {r.doc_id for r in kept.collect()}
