@@ -397,6 +397,25 @@ def test_html_repeated_runs_go_where_no_article_is_marked(spark):
     assert got[6, None] == f"{menu} n6 own words of it stay" and got[7, "http://h.org/x"] == got[8, "http://h.org/x"] == "" and got[None, "http://h.org/y"] == "kept " + menu
 
 
+def test_html_runs_are_counted_over_the_whole_host(spark):
+    """Runs on 1 % of a host's pages, a host of 257 pages, any number of partitions; against the suffix array over the whole host."""
+    random.seed(12)
+    menus = [" ".join(f"m{k}i{i}" for i in range(10)) for k in range(100)]
+    pages = [(i, "http://big.org/", f"own{i} " + menus[i % 100] + f" text{i} " + " ".join(random.choice("ab") for _ in range(9))) for i in range(700)]
+    pages += [(1000 + i, "http://other.org/", f"x{i} " + menus[0] + f" y{i}") for i in range(257)]
+    pages += [(2000, "http://small.org/", "one page in three rows keeps every word it has")] * 3
+    want = Counter()
+    for host in {p[1] for p in pages[:-3]}:
+        part = [p for p in pages if p[1] == host]
+        for (i, _, t), gone in zip(part, html_text.repeated([p[2].split(" ") for p in part])):
+            want[i, " ".join(w for w, g in zip(t.split(" "), gone) if not g)] += 1
+    want[pages[-1][0], pages[-1][2]] = 3
+    assert sum(" m" in t for _, t in want) == 0
+    df = spark.createDataFrame(random.sample(pages, len(pages)), "page_id long, url string, html string")
+    for n in (1, 7):
+        assert Counter((r.page_id, r.text) for r in html_text.extract_main_text(df.repartition(n)).collect()) == want
+
+
 def test_repeated_runs_against_brute_force():
     random.seed(6)
     pages = [[random.choice("abc") for _ in range(random.randrange(0, 60))] for _ in range(12)]
