@@ -83,6 +83,20 @@ def components(edges: DataFrame) -> DataFrame:
         cur = cut(moved.union(small.select(F.col("m").alias("lo"), "hi")).distinct())
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that `df` doesn't have."""
+    return name if name not in df.columns else f"{name}_{uuid.uuid4().hex}"
+
+
+def with_row_key(docs: DataFrame, id_col: str) -> tuple[DataFrame, str]:
+    """`docs` and a column that tells its rows apart: `id_col` if no id is null or repeated, else a number in a written copy of `docs`."""
+    ids = docs.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    if ids.where("id IS NULL OR n > 1").isEmpty():
+        return docs, id_col
+    key = fresh(docs, "row_key")
+    return stored(docs.withColumn(key, F.monotonically_increasing_id())), key
+
+
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
     """`df` with a 0-based rank in a total `order`, without moving all rows to one task.
 

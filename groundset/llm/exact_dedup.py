@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, cut, merge_join
+from .common import SPACE, cut, merge_join, stored, with_row_key
 
 #: Counters of a Misra-Gries summary. At most COUNTERS + 1 digests are broadcast.
 COUNTERS = 256
@@ -39,12 +39,11 @@ def heavy_hitters(digests: DataFrame, counters: int = COUNTERS) -> DataFrame:
     return found.groupBy("digest").agg(F.sum("est").alias("est")).where(F.col("est") * (counters + 1) >= rows).where(F.col("est") > 1).select("digest")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per row of `docs`: id, keep_id, group_size, kept, digest (SHA-256 of the text without ASCII white space), n_chars, same.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS, key_col: str | None = None) -> DataFrame:
+    """One row per row of `docs`: id, keep_id, group_size, kept, digest (SHA-256 of the text without ASCII white space), n_chars, and `key_col`, if given, as key.
 
     Of equal texts the row with most code points stays, then the smallest id (null ids last), then one of the
-    repeated rows. Null text counts as empty; empty texts are one group. `same` counts the group's rows that share
-    the winner's id and length, so that callers can tell repeated ids. An empty table gives an empty result; other
+    repeated rows. Null text counts as empty; empty texts are one group. An empty table gives an empty result; other
     columns, whatever their names, are neither read nor returned.
 
     Rows are reduced to digests once. Frequent digests are found by Misra-Gries, their winners verified by an exact
@@ -58,6 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             F.length(text).cast("long").alias("n_chars"),
             F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256)).alias("digest"),
             F.monotonically_increasing_id().alias("row"),
+            F.col(key_col or id_col).alias("key"),
         )
     )
     place = F.struct((-F.col("n_chars")).alias("less"), F.col("id").isNull().alias("none"), F.col("id"), F.col("row"))
@@ -74,21 +74,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.col("row") == F.col("best.row")).alias("kept"),
         "digest",
         "n_chars",
+        *(["key"] if key_col else []),
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that `exact_dedup` keeps, with all their columns.
+    """The rows of `docs` that `exact_dedup` keeps, with all their columns, whatever their names; one row of each group of equal texts.
 
-    Kept rows are found again by id and digest. Rows that repeat an id with the same text are reduced to one by a
-    last pass that runs only if such rows exist.
+    Nulls, ties and repeated rows as in `exact_dedup`. An empty table stays empty. Where ids repeat or are null, rows are told apart by a
+    number in a written copy of `docs`.
     """
-    verdict = exact_dedup(docs, id_col, text_col)
-    kept = cut(verdict.where("kept").select(F.col(id_col).alias("_id"), F.col("n_chars").alias("_n"), F.col("digest").alias("_digest")))
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.regexp_replace(text, SPACE + "+", ""), 256))).withColumn("_n", F.length(text).cast("long"))
-    found = keyed.join(kept.hint("merge"), keyed[id_col].eqNullSafe(kept["_id"]) & (keyed["_digest"] == kept["_digest"]) & (keyed["_n"] == kept["_n"]), "left_semi")
-    repeated = not docs.groupBy(id_col).count().where("count > 1").isEmpty()
-    if repeated:
-        found = found.dropDuplicates([id_col, "_digest", "_n"])
-    return found.select(*docs.columns)
+    keyed, key = with_row_key(docs, id_col)
+    gone = stored(exact_dedup(keyed, id_col, text_col, key_col=key).where("NOT kept").select(F.col("key").alias(key)))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)

@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Bounds of the classifier: labelled documents it is fitted on (in expectation, by hash), languages, words and grams of each length.
-FIT_DOCS, MAX_LANGS, MAX_WORDS, MAX_GRAMS = 20_000, 256, 60_000, 20_000
+from .common import cut, fresh, stored
+
+#: Bound of the classifier: labelled documents that it is fitted on, in expectation. Its words and grams are all of theirs.
+FIT_DOCS = 4_000
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 #: Words after which more text makes the score no surer.
@@ -24,7 +26,7 @@ _SLOTS = 1 << 16
 
 @dataclass
 class LanguageModel:
-    """Log frequencies by language: a row of `words` or `grams[n]` for each key. Bounded by the limits above."""
+    """Log frequencies by language: a row of `words` or `grams[n]` for each key. Bounded by the sample it is fitted on."""
 
     langs: list[str]
     words: dict[str, int]
@@ -33,44 +35,42 @@ class LanguageModel:
     gram_rows: dict[int, np.ndarray]
 
 
-def _table(rows: list, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
-    keys: dict[str, int] = {}
-    for r in rows:
-        keys.setdefault(r["key"], len(keys))
+def _table(counted: DataFrame, langs: list[str]) -> tuple[dict[str, int], np.ndarray]:
+    """Keys by row, and their log frequencies by language; `counted` (lang, key, n) is bounded by the sample."""
+    found = counted.toArrow()
+    at, place = found["lang"].combine_chunks().dictionary_encode(), found["key"].combine_chunks().dictionary_encode()
+    keys = place.dictionary.to_pylist()
+    order = np.array([langs.index(x) for x in at.dictionary.to_pylist()], np.int64)
     counts = np.zeros((len(keys), len(langs)))
-    at = {x: i for i, x in enumerate(langs)}
-    for r in rows:
-        counts[keys[r["key"]], at[r["lang"]]] = r["n"]
+    if len(found):
+        counts[place.indices.to_numpy(), order[at.indices.to_numpy()]] = found["n"].to_numpy()
     total = counts.sum(0) + SMOOTH * max(1, len(keys))
-    return keys, np.log((counts + SMOOTH) / total).astype(np.float32)
+    return {x: i for i, x in enumerate(keys)}, np.log((counts + SMOOTH) / total).astype(np.float32)
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", trainable: Column | None = None, fit_docs: int = FIT_DOCS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> LanguageModel:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", trainable: Column | None = None, id_col: str | None = None, fit_docs: int = FIT_DOCS) -> LanguageModel:
     """Count words and character n-grams by language over a bounded sample of the labelled rows.
 
-    The sample takes the same number of documents of each language, `fit_docs` in all, by a hash of the text: the
-    same rows at every run. Counting is a Spark job; only the most frequent keys reach the driver.
-    Rows with a null text or label are passed over; without any labelled row the model is empty.
+    The sample takes the same number of documents of each language, `fit_docs` in all, by a hash of the row (`id_col`, where given, and
+    the text): the same rows at every run, and copies of a text come or stay one by one if their ids differ. Counting is a
+    Spark job; every word and n-gram of the sample becomes part of the model, which the sample bounds.
+    Rows with a null text or label are passed over; repeated rows count each; without any labelled row the model is empty.
     """
-    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), (F.lit(True) if trainable is None else trainable).alias("use")).where("use AND text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()}
-    langs = sorted(sizes)
+    row = F.xxhash64(*([id_col] if id_col else []), text_col)
+    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), row.alias("row"), (F.lit(True) if trainable is None else trainable).alias("use")).where("use AND text IS NOT NULL AND lang IS NOT NULL")
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(fit_docs)  # so many documents can't show more languages
+    share = F.broadcast(cut(sizes.select("lang", (F.lit(float(fit_docs)) / F.count("*").over(W.partitionBy()) / F.col("n")).alias("share"))))
+    sample = stored(labelled.join(share, "lang").where(F.pmod("row", F.lit(1 << 20)) < F.col("share") * (1 << 20)).select("lang", "text"))
+    langs = sorted(r["lang"] for r in sample.select("lang").distinct().collect())  # at most one for each sampled row
     if not langs:
         return LanguageModel([], {}, np.zeros((0, 0), np.float32), {}, {})
-    share = F.create_map(*[F.lit(v) for x in langs for v in (x, fit_docs / len(langs) / sizes[x])])
-    sample = labelled.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
-    words = sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n"))
-
-    def top(counted: DataFrame, most: int) -> list:
-        rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "key"))
-        return counted.withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "key", "n").collect()  # at most len(langs) * most rows
-
-    known, word_rows = _table(top(words, max(1, 4 * max_words // max(4, len(langs)))), langs)
+    words = cut(sample.select("lang", F.explode(F.expr(r"regexp_extract_all(lower(text), '\\p{L}+', 0)")).alias("key")).groupBy("lang", "key").agg(F.count("*").alias("n")))
+    known, word_rows = _table(words, langs)
     grams, gram_rows = {}, {}
     framed = words.withColumn("w", F.concat(F.lit("^"), F.col("key"), F.lit("$"))).withColumn("size", F.length("w"))
     for n in LENGTHS:
         cuts = framed.where(F.col("size") >= n).select("lang", "n", F.explode(F.expr(f"transform(sequence(1, size - {n - 1}), i -> substring(w, i, {n}))")).alias("key"))
-        grams[n], gram_rows[n] = _table(top(cuts.groupBy("lang", "key").agg(F.sum("n").alias("n")), max(1, 4 * max_grams // max(4, len(langs)))), langs)
+        grams[n], gram_rows[n] = _table(cuts.groupBy("lang", "key").agg(F.sum("n").alias("n")), langs)
     return LanguageModel(langs, known, word_rows, grams, gram_rows)
 
 
@@ -124,8 +124,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", into:
     """`docs` with a predicted language and a score from 0 to 1, from the text alone and from all of it.
 
     `und` with score 0 if the text is null, empty or has no letter, or if the model is empty. Ties go to the first language by name.
+    Repeated rows get the same answer; columns named as `into` are replaced, all others kept; an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the limits of fit()
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample of fit()
 
     @F.pandas_udf("lang string, score double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -133,8 +134,9 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", into:
         for texts in batches:
             yield pd.DataFrame([scorer(t) for t in texts], columns=["lang", "score"])
 
-    found = docs.withColumn("_lid", run(F.col(text_col)))
-    return found.withColumns({into[0]: F.col("_lid.lang"), into[1]: F.col("_lid.score")}).drop("_lid")
+    told = fresh(docs, "lid")
+    found = docs.withColumn(told, run(F.col(text_col)))
+    return found.withColumns({into[0]: F.col(told)["lang"], into[1]: F.col(told)["score"]}).drop(told)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -143,6 +145,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def drop_unidentified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of `docs` with a language: those without a letter (prediction `und`) go."""
-    model = fit(docs, text_col, lang_col, ~held_out(id_col))
-    return predict(docs, model, text_col, ("_lang_pred", "_lang_score")).where(F.col("_lang_pred") != UNDETERMINED).select(*docs.columns)
+    """The rows of `docs` whose language can be told, with their columns; a null language is filled in with the predicted one.
+
+    Rows go whose text is null or empty or has no letter (prediction `und`). Without a labelled row there is no model: rows with a
+    letter stay as they are. Repeated rows are judged each; other columns are kept whatever their names; an empty table stays empty.
+    """
+    model = fit(docs, text_col, lang_col, ~held_out(id_col), id_col)
+    if not model.langs:
+        return docs.where(F.col(text_col).rlike(r"\p{L}"))
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    found = predict(docs, model, text_col, (pred, score)).where(F.col(pred) != UNDETERMINED)
+    return found.withColumn(lang_col, F.coalesce(F.col(lang_col), F.col(pred))).select(*docs.columns)

@@ -28,7 +28,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    model = langid.fit(docs, trainable=~langid.held_out())
+    model = langid.fit(docs, trainable=~langid.held_out(), id_col="doc_id")
     return langid.predict(docs.select("doc_id", "text", langid.held_out().alias("held_out")), model).drop("text")
 
 
@@ -38,7 +38,8 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    found = mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
+    return found.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
 def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,13 +99,18 @@ rate AS (
   SELECT coalesce(arg_min((total - capped)::DOUBLE / open_weight::DOUBLE, place) FILTER (3 * source_size >= weight * ((total - capped)::DOUBLE / open_weight::DOUBLE)), 0.0) AS rate FROM prefixes),
 targets AS (SELECT w.*, least(source_size * 3.0::DOUBLE, weight * rate) AS target FROM weighed w, rate),
 placed AS (
-  SELECT r.doc_id, r.size, t.source_size, t.target, floor(t.target + 0.5) AS due,
+  SELECT r.doc_id, r.size, t.source_size, t.target, floor(t.target + 0.5) AS due, [-0.5::DOUBLE, 0.0::DOUBLE, 0.5::DOUBLE][(t.nr % 3 + 1)::INT] AS slope,
          coalesce(sum(r.size) OVER (PARTITION BY r.source ORDER BY r.h, r.doc_id NULLS LAST, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
-  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  CASE WHEN source_size = 0 THEN 0 ELSE
-    (floor(due / source_size) * size + greatest(0, least(size, due - floor(due / source_size) * source_size - start)))::BIGINT END AS taken
-FROM placed
+  FROM rows r JOIN targets t ON r.source IS NOT DISTINCT FROM t.source),
+counted AS (
+  SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE
+    (floor(due / source_size) * size + greatest(0, least(size, due - floor(due / source_size) * source_size - start)))::BIGINT END AS taken,
+    least(start::DOUBLE / target, 1.0::DOUBLE) AS done FROM placed)
+-- a document's first use begins when the schedule's integral (1 - slope) t + slope t^2 reaches the words before it
+SELECT doc_id, size, source_size, target, taken,
+  round(CASE WHEN taken = 0 THEN 1.0 WHEN slope = 0 THEN done
+    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * done) - (1 - slope)) / (2 * slope) END, 6) AS position
+FROM counted
 """
 
 _OP6 = r"""

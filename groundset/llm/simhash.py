@@ -12,12 +12,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, cut, merge_join, ranked, stored
+from .common import components, cut, merge_join, stored, with_row_key
 
 SEED = 42
 BLOCK = 1 << 16
-#: Rows of the sample that tells common shingles, and shingles it may name; texts of a crowd compared as one block, and shingles counted at once.
-SAMPLE_ROWS, COMMON, MEMBERS, WIDTH = 20_000, 1 << 17, 1024, 4096
+#: A fingerprint's own value and its one-bit neighbours.
+_MASKS = [0] + [1 << i if i < 63 else -(1 << 63) for i in range(64)]
+#: A MinHash signature has BANDS * DEPTH values; DEPTH of them in a row are a band.
+BANDS, DEPTH = 24, 5
+#: Standard deviations of a signature's estimate below the threshold down to which pairs are verified; members of a block of a crowded bucket.
+SLACK, BLOCK_ROWS = 5, 512
+_MULTIPLIERS = np.random.default_rng(24).integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles whose signature values are held at once.
+SIGNED = 2048
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -58,8 +65,7 @@ def ball_edges(prints: DataFrame, bits: int = 2) -> DataFrame:
     """
     if bits not in (1, 2):
         raise ValueError("half the radius is one bit")
-    masks = [0] + [1 << i if i < 63 else -(1 << 63) for i in range(64)]
-    variants = prints.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in masks])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    variants = prints.select("fp", F.explode(F.array(*[F.lit(m).cast("long") for m in _MASKS])).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     met = variants.withColumn("other", F.min("fp").over(W.partitionBy("variant")))
     if bits == 1:
         met = met.withColumn("other", F.col("variant")).join(prints.select(F.col("fp").alias("variant")).hint("merge"), "variant", "left_semi")
@@ -92,13 +98,31 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((hashed(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[k - 1 :])), np.uint64))
 
 
-def _digests(words: int):
-    """Two hashes of the set of shingles, the same for texts with the same set."""
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """MinHash values of a set: the share of equal values estimates the Jaccard similarity of two sets."""
+    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(shingles), SIGNED):
+        least = np.minimum(least, (shingles[at : at + SIGNED, None] * _MULTIPLIERS).min(0))
+    return least
 
-    @F.pandas_udf("h1 long, h2 long")
+
+def _profiles(words: int):
+    """Two hashes of the set of shingles, its SimHash, its size, the last byte of each signature value, and a hash of each band."""
+
+    @F.pandas_udf("h1 long, h2 long, fp long, n int, sketch binary, bands array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, words).tobytes() for t in texts]
-        return pd.DataFrame({f"h{s}": np.array([xxhash.xxh64_intdigest(x, s) for x in sets], np.uint64).view(np.int64) for s in (1, 2)})
+        out = []
+        for t in texts:
+            x = shingle_set(t, words)
+            raw, signed = x.tobytes(), signature(x)
+            bits = np.zeros(64, np.int64)
+            for at in range(0, len(x), BLOCK):
+                bits += np.unpackbits(x[at : at + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+            fp = int(np.packbits(bits * 2 > len(x), bitorder="little").view(np.int64)[0])
+            bands = np.array([xxhash.xxh64_intdigest(b.tobytes(), i) for i, b in enumerate(signed.reshape(BANDS, DEPTH))], np.uint64).view(np.int64)
+            h1, h2 = (np.array([xxhash.xxh64_intdigest(raw, s)], np.uint64).view(np.int64)[0] for s in (1, 2))
+            out.append((h1, h2, fp, len(x), (signed >> np.uint64(56)).astype(np.uint8).tobytes(), bands))
+        return pd.DataFrame(out, columns=["h1", "h2", "fp", "n", "sketch", "bands"])
 
     return run
 
@@ -111,150 +135,130 @@ def _sets(words: int):
     return run
 
 
-def _common_shingles(docs: DataFrame, id_col: str, text_col: str, words: int, rows: int) -> np.ndarray:
-    """Shingles that a hash sample of about SAMPLE_ROWS rows holds more than once, the rarest first; of too many, the most frequent.
+def _least_equal(similarity: float) -> float:
+    """Equal signature values that a pair at the threshold has, less SLACK standard deviations."""
+    n = BANDS * DEPTH
+    return similarity * n - SLACK * math.sqrt(n * similarity * (1 - similarity))
 
-    They only order the shingles; what is found does not depend on them.
-    """
-    part = docs.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(max(1, rows // SAMPLE_ROWS))) == 0)
-    counts = part.select(F.explode(_sets(words)(F.col(text_col))).alias("x")).groupBy("x").count().where("count > 1")
-    found = counts.orderBy(F.desc("count"), "x").limit(COMMON).toPandas()
-    return found.x.to_numpy(np.int64).view(np.uint64)[::-1].copy()
 
+def _promising(similarity: float):
+    """Whether sketches have so many equal values that the pair must be verified."""
+    least = _least_equal(similarity)
 
-def _prefixes(words: int, similarity: float, common: np.ndarray):
-    """The shingles that come first in an order of all shingles (those not in `common` by hash, then `common`), so many that two
-    sets with a Jaccard similarity of `similarity` have one of them in common."""
-    by_hash = np.argsort(common)
-    known = common[by_hash]
-
-    @F.pandas_udf("array<long>")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            x = shingle_set(t, words)
-            place = np.full(len(x), -1, np.int64)
-            if len(known):
-                at = np.minimum(np.searchsorted(known, x), len(known) - 1)
-                place = np.where(known[at] == x, by_hash[at], -1)
-            most = len(x) - math.ceil(similarity * len(x) - 1e-6) + 1
-            out.append(x[np.argsort(place, kind="stable")[:most]].view(np.int64))
-        return pd.Series(out)
+    @F.pandas_udf("boolean")
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        if not len(a):
+            return pd.Series([], dtype=bool)
+        x, y = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (a, b))
+        return pd.Series((x == y).sum(1) >= least)
 
     return run
 
 
-def near_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Positions of pairs of sets with a Jaccard similarity of `similarity` or more, which join all that such pairs join."""
-    sizes, n = np.array([len(s) for s in sets]), len(sets)
-    owner = np.repeat(np.arange(n), sizes)
-    _, at, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = counts[at] > 1
-    owner, at = owner[shared], (np.cumsum(counts > 1) - 1)[at[shared]]
-    order = np.argsort(at, kind="stable")
-    owner, at = owner[order], at[order]
-    both = np.zeros((n, n))
-    for low in range(0, int(at[-1]) + 1 if len(at) else 0, WIDTH):
-        a, b = np.searchsorted(at, [low, low + WIDTH])
-        x = np.zeros((n, WIDTH), np.float32)
-        x[owner[a:b], at[a:b] - low] = 1
-        both += x @ x.T
-    near = both >= similarity * (sizes[:, None] + sizes[None, :] - both)
-    left, links = np.ones(n, bool), []
-    for start in range(n):
-        if left[start]:
-            left[start] = False
-            todo = [start]
-            while todo:
-                u = todo.pop()
-                met = np.flatnonzero(near[u] & left)
-                left[met] = False
-                todo.extend(met.tolist())
-                links.extend((u, v) for v in met.tolist())
-    return links
-
-
-def _block_links(similarity: float):
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        links: list[tuple[int, int]] = []
-        for _, g in part.groupby("super"):
-            names = g["class"].to_numpy()
-            links.extend((names[a], names[b]) for a, b in near_forest(g["s"].tolist(), similarity))
-        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+def _across(similarity: float):
+    """Pairs of members of two blocks of a bucket that lie in different groups and must be verified. Rows come sorted by pair of blocks."""
+    least = _least_equal(similarity)
+
+    def pairs(g: pd.DataFrame) -> pd.DataFrame:
+        names, roots, sizes = (g[c].to_numpy() for c in ("class", "root", "n"))
+        marks = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
+        equal = np.zeros((len(g), len(g)), np.int16)
+        for column in marks.T:
+            equal += column[:, None] == column[None, :]
+        fit = np.minimum(sizes[:, None], sizes[None, :]) >= (similarity - 1e-9) * np.maximum(sizes[:, None], sizes[None, :])
+        i, j = np.nonzero(np.triu((equal >= least) & fit & (roots[:, None] != roots[None, :]), 1))
+        return pd.DataFrame({"a": names[i], "b": names[j]}, dtype="int64")
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            groups = [g for _, g in batch.groupby(["bucket", "i", "j"], sort=False)]
+            for g in groups[:-1]:
+                yield pairs(g)
+            held = groups[-1] if groups else None
+        if held is not None:
+            yield pairs(held)
 
     return run
 
 
-def _links_of_crowds(pairs: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links between members of a crowd that `links` leave apart: all pairs of blocks of a crowd's members are verified in full.
+def _left_apart(met: DataFrame, links: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a bucket's members that `links` leave in different groups and whose sketches don't rule them out.
 
-    A crowd is what `pairs` join, so texts of different crowds have no prefix shingle in common. Members stand in the order of
-    their sizes, and of what `links` join; two blocks that lie in one such part, or whose sizes are too far apart, are not compared.
+    A bucket's members are compared in blocks of BLOCK_ROWS by their sketches; a bucket of two has been settled by its tie.
     """
-    crowds, parts = components(pairs), components(links)
-    members = merge_join(sets.select("class", F.size("s").alias("n")), crowds.select(F.col("node").alias("class"), F.col("root").alias("super")), "class", "left")
-    members = merge_join(members, parts.select(F.col("node").alias("class"), "root"), "class", "left")
-    members = cut(members.select("class", "n", F.coalesce("super", "class").alias("super"), F.coalesce("root", "class").alias("root")))
-    # the only pair of a crowd of two has been verified
-    mixed = members.groupBy("super").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high AND rows > 2").select("super")
-    band = F.floor(F.log(F.greatest("n", F.lit(1))) / -math.log(similarity)) if similarity < 1 else F.col("n")
-    placed = cut(ranked(merge_join(members, mixed, "super"), F.col("super"), band, F.col("root"), F.col("class")).withColumn("block", F.floor(F.col("rank") / MEMBERS)))
-    bounds = [f(c).alias(f"{f.__name__}_{c}") for c in ("super", "root", "n") for f in (F.min, F.max)]
-    blocks = cut(placed.groupBy("block").agg(*bounds))
-    a, b = blocks.alias("a"), blocks.alias("b")
-    one_part = (F.col("a.min_super") == F.col("b.max_super")) & (F.col("a.min_root") == F.col("a.max_root")) & (F.col("b.min_root") == F.col("b.max_root")) & (F.col("a.min_root") == F.col("b.min_root"))
-    near_sizes = (F.col("a.max_n") >= F.col("b.min_n") * (similarity - 1e-6)) & (F.col("b.max_n") >= F.col("a.min_n") * (similarity - 1e-6))
-    met = a.join(b, (F.col("a.block") <= F.col("b.block")) & (F.col("b.min_super") <= F.col("a.max_super")) & ~one_part & near_sizes)
-    met = met.select(F.col("a.block").alias("i"), F.col("b.block").alias("j"), F.explode(F.array_distinct(F.array("a.block", "b.block"))).alias("block"))
-    dealt = merge_join(merge_join(placed.select("class", "super", "block"), met, "block"), sets, "class").select("i", "j", "super", "class", "s")
-    return dealt.groupBy("i", "j").applyInPandas(_block_links(similarity), "a long, b long")
+    groups = components(links)
+    placed = merge_join(met.where("members > 2"), groups.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high").select("bucket", "rows")
+    numbered = merge_join(placed, mixed, "bucket").withColumn("block", F.floor((F.row_number().over(W.partitionBy("bucket").orderBy("root", "class")) - 1) / BLOCK_ROWS).cast("int"))
+    numbered = merge_join(numbered, classes.select("class", "n", "sketch"), "class")
+    last = F.floor((F.col("rows") - 1) / BLOCK_ROWS).cast("int")
+    dealt = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "root", "n", "sketch")
+    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInPandas(_across(similarity), "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets have a Jaccard similarity of `similarity` or more.
+
+    The set of `b` is joined first, so that the set of an `a` with many partners is not copied in a shuffle.
+    """
+    both = merge_join(merge_join(pairs, sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b"), sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a")
+    counted = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("n"), (F.size("sa") + F.size("sb")).alias("m"))
+    return stored(counted.where(F.col("n") >= similarity * (F.col("m") - F.col("n")) - 1e-9).select("a", "b"))
+
+
+def _near_rows(docs: DataFrame, key: str, id_col: str, text_col: str, words: int, similarity: float) -> DataFrame:
+    """(key, id, best) for every row of `docs`, whose rows `key` tells apart: `best` names the row of the group that stays."""
+    best = F.struct(F.col("id").isNull().alias("none"), "id", "text_hash", "key").alias("best")
+    rows = docs.select(F.col(key).alias("key"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), _profiles(words)(F.col(text_col)).alias("p"))
+    rows = stored(rows.select("key", "id", best, "p.*"))
+    same = [F.first(c).alias(c) for c in ("fp", "n", "sketch", "bands")]  # equal sets have them in common
+    classes = stored(rows.groupBy("h1", "h2").agg(F.min("best").alias("best"), *same).withColumn("class", F.monotonically_increasing_id()))
+    # buckets: variants of the fingerprint within half the radius, and bands of the signature
+    masks = F.array(*[F.lit(m).cast("long") for m in _MASKS])
+    keys = F.concat(F.transform(masks, lambda m: F.xxhash64(F.lit("ball"), F.col("fp").bitwiseXOR(m))), "bands")
+    each = classes.select("class", F.explode(keys).alias("bucket"))
+    met = stored(each.withColumn("members", F.count("*").over(W.partitionBy("bucket"))).where("members > 1"))
+    # every member is tied to the one that meets most others: of edits of one text, to that text
+    degree = met.groupBy("class").agg(F.sum("members").alias("degree"))
+    placed = merge_join(met, degree, "class")
+    hubs = placed.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("class")).alias("less"))).alias("hub")).select("bucket", (-F.col("hub.less")).alias("a"))
+    pairs = merge_join(met.select("bucket", F.col("class").alias("b")), hubs, "bucket").where("a != b").select("a", "b").distinct()
+    marks = classes.select("class", "sketch")
+    pairs = merge_join(merge_join(pairs, marks.select(F.col("class").alias("b"), F.col("sketch").alias("mb")), "b"), marks.select(F.col("class").alias("a"), F.col("sketch").alias("ma")), "a")
+    pairs = stored(pairs.where(_promising(similarity)("ma", "mb")).select("a", "b"))
+    wanted = stored(merge_join(classes, met.select("class").distinct(), "class", "left_semi").select("class", F.col("best.key").alias("wanted")))
+    # `wanted` has been written, so Spark knows its size and chooses the join by it
+    sets = stored(docs.select(F.col(key).alias("wanted"), F.col(text_col).alias("text")).join(wanted, "wanted").select("class", _sets(words)("text").alias("s")))
+    links = _verified(pairs, sets, similarity)
+    links = links.union(_verified(_left_apart(met, links, classes, similarity), sets, similarity))
+    placed = merge_join(classes.select("class", "h1", "h2", "best"), components(links).select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    told = merge_join(placed.select("h1", "h2", "root"), placed.groupBy("root").agg(F.min("best").alias("best")), "root").select("h1", "h2", "best")
+    return merge_join(rows.select("key", "id", "h1", "h2"), told, ["h1", "h2"]).select("key", "id", "best")
 
 
 def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, component_id) for every row: the smallest id reached by links between texts whose sets of word shingles have a Jaccard
     similarity of `similarity` or more.
 
-    Links are exact up to equal 64-bit hashes. In an order of all shingles that puts the common ones last, two such sets share one
-    of their first |set| - ceil(similarity * |set|) + 1 shingles. Texts are put together by these prefix shingles, and
-    each is tied to the smallest text that has the shingle: ties grow with the prefixes, not with the square of a
-    crowd. Ties are verified on the whole sets. Crowds (what ties join) that verified ties do not join into one group are
-    then compared pair by pair in blocks of MEMBERS texts. Texts with equal sets are one node.
+    Candidates share a variant of the SimHash of the set (one bit at most, as in `ball_edges`) or a band of its MinHash
+    signature: the ball alone would find few pairs near 0.8, where about 10 of 64 bits differ; of these, BANDS bands miss
+    7 in 100 000. In each bucket all members are tied to the one with most bucket mates. Ties are verified on the whole sets.
+    Members that verified links leave in different groups are compared with one another in blocks by their sketches, and
+    promising pairs verified too, so no member is left out of a large bucket. Links are exact up to equal 64-bit hashes.
 
-    Texts without words (null, empty) have equal sets. Null ids never become a component_id unless all ids of the class
-    are null. Repeated rows each get their row; an empty table gives an empty result; other columns are not read.
+    Texts without words (null, empty) have equal sets. Null ids never become a component_id unless all ids of the group
+    are null. Repeated rows each get their row; an empty table gives an empty result; other columns are not read. Very long
+    texts are worked on whole.
     """
-    rows = cut(docs.select(F.col(id_col).alias("id"), _digests(words)(F.col(text_col)).alias("d")).select("id", "d.*"))
-    classes = cut(rows.groupBy("h1", "h2").agg(F.min("id").alias("first")).withColumn("class", F.monotonically_increasing_id()))
-    # one text of each class, found again by id and checked by digest, as ids may repeat
-    text = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("t"))
-    named = classes.withColumnRenamed("first", "_first").hint("merge")
-
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        found = text.join(wanted, F.col("_id").eqNullSafe(F.col("_first"))).withColumn("d", _digests(words)("t"))
-        return found.where("d.h1 = h1 AND d.h2 = h2").select("class", "t").dropDuplicates(["class"])
-
-    common = _common_shingles(docs, id_col, text_col, words, rows.count())
-    prefixes = texts_of(named).select("class", F.explode(_prefixes(words, similarity, common)("t")).alias("shingle"))
-    tied = prefixes.select(F.first("class").over(W.partitionBy("shingle").orderBy("class")).alias("a"), F.col("class").alias("b"))
-    pairs = stored(tied.where("a < b").distinct())
-    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
-    wanted = merge_join(classes, ends, "class", "left_semi").withColumnRenamed("first", "_first").hint("merge")
-    sets = stored(texts_of(wanted).select("class", _sets(words)("t").alias("s")))
-    both = merge_join(merge_join(pairs, sets.select(F.col("class").alias("a"), F.col("s").alias("sa")), "a"), sets.select(F.col("class").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    links = both.select("a", "b", shared.alias("n"), (F.size("sa") + F.size("sb")).alias("m")).where(F.col("n") >= similarity * (F.col("m") - F.col("n"))).select("a", "b")
-    links = stored(links)
-    links = links.union(stored(_links_of_crowds(pairs, links, sets, similarity)))
-    placed = merge_join(classes, components(links).withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-    firsts = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    told = merge_join(placed, firsts, "root").select("h1", "h2", "component_id")
-    return merge_join(rows, told, ["h1", "h2"]).select(F.col("id").alias(id_col), "component_id")
+    keyed, key = with_row_key(docs.select(F.col(id_col), F.col(text_col)), id_col)
+    return _near_rows(keyed, key, id_col, text_col, words, similarity).select(F.col("id").alias(id_col), F.col("best.id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` whose id is the component_id of their class in `near_copy_groups`: one document of each group.
-
-    Rows with a null id stay only if no row of their class has an id.
-    """
-    kept = near_copy_groups(docs, id_col, text_col, words, similarity).where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_id")).distinct()
-    return docs.join(kept.hint("merge"), docs[id_col].eqNullSafe(kept["_id"]), "left_semi")
+    """One row of `docs` of each group of `near_copy_groups`, with its columns: the smallest id (null ids last), then, where ids repeat, one of
+    these rows by a hash of the text. All columns of `docs` are kept whatever their names; an empty table stays empty."""
+    keyed, key = with_row_key(docs, id_col)
+    gone = stored(_near_rows(keyed, key, id_col, text_col, words, similarity).where(F.col("key") != F.col("best.key")).select(F.col("key").alias(key)))
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
