@@ -11,22 +11,39 @@ from groundset.llm.common import ensure_checkpoint_dir
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told, null languages filled in; texts that are null, empty or without a letter go. Repeated rows stay.
+
+    Any column may be null, any table empty; extra columns pass through whatever their names.
+    """
     return langid.drop_unidentified(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of texts equal but for ASCII white space: the longest, then the smallest id. Null ids come last.
+
+    Any column may be null, any table empty; extra columns pass through whatever their names.
+    """
     return exact_dedup.drop_exact_copies(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the smallest id. Null ids come last.
+
+    Any column may be null, any table empty; extra columns pass through whatever their names.
+    """
     return simhash.drop_near_copies(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each use of a document in the mix, range-sorted by training position. A null source is a source; empty texts are kept once.
+
+    Any column may be null, any table empty; extra columns pass through whatever their names.
+    """
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Per row: number of token ids, digest of the ids, digest of the decoded text. Null text counts as empty; repeated rows each get a row."""
     return queries._bpe_digests(docs)
 
 
