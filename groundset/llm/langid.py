@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import cut, fresh, stored
 
 #: Bound of the classifier: labelled documents that it is fitted on, in expectation. Its words and grams are all of theirs.
-FIT_DOCS = 4_000
+FIT_DOCS = 2_000
 LENGTHS = (5, 4, 3, 2, 1)
 SMOOTH = 0.5
 #: Words after which more text makes the score no surer.
