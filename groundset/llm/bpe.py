@@ -21,7 +21,7 @@ TASK_WORDS = 1 << 18
 _WORD = re.compile(r"[^ \t-\r]+")
 _BATCH = 4096
 #: Characters of text whose ids are held at once, beyond one text.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
 
 
 def _tokenizer(path: str):
