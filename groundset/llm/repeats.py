@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import merge_join, ranked, stored
 
 #: Bytes of a match, of an anchor; bytes of text worked on at once; passages of an indexed shard and of the largest indexed group.
-MATCH, ANCHOR, CHUNK, SHARD, GROUP = 50, 24, 1 << 21, 20_000, 20_000
+MATCH, ANCHOR, CHUNK, SHARD, GROUP = 50, 24, 1 << 18, 20_000, 20_000
 _RNG = np.random.default_rng(50)
 _A, _B = (_RNG.integers(0, 1 << 64, 256, np.uint64) for _ in range(2))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -131,7 +131,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class RunLengthIndex:
-    """A run-length compressed Burrows-Wheeler transform of passages, with suffixes sampled at run ends.
+    """A run-length compressed Burrows-Wheeler transform of passages, built from a suffix array by prefix doubling.
 
     Every passage ends with a terminator of its own. `walk` steps all passages backwards through the transform by
     LF-mapping over its runs, one byte of each at a time, and so gives for every position its row among the sorted
@@ -165,7 +165,6 @@ class RunLengthIndex:
         self.run_start = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
         self.run_byte = bwt[self.run_start]
         length = np.diff(np.r_[self.run_start, n])
-        self.run_end_suffix = suffixes[self.run_start + length - 1]
         # rows before a run's byte in the first column: smaller bytes, then earlier runs of the same byte
         order = np.argsort(self.run_byte, kind="stable")
         before = np.zeros(len(order), np.int64)
@@ -276,7 +275,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     compared: a repeated row is a later document. An empty table gives an empty result; other columns are not read.
 
     Each window of MATCH bytes is dealt by its anchor, which every copy of the window shares. Passages that are equal as
-    a whole are settled by grouping. Those that share an anchor but differ go with their bytes to shards, each
+    a whole (two 64-bit hashes agree, of the anchor and of the passage) are settled by grouping. Those that share an anchor but differ go with their bytes to shards, each
     with a run-length index of its passages, through which they are streamed. An anchor with over GROUP different
     passages would make a shard too large; its windows are grouped by their hashes, which spreads them.
     """
