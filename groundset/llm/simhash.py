@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from .common import components, cut, merge_join, stored, with_row_key
 
@@ -23,8 +24,8 @@ BANDS, DEPTH = 24, 5
 #: Standard deviations of a signature's estimate below the threshold down to which pairs are verified; members of a block of a crowded bucket.
 SLACK, BLOCK_ROWS = 5, 512
 _MULTIPLIERS = np.random.default_rng(24).integers(0, 1 << 63, BANDS * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
-#: Shingles whose signature values are held at once.
-SIGNED = 2048
+#: One-bit signature values of a long sketch, and products of shingles and multipliers that are held at once.
+LONG, SIGNED = 2048, 1 << 18
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -98,11 +99,11 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.fromiter((hashed(joined[a : b - 1], SEED) for a, b in zip([0, *ends], ends[k - 1 :])), np.uint64))
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, multipliers: np.ndarray = _MULTIPLIERS) -> np.ndarray:
     """MinHash values of a set: the share of equal values estimates the Jaccard similarity of two sets."""
-    least = np.full(len(_MULTIPLIERS), np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(shingles), SIGNED):
-        least = np.minimum(least, (shingles[at : at + SIGNED, None] * _MULTIPLIERS).min(0))
+    least, step = np.full(len(multipliers), np.iinfo(np.uint64).max, np.uint64), max(1, SIGNED // len(multipliers))
+    for at in range(0, len(shingles), step):
+        least = np.minimum(least, (shingles[at : at + step, None] * multipliers).min(0))
     return least
 
 
@@ -155,18 +156,25 @@ def _promising(similarity: float):
     return run
 
 
+@F.pandas_udf(BinaryType())
+def _long_sketches(sets: pd.Series) -> pd.Series:
+    """One bit of each of LONG signature values."""
+    multipliers = np.random.default_rng(48).integers(0, 1 << 63, LONG, np.uint64) * np.uint64(2) + np.uint64(1)
+    return pd.Series([np.packbits(signature(np.asarray(s, np.int64).view(np.uint64), multipliers) >> np.uint64(40) & np.uint64(1) > 0).tobytes() for s in sets])
+
+
 def _across(similarity: float):
-    """Pairs of members of two blocks of a bucket that lie in different groups and must be verified. Rows come sorted by pair of blocks."""
-    least = _least_equal(similarity)
+    """Pairs of members of two blocks of a bucket that lie in different groups and must be verified. Rows come sorted by pair of blocks.
+
+    Of one-bit values of sets with Jaccard similarity J, those that agree exceed those that differ by a share of J.
+    """
+    least = similarity - SLACK * math.sqrt((1 - similarity**2) / LONG)
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
         names, roots, sizes = (g[c].to_numpy() for c in ("class", "root", "n"))
-        marks = np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1)
-        equal = np.zeros((len(g), len(g)), np.int16)
-        for column in marks.T:
-            equal += column[:, None] == column[None, :]
+        bits = np.unpackbits(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1), axis=1).astype(np.float32) * 2 - 1
         fit = np.minimum(sizes[:, None], sizes[None, :]) >= (similarity - 1e-9) * np.maximum(sizes[:, None], sizes[None, :])
-        i, j = np.nonzero(np.triu((equal >= least) & fit & (roots[:, None] != roots[None, :]), 1))
+        i, j = np.nonzero(np.triu((bits @ bits.T >= least * LONG) & fit & (roots[:, None] != roots[None, :]), 1))
         return pd.DataFrame({"a": names[i], "b": names[j]}, dtype="int64")
 
     def run(batches):
@@ -183,18 +191,18 @@ def _across(similarity: float):
     return run
 
 
-def _left_apart(met: DataFrame, links: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a bucket's members that `links` leave in different groups and whose sketches don't rule them out.
+def _left_apart(met: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a band's members that `links` leave in different groups and whose long sketches don't rule them out.
 
-    A bucket's members are compared in blocks of BLOCK_ROWS by their sketches; a bucket of two has been settled by its tie.
+    A bucket's members are compared in blocks of BLOCK_ROWS; a bucket of two has been settled by its tie.
     """
     groups = components(links)
-    placed = merge_join(met.where("members > 2"), groups.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    placed = merge_join(met.where(f"members > 2 AND kind >= {len(_MASKS)}"), groups.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high").select("bucket", "rows")
-    numbered = merge_join(placed, mixed, "bucket").withColumn("block", F.floor((F.row_number().over(W.partitionBy("bucket").orderBy("root", "class")) - 1) / BLOCK_ROWS).cast("int"))
-    numbered = merge_join(numbered, classes.select("class", "n", "sketch"), "class")
+    numbered = cut(merge_join(placed, mixed, "bucket").withColumn("block", F.floor((F.row_number().over(W.partitionBy("bucket").orderBy("root", "class")) - 1) / BLOCK_ROWS).cast("int")))
+    marks = merge_join(sets, numbered.select("class").distinct(), "class", "left_semi").select("class", F.size("s").alias("n"), _long_sketches("s").alias("sketch"))
     last = F.floor((F.col("rows") - 1) / BLOCK_ROWS).cast("int")
-    dealt = numbered.withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "root", "n", "sketch")
+    dealt = merge_join(numbered, stored(marks), "class").withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "root", "n", "sketch")
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInPandas(_across(similarity), "a long, b long").distinct()
 
 
@@ -218,7 +226,7 @@ def _near_rows(docs: DataFrame, key: str, id_col: str, text_col: str, words: int
     # buckets: variants of the fingerprint within half the radius, and bands of the signature
     masks = F.array(*[F.lit(m).cast("long") for m in _MASKS])
     keys = F.concat(F.transform(masks, lambda m: F.xxhash64(F.lit("ball"), F.col("fp").bitwiseXOR(m))), "bands")
-    each = classes.select("class", F.explode(keys).alias("bucket"))
+    each = classes.select("class", F.posexplode(keys).alias("kind", "bucket"))
     met = stored(each.withColumn("members", F.count("*").over(W.partitionBy("bucket"))).where("members > 1"))
     # every member is tied to the one that meets most others: of edits of one text, to that text
     degree = met.groupBy("class").agg(F.sum("members").alias("degree"))
@@ -232,7 +240,7 @@ def _near_rows(docs: DataFrame, key: str, id_col: str, text_col: str, words: int
     # `wanted` has been written, so Spark knows its size and chooses the join by it
     sets = stored(docs.select(F.col(key).alias("wanted"), F.col(text_col).alias("text")).join(wanted, "wanted").select("class", _sets(words)("text").alias("s")))
     links = _verified(pairs, sets, similarity)
-    links = links.union(_verified(_left_apart(met, links, classes, similarity), sets, similarity))
+    links = links.union(_verified(_left_apart(met, links, sets, similarity), sets, similarity))
     placed = merge_join(classes.select("class", "h1", "h2", "best"), components(links).select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     told = merge_join(placed.select("h1", "h2", "root"), placed.groupBy("root").agg(F.min("best").alias("best")), "root").select("h1", "h2", "best")
     return merge_join(rows.select("key", "id", "h1", "h2"), told, ["h1", "h2"]).select("key", "id", "best")
@@ -245,7 +253,7 @@ def near_copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Candidates share a variant of the SimHash of the set (one bit at most, as in `ball_edges`) or a band of its MinHash
     signature: the ball alone would find few pairs near 0.8, where about 10 of 64 bits differ; of these, BANDS bands miss
     7 in 100 000. In each bucket all members are tied to the one with most bucket mates. Ties are verified on the whole sets.
-    Members that verified links leave in different groups are compared with one another in blocks by their sketches, and
+    Members that verified links leave in different groups are compared with one another in blocks by longer sketches, and
     promising pairs verified too, so no member is left out of a large bucket. Links are exact up to equal 64-bit hashes.
 
     Texts without words (null, empty) have equal sets. Null ids never become a component_id unless all ids of the group
