@@ -77,7 +77,7 @@ def yes_no(reply: Column) -> Column:
 
 def choice_letter(reply: Column, n_options: Column | int) -> Column:
     """0-based option named by the first lone letter A to E, null if there is none or it is out of range."""
-    letter = F.regexp_extract(F.upper(reply), r"\b([A-E])\b", 1)
+    letter = F.upper(F.regexp_extract(reply, r"(?:^|[^\p{L}\p{N}_])([A-Ea-e])(?:$|[^\p{L}\p{N}_])", 1))
     at = F.ascii(letter) - 65
     return F.when((letter != "") & (at < n_options), at)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.columns import md5_int
+
 
 def vote(label: Column, confidence: Column, valid: list[str]) -> Column:
     """The label if it is a valid one given with high or medium confidence, else `none`."""
@@ -35,9 +37,9 @@ def audit_tier(verdict: Column) -> Column:
     return F.when(verdict == "yes", "primary").when(verdict == "no", "salvage").otherwise("review")
 
 
-def next_different(df: DataFrame, order: list[str], concept: str, groups: str) -> DataFrame:
+def next_different(df: DataFrame, order: list[str], concept: str, groups: str, half: bool = True) -> DataFrame:
     """`df` with `partner_rank`: inside a group, rows are ranked; a row's partner is the first row, from half the
-    group onwards and then from its start, with another concept. Null if the group has one concept only.
+    group onwards (without `half`, from the row itself) and then from its start, with another concept. Null if the group has one concept only.
 
     The rank of the next row with another concept is found by a window from the end, so no pairs are made.
     """
@@ -45,7 +47,8 @@ def next_different(df: DataFrame, order: list[str], concept: str, groups: str) -
     r = df.withColumn("_k", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(W.partitionBy(groups)))
     changes = F.when(F.lead(concept).over(w).isNotNull() & (F.lead(concept).over(w) != F.col(concept)), F.col("_k") + 1)
     r = r.withColumn("_next", F.min(changes).over(W.partitionBy(groups).orderBy("_k").rowsBetween(0, W.unboundedFollowing)))
-    start = F.when(F.col("_k") + F.floor(F.col("_n") / 2) < F.col("_n"), F.col("_k") + F.floor(F.col("_n") / 2)).otherwise(0)
+    ahead = F.floor(F.col("_n") / 2) if half else F.lit(0)
+    start = F.when(F.col("_k") + ahead < F.col("_n"), F.col("_k") + ahead).otherwise(0)
     r = r.withColumn("_start", start)
     at = r.select(groups, F.col("_k").alias("_start"), F.col(concept).alias("_c0"), F.col("_next").alias("_n0"))
     zero = r.where("_k = 0").select(groups, F.col(concept).alias("_cz"), F.col("_next").alias("_nz"))
@@ -79,3 +82,63 @@ def verify(found: DataFrame, expected: DataFrame) -> DataFrame:
     """(label, got, want, ok): every expected value against what was found, within its tolerance; a missing one fails."""
     j = expected.join(found, "label", "left")
     return j.select("label", "got", "want", F.coalesce(F.abs(F.col("got") - F.col("want")) <= F.col("tol"), F.lit(False)).alias("ok"))
+
+
+def display_names(items: DataFrame, concept: str, answer: str) -> DataFrame:
+    """(concept, display): the most frequent answer of each concept's items, ties by answer."""
+    counts = items.where(F.col(concept).isNotNull()).groupBy(concept, answer).agg(F.count("*").alias("n"))
+    return counts.groupBy(concept).agg(F.min(F.struct((-F.col("n")).alias("less"), answer)).alias("b")).select(concept, F.col(f"b.{answer}").alias("display"))
+
+
+def correct_concepts(items: DataFrame, verdicts: DataFrame, inventory: DataFrame, item: str, concept: str, answer: str, salt: str = "fix", n_options: int = 4) -> DataFrame:
+    """(item, action, concept, corrected_from, answer, options) after a concept audit.
+
+    Items without a verdict, and those whose verdict is `original`, stay. A verdict `reperceived` or `other` with a `correct` concept
+    that `inventory` holds rebuilds the item: the answer is the concept's display name, the distractors are the next names
+    from a place that md5 draws, and md5 orders the options. All else becomes a refusal without a concept.
+    """
+    from .order import indexed
+
+    names = display_names(items, concept, answer)
+    known = inventory.select(F.col(concept).alias("correct")).distinct().join(names.select(F.col(concept).alias("correct"), "display").hint("merge"), "correct", "left")
+    j = items.select(item, concept, answer).join(verdicts.select(item, "verdict", "correct").hint("merge"), item, "left").join(known.withColumn("held", F.lit(True)).hint("merge"), "correct", "left")
+    action = F.when(F.col("verdict").isNull(), "unchanged_agree").when(F.col("verdict") == "original", "unchanged_confirmed")
+    action = action.when(F.col("verdict").isin("reperceived", "other") & F.col("held"), "concept_corrected").otherwise("moved_to_refusal")
+    j = j.withColumn("action", action).withColumn("shown", F.coalesce("display", "correct"))
+    labels = indexed(names.select("display").distinct(), "display")
+    n = labels.count()
+    start = md5_int(F.concat(F.lit(salt), F.col(item).cast("string")))
+    asked = j.where("action = 'concept_corrected'").select(item, "shown", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(min(n, n_options) - 1)), lambda i: (start + i) % max(1, n))).alias("place", "idx"))
+    near = asked.join(labels.select("idx", "display").hint("merge"), "idx").where("display != shown")
+    taken = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("place", "display"))), 1, n_options - 1), lambda x: x["display"])
+    drawn = near.groupBy(item, "shown").agg(taken.alias("distractors"))
+    mixed = F.array_sort(F.transform(F.concat(F.array("shown"), "distractors"), lambda o: F.struct(md5_int(F.concat(F.lit(salt), F.col(item).cast("string"), o)).alias("h"), o.alias("o"))))
+    drawn = drawn.select(item, F.transform(mixed, lambda x: x["o"]).alias("options"))
+    moved, fixed = F.col("action") == "moved_to_refusal", F.col("action") == "concept_corrected"
+    return j.join(drawn.hint("merge"), item, "left").select(
+        item,
+        "action",
+        F.when(fixed, F.col("correct")).when(~moved, F.col(concept)).alias(concept),
+        F.when(fixed, F.col(concept)).alias("corrected_from"),
+        F.when(moved, "Cannot be determined from the image").when(fixed, F.col("shown")).otherwise(F.col(answer)).alias(answer),
+        "options",
+    )
+
+
+def merge_notes(items: DataFrame, notes: DataFrame, item: str, labels: str, names: list[str]) -> DataFrame:
+    """`items` whose label map has the notes of `notes` (item, name, text), trimmed; old notes under `names` go first, blank ones are none."""
+    kept = notes.where(F.col("name").isin(*names)).select(item, "name", F.trim("text").alias("text")).where("text != ''")
+    new = kept.groupBy(item).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("name", "text")))).alias("_new"))  # a note of each name
+    cleared = F.map_filter(F.col(labels), lambda k, v: ~k.isin(*names))
+    j = items.join(new.hint("merge"), item, "left")
+    return j.withColumn(labels, F.when(F.col("_new").isNull(), cleared).otherwise(F.map_concat(cleared, "_new"))).drop("_new")
+
+
+def voters(votes: DataFrame, voter: str, vote: str, gold: str, confirmed: str) -> DataFrame:
+    """Per voter: votes, agreement with `gold`, votes of none, replies not parsed (null), and agreement where raters confirmed the label and where one rejected it."""
+    agree = F.coalesce(F.col(vote) == F.col(gold), F.lit(False)).cast("int")
+    over = lambda c: F.round(F.avg(F.when(c, agree)), 6)
+    return votes.groupBy(voter).agg(
+        F.count("*").alias("n"), F.round(F.avg(agree), 6).alias("agreement"), F.count(F.when(F.col(vote) == "none", 1)).alias("n_none"), F.count(F.when(F.col(vote).isNull(), 1)).alias("n_unparsed"),
+        over(F.col(confirmed)).alias("on_confirmed"), over(~F.col(confirmed)).alias("on_rejected"),
+    )

@@ -109,3 +109,37 @@ def expand_mask(y0: Column, y1: Column, x0: Column, x1: Column, edge: float = 0.
     band = (y1 < edge) | (y0 > 1 - edge)
     box = [(F.when(band, 0.0).otherwise(F.greatest(x0 - pad, F.lit(0.0))), "x0"), (F.greatest(y0 - pad, F.lit(0.0)), "y0"), (F.when(band, 1.0).otherwise(F.least(x1 + pad, F.lit(1.0))), "x1"), (F.least(y1 + pad, F.lit(1.0)), "y1")]
     return F.struct(*[F.round(v, 4).alias(k) for v, k in box])
+
+
+def survival(proposals: DataFrame, reviewed: DataFrame, frame: str, label: str, least: float = 0.5) -> DataFrame:
+    """`proposals` (frame, label, idx, corners, other columns) with `fate` (kept, relabelled, deleted) and `iou`.
+
+    In the order of idx, each proposal takes the best free reviewed box of its own label with iou of `least` or more, else the best
+    of another label, else it counts as deleted; of equal boxes the one with the larger idx. Only pairs of a frame that reach
+    `least` are gathered.
+    """
+    side = lambda df, s: df.select(frame, F.col(label).alias(f"{s}_{label}"), *[F.col(c).alias(f"{s}_{c}") for c in ("idx", "x0", "y0", "x1", "y1")])
+    met = side(proposals, "a").join(side(reviewed, "b").hint("merge"), frame).withColumn("iou", C.iou("a", "b")).where(F.col("iou") >= least)
+    pair = F.struct("a_idx", (F.col(f"a_{label}") != F.col(f"b_{label}")).alias("other"), (-F.col("iou")).alias("less"), (-F.col("b_idx")).alias("back"))
+    kinds = dict(met.dtypes)
+    none = F.array().cast(f"array<struct<a_idx:{kinds['a_idx']},other:boolean,less:double,back:{kinds['b_idx']}>>")
+    taken = F.aggregate("_pairs", none, lambda kept, p: F.when(F.exists(kept, lambda k: (k["a_idx"] == p["a_idx"]) | (k["back"] == p["back"])), kept).otherwise(F.concat(kept, F.array(p))))
+    matched = met.groupBy(frame).agg(F.array_sort(F.collect_list(pair)).alias("_pairs")).select(frame, F.explode(taken).alias("m"))
+    found = matched.select(frame, F.col("m.a_idx").alias("idx"), F.when(F.col("m.other"), "relabelled").otherwise("kept").alias("_fate"), (-F.col("m.less")).alias("iou"))
+    return proposals.join(found.hint("merge"), [frame, "idx"], "left").withColumn("fate", F.coalesce("_fate", F.lit("deleted"))).drop("_fate")
+
+
+def survival_report(fates: DataFrame, by: str) -> DataFrame:
+    """Per group and over all (null): proposals, survivors, relabelled ones, deletion rate, and the share of survivors at iou 0.99 or more."""
+    n = lambda c: F.count(F.when(c, 1))
+    gone, moved = F.col("fate") == "deleted", F.col("fate") == "relabelled"
+    r = fates.rollup(by).agg(F.count("*").alias("n"), n(~gone).alias("n_kept"), n(moved).alias("n_relabelled"), F.round(F.avg(gone.cast("int")), 6).alias("deletion_rate"), n(F.col("iou") >= 0.99).alias("_same"))
+    return r.withColumn("unmoved", F.round(F.try_divide("_same", "n_kept"), 6)).drop("_same")
+
+
+def coco_import(annotations: DataFrame, categories: DataFrame, shipped: DataFrame, width: float, height: float) -> DataFrame:
+    """Annotations (image_id, idx, category_id, x, y, w, h in pixels) of shipped images as labels and corners in 0..1, rounded to 4 digits."""
+    own = annotations.join(shipped.select("image_id").hint("merge"), "image_id", "left_semi").join(categories.hint("shuffle_hash"), "category_id")
+    at = lambda v, m: F.round(v / m, 4)
+    corners = [at(F.col("x"), width).alias("x0"), at(F.col("y"), height).alias("y0"), at(F.col("x") + F.col("w"), width).alias("x1"), at(F.col("y") + F.col("h"), height).alias("y1")]
+    return own.select("image_id", "idx", "label", *corners)

@@ -75,9 +75,19 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int = 1000,
     return whole.crossJoin(F.broadcast(means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))))  # one row each
 
 
+def average_ranks(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """`df` with the average rank of `value` inside `by`: values are counted first, so only distinct values are put in order."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(W.partitionBy(*by).orderBy(value).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return df.join(counts.withColumn(name, before + (F.col("_c") + 1) / 2).drop("_c").hint("merge"), [*by, value], "left")
+
+
 def judge_agreement(df: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
-    """Pearson, share within 1, and mean absolute difference of two judges."""
-    return df.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.corr(a, b), 4).alias("pearson"), F.round(F.avg((F.abs(F.col(a) - F.col(b)) <= 1).cast("int")), 6).alias("within_one"), F.round(F.avg(F.abs(F.col(a) - F.col(b))), 6).alias("mae"))
+    """Pearson, Spearman (average ranks of the rows that both judged), share within 1, and mean absolute difference of two judges."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull())
+    r = average_ranks(average_ranks(both, by, a, "_ra"), by, b, "_rb")
+    gap = F.abs(F.col(a) - F.col(b))
+    return r.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.corr(a, b), 4).alias("pearson"), F.round(F.corr("_ra", "_rb"), 4).alias("spearman"), F.round(F.avg((gap <= 1).cast("int")), 6).alias("within_one"), F.round(F.avg(gap), 6).alias("mae"))
 
 
 def micro_macro(df: DataFrame, by: list[str], num: str, den: str) -> DataFrame:
@@ -86,9 +96,29 @@ def micro_macro(df: DataFrame, by: list[str], num: str, den: str) -> DataFrame:
     return df.groupBy(*by).agg(F.round(F.try_divide(F.sum(F.when(ok, F.col(num))), F.sum(F.when(ok, F.col(den)))), 6).alias("micro"), F.round(F.avg(F.when(ok, F.try_divide(num, den))), 6).alias("macro"))
 
 
-def paired(df: DataFrame, item: str, arm: str, value: str, arms: tuple[str, str]) -> DataFrame:
-    """Items that both arms have: their number, the means, and how often the first wins, ties and loses."""
-    wide = df.groupBy(item).agg(*[F.avg(F.when(F.col(arm) == x, F.col(value))).alias(k) for k, x in zip("ab", arms)]).where("a IS NOT NULL AND b IS NOT NULL")
+def paired(df: DataFrame, item: str, arm: str, value: str, arms: tuple[str, str], judge: str) -> DataFrame:
+    """Per judge: items of either arm, items that both arms have, the means over these, their difference, and how often the first wins, ties and loses."""
+    wide = df.groupBy(judge, item).agg(*[F.avg(F.when(F.col(arm) == x, F.col(value))).alias(k) for k, x in zip("ab", arms)])
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()
     n = lambda c: F.count(F.when(c, 1))
-    a, b = F.col("a"), F.col("b")
-    return wide.agg(F.count("*").alias("n"), F.round(F.avg(a), 6).alias("mean_a"), F.round(F.avg(b), 6).alias("mean_b"), n(a > b).alias("wins"), n(a == b).alias("ties"), n(a < b).alias("losses"))
+    a, b = F.when(both, F.col("a")), F.when(both, F.col("b"))
+    return wide.groupBy(judge).agg(
+        F.count("*").alias("n_items"), n(both).alias("n"), F.round(F.avg(a), 6).alias("mean_a"), F.round(F.avg(b), 6).alias("mean_b"), F.round(F.avg(a - b), 6).alias("difference"), n(a > b).alias("wins"), n(a == b).alias("ties"), n(a < b).alias("losses"),
+    )
+
+
+def paired_interval(df: DataFrame, item: str, cluster: str, arm: str, value: str, arms: tuple[str, str], reps: int = 1000) -> DataFrame:
+    """The mean difference of two arms over items that both have, with its cluster bootstrap interval."""
+    wide = df.groupBy(cluster, item).agg(*[F.avg(F.when(F.col(arm) == x, F.col(value))).alias(k) for k, x in zip("ab", arms)])
+    return cluster_bootstrap(wide.where("a IS NOT NULL AND b IS NOT NULL").select(cluster, (F.col("a") - F.col("b")).alias("d")), cluster, "d", reps)
+
+
+def control_table(df: DataFrame, by: list[str], gold: str, base: str, controls: dict[str, str]) -> DataFrame:
+    """Accuracy of the baseline and of each control (name: column), the difference, the exact McNemar p, and the baseline's abstentions."""
+    right = lambda c: F.coalesce(F.col(c) == F.col(gold), F.lit(False))
+    aggs = [F.round(F.avg(right(base).cast("int")), 6).alias("baseline"), F.round(F.avg(F.col(base).isNull().cast("int")), 6).alias("abstain")]
+    for name, c in controls.items():
+        aggs += [F.round(F.avg(right(c).cast("int")), 6).alias(name), F.round(F.avg(right(c).cast("int")) - F.avg(right(base).cast("int")), 6).alias(f"{name}_delta")]
+        aggs += [F.count(F.when(right(base) & ~right(c), 1)).alias(f"_{name}_b"), F.count(F.when(~right(base) & right(c), 1)).alias(f"_{name}_c")]
+    r = df.groupBy(*by).agg(*aggs)
+    return r.withColumns({f"{name}_p": mcnemar(F.col(f"_{name}_b"), F.col(f"_{name}_c")) for name in controls}).drop(*[f"_{name}_{x}" for name in controls for x in "bc"])

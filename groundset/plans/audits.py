@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.columns import md5_int
 from ..operators import audit as A
 from .registry import query
 
@@ -46,9 +47,13 @@ def consensus_gate(t):
     return A.gate(items, _votes(t), "item", "released", "vote", 2)
 
 
-@query(f"WITH {_VOTES} SELECT voter, count(*) AS n, round(avg((vote = 'N')::INT), 6) AS agreement, count(*) FILTER (vote = 'none') AS n_none FROM v GROUP BY 1")
+@query(f"""WITH {_VOTES}, c AS (SELECT l_orderkey AS item, bool_and(l_linestatus = 'O') AS confirmed FROM lineitem GROUP BY 1), j AS (SELECT voter, CASE WHEN voter % 7 <> item % 7 THEN vote END AS vote, confirmed FROM v JOIN c USING (item)),
+x AS (SELECT *, coalesce(vote = 'N', false)::INT AS agree FROM j)
+SELECT voter, count(*) AS n, round(avg(agree), 6) AS agreement, count(*) FILTER (vote = 'none') AS n_none, count(*) FILTER (vote IS NULL) AS n_unparsed, round(avg(agree) FILTER (confirmed), 6) AS on_confirmed, round(avg(agree) FILTER (NOT confirmed), 6) AS on_rejected FROM x GROUP BY 1""")
 def voter_report(t):
-    return _votes(t).groupBy("voter").agg(F.count("*").alias("n"), F.round(F.avg((F.col("vote") == "N").cast("int")), 6).alias("agreement"), F.count(F.when(F.col("vote") == "none", 1)).alias("n_none"))
+    confirmed = t.lineitem.groupBy(F.col("l_orderkey").alias("item")).agg(F.bool_and(F.col("l_linestatus") == "O").alias("confirmed"))
+    votes = _votes(t).withColumn("vote", F.when(F.col("voter") % 7 != F.col("item") % 7, F.col("vote")))
+    return A.voters(votes.join(confirmed.hint("merge"), "item").withColumn("gold", F.lit("N")), "voter", "vote", "gold", "confirmed")
 
 
 @query("""SELECT source, count(*) AS n, count(*) FILTER (quality = 1) AS n_primary, count(*) FILTER (quality = 0) AS n_salvage, count(*) FILTER (quality IS NULL) AS n_review, round(count(quality) / count(*), 6) AS coverage FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
@@ -65,10 +70,28 @@ def audit_split(t):
     return t.documents.select("doc_id").join(t.labels.hint("merge"), "doc_id", "left").select("doc_id", F.when(q.isNull(), "unaudited").when(q == 1, "kept").otherwise("reservoir").alias("pool"))
 
 
-@query("""SELECT event_type, CASE WHEN m < 20 THEN 'dark' WHEN s < 10 THEN 'flat' END AS why, n FROM (SELECT event_type, user_id, avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM events GROUP BY 1, 2)""")
+_CLEAN = """s AS (SELECT event_type, user_id, avg(value) AS m, stddev_pop(value) AS s, count(*) AS n FROM events GROUP BY 1, 2), c AS (SELECT *, CASE WHEN m < 20 THEN 'dark' WHEN s < 10 THEN 'flat' END AS why FROM s)"""
+
+
+@query(f"WITH {_CLEAN} SELECT event_type, user_id, why, n FROM c")
 def clean_refusals(t):
+    return _with_why(t)
+
+
+def _with_why(t):
     s = t.events.groupBy("event_type", "user_id").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"), F.count("*").alias("n"))
-    return s.select("event_type", F.when(F.col("m") < 20, "dark").when(F.col("s") < 10, "flat").alias("why"), "n")
+    return s.select("event_type", "user_id", F.when(F.col("m") < 20, "dark").when(F.col("s") < 10, "flat").alias("why"), "n")
+
+
+@query(f"WITH {_CLEAN} SELECT event_type, why, count(*) AS n_groups, sum(n)::BIGINT AS n_rows FROM c WHERE why IS NOT NULL GROUP BY 1, 2")
+def refusal_drop_log(t):
+    return _with_why(t).where("why IS NOT NULL").groupBy("event_type", "why").agg(F.count("*").alias("n_groups"), F.sum("n").alias("n_rows"))
+
+
+@query(f"WITH {_CLEAN} SELECT event_id, event_type, user_id FROM events JOIN c USING (event_type, user_id) WHERE why IS NULL")
+def refusal_input_kept(t):
+    kept = _with_why(t).where("why IS NULL").select("event_type", "user_id")
+    return t.events.join(kept.hint("merge"), ["event_type", "user_id"], "left_semi").select("event_id", "event_type", "user_id")
 
 
 @query("""WITH a AS (SELECT user_id, arg_max(event_type, event_id) AS before FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT user_id, arg_max(event_type, event_id) AS after, string_agg(DISTINCT event_type, ',' ORDER BY event_type) FILTER (event_type <> 'view') AS evidence FROM events WHERE event_id % 2 = 1 GROUP BY 1)
@@ -90,6 +113,54 @@ def swap_partner(t):
     return A.next_different(c, ["conv_id", "turn"], "conv_id", "block").select("conv_id", "turn", "rank", "partner_rank")
 
 
+@query("""WITH r AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) - 1 AS rank FROM conversations)
+SELECT s.conv_id, s.turn, s.rank, coalesce((SELECT min(x.rank) FROM r x WHERE x.conv_id = s.conv_id AND x.rank > s.rank AND x.role <> s.role), (SELECT min(x.rank) FROM r x WHERE x.conv_id = s.conv_id AND x.role <> s.role)) AS partner_rank FROM r s""")
+def next_different_answer(t):
+    c = t.conversations.select("conv_id", "turn", "role", "text")
+    return A.next_different(c, ["turn", "text"], "role", "conv_id", half=False).select("conv_id", "turn", "rank", "partner_rank")
+
+
+@query("""WITH u AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1), q AS (SELECT c.conv_id, min(c.text) AS question FROM conversations c JOIN u USING (conv_id, turn) WHERE c.role = 'user' GROUP BY 1)
+SELECT c.conv_id, c.turn, 'answerability' AS task, 'how_same_frames' AS condition, length(question) AS n_chars FROM conversations c JOIN q USING (conv_id) WHERE c.role = 'assistant'""")
+def same_context_question(t):
+    """The third control: each refusal with another question of the item whose context it reuses."""
+    first = t.conversations.where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q"))
+    refused = t.conversations.where("role = 'assistant'").select("conv_id", "turn")
+    return refused.join(first.hint("merge"), "conv_id").select("conv_id", "turn", F.lit("answerability").alias("task"), F.lit("how_same_frames").alias("condition"), F.length("q.text").alias("n_chars"))
+
+
+_MD5 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
+
+
+@query(f"""WITH v AS (SELECT p_partkey, p_brand, p_type, {_MD5.format("'audit' || p_partkey")} % 5 AS h, 'Brand#' || (p_partkey % 31 + 1) AS correct FROM part),
+m AS (SELECT p_brand, p_type AS display FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) = 1),
+l AS (SELECT display, row_number() OVER (ORDER BY display) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT display FROM m)),
+j AS (SELECT v.*, m.display, CASE WHEN h = 0 THEN 'unchanged_agree' WHEN h = 1 THEN 'unchanged_confirmed' WHEN h IN (2, 3) AND m.display IS NOT NULL THEN 'concept_corrected' ELSE 'moved_to_refusal' END AS action FROM v LEFT JOIN m ON m.p_brand = v.correct),
+a AS (SELECT p_partkey, display AS shown, unnest(range(0, least(4, (SELECT max(n) FROM l)))) AS place FROM j WHERE action = 'concept_corrected'),
+d AS (SELECT p_partkey, shown, place, l.display FROM a JOIN l ON l.idx = ({_MD5.format("'fix' || p_partkey")} + place) % l.n WHERE l.display <> shown QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY place) <= 3),
+o AS (SELECT p_partkey, string_agg(display, ',' ORDER BY {_MD5.format("'fix' || p_partkey || display")}, display) AS options FROM (SELECT p_partkey, display FROM d UNION ALL SELECT DISTINCT p_partkey, shown FROM a) GROUP BY 1)
+SELECT p_partkey, action, CASE action WHEN 'concept_corrected' THEN correct WHEN 'moved_to_refusal' THEN NULL ELSE p_brand END AS p_brand, CASE WHEN action = 'concept_corrected' THEN p_brand END AS corrected_from,
+CASE action WHEN 'moved_to_refusal' THEN 'Cannot be determined from the image' WHEN 'concept_corrected' THEN display ELSE p_type END AS p_type, options FROM j LEFT JOIN o USING (p_partkey)""")
+def apply_concept_verdict(t):
+    h = md5_int(F.concat(F.lit("audit"), F.col("p_partkey").cast("string"))) % 5
+    verdict = F.when(h == 1, "original").when(h == 2, "reperceived").when(h == 3, "other").otherwise("none")
+    verdicts = t.part.where(h > 0).select("p_partkey", verdict.alias("verdict"), F.concat(F.lit("Brand#"), (F.col("p_partkey") % 31 + 1).cast("string")).alias("correct"))
+    found = A.correct_concepts(t.part, verdicts, t.part.select("p_brand"), "p_partkey", "p_brand", "p_type")
+    return found.withColumn("options", F.array_join("options", ","))
+
+
+@query("""WITH n AS (SELECT conv_id AS doc_id, trim(substr(text, 1, 12), ' ') AS rec FROM conversations WHERE turn = 0), c AS (SELECT conv_id AS doc_id, CASE WHEN conv_id % 3 = 0 THEN '' ELSE trim(substr(text, 1, 9), ' ') END AS com FROM conversations WHERE turn = 1)
+SELECT doc_id, concat_ws(';', CASE WHEN com <> '' THEN 'comment=' || com END, 'quality=' || quality, CASE WHEN rec <> '' THEN 'recognition_note=' || rec END) AS labels FROM labels LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def merge_notes(t):
+    old = F.create_map(F.lit("quality"), F.col("quality").cast("string"), F.lit("comment"), F.lit("old"), F.lit("recognition_note"), F.lit("old"))
+    note = t.conversations.where("turn < 2").select(
+        F.col("conv_id").alias("doc_id"), F.when(F.col("turn") == 0, "recognition_note").otherwise("comment").alias("name"),
+        F.when(F.col("turn") == 0, F.substring("text", 1, 12)).when(F.col("conv_id") % 3 == 0, "  ").otherwise(F.substring("text", 1, 9)).alias("text"),
+    )
+    merged = A.merge_notes(t.labels.select("doc_id", old.alias("labels")), note, "doc_id", "labels", ["recognition_note", "comment"])
+    return merged.select("doc_id", F.array_join(F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("labels"))
+
+
 @query("""SELECT o_orderpriority, o_orderkey FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) <= 20""")
 def head_per_group(t):
     from ..operators.ground import capped
@@ -183,8 +254,8 @@ def regeneration_list(t):
     return t.conversations.join(flagged.hint("merge"), "conv_id", "left_semi").groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("regen_types"), F.count("*").alias("n"))
 
 
-@query("""SELECT conv_id, count(*) AS n_turns, max(l.quality IS NOT NULL) AS has_human, lower(string_agg(c.text, ' ' ORDER BY turn)) AS blob FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id WHERE regexp_full_match(c.text, '[\\x00-\\x7F]*') GROUP BY 1 ORDER BY conv_id LIMIT 300""")
+@query("""SELECT conv_id, count(*) AS n_turns, max(l.quality IS NOT NULL) AS has_human, translate(string_agg(c.text, ' ' ORDER BY turn), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS blob FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id GROUP BY 1""")
 def browse_items(t):
-    c = t.conversations.where(~F.col("text").rlike(r"[^\x00-\x7F]")).join(t.labels.select(F.col("doc_id").alias("conv_id"), F.lit(True).alias("seen")).hint("merge"), "conv_id", "left")
+    c = t.conversations.join(t.labels.select(F.col("doc_id").alias("conv_id"), F.lit(True).alias("seen")).hint("merge"), "conv_id", "left")
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
-    return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max(F.coalesce("seen", F.lit(False))).alias("has_human"), F.lower(F.array_join(turns, " ")).alias("blob")).orderBy("conv_id").limit(300)
+    return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max(F.coalesce("seen", F.lit(False))).alias("has_human"), F.translate(F.array_join(turns, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("blob"))

@@ -145,6 +145,24 @@ def box_tier(t):
     return j.select("frame", F.col("idx").cast("long").alias("idx"), F.when(F.col("idx") == 0, "hand").when(F.col("seen").isNull(), "unchecked").when(F.col("idx") % 3 == 2, "disputed").otherwise("verified").alias("tier"))
 
 
+@query()
+def proposal_survival(t):
+    a, b = _boxes(t)
+    reviewed = b.withColumn("label", F.when(F.col("idx") % 4 == 1, "Z").otherwise(F.col("label")))
+    fates = G.survival(a.withColumn("tier", (F.col("idx") % 3).cast("string")), reviewed, "frame", "label")
+    return G.survival_report(fates, "tier")
+
+
+@query("""SELECT frame, idx, label, round(x0, 4) AS x0, round(x1, 4) AS x1 FROM (SELECT l_orderkey AS frame, l_linenumber AS idx, l_returnflag AS label, l_quantity * 4 AS x, l_discount * 1000 AS w, x / 640 AS x0, (x + w) / 640 AS x1 FROM lineitem) WHERE frame IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def coco_import(t):
+    """Pixel boxes with category ids back to labels and unit corners, for the frames that are shipped."""
+    pixels = t.lineitem.select(F.col("l_orderkey").alias("image_id"), F.col("l_linenumber").alias("idx"), F.ascii("l_returnflag").alias("category_id"), (F.col("l_quantity") * 4).alias("x"), F.lit(0.0).alias("y"), (F.col("l_discount") * 1000).alias("w"), F.lit(48.0).alias("h"))
+    categories = t.lineitem.select(F.ascii("l_returnflag").alias("category_id"), F.col("l_returnflag").alias("label")).distinct()
+    shipped = t.orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("image_id"))
+    boxes = G.coco_import(pixels, categories, shipped, 640, 480)
+    return boxes.select(F.col("image_id").alias("frame"), "idx", "label", "x0", "x1")
+
+
 @query(f"WITH {_BOX} SELECT frame AS image_id, dense_rank() OVER (ORDER BY label) AS category_id, idx, round(x0 * 640, 2) AS x, round(y0 * 480, 2) AS y, round((x1 - x0) * 640, 2) AS w, round((y1 - y0) * 480, 2) AS h FROM a")
 def coco_tables(t):
     a, _ = _boxes(t)

@@ -1,5 +1,8 @@
 """Sources, sinks and ingestion over the given tables."""
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -41,10 +44,9 @@ def yes_no_parse(t):
     return t.conversations.select("conv_id", "turn", C.yes_no(F.col("text")).alias("verdict"))
 
 
-@query(r"""SELECT conv_id, turn, CASE WHEN l <> '' AND ascii(l) - 65 < 3 THEN ascii(l) - 65 END AS choice FROM (SELECT conv_id, turn, regexp_extract(upper(text), '\b([A-E])\b', 1) AS l FROM conversations WHERE regexp_full_match(text, '[\x00-\x7F]*'))""")
+@query(r"""SELECT conv_id, turn, CASE WHEN l <> '' AND ascii(upper(l)) - 65 < 3 THEN ascii(upper(l)) - 65 END AS choice FROM (SELECT conv_id, turn, regexp_extract(text, '(?:^|[^\p{L}\p{N}_])([A-Ea-e])(?:$|[^\p{L}\p{N}_])', 1) AS l FROM conversations)""")
 def choice_letter_parse(t):
-    ascii_only = t.conversations.where(F.col("text").rlike(r"^[\x00-\x7F]*$") & ~F.col("text").rlike(r"[^\x00-\x7F]"))
-    return ascii_only.select("conv_id", "turn", C.choice_letter(F.col("text"), 3).alias("choice"))
+    return t.conversations.select("conv_id", "turn", C.choice_letter(F.col("text"), 3).alias("choice"))
 
 
 @query("""WITH old AS (SELECT o_custkey AS source_id, count(*) AS n_files, bool_and(o_orderstatus = 'F') AS ok FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1),
@@ -90,10 +92,15 @@ def export_items(t):
     return nested.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\x1e").alias("turns"))
 
 
-@query("""SELECT 'nation' AS name, count(*) AS n_rows, sha256(string_agg(d, '' ORDER BY d)) AS digest FROM (SELECT sha256(concat_ws(chr(31), n_nationkey::VARCHAR, n_name, n_regionkey::VARCHAR)) AS d FROM nation)""")
+_DIGESTED = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"], "documents": ["doc_id", "lang", "source", "text"]}
+_DIGEST = " UNION ALL ".join(f"SELECT '{name}' AS name, sha256(concat_ws(chr(31), {', '.join(f'{c}::VARCHAR' for c in cols)})) AS d FROM {name}" for name, cols in _DIGESTED.items())
+
+
+@query(f"""WITH r AS ({_DIGEST}), s AS (SELECT name, substr(d, 1, 3) AS shard, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM r GROUP BY 1, 2)
+SELECT name, sum(n)::BIGINT AS n_rows, sha256(string_agg(d, '' ORDER BY shard)) AS digest FROM s GROUP BY 1""")
 def package_digest(t):
-    rows = t.nation.select(R.row_digest("n_nationkey", "n_name", "n_regionkey").alias("d"))
-    return rows.groupBy(F.lit("nation").alias("name")).agg(F.count("*").alias("n_rows"), F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("digest"))
+    """A digest of each table whatever the order of its rows: of the digests of 4096 shards of sorted row digests."""
+    return functools.reduce(DataFrame.union, [R.table_digest(getattr(t, name), name, cols) for name, cols in _DIGESTED.items()])
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")

@@ -73,13 +73,14 @@ def gwet_ac1_multi(t):
 
 
 @query("""WITH c AS (SELECT user_id, sum(value) AS s, count(value) AS n, row_number() OVER (ORDER BY user_id) - 1 AS idx FROM events GROUP BY 1), k AS (SELECT count(*) AS k FROM c),
-d AS (SELECT rep, ('0x' || substr(md5('boot' || rep || '-' || idx), 1, 8))::BIGINT % k AS idx FROM c, k, range(1, 201) r(rep)), m AS (SELECT rep, sum(s) / sum(n) AS m FROM d JOIN c USING (idx) GROUP BY 1)
+d AS (SELECT rep, ('0x' || substr(md5('boot' || rep || '-' || idx), 1, 8))::BIGINT % k AS idx FROM c, k, range(1, 1001) r(rep)), m AS (SELECT rep, sum(s) / sum(n) AS m FROM d JOIN c USING (idx) GROUP BY 1)
 SELECT (SELECT round(sum(s) / sum(n), 6) FROM c) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
 def cluster_bootstrap_ci(t):
-    return S.cluster_bootstrap(t.events, "user_id", "value", reps=200)
+    return S.cluster_bootstrap(t.events, "user_id", "value", reps=1000)
 
 
-@query("""SELECT o_orderpriority, count(*) AS n, round(corr(a, b), 4) AS pearson, round(avg((abs(a - b) <= 1)::INT), 6) AS within_one, round(avg(abs(a - b)), 6) AS mae FROM (SELECT o_orderpriority, o_custkey % 5 AS a, (o_custkey + o_orderkey % 3) % 5 AS b FROM orders) GROUP BY 1""")
+@query("""WITH j AS (SELECT o_orderpriority, o_custkey % 5 AS a, (o_custkey + o_orderkey % 3) % 5 AS b FROM orders), r AS (SELECT *, rank() OVER (PARTITION BY o_orderpriority ORDER BY a) + (count(*) OVER (PARTITION BY o_orderpriority, a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (PARTITION BY o_orderpriority ORDER BY b) + (count(*) OVER (PARTITION BY o_orderpriority, b) - 1) / 2.0::DOUBLE AS rb FROM j)
+SELECT o_orderpriority, count(*) AS n, round(corr(a, b), 4) AS pearson, round(corr(ra, rb), 4) AS spearman, round(avg((abs(a - b) <= 1)::INT), 6) AS within_one, round(avg(abs(a - b)), 6) AS mae FROM r GROUP BY 1""")
 def judge_agreement(t):
     j = t.orders.select("o_orderpriority", (F.col("o_custkey") % 5).alias("a"), ((F.col("o_custkey") + F.col("o_orderkey") % 3) % 5).alias("b"))
     return S.judge_agreement(j, ["o_orderpriority"], "a", "b")
@@ -117,15 +118,30 @@ def probe_pairs(t):
     return w.agg(F.count("*").alias("n"), F.round(F.avg(F.col("b") - F.col("a")), 6).alias("mean_difference"), F.round(F.avg((F.col("a") != F.col("b")).cast("int")), 6).alias("share_changed"))
 
 
-@query("""WITH w AS (SELECT l_orderkey, avg(l_quantity) FILTER (l_linestatus = 'O') AS a, avg(l_quantity) FILTER (l_linestatus = 'F') AS b FROM lineitem GROUP BY 1) SELECT count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, count(*) FILTER (a > b) AS wins, count(*) FILTER (a = b) AS ties, count(*) FILTER (a < b) AS losses FROM w WHERE a IS NOT NULL AND b IS NOT NULL""")
+@query("""WITH w AS (SELECT l_suppkey % 3 AS judge, l_orderkey, avg(l_quantity) FILTER (l_linestatus = 'O') AS a, avg(l_quantity) FILTER (l_linestatus = 'F') AS b FROM lineitem GROUP BY 1, 2), n AS (SELECT judge, count(*) AS n_items FROM w GROUP BY 1),
+p AS (SELECT judge, count(*) AS n, round(avg(a), 6) AS mean_a, round(avg(b), 6) AS mean_b, round(avg(a - b), 6) AS difference, count(*) FILTER (a > b) AS wins, count(*) FILTER (a = b) AS ties, count(*) FILTER (a < b) AS losses FROM w WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY 1) SELECT * FROM n JOIN p USING (judge)""")
 def paired_comparison(t):
-    return S.paired(t.lineitem, "l_orderkey", "l_linestatus", "l_quantity", ("O", "F"))
+    rows = t.lineitem.withColumn("judge", F.col("l_suppkey") % 3)
+    return S.paired(rows, "l_orderkey", "l_linestatus", "l_quantity", ("O", "F"), "judge")
 
 
-@query(r"""WITH g AS (SELECT role AS generator, count(*)::DOUBLE AS n, count(*) FILTER (NOT regexp_matches(text, '\bthe\b'))::DOUBLE AS k FROM conversations GROUP BY 1) SELECT generator, n::BIGINT AS n, round(k / n, 6) AS rate FROM g""")
+@query("""WITH w AS (SELECT l_orderkey % 97 AS cluster, l_orderkey, avg(l_quantity) FILTER (l_linestatus = 'O') - avg(l_quantity) FILTER (l_linestatus = 'F') AS d FROM lineitem GROUP BY 1, 2), c AS (SELECT cluster, sum(d) AS s, count(d) AS n, row_number() OVER (ORDER BY cluster) - 1 AS idx FROM w WHERE d IS NOT NULL GROUP BY 1), k AS (SELECT count(*) AS k FROM c),
+d AS (SELECT rep, ('0x' || substr(md5('boot' || rep || '-' || idx), 1, 8))::BIGINT % k AS idx FROM c, k, range(1, 1001) r(rep)), m AS (SELECT rep, sum(s) / sum(n) AS m FROM d JOIN c USING (idx) GROUP BY 1)
+SELECT (SELECT round(sum(s) / sum(n), 6) FROM c) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+def paired_difference_ci(t):
+    rows = t.lineitem.withColumn("cluster", F.col("l_orderkey") % 97)
+    return S.paired_interval(rows, "l_orderkey", "cluster", "l_linestatus", "l_quantity", ("O", "F"))
+
+
+@query(rf"""WITH x AS (SELECT role, CASE turn % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'mcq' WHEN 2 THEN 'closed_set' ELSE 'self_pick' END AS mode, regexp_matches(text, '\bthe\b') AS ok FROM conversations),
+g AS (SELECT role AS generator, mode, count(*)::DOUBLE AS n, count(*) FILTER (NOT ok)::DOUBLE AS k FROM x GROUP BY 1, 2), q AS (SELECT *, (k / n + {_Z} * {_Z} / (2 * n)) / (1 + {_Z} * {_Z} / n) AS mid, {_Z} * sqrt((k / n) * (1 - k / n) / n + {_Z} * {_Z} / (4 * n * n)) / (1 + {_Z} * {_Z} / n) AS half FROM g)
+SELECT generator, mode, n::BIGINT AS n, round(k / n, 6) AS rate, round(mid - half, 6) AS low, round(mid + half, 6) AS high FROM q""")
 def generator_error_rates(t):
-    named = T.taxonomy(t.conversations.select("role", "text"), "text", RULES)
-    return named.groupBy(F.col("role").alias("generator")).agg(F.count("*").alias("n"), F.round(F.avg((~F.array_contains("named", "alpha")).cast("int")), 6).alias("rate"))
+    mode = F.element_at(F.array(*map(F.lit, ("open", "mcq", "closed_set", "self_pick"))), (F.col("turn") % 4 + 1).cast("int"))
+    named = T.taxonomy(t.conversations.select("role", "text", mode.alias("mode")), "text", RULES)
+    r = named.groupBy(F.col("role").alias("generator"), "mode").agg(F.count("*").alias("n"), F.count(F.when(~F.array_contains("named", "alpha"), 1)).alias("k"))
+    low, high = C.wilson(F.col("k"), F.col("n"))
+    return r.select("generator", "mode", "n", F.round(F.col("k") / F.col("n"), 6).alias("rate"), low.alias("low"), high.alias("high"))
 
 
 @query("""WITH k AS (SELECT count(DISTINCT o_orderpriority) AS k FROM orders) SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderpriority) AS n_runs FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) = (SELECT k FROM k)""")
@@ -141,8 +157,15 @@ def rater_report(t):
     return j.groupBy("source").agg(F.count("*").alias("n"), F.round(100 * F.avg("quality"), 4).alias("percent_correct"), F.round(F.avg("toxic"), 6).alias("severity"))
 
 
-@query(f"""WITH {_PRED}, x AS (SELECT o_orderpriority, coalesce(pred = gold, false) AS a, coalesce(pred = 'O', false) AS b, pred IS NULL AS n FROM p) SELECT o_orderpriority, round(avg(a::INT), 6) AS baseline, round(avg(b::INT), 6) AS swapped, round(avg(b::INT) - avg(a::INT), 6) AS delta, round(avg(n::INT), 6) AS abstain FROM x GROUP BY 1""")
+_TAIL = "round(least(1.0, 2 * (SELECT sum(exp(lgamma(b + c + 1) - lgamma(i + 1) - lgamma(b + c - i + 1) - (b + c) * ln(2.0::DOUBLE))) FROM range(0, least(b, c) + 1) r(i))), 6)"
+
+
+@query(f"""WITH {_PRED}, x AS (SELECT o_orderpriority, coalesce(pred = gold, false) AS a, coalesce('O' = gold, false) AS s, coalesce(CASE WHEN o_orderkey % 9 = 0 THEN 'F' ELSE pred END = gold, false) AS f, pred IS NULL AS n FROM p),
+g AS (SELECT o_orderpriority, round(avg(a::INT), 6) AS baseline, round(avg(n::INT), 6) AS abstain, round(avg(s::INT), 6) AS swapped, round(avg(s::INT) - avg(a::INT), 6) AS swapped_delta, round(avg(f::INT), 6) AS first_only, round(avg(f::INT) - avg(a::INT), 6) AS first_only_delta,
+count(*) FILTER (a AND NOT s) AS sb, count(*) FILTER (s AND NOT a) AS sc, count(*) FILTER (a AND NOT f) AS fb, count(*) FILTER (f AND NOT a) AS fc FROM x GROUP BY 1),
+sp AS (SELECT o_orderpriority, {_TAIL} AS swapped_p FROM (SELECT o_orderpriority, sb AS b, sc AS c FROM g)), fp AS (SELECT o_orderpriority, {_TAIL} AS first_only_p FROM (SELECT o_orderpriority, fb AS b, fc AS c FROM g))
+SELECT g.* EXCLUDE (sb, sc, fb, fc), swapped_p, first_only_p FROM g JOIN sp USING (o_orderpriority) JOIN fp USING (o_orderpriority)""")
 def control_report(t):
-    a = F.coalesce(F.col("pred") == F.col("gold"), F.lit(False)).cast("int")
-    b = F.coalesce(F.col("pred") == "O", F.lit(False)).cast("int")
-    return _predictions(t).groupBy("o_orderpriority").agg(F.round(F.avg(a), 6).alias("baseline"), F.round(F.avg(b), 6).alias("swapped"), F.round(F.avg(b) - F.avg(a), 6).alias("delta"), F.round(F.avg(F.col("pred").isNull().cast("int")), 6).alias("abstain"))
+    first = F.when(F.col("o_orderkey") % 9 == 0, "F").otherwise(F.col("pred"))
+    arms = _predictions(t).withColumns({"swap": F.lit("O"), "first": first})
+    return S.control_table(arms, ["o_orderpriority"], "gold", "pred", {"swapped": "swap", "first_only": "first"})
