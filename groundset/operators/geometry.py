@@ -44,16 +44,18 @@ def sign_code(vec: Column) -> Column:
 def greedy_hamming(df: DataFrame, group: str, code: str, order: list[str], radius: int = 6, most: int = 6) -> DataFrame:
     """In each group, rows in order that differ by over `radius` bits from every kept row, until `most` are kept.
 
-    Only kept codes are held: the scan is a fold over the group's codes in order, which stops taking at `most`.
+    No group is gathered: each of `most` rounds is a grouped minimum over the rows that are far from all kept ones, and only
+    kept rows, `most` for a group, are carried along.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*order, F.col(code).alias("_code"))))
+    item = F.struct(*order, F.col(code).alias("_code"))
     empty = F.array().cast(f"array<struct<{', '.join(f'{c}:{dict(df.dtypes)[c]}' for c in order)}, _code:bigint>>")
-
-    def step(kept, r):
-        clash = F.exists(kept, lambda k: F.bit_count(k["_code"].bitwiseXOR(r["_code"])) <= radius)
-        return F.when((F.size(kept) >= most) | clash, kept).otherwise(F.concat(kept, F.array(r)))
-
-    return df.groupBy(group).agg(rows.alias("_rows")).select(group, F.explode(F.aggregate("_rows", empty, step)).alias("r")).select(group, *[F.col(f"r.{c}") for c in order])
+    rows = df.select(F.col(group).alias("_group"), item.alias("_item"))
+    kept = rows.groupBy("_group").agg(F.array(F.min("_item")).cast(df.select(empty.alias("x")).schema["x"].dataType).alias("_kept"))
+    for _ in range(most - 1):
+        far = F.forall("_kept", lambda k: F.bit_count(k["_code"].bitwiseXOR(F.col("_item._code"))) > radius)
+        j = rows.join(kept.hint("merge"), "_group").groupBy("_group").agg(F.first("_kept").alias("_kept"), F.min(F.when(far, F.col("_item"))).alias("_next"))
+        kept = j.select("_group", F.when(F.col("_next").isNull(), F.col("_kept")).otherwise(F.concat("_kept", F.array("_next"))).alias("_kept"))
+    return kept.select(F.col("_group").alias(group), F.explode("_kept").alias("r")).select(group, *[F.col(f"r.{c}") for c in order])
 
 
 def runs(df: DataFrame, group: str, at: str) -> DataFrame:
@@ -80,21 +82,21 @@ def box_pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def greedy_matches(a: DataFrame, b: DataFrame, frame: str, label: str, least: float = 0.5) -> DataFrame:
-    """One-to-one: each box of `a` in order takes the best free box of `b` in its frame and label with iou of `least` or more.
+    """One-to-one: each box of `a` in order takes the best free box of `b` in its frame and label with iou of `least` or more; of equals the last.
 
     A frame's boxes of one label are matched together; only pairs that reach `least` are gathered.
     """
     pairs = box_pairs(a, b, [frame, label]).where(F.col("iou") >= least).select(frame, label, "a_idx", "b_idx", "iou")
-    ordered = F.array_sort(F.collect_list(F.struct("a_idx", (-F.col("iou")).alias("less"), "b_idx")))
+    ordered = F.array_sort(F.collect_list(F.struct("a_idx", (-F.col("iou")).alias("less"), (-F.col("b_idx")).alias("back"))))
     kinds = dict(pairs.dtypes)
-    none = F.array().cast(f"array<struct<a_idx:{kinds['a_idx']},less:double,b_idx:{kinds['b_idx']}>>")
+    none = F.array().cast(f"array<struct<a_idx:{kinds['a_idx']},less:double,back:{kinds['b_idx']}>>")
 
     def step(kept, p):
-        clash = F.exists(kept, lambda k: (k["a_idx"] == p["a_idx"]) | (k["b_idx"] == p["b_idx"]))
+        clash = F.exists(kept, lambda k: (k["a_idx"] == p["a_idx"]) | (k["back"] == p["back"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(p)))
 
     matched = pairs.groupBy(frame, label).agg(ordered.alias("_pairs")).select(frame, label, F.explode(F.aggregate("_pairs", none, step)).alias("m"))
-    return matched.select(frame, label, "m.a_idx", "m.b_idx", (-F.col("m.less")).alias("iou"))
+    return matched.select(frame, label, "m.a_idx", (-F.col("m.back")).alias("b_idx"), (-F.col("m.less")).alias("iou"))
 
 
 def reviewed(boxes: DataFrame, verdicts: DataFrame, on: list[str], label: str, valid: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import gram_table
+from .text import gram_table, held_grams
 
 
 def find_span(text: Column, quote: Column) -> tuple[Column, Column]:
@@ -39,10 +39,11 @@ def locate(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, text:
     word of a quote that has fewer than n words; only these pairs are searched. Quotes without a word are not found.
     """
     longer = gram_table(quotes, quote_id, text, n).groupBy(quote_id).agg(F.min("gram").alias("gram"))
-    shorter = gram_table(quotes, quote_id, text, 1).groupBy(quote_id).agg(F.min("gram").alias("gram")).join(longer, quote_id, "left_anti")
-    pairs = gram_table(docs, doc_id, text, n).withColumnRenamed(doc_id, "_doc").join(longer.hint("shuffle_hash"), "gram").select("_doc", quote_id)
+    shorter = gram_table(quotes, quote_id, text, 1).groupBy(quote_id).agg(F.min("gram").alias("gram")).join(longer.hint("merge"), quote_id, "left_anti")
+    named = docs.select(F.col(doc_id).alias("_doc"), text)
+    pairs = held_grams(named, "_doc", text, n, longer).join(longer.hint("merge"), "gram").select("_doc", quote_id)
     if not shorter.isEmpty():
-        pairs = pairs.union(gram_table(docs, doc_id, text, 1).withColumnRenamed(doc_id, "_doc").join(shorter.hint("shuffle_hash"), "gram").select("_doc", quote_id))
+        pairs = pairs.union(held_grams(named, "_doc", text, 1, shorter).join(shorter.hint("merge"), "gram").select("_doc", quote_id))
     held = pairs.join(quotes.select(F.col(quote_id), F.col(text).alias("quote")).hint("shuffle_hash"), quote_id)
     met = held.join(docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("body")).hint("merge"), "_doc")
     return snap(met, "body", "quote").where("found IS NOT NULL").select(quote_id, F.col("_doc").alias(doc_id), "found", "char_start", "char_end")
@@ -79,3 +80,17 @@ def capped(df: DataFrame, group: str, order: list[str], most: int) -> DataFrame:
     from pyspark.sql import Window as W
 
     return df.withColumn("_rn", F.row_number().over(W.partitionBy(group).orderBy(*order))).where(F.col("_rn") <= most).drop("_rn")
+
+
+def repaired_span(span: Column, tail: Column, stop: list[str]) -> Column:
+    """A span whose last word is in `stop`, extended by `tail`, the source behind it, up to the next end of a sentence, if it has one."""
+    last = F.lower(F.regexp_extract(span, r"([A-Za-z]+)\W*$", 1))
+    more = F.regexp_extract(tail, r"^[^.!?)\]]*[.!?)\]]", 0)
+    return F.when(last.isin(*stop) & (more != ""), F.concat(span, more)).otherwise(span)
+
+
+def inventory(rows: DataFrame, concept: str, question: str, base: str, key: str, most: int) -> DataFrame:
+    """At most `most` rows of each concept, those of the base facet first, then by key; a question of a concept once."""
+    first = rows.groupBy(concept, question).agg(F.min(F.struct((~F.col(base)).alias("_later"), F.col(key).alias("_key"))).alias("_b"))
+    once = first.select(concept, F.col("_b._key").alias(key), (~F.col("_b._later")).alias(base)).withColumn("_rank", (~F.col(base)).cast("int"))
+    return capped(once, concept, ["_rank", key], most).drop("_rank")

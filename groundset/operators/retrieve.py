@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Query vectors that are sent to every task at once.
-QUERY_BLOCK = 4096
+#: Vectors of a block of queries and of a block of the corpus that one task multiplies.
+QUERY_BLOCK, CORPUS_BLOCK = 1024, 16_384
 
 
 def normalize(vec: Column) -> Column:
@@ -30,36 +28,41 @@ def knn(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, ve
 
     With `differ`, only passages whose value in that column is another than the query's count, and the filter comes before the k best.
 
-    Queries are taken in blocks of at most QUERY_BLOCK, which is what is broadcast; each task keeps the
-    k best of its part of the corpus, and only these are shuffled.
+    Both sides are dealt by hash into blocks of about QUERY_BLOCK and CORPUS_BLOCK rows. A task holds one block of each, multiplies
+    them, and passes on the k best of each query; these are few and are ranked in a last shuffle. Nothing passes through the driver.
     """
-    n_blocks = -(-queries.count() // QUERY_BLOCK) or 1
-    blocked = queries.select(F.col(query_id), F.col(vec), (F.col(differ) if differ else F.lit(0)).alias("own"), F.pmod(F.xxhash64(query_id), F.lit(n_blocks)).alias("block"))
-    best = None
-    for i in range(n_blocks):
-        rows = blocked.where(F.col("block") == i).collect()  # one block of queries
-        ids, mat, own_value = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64), np.array([r[2] for r in rows])
-        shared = corpus.sparkSession.sparkContext.broadcast((ids, mat, own_value))
-
-        def part(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            ids, mat, values = shared.value
-            if not len(ids):
-                return
-            for batch in batches:
-                own = batch[batch[vec].notna()].sort_values(corpus_id)
-                if not len(own):
-                    continue
-                scores = mat @ np.stack(own[vec].to_numpy()).astype(np.float64).T
-                if differ:
-                    scores[values[:, None] == own[differ].to_numpy()[None, :]] = -np.inf
-                top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({query_id: np.repeat(ids, top.shape[1]), corpus_id: own[corpus_id].to_numpy()[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-
-        kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[corpus_id]
-        found = corpus.select(corpus_id, vec, *([differ] if differ else [])).mapInPandas(part, f"{query_id} {kinds[0]}, {corpus_id} {kinds[1]}, score double")
-        best = found if best is None else best.union(found)
+    kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[corpus_id]
+    n_q, n_c = -(-queries.count() // QUERY_BLOCK) or 1, -(-corpus.count() // CORPUS_BLOCK) or 1
+
+    def dealt(df: DataFrame, key: str, own: int, others: int, mine: str, other: str) -> DataFrame:
+        rows = df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), (F.col(differ) if differ else F.lit(0)).alias("value")).where("vec IS NOT NULL")
+        return rows.withColumn(mine, F.pmod(F.xxhash64("key"), F.lit(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(c):
+            return pd.DataFrame({query_id: [], corpus_id: [], "score": []})
+        c = c.sort_values("key")
+        scores = np.stack(q["vec"].to_numpy()).astype(np.float64) @ np.stack(c["vec"].to_numpy()).astype(np.float64).T
+        if differ:
+            scores[q["value"].to_numpy()[:, None] == c["value"].to_numpy()[None, :]] = -np.inf
+        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({query_id: np.repeat(q["key"].to_numpy(), top.shape[1]), corpus_id: c["key"].to_numpy()[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+
+    q, c = dealt(queries, query_id, n_q, n_c, "_q", "_c"), dealt(corpus, corpus_id, n_c, n_q, "_c", "_q")
+    found = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(best, f"{query_id} {kinds[0]}, {corpus_id} {kinds[1]}, score double")
     order = W.partitionBy(query_id).orderBy(F.desc("score"), corpus_id)
-    return best.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > float("-inf")))
+    return found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > float("-inf")))
+
+
+def packet(queries: DataFrame, corpus: DataFrame, banned: DataFrame, query_id: str, corpus_id: str, vec: str, k: int, allowed: Column | None = None) -> DataFrame:
+    """The k best passages of each query among the `allowed` ones, without those that `banned` (query, passage) forbids it: its own answers, leaks.
+
+    Both filters come before the k best: as many more are sought as the most that any query is forbidden.
+    """
+    forbidden = banned.select(query_id, corpus_id).distinct()
+    more = forbidden.groupBy(query_id).count().agg(F.max("count")).first()[0] or 0
+    hits = knn(queries, corpus if allowed is None else corpus.where(allowed), query_id, corpus_id, vec, k + more).join(forbidden.hint("merge"), [query_id, corpus_id], "left_anti")
+    return hits.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), corpus_id))).where(F.col("rank") <= k)
 
 
 def rerank(hits: DataFrame, query_id: str, doc_id: str, boost: Column, weight: float = 0.04, most: int = 3) -> DataFrame:

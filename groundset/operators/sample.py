@@ -2,25 +2,55 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import md5_int
+from ..functions.columns import jaccard, md5_int, tokens
 
 
 def draw(salt: str, key: str) -> Column:
     return md5_int(F.concat(F.lit(salt), F.col(key).cast("string")))
 
 
-def allocate(df: DataFrame, stratum: str, total: int) -> DataFrame:
-    """(stratum, n, take): shares of `total` in proportion to size, rounded down, the rest to the largest; none above its size."""
-    sizes = df.groupBy(stratum).agg(F.count("*").alias("n"))
-    all_n = sizes.agg(F.sum("n")).first()[0] or 1
-    base = sizes.withColumn("take", F.floor(F.least(F.lit(total), F.lit(all_n)) * F.col("n") / all_n))
-    left = min(total, all_n) - (base.agg(F.sum("take")).first()[0] or 0)
-    largest = base.orderBy(F.desc("n"), stratum).limit(1).select(F.col(stratum).alias("_s"))
-    return base.join(F.broadcast(largest), F.col(stratum).eqNullSafe(F.col("_s")), "left").select(stratum, "n", (F.col("take") + F.when(F.col("_s").isNotNull(), left).otherwise(0)).cast("long").alias("take"))
+def allocate(df: DataFrame, stratum: str, total: int, whole: tuple = ()) -> DataFrame:
+    """(stratum, n, take): the strata of `whole` in full; of what is left of `total`, shares in proportion to size, rounded half to
+    even, the residue to the largest of them."""
+    sizes = df.groupBy(stratum).agg(F.count("*").alias("n")).withColumn("_whole", F.coalesce(F.col(stratum).isin(*whole) if whole else F.lit(False), F.lit(False)))
+    full, rest = sizes.agg(F.sum(F.when(F.col("_whole"), F.col("n")).otherwise(0)), F.sum(F.when(~F.col("_whole"), F.col("n")).otherwise(0))).first()
+    left = min(total, (full or 0) + (rest or 0)) - (full or 0)
+    base = sizes.withColumn("take", F.when(F.col("_whole"), F.col("n")).otherwise(F.bround(F.lit(left) * F.col("n") / max(1, rest or 0)).cast("long")))
+    residue = left - (base.where("NOT _whole").agg(F.sum("take")).first()[0] or 0)
+    largest = base.where("NOT _whole").orderBy(F.desc("n"), stratum).limit(1).select(F.col(stratum).alias("_s"), F.lit(True).alias("_big"))
+    j = base.join(F.broadcast(largest), F.col(stratum).eqNullSafe(F.col("_s")), "left")  # one row
+    return j.select(stratum, "n", (F.col("take") + F.when(F.coalesce("_big", F.lit(False)), residue).otherwise(0)).cast("long").alias("take"))
+
+
+def allocate_within(df: DataFrame, outer: str, inner: str, takes: DataFrame) -> DataFrame:
+    """(outer, inner, n, take): each outer stratum's `take` dealt to its inner strata in proportion, rounded half to even, one at least.
+
+    While they sum to too many, the largest allocation gives one up; while to too few, the one with most rows left gets one;
+    ties by name. An outer stratum that is to give all its rows gives all. Inner strata of one outer stratum are few and are folded in an array.
+    """
+    sizes = df.groupBy(outer, inner).agg(F.count("*").alias("n"))
+    arrays = sizes.groupBy(outer).agg(F.array_sort(F.collect_list(F.struct(F.col(inner).alias("k"), "n"))).alias("_s"), F.sum("n").alias("_all"))
+    j = arrays.join(takes.select(outer, "take").hint("merge"), outer)
+    total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, x: s + x)
+    first = F.transform("_s", lambda x: F.least(x["n"], F.greatest(F.lit(1).cast("long"), F.bround(F.col("take") * x["n"] / F.col("_all")).cast("long"))))
+    add = lambda xs, at, by: F.transform(xs, lambda x, i: x + F.when(i + 1 == at, by).otherwise(0))
+
+    def step(xs, _):
+        room = F.zip_with("_s", xs, lambda s, x: s["n"] - x)
+        fewer, more = add(xs, F.array_position(xs, F.array_max(xs)), -1), add(xs, F.array_position(room, F.array_max(room)), 1)
+        return F.when(total(xs) > F.col("take"), fewer).when(total(xs) < F.col("take"), more).otherwise(xs)
+
+    steps = F.sequence(F.lit(1), F.greatest(F.lit(1), F.abs(total(F.col("_first")) - F.col("take")).cast("int")))
+    j = j.withColumn("_first", first)
+    j = j.withColumn("_take", F.when(F.col("take") >= F.col("_all"), F.transform("_s", lambda x: x["n"])).otherwise(F.aggregate(steps, F.col("_first"), step)))
+    dealt = j.select(outer, F.explode(F.zip_with("_s", "_take", lambda s, x: F.struct(s["k"].alias("k"), s["n"].alias("n"), x.alias("take")))).alias("r"))
+    return dealt.select(outer, F.col("r.k").alias(inner), "r.n", "r.take")
 
 
 def pick(df: DataFrame, stratum: str, takes: DataFrame, key: str, salt: str) -> DataFrame:
@@ -35,11 +65,68 @@ def round_robin(df: DataFrame, group: str, key: str, total: int) -> DataFrame:
     return r.orderBy("round", F.desc("_n"), group).limit(total).drop("_n")
 
 
-def rotated(df: DataFrame, concept: str, key: str, groups: str, salt: str) -> DataFrame:
-    """`df` with `donor_rank`: inside a group, rows sorted by concept and md5 are turned by the size of the largest concept,
+def rotated(df: DataFrame, concept: str, key: str, salt: str) -> DataFrame:
+    """`df` with `rank` and `donor_rank`: all rows, sorted by concept and md5, are turned by the size of the largest concept,
     so that no row gets its own concept if none holds more than half, and each donor serves once."""
-    w = W.partitionBy(groups).orderBy(concept, "_h", key)
-    r = df.withColumn("_h", draw(salt, key)).withColumn("rank", F.row_number().over(w) - 1)
-    r = r.withColumn("_n", F.count("*").over(W.partitionBy(groups))).withColumn("_c", F.count("*").over(W.partitionBy(groups, concept)))
-    r = r.withColumn("_most", F.max("_c").over(W.partitionBy(groups)))
-    return r.withColumn("donor_rank", (F.col("rank") + F.col("_most")) % F.col("_n")).drop("_h", "_n", "_c", "_most")
+    from .order import indexed
+
+    r = indexed(df.withColumn("_h", draw(salt, key)), concept, "_h", key).withColumnRenamed("idx", "rank")
+    most, n = df.groupBy(concept).count().agg(F.max("count"), F.sum("count")).first()
+    return r.withColumn("donor_rank", (F.col("rank") + (most or 0)) % max(1, n or 0)).drop("_h")
+
+
+def distractor_candidates(records: DataFrame, item: str, pool: list[str], most: int, salt: str) -> DataFrame:
+    """(item, place, answer, concept, facet): up to `most` answers of the same `pool` (columns of `records`; none: of all) for each record.
+
+    The distinct answers of a pool stand in a circle in md5 order; a record's candidates are the next ones from a place that md5 of its
+    item draws. Each record joins `most` places, so a large pool makes no pairs of records.
+    """
+    from .order import indexed
+
+    key = F.concat_ws("\x1f", F.lit(salt), *[F.col(c).cast("string") for c in pool])
+    answers = records.select(key.alias("_pool"), "concept", "facet", "answer").distinct().withColumn("_h", md5_int(F.concat(F.lit(salt), "answer")))
+    ring = indexed(answers, "_pool", "_h", "answer", "concept", "facet")
+    spans = ring.groupBy("_pool").agg(F.min("idx").alias("_low"), F.count("*").alias("_n"))
+    asked = records.select(item, key.alias("_pool")).join(spans.hint("merge"), "_pool")
+    start = md5_int(F.concat(F.lit(salt), F.col(item).cast("string")))
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(most), "_n") - 1), lambda i: F.col("_low") + (start + i) % F.col("_n"))
+    asked = asked.select(item, F.posexplode(places).alias("place", "idx"))
+    return asked.join(ring.hint("merge"), "idx").select(item, "place", "answer", "concept", "facet")
+
+
+def distractors(records: DataFrame, item: str, hard: bool, n: int = 3, most: int = 24, alike: float = 0.6, salt: str = "mcq") -> DataFrame:
+    """(item, options, gold_position, fell_back) of the records (item, concept, facet, answer) that get `n` distractors.
+
+    Distractors have a Jaccard similarity of at most `alike` to the answer and to one another. Easy ones come from other concepts, one
+    of each: first of the same facet, then of any. Hard ones come from other facets of the same concept: one of each facet, then
+    any; if these are too few, from other concepts as the easy ones. Each stage looks at the next `most` answers of its pool.
+    Options stand in md5 order. Greedy choice runs over one record's candidates, an array of at most 4 * `most`.
+    """
+    gold = records.select(item, F.col("concept").alias("_c"), F.col("facet").alias("_f"), F.col("answer").alias("_gold"))
+
+    def stage(pool: list[str], order: int, ok: Column, tag: Column) -> DataFrame:
+        found = distractor_candidates(records, item, pool, most, f"{salt}{order}").join(gold.hint("merge"), item).where(ok)
+        return found.select(item, F.lit(order).alias("stage"), "place", "answer", tag.alias("tag"))
+
+    away = F.col("concept") != F.col("_c")
+    of = F.concat(F.lit("c:"), F.col("concept").cast("string"))
+    stages = [stage(["facet"], 3, away, of), stage([], 4, away, of)]
+    if hard:
+        inside = (F.col("concept") == F.col("_c")) & (F.col("facet") != F.col("_f")) & (F.col("answer") != F.col("_gold"))
+        first = stage(["concept"], 1, inside, F.concat(F.lit("f:"), F.col("facet").cast("string")))
+        stages = [first, first.select(item, F.lit(2).alias("stage"), "place", "answer", F.lit(None).cast("string").alias("tag")), *stages]
+    every = functools.reduce(DataFrame.union, stages)
+    listed = every.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("stage", "place", "answer", "tag"))).alias("_list")).join(gold.hint("merge"), item)
+    words = lambda x: F.array_distinct(tokens(x))
+    near = lambda a, b: jaccard(words(a), words(b)) > alike
+    kind = dict(records.dtypes)["answer"]
+
+    def step(kept, c):
+        clash = F.exists(kept, lambda k: F.coalesce(k["tag"] == c["tag"], F.lit(False)) | near(k["answer"], c["answer"]))
+        return F.when((F.size(kept) >= n) | near(c["answer"], F.col("_gold")) | clash, kept).otherwise(F.concat(kept, F.array(F.struct(c["stage"].alias("stage"), c["answer"].alias("answer"), c["tag"].alias("tag")))))
+
+    chosen = listed.withColumn("_kept", F.aggregate("_list", F.array().cast(f"array<struct<stage:int,answer:{kind},tag:string>>"), step)).where(F.size("_kept") >= n)
+    answers = F.concat(F.array("_gold"), F.transform("_kept", lambda k: k["answer"]))
+    mixed = F.transform(F.array_sort(F.transform(answers, lambda o: F.struct(md5_int(F.concat(F.col(item).cast("string"), F.lit("opt"), o)).alias("h"), o.alias("o")))), lambda x: x["o"])
+    done = chosen.select(item, "_gold", mixed.alias("options"), F.exists("_kept", lambda k: k["stage"] > 2).alias("fell_back"))
+    return done.select(item, "options", (F.array_position("options", F.col("_gold")) - 1).alias("gold_position"), "fell_back")

@@ -76,14 +76,31 @@ def dedup_first(df: DataFrame, text: str, order: list[str]) -> DataFrame:
     return keyed.join(first.select(F.col("_first.*"), F.lit(1).alias("_keep")), order, "left_semi").drop("_sha")
 
 
-def gram_table(df: DataFrame, id_col: str, text: str, n: int = 4) -> DataFrame:
-    """(id, gram): distinct word n-grams of each text, as 64-bit hashes.
+#: Distinct n-grams that are broadcast to the corpus, at most: 8 bytes each.
+BROADCAST_GRAMS = 1 << 20
+
+
+def grams(df: DataFrame, id_col: str, text: str, n: int = 4) -> DataFrame:
+    """(id, gram): all word n-grams of each text, as 64-bit hashes.
 
     Words are found once for a text, below the generator; only slices are taken for each position.
     """
     words = df.select(id_col, C.tokens(F.col(text)).alias("_w")).where(F.size("_w") >= n)
     at = words.select(id_col, "_w", F.explode(F.sequence(F.lit(1), F.size("_w") - (n - 1))).alias("_i"))
-    return at.select(id_col, F.xxhash64(F.array_join(F.slice("_w", F.col("_i"), F.lit(n)), " ")).alias("gram")).distinct()
+    return at.select(id_col, F.xxhash64(F.array_join(F.slice("_w", F.col("_i"), F.lit(n)), " ")).alias("gram"))
+
+
+def gram_table(df: DataFrame, id_col: str, text: str, n: int = 4) -> DataFrame:
+    """(id, gram): distinct word n-grams of each text."""
+    return grams(df, id_col, text, n).distinct()
+
+
+def held_grams(df: DataFrame, id_col: str, text: str, n: int, wanted: DataFrame) -> DataFrame:
+    """(id, gram): those distinct n-grams of each text that `wanted` has. Others go where they arise, before any shuffle, if the
+    wanted ones are few enough to be broadcast, which is counted first."""
+    some = wanted.select("gram").distinct()
+    few = some.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS
+    return grams(df, id_col, text, n).join(F.broadcast(some) if few else some.hint("merge"), "gram", "left_semi").distinct()
 
 
 def containment_pairs(answers: DataFrame, passages: DataFrame, answer_id: str, passage_id: str, text: str = "text", n: int = 4, least: float = 0.5) -> DataFrame:
@@ -91,9 +108,10 @@ def containment_pairs(answers: DataFrame, passages: DataFrame, answer_id: str, p
 
     An inverted-index join on grams; only pairs that share a gram ever meet.
     """
-    a, p = gram_table(answers, answer_id, text, n), gram_table(passages, passage_id, text, n)
+    a = gram_table(answers, answer_id, text, n)
+    p = held_grams(passages, passage_id, text, n, a)
     size = a.groupBy(answer_id).agg(F.count("*").alias("n_grams"))
-    met = p.join(a.hint("shuffle_hash"), "gram").groupBy(answer_id, passage_id).agg(F.count("*").alias("shared"))
+    met = p.join(a.hint("merge"), "gram").groupBy(answer_id, passage_id).agg(F.count("*").alias("shared"))
     return met.join(size.hint("shuffle_hash"), answer_id).withColumn("containment", F.round(F.col("shared") / F.col("n_grams"), 6)).where(F.col("shared") / F.col("n_grams") >= least).drop("n_grams")
 
 

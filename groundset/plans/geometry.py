@@ -39,8 +39,8 @@ def prefilter_reason(t):
 
 @query()
 def greedy_hamming_dedup(t):
-    coded = t.embeddings.select("label", "vec_id", G.sign_code(F.col("embedding")).alias("code")).withColumn("block", F.floor(F.col("vec_id") / 50))
-    return G.greedy_hamming(coded, "block", "code", ["vec_id"])
+    coded = t.embeddings.select("label", "vec_id", G.sign_code(F.col("embedding")).alias("code"))
+    return G.greedy_hamming(coded, "label", "code", ["vec_id"])
 
 
 @query("""WITH r AS (SELECT *, row_number() OVER (PARTITION BY user_id, date_trunc('day', ts) ORDER BY ts, event_id) AS rn FROM events),

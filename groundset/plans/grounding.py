@@ -89,23 +89,44 @@ def apply_patch_verdicts(t):
     return d.select("doc_id", F.coalesce(F.when(F.col("quality") == 0, "review"), F.col("source")).alias("source"), flagged.alias("flagged"))
 
 
+@query("""WITH q AS (SELECT item_id, item_id % 5 AS concept, CASE WHEN item_id % 4 = 3 THEN reverse(text) ELSE text END AS quote, item_id % 3 = 0 AS base, substr(text, 1, 6) AS question FROM benchmark), f AS (SELECT * FROM q WHERE EXISTS (SELECT 1 FROM documents d WHERE contains(d.text, quote))),
+u AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY concept, question ORDER BY base DESC, item_id) = 1) SELECT concept, item_id, base FROM u QUALIFY row_number() OVER (PARTITION BY concept ORDER BY base DESC, item_id) <= 4""")
+def facet_inventory(t):
+    """Quotes that are in no source go; the base facet comes first; a question is asked once; four of a concept stay."""
+    quote = F.when(F.col("item_id") % 4 == 3, F.reverse("text")).otherwise(F.col("text"))
+    q = t.benchmark.select("item_id", (F.col("item_id") % 5).alias("concept"), quote.alias("text"), (F.col("item_id") % 3 == 0).alias("base"), F.substring("text", 1, 6).alias("question"))
+    found = G.locate(q.select("item_id", "text"), t.documents, "item_id", "doc_id").select("item_id", "found").distinct()
+    held = q.join(found.hint("merge"), "item_id").where("found = text").select("item_id", "concept", "base", "question")
+    return G.inventory(held, "concept", "question", "base", "item_id", 4).select("concept", "item_id", "base")
+
+
 @query("""WITH u AS (SELECT p_brand, p_name, min(p_partkey) AS p_partkey FROM part GROUP BY 1, 2) SELECT p_brand, p_partkey FROM u QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) <= 4""")
 def facet_inventory_cap(t):
     distinct = t.part.groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("p_partkey"))
     return G.capped(distinct, "p_brand", ["p_partkey"], 4).select("p_brand", "p_partkey")
 
 
-@query(f"""WITH {_SPANS}, x AS (SELECT item_id, doc_id, substr(body, (char_end + 1)::BIGINT, 200) AS tail FROM s) SELECT item_id, doc_id, regexp_extract(tail, '^[^.!?)\\]]*[.!?)\\]]') AS extension FROM x""")
+#: Words that an answer seldom ends with.
+STOP = "the a an of to and or in on at for with by from that which is are it be as".split()
+_STOP = ", ".join(f"'{w}'" for w in STOP)
+
+
+@query(rf"""WITH {_SPANS}, c AS (SELECT item_id, doc_id, substr(answer, 1, 40) AS cut, substr(body, (char_start + 41)::BIGINT, 200) AS tail FROM s WHERE length(answer) > 40), x AS (SELECT *, regexp_extract(cut, '([A-Za-z]+)\W*$', 1) AS last, regexp_extract(tail, '^[^.!?)\]]*[.!?)\]]') AS more FROM c)
+SELECT item_id, doc_id, CASE WHEN lower(last) IN ({_STOP}) AND more <> '' THEN cut || more ELSE cut END AS answer, lower(last) IN ({_STOP}) AND more <> '' AS extended FROM x""")
 def extend_truncated_span(t):
-    """What is missing of each located span up to the next end of a sentence within 200 characters."""
-    spans = _spans(t).join(t.benchmark.select("item_id", F.col("text").alias("quote")).hint("shuffle_hash"), "item_id").where("found = quote")
-    tail = spans.join(t.documents.select("doc_id", "text").hint("merge"), "doc_id").select("item_id", "doc_id", F.expr("substring(text, cast(char_end + 1 AS int), 200)").alias("tail"))
-    return tail.select("item_id", "doc_id", F.regexp_extract("tail", r"^[^.!?)\]]*[.!?)\]]", 0).alias("extension"))
+    """Spans cut off after 40 characters: those that end in a stop word go on to the next end of a sentence within 200 characters."""
+    spans = _spans(t).join(t.benchmark.select("item_id", F.col("text").alias("quote")).hint("shuffle_hash"), "item_id").where("found = quote AND length(quote) > 40")
+    c = spans.join(t.documents.select("doc_id", "text").hint("merge"), "doc_id").select("item_id", "doc_id", F.substring("quote", 1, 40).alias("cut"), F.expr("substring(text, cast(char_start + 41 AS int), 200)").alias("tail"))
+    fixed = G.repaired_span(F.col("cut"), F.col("tail"), STOP)
+    return c.select("item_id", "doc_id", fixed.alias("answer"), (fixed != F.col("cut")).alias("extended"))
 
 
-@query(f"""WITH {_SPANS}, x AS (SELECT item_id, doc_id, regexp_extract(substr(body, (char_end + 1)::BIGINT), '^[ \\t\\n\\r]*([A-Z][^.?!]{{14,}}[.?!])', 1) AS sentence FROM s) SELECT item_id, doc_id, sentence FROM x WHERE sentence <> '' AND len(regexp_extract_all(sentence, '\\S+')) <= 40""")
+@query(rf"""WITH {_SPANS}, e AS (SELECT item_id, doc_id, char_start + length(regexp_extract(answer, '^[^.?!]*[.?!]')) AS char_end, body FROM s), x AS (SELECT item_id, doc_id, regexp_extract(substr(body, (char_end + 1)::BIGINT), '^[ 	
+]*([A-Z][^.?!]{{14,}}[.?!])', 1) AS sentence FROM e) SELECT item_id, doc_id, sentence FROM x WHERE sentence <> '' AND len(regexp_extract_all(sentence, '\S+')) <= 40""")
 def append_next_sentence(t):
+    """The sentence after the first sentence of each located passage."""
     spans = _spans(t).join(t.benchmark.select("item_id", F.col("text").alias("quote")).hint("shuffle_hash"), "item_id").where("found = quote")
-    rest = spans.join(t.documents.select("doc_id", "text").hint("merge"), "doc_id").select("item_id", "doc_id", F.expr("substring(text, cast(char_end + 1 AS int))").alias("rest"))
+    end = F.col("char_start") + F.length(F.regexp_extract("quote", "^[^.?!]*[.?!]", 0))
+    rest = spans.withColumn("end", end).join(t.documents.select("doc_id", "text").hint("merge"), "doc_id").select("item_id", "doc_id", F.expr("substring(text, cast(end + 1 AS int))").alias("rest"))
     sentence = rest.select("item_id", "doc_id", F.regexp_extract("rest", r"^[ \t\n\r]*([A-Z][^.?!]{14,}[.?!])", 1).alias("sentence"))
     return sentence.where((F.col("sentence") != "") & (F.regexp_count("sentence", F.lit(r"\S+")) <= 40))

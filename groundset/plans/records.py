@@ -49,15 +49,16 @@ def choice_letter_parse(t):
     return t.conversations.select("conv_id", "turn", C.choice_letter(F.col("text"), 3).alias("choice"))
 
 
-@query("""WITH old AS (SELECT o_custkey AS source_id, count(*) AS n_files, bool_and(o_orderstatus = 'F') AS ok FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY 1),
-new AS (SELECT o_custkey AS source_id, count(*) AS n_files, bool_and(o_orderstatus = 'F') AS ok FROM orders WHERE o_orderdate >= TIMESTAMP '1995-01-01' GROUP BY 1)
-SELECT source_id, n_files, CASE WHEN ok THEN 'ok' ELSE 'partial' END AS status FROM (SELECT * FROM new UNION ALL SELECT * FROM old WHERE source_id NOT IN (SELECT source_id FROM new))""")
-def manifest_upsert(t):
-    def manifest(part):
-        return part.groupBy(F.col("o_custkey").alias("source_id")).agg(F.count("*").alias("n_files"), F.when(F.bool_and(F.col("o_orderstatus") == "F"), "ok").otherwise("partial").alias("status"))
+_FILES = "SELECT o_custkey AS source_id, count(*) FILTER (o_orderstatus = 'F') AS n_cached, count(*) FILTER (o_orderstatus = 'O') AS n_downloaded, count(*) FILTER (o_orderstatus = 'P') AS n_failed FROM orders WHERE o_orderdate {} TIMESTAMP '1995-01-01' GROUP BY 1"
+
 
+@query(f"""WITH old AS ({_FILES.format('<')}), new AS ({_FILES.format('>=')})
+SELECT *, CASE WHEN n_failed = 0 THEN 'ok' ELSE 'partial' END AS status FROM (SELECT * FROM new UNION ALL SELECT * FROM old WHERE source_id NOT IN (SELECT source_id FROM new))""")
+def manifest_upsert(t):
     late = F.col("o_orderdate") >= F.to_timestamp_ntz(F.lit("1995-01-01 00:00:00"))
-    return R.upsert(manifest(t.orders.where(~late)), manifest(t.orders.where(late)), "source_id")
+    status = F.when(F.col("o_orderstatus") == "F", "cached").when(F.col("o_orderstatus") == "O", "downloaded").otherwise("failed")
+    files = t.orders.select(F.col("o_custkey").alias("source_id"), status.alias("status"), late.alias("late"))
+    return R.upsert(R.manifest(files.where("NOT late"), "source_id"), R.manifest(files.where("late"), "source_id"), "source_id")
 
 
 @query("""WITH hits AS (SELECT doc_id, 1 AS rank, 'long' AS query FROM documents WHERE n_chars > 3000 UNION ALL SELECT doc_id, 2, 'english' FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 3, 'first_source' FROM documents WHERE source = 'src0')

@@ -69,3 +69,11 @@ def retrieval_gate(t):
 p AS (SELECT l_suppkey, sum(c * (c - 1) / 2) AS shared FROM (SELECT l_suppkey, l_partkey, count(*) AS c FROM r GROUP BY 1, 2) GROUP BY 1) SELECT l_suppkey, n, round(CASE WHEN n > 1 THEN shared / (n * (n - 1) / 2) END, 6) AS mean_overlap FROM n JOIN p USING (l_suppkey)""")
 def within_group_overlap(t):
     return V.group_overlap(t.lineitem, "l_suppkey", "l_orderkey", "l_partkey")
+
+
+@query(_KNN + """, f AS (SELECT query_id, vec_id, score FROM s WHERE label <= 5 AND NOT (vec_id BETWEEN query_id + 1 AND query_id + 9 AND (query_id + vec_id) % 3 = 0)) SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM f QUALIFY rank <= 8""")
+def allow_list_packet(t):
+    """An allow-list of labels, and passages that an item must not see: itself and those that leak its answer."""
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    own = q.select("query_id", F.explode(F.sequence(F.col("query_id"), F.col("query_id") + 9)).alias("vec_id")).where("vec_id = query_id OR (query_id + vec_id) % 3 = 0")
+    return V.packet(q, t.embeddings, own, "query_id", "vec_id", "embedding", 8, F.col("label") <= 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))

@@ -7,18 +7,43 @@ from ..functions import columns as C
 from ..operators import sample as P
 from .registry import query
 
-_ALLOC = """n AS (SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1), b AS (SELECT *, floor(200 * n / sum(n) OVER ()) AS take FROM n),
-a AS (SELECT c_mktsegment, n, (take + CASE WHEN row_number() OVER (ORDER BY n DESC, c_mktsegment) = 1 THEN 200 - sum(take) OVER () ELSE 0 END)::BIGINT AS take FROM b)"""
+_ALLOC = """n AS (SELECT c_mktsegment, count(*) AS n, c_mktsegment = 'MACHINERY' AS whole FROM customer GROUP BY 1), f AS (SELECT coalesce(sum(n) FILTER (whole), 0) AS whole_n, sum(n) FILTER (NOT whole) AS rest FROM n),
+b AS (SELECT n.*, 900 - whole_n AS left_n, CASE WHEN whole THEN n ELSE round_even((900 - whole_n) * n / rest::DOUBLE, 0)::BIGINT END AS take FROM n, f),
+a AS (SELECT c_mktsegment, n, (take + CASE WHEN NOT whole AND row_number() OVER (PARTITION BY whole ORDER BY n DESC, c_mktsegment) = 1 THEN left_n - sum(take) FILTER (NOT whole) OVER () ELSE 0 END)::BIGINT AS take FROM b)"""
 
 
-@query(f"WITH {_ALLOC} SELECT * FROM a WHERE (SELECT count(*) FROM customer) >= 200")
+def _takes(t):
+    return P.allocate(t.customer, "c_mktsegment", 900, ("MACHINERY",))
+
+
+@query(f"WITH {_ALLOC} SELECT * FROM a WHERE (SELECT count(*) FROM customer) >= 900")
 def stratified_alloc(t):
-    return P.allocate(t.customer, "c_mktsegment", 200)
+    return _takes(t)
+
+
+_WITHIN = f"""WITH RECURSIVE {_ALLOC}, i AS (SELECT c_mktsegment, 'v' || c_nationkey % 4 AS verdict, count(*) AS n FROM customer GROUP BY 1, 2),
+g AS (SELECT c_mktsegment, any_value(a.take) AS k, sum(i.n)::BIGINT AS total, list(i.n ORDER BY verdict) AS ns, list(verdict ORDER BY verdict) AS names FROM i JOIN a USING (c_mktsegment) GROUP BY 1),
+r AS (SELECT c_mktsegment, k, ns, names, CASE WHEN k >= total THEN ns ELSE list_transform(ns, lambda n: least(n, greatest(1, round_even(k * n / total::DOUBLE, 0)::BIGINT))) END AS alloc FROM g
+UNION ALL SELECT c_mktsegment, k, ns, names, CASE WHEN list_sum(alloc) > k THEN list_transform(alloc, lambda x, i: x - CASE WHEN i = list_position(alloc, list_max(alloc)) THEN 1 ELSE 0 END) ELSE list_transform(alloc, lambda x, i: x + CASE WHEN i = list_position(room, list_max(room)) THEN 1 ELSE 0 END) END
+FROM (SELECT *, list_transform(ns, lambda n, i: n - alloc[i]) AS room FROM r WHERE list_sum(alloc) <> least(k, list_sum(ns)))),
+w AS (SELECT c_mktsegment, unnest(names) AS verdict, unnest(ns) AS n, unnest(alloc)::BIGINT AS take FROM r WHERE list_sum(alloc) = least(k, list_sum(ns)))"""
+
 
+def _verdicts(t):
+    return t.customer.select("c_custkey", "c_mktsegment", F.concat(F.lit("v"), (F.col("c_nationkey") % 4).cast("string")).alias("verdict"))
 
-@query(f"WITH {_ALLOC}, r AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY ('0x' || substr(md5('pick' || c_custkey), 1, 8))::BIGINT, c_custkey) AS rn FROM customer) SELECT c_custkey, c_mktsegment FROM r JOIN a USING (c_mktsegment) WHERE rn <= take")
+
+@query(_WITHIN + " SELECT * FROM w")
+def allocation_within(t):
+    return P.allocate_within(_verdicts(t), "c_mktsegment", "verdict", _takes(t))
+
+
+@query(_WITHIN + """, p AS (SELECT c_custkey, c_mktsegment, 'v' || c_nationkey % 4 AS verdict, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey % 4 ORDER BY ('0x' || substr(md5('pick' || c_custkey), 1, 8))::BIGINT, c_custkey) AS rn FROM customer)
+SELECT c_custkey, c_mktsegment, verdict FROM p JOIN w USING (c_mktsegment, verdict) WHERE rn <= take""")
 def stratified_pick(t):
-    return P.pick(t.customer.select("c_custkey", "c_mktsegment"), "c_mktsegment", P.allocate(t.customer, "c_mktsegment", 200), "c_custkey", "pick").select("c_custkey", "c_mktsegment")
+    both = F.concat_ws("/", "c_mktsegment", "verdict")
+    takes = P.allocate_within(_verdicts(t), "c_mktsegment", "verdict", _takes(t)).select(both.alias("stratum"), "take")
+    return P.pick(_verdicts(t).withColumn("stratum", both), "stratum", takes, "c_custkey", "pick").select("c_custkey", "c_mktsegment", "verdict")
 
 
 @query("""WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS round, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_orderkey, round FROM r ORDER BY round, n DESC, o_custkey LIMIT 500""")
@@ -37,11 +62,11 @@ def blind_pool(t):
     return t.conversations.select(F.sha2(key, 256).alias("rec_id"), F.length("text").cast("long").alias("n_chars"))
 
 
-@query("""WITH r AS (SELECT conv_id // 30 AS block, conv_id, turn, row_number() OVER (PARTITION BY conv_id // 30 ORDER BY conv_id, ('0x' || substr(md5('swap' || conv_id || '#' || turn), 1, 8))::BIGINT, conv_id || '#' || turn) - 1 AS rank, count(*) OVER (PARTITION BY conv_id // 30) AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations),
-m AS (SELECT *, max(c) OVER (PARTITION BY block) AS most FROM r) SELECT conv_id, turn, rank, (rank + most) % n AS donor_rank FROM m""")
+@query("""WITH r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, ('0x' || substr(md5('swap' || conv_id || '#' || turn), 1, 8))::BIGINT, conv_id || '#' || turn) - 1 AS rank, count(*) OVER () AS n, count(*) OVER (PARTITION BY conv_id) AS c FROM conversations),
+m AS (SELECT *, max(c) OVER () AS most FROM r) SELECT conv_id, turn, rank, (rank + most) % n AS donor_rank FROM m""")
 def frameswap_control(t):
-    c = t.conversations.select("conv_id", "turn", F.floor(F.col("conv_id") / 30).alias("block"), F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string")).alias("key"))
-    return P.rotated(c, "conv_id", "key", "block", "swap").select("conv_id", "turn", F.col("rank").cast("long").alias("rank"), F.col("donor_rank").cast("long").alias("donor_rank"))
+    c = t.conversations.select("conv_id", "turn", F.concat(F.col("conv_id").cast("string"), F.lit("#"), F.col("turn").cast("string")).alias("key"))
+    return P.rotated(c, "conv_id", "key", "swap").select("conv_id", "turn", F.col("rank").cast("long").alias("rank"), F.col("donor_rank").cast("long").alias("donor_rank"))
 
 
 @query("""SELECT conv_id, min(turn) AS first_turn, count(*) > 1 AS multi FROM conversations GROUP BY 1""")
@@ -72,3 +97,30 @@ def collect_arm(t):
 def gold_position_balance(t):
     r = t.part.withColumn("pos", F.row_number().over(W.partitionBy("p_brand").orderBy(P.draw("gold", "p_partkey"), "p_partkey")) % 4)
     return r.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg("pos"), 4).alias("avg_rank"))
+
+
+def _answers(t):
+    """Documents as items: the source is the concept, the length the facet, the first eight words the answer."""
+    answer = F.array_join(F.slice(F.split("text", " "), 1, 8), " ")
+    d = t.documents.select("doc_id", F.col("source").alias("concept"), F.concat(F.lit("f"), (F.col("n_chars") % 5).cast("string")).alias("facet"), answer.alias("answer"))
+    return d.where(F.length("answer") >= 15)
+
+
+_ANSWERS = """rec AS (SELECT * FROM (SELECT doc_id, source AS concept, 'f' || n_chars % 5 AS facet, array_to_string(string_split(text, ' ')[1:8], ' ') AS answer FROM documents) WHERE length(answer) >= 15)"""
+
+
+@query(f"""WITH {_ANSWERS}, pool AS (SELECT DISTINCT facet, concept, answer FROM rec), ring AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY ('0x' || substr(md5('mcq' || answer), 1, 8))::BIGINT, answer, concept) - 1 AS at, count(*) OVER (PARTITION BY facet) AS n FROM pool),
+p AS (SELECT doc_id, facet, unnest(range(0, 8)) AS place FROM rec)
+SELECT doc_id, place::INT AS place, ring.answer, ring.concept FROM p JOIN ring ON ring.facet = p.facet AND ring.at = (('0x' || substr(md5('mcq' || doc_id), 1, 8))::BIGINT + place) % ring.n WHERE place < n""")
+def mcq_candidates(t):
+    return P.distractor_candidates(_answers(t), "doc_id", ["facet"], 8, "mcq").select("doc_id", "place", "answer", "concept")
+
+
+@query()
+def mcq_distractors_easy(t):
+    return P.distractors(_answers(t), "doc_id", hard=False)
+
+
+@query()
+def mcq_distractors_hard(t):
+    return P.distractors(_answers(t), "doc_id", hard=True)

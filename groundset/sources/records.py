@@ -108,3 +108,10 @@ def table_digest(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
     shards = rows.groupBy("shard").agg(F.count("*").alias("n"), joined(F.array_sort(F.collect_list("d"))))
     whole = F.array_sort(F.collect_list(F.struct("shard", "d")))  # at most 4096
     return shards.groupBy(F.lit(name).alias("name")).agg(F.sum("n").alias("n_rows"), F.sha2(F.array_join(F.transform(whole, lambda x: x["d"]), ""), 256).alias("digest"))
+
+
+def manifest(files: DataFrame, source: str) -> DataFrame:
+    """Per source: files that were cached, downloaded or failed (`status`), and the entry's status, ok without a failure, else partial."""
+    n = lambda x: F.count(F.when(F.col("status") == x, 1)).alias(f"n_{x}")
+    counts = files.groupBy(source).agg(n("cached"), n("downloaded"), n("failed"))
+    return counts.withColumn("status", F.when(F.col("n_failed") == 0, "ok").otherwise("partial"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from groundset.functions import columns as C
-from groundset.operators import audit, geometry, ground, stats, text
+from groundset.operators import audit, geometry, ground, sample, stats, text
 from groundset.sources import records
 from groundset.streaming import incremental
 
@@ -80,3 +80,91 @@ def test_latest_rows_of_a_stream(spark, tmp_path):
         assert {(r.k, r.v) for r in spark.table("latest").collect()} == {(1, "c"), (2, "x")}
     finally:
         q.stop()
+
+
+def test_survival_is_greedy_by_label_then_by_any(spark):
+    """Against a plain loop over proposals in order."""
+    import random
+
+    random.seed(3)
+    box = lambda: [(x := random.random() * 0.3), (y := random.random() * 0.3), x + 0.5, y + 0.5]
+    rows = lambda n: [(f, random.choice("AB"), i, *box()) for f in range(30) for i in range(n)]
+    a, b = rows(4), rows(3)
+    schema = "frame int, label string, idx int, x0 double, y0 double, x1 double, y1 double"
+
+    def iou(p, q):
+        w, h = min(p[5], q[5]) - max(p[3], q[3]), min(p[6], q[6]) - max(p[4], q[4])
+        i = max(w, 0) * max(h, 0)
+        return i / (0.5 - i)
+
+    want, used = {}, set()
+    for p in a:
+        free = [q for q in b if q[0] == p[0] and (q[0], q[2]) not in used and iou(p, q) >= 0.5]
+        for fate, own in (("kept", [q for q in free if q[1] == p[1]]), ("relabelled", [q for q in free if q[1] != p[1]])):
+            if own:
+                used.add((p[0], max(own, key=lambda q: (iou(p, q), q[2]))[2]))
+                want[p[0], p[2]] = fate
+                break
+        else:
+            want[p[0], p[2]] = "deleted"
+    fates = geometry.survival(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), "frame", "label")
+    assert {(r.frame, r.idx): r.fate for r in fates.collect()} == want and set(want.values()) == {"kept", "relabelled", "deleted"}
+    report = {r.label: r for r in geometry.survival_report(fates, "label").collect()}
+    assert report[None].n == 120 and report[None].n_kept == sum(r.n_kept for k, r in report.items() if k)
+
+
+def test_distractors_are_apart_and_in_order(spark):
+    """Options are the answer and three others, unlike it and one another; easy ones of as many other concepts, hard ones of the own one where it has enough."""
+    words = [f"w{i:02d}" for i in range(60)]
+    rows = [(i, f"c{i % 5}", f"f{i % 7}", " ".join(words[(i * 7 + j * j) % 60] for j in range(6))) for i in range(140)]
+    df = spark.createDataFrame(rows, "item int, concept string, facet string, answer string")
+    by_answer = {}
+    for _, c, f, t in rows:
+        by_answer.setdefault(t, set()).add((c, f))
+    jac = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    for hard in (False, True):
+        got = sample.distractors(df, "item", hard).collect()
+        assert len(got) == 140
+        for r in got:
+            _, concept, facet, gold = rows[r.item]
+            others = [o for o in r.options if o != gold]
+            assert len(others) == 3 and r.options[r.gold_position] == gold and all(jac(x, y) <= 0.6 for i, x in enumerate(r.options) for y in r.options[:i])
+            if not hard:
+                assert all(any(c != concept for c, _ in by_answer[o]) for o in others)
+            elif not r.fell_back:
+                assert all(any(c == concept and f != facet for c, f in by_answer[o]) for o in others)
+        assert any(not r.fell_back for r in got) == hard
+        assert len({r.gold_position for r in got}) == 4
+    assert sample.distractors(df.limit(0), "item", True).count() == 0
+
+
+def test_greedy_hamming_against_a_loop(spark):
+    import random
+
+    random.seed(5)
+    rows = [(i % 3, i, random.getrandbits(62) if i % 4 else 7 << (i % 9)) for i in range(300)]
+    want = []
+    for g in range(3):
+        kept = []
+        for _, i, code in (r for r in rows if r[0] == g):
+            if len(kept) < 6 and all((code ^ c).bit_count() > 20 for _, c in kept):
+                kept.append((i, code))
+        want += [(g, i) for i, _ in kept]
+    df = spark.createDataFrame(rows, "g int, i int, code long")
+    assert sorted(map(tuple, geometry.greedy_hamming(df, "g", "code", ["i"], radius=20).collect())) == sorted(want)
+
+
+def test_sentence_windows_against_a_loop(spark):
+    texts = ["One two three. Four five; six seven eight nine. " * 9, "single", "a b c. " + "x " * 30 + ". d e. f."]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    pieces = {r.id: r.p for r in df.select("id", C.split_claims(F.col("text"), 1).alias("p")).collect()}
+    want = []
+    for i, p in pieces.items():
+        at, total, windows = 0, 0, {}
+        for n in (len(x.split()) for x in p):
+            if total and total + n > 12:
+                at, total = at + 1, 0
+            total += n
+            windows.setdefault(at, []).append(n)
+        want += [(i, sum(w), len(w)) for w in windows.values()]
+    assert sorted((r.id, r.n_words, r.n_sentences) for r in text.sentence_windows(df, "id", words=12).collect()) == sorted(want)
