@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .mixing import n_words
 
-#: Characters of text in a block of documents; as many hash partitions of the count tables as blocks.
-BLOCK_CHARS = 8_000_000
-#: A bigram seen less often is left to the backoff, whose weight is ALPHA.
-MIN_COUNT, ALPHA = 2, 0.4
+#: Characters of text in a block of documents, and blocks for each hash partition of the count tables.
+BLOCK_CHARS, SPREAD = 8_000_000, 4
+#: Weight of the backoff; count of a word that no other document has.
+ALPHA, UNKNOWN = 0.4, 0.5
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,7 +73,13 @@ def _total(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"block": pdf["block"], "bucket": pdf["bucket"], "total": np.split(total, np.cumsum(sizes)[:-1])})
 
 
-def _score_block(words: int, min_count: int, alpha: float, buckets: int):
+def _own(owner: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """How often each key occurs in its own text."""
+    _, at, n = np.unique(_mix(keys * _MIX + (owner.astype(np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)), return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def _score_block(words: int, alpha: float, buckets: int):
     def run(docs: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         owner, uni, bi = _grams(docs["text"])
         grams, _, _ = _sent(uni, bi, buckets)
@@ -81,27 +87,28 @@ def _score_block(words: int, min_count: int, alpha: float, buckets: int):
         order = np.argsort(grams)
         grams, total = grams[order], total[order]
 
-        def count(keys: np.ndarray) -> np.ndarray:
-            return total[np.searchsorted(grams, keys)] if len(keys) else np.zeros(0)
+        def elsewhere(keys: np.ndarray, owner: np.ndarray) -> np.ndarray:
+            return total[np.searchsorted(grams, keys)] - _own(owner, keys) if len(keys) else np.zeros(0)
 
-        one, first = count(uni), bi == 0
-        log = np.log(one / max(1, words))
+        n = np.bincount(owner, minlength=len(docs))
+        one, first = elsewhere(uni, owner), bi == 0
+        log = np.log(np.maximum(one, UNKNOWN) / np.maximum(1, words - n)[owner])
         two = np.zeros(len(bi))
-        two[~first] = count(bi[~first])
-        seen = two >= min_count
+        two[~first] = elsewhere(bi[~first], owner[~first])
+        seen = two > 0
         before = np.r_[1.0, one[:-1]] if len(one) else one
-        log = np.where(seen, np.log(np.where(seen, two, 1) / before), log + np.where(first, 0.0, math.log(alpha)))
-        n = np.bincount(owner, minlength=len(docs))
+        log = np.where(seen, np.log(np.where(seen, two, 1) / np.where(seen, before, 1)), log + np.where(first, 0.0, math.log(alpha)))
         return pd.DataFrame({"id": docs["id"], "n_words": n, "n_backoff": np.bincount(owner, ~seen & ~first, len(docs)).astype(np.int64), "log_score": np.bincount(owner, log, len(docs))})
 
     return run
 
 
-def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_count: int = MIN_COUNT, alpha: float = ALPHA, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(id, n_words, n_backoff, log_score, mean_log_score) for every row, under the bigram model of the whole corpus.
+def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = ALPHA, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(id, n_words, n_backoff, log_score, mean_log_score) for every row, under the bigram model of all other rows.
 
-    A word scores c(previous, word) / c(previous) if the pair occurs `min_count` times or more, else `alpha` times its
-    share of all words; a text's first word scores its share. log_score is the sum of natural logarithms, from whole
+    Counts are those of the whole corpus less the text's own, so every bigram of the corpus counts and none vouches for itself. A word
+    scores c(previous, word) / c(previous) if another text has the pair, else `alpha` times its share of all words (of a word that
+    no other text has, UNKNOWN occurrences); a text's first word scores its share. log_score is the sum of natural logarithms, from whole
     texts; n_backoff counts the backed-off words. Null and empty texts have no words, score 0 and a null mean.
     Repeated rows count each, null ids are kept, an empty table gives an empty result, other columns are not read.
 
@@ -112,11 +119,12 @@ def backoff_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     size = docs.agg(F.sum(F.length(text_col)), F.sum(n_words(F.col(text_col)))).first()
     blocks, words = max(1, math.ceil((size[0] or 0) / block_chars)), size[1] or 0
+    buckets = math.ceil(blocks / SPREAD)
     dealt = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text")).withColumn("block", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)))
     dealt = dealt.repartition(blocks, "block")
-    counted = dealt.groupBy("block").applyInPandas(_count_block(blocks), "block long, bucket long, grams array<long>, n array<int>")
+    counted = dealt.groupBy("block").applyInPandas(_count_block(buckets), "block long, bucket long, grams array<long>, n array<int>")
     told = counted.groupBy("bucket").applyInPandas(_total, "block long, bucket long, total array<long>")
     kind = dict(docs.dtypes)[id_col]
-    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score_block(words, min_count, alpha, blocks), "id string, n_words long, n_backoff long, log_score double")
+    scored = dealt.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(_score_block(words, alpha, buckets), "id string, n_words long, n_backoff long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words"))
     return scored.select(F.col("id").cast(kind).alias(id_col), "n_words", "n_backoff", "log_score", mean.alias("mean_log_score"))

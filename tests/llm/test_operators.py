@@ -332,11 +332,12 @@ def test_backoff_scores(edge, none, docs, rows):
             two.update(zip(w, w[1:]))
         total, want = sum(one.values()), []
         for i, w in texts:
-            s, back = 0.0, 0
+            s, back, own_one, own_two = 0.0, 0, Counter(w), Counter(zip(w, w[1:]))
             for j, x in enumerate(w):
-                n = two[w[j - 1], x] if j else 0
-                back += j > 0 and n < 2
-                s += math.log(n / one[w[j - 1]]) if n >= 2 else math.log(one[x] / total) + (math.log(0.4) if j else 0)
+                n = two[w[j - 1], x] - own_two[w[j - 1], x] if j else 0
+                back += j > 0 and n == 0
+                share = max(0.5, one[x] - own_one[x]) / max(1, total - len(w))
+                s += math.log(n / (one[w[j - 1]] - own_one[w[j - 1]])) if n else math.log(share) + (math.log(0.4) if j else 0)
             want.append((i, len(w), back, s))
         got = sorted(((r.doc_id, r.n_words, r.n_backoff, r.log_score) for r in found.collect()), key=str)
         for a, b in zip(got, sorted(want, key=lambda x: str((x[0], x[1], x[2], x[3]))), strict=True):
@@ -431,6 +432,20 @@ def test_html_blocks():
     assert html_text.blocks(None) == ([], []) and html_text.blocks("plain") == ([], ["plain"]) and html_text.blocks("<<p") == ([], ["<"])
 
 
+def test_html_titles_comments_and_share_links():
+    main = lambda page: html_text.blocks(page)[0]
+    assert main('<article><div class="article-header"><h1>Title</h1></div><p>Body</p><section class="related-work"><p>Others</p></section>') == ["Title", "Body", "Others"]
+    assert main('<main><p>Text</p><h2>Comments</h2><ol class="commentlist"><li>hi</ol><p>more</main>') == ["Text", "more"]
+    assert main('<article><p>Read this. <a class="share-button">Share <b>this</b></a></p><p>End <span class=ad>buy <span>now</span> or</span> here</article>') == ["Read this.", "End", "here"]
+    assert main('<article><h2>Commentary</h2><p>a<div class="related-posts">x</div><div class="header">site</div><h2>Kept</h2><div id="sidebar">y</div></article>') == ["Commentary", "a", "Kept"]
+
+
+def test_html_copies_of_a_page_keep_their_text(spark):
+    page = "<body><p>a short page of some ten words without any article mark</p></body>"
+    df = spark.createDataFrame([(i, f"http://h.org/{i}", page) for i in range(5)], "page_id long, url string, html string")
+    assert {r.text for r in html_text.extract_main_text(df).collect()} == {"a short page of some ten words without any article mark"}
+
+
 def test_html_repeated_runs_go_where_no_article_is_marked(spark):
     menu = " ".join(f"item{i}" for i in range(12))
     pages = [(i, "http://www.h.org/a" if i < 6 else None, f"<body><div>{menu}</div><p>n{i} own words of it stay</p>") for i in range(7)]
