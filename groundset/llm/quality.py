@@ -7,16 +7,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from .common import merge_join
+from .common import stored
 
-#: Bounds of the classifier: labelled rows, unlabelled rows of the pool, hashed words, rounds and pseudo-labels given by a view per round.
-FIT_ROWS, POOL_ROWS, BUCKETS, ROUNDS, GIVEN = 6_000, 6_000, 1 << 15, 4, 400
-#: Only predictions at least so sure become pseudo-labels.
-SURE = 0.95
+#: Bounds of the classifier: labelled rows that it is fitted on, hashed words, rounds; and the shards in which pseudo-labelled rows are averaged.
+FIT_ROWS, BUCKETS, ROUNDS, SHARDS = 6_000, 1 << 15, 3, 2
+#: Only predictions at least so sure become pseudo-labels; their weight beside the true labels of a view.
+SURE, TRUST = 0.95, 0.3
 _TOKEN = re.compile(r"[^ \t-\r]+")
 
 
@@ -105,36 +106,43 @@ def _fit(view, y: np.ndarray, weight: np.ndarray, size: int, steps: int = 120, l
     return w
 
 
-def co_train(text, meta, y: np.ndarray, rounds: int = ROUNDS, given: int = GIVEN, sure: float = SURE) -> QualityModel:
-    """Two views that label for each other. `y` is 1, 0 or nan (unlabelled); every fifth labelled row is kept back to calibrate.
+class _Mixed:
+    """Labelled rows, and below them a few dense rows: the averages of pseudo-labelled ones."""
 
-    Each round both views are fitted on their own labels; each then hands its surest predictions on the
-    unlabelled rows, at most `given` of a class, to the other view, with less weight than a true label.
+    def __init__(self, rows, means: np.ndarray):
+        self.rows, self.means = rows, means
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.r_[self.rows.dot(w), self.means @ w]
+
+    def grad(self, r: np.ndarray, size: int) -> np.ndarray:
+        return self.rows.grad(r[: self.rows.n], size) + self.means.T @ r[self.rows.n :]
+
+
+def co_train(text, meta, y: np.ndarray, pseudo, rounds: int = ROUNDS, trust: float = TRUST) -> QualityModel:
+    """Two views that label for each other. `y` is 1 or 0; every fifth row is kept back to calibrate.
+
+    Each round both views are fitted on the labelled rows and on what the other view has handed over. `pseudo(text weights, meta weights)`
+    then gives, for each view, what the other one is sure of among all unlabelled rows: (mean features, class, number) by class and
+    shard. Together these weigh `trust` of the labelled rows.
     """
-    known = ~np.isnan(y)
-    back = known & (np.cumsum(known) % 5 == 0)
+    back = np.arange(len(y)) % 5 == 4
     if not (y[back] > 0.5).any() or (y[back] > 0.5).all():
-        back = known
-    labels = {k: np.where(known & (~back | (back.sum() == known.sum())), y, np.nan) for k in ("text", "meta")}
-    views = {"text": (text, BUCKETS), "meta": (meta, META)}
-    weights = {}
+        back = np.zeros(len(y), bool)
+    views, given, weights = {"text": (text, BUCKETS), "meta": (meta, META)}, {}, {}
     for step in range(rounds + 1):
-        scores = {}
         for k, (view, size) in views.items():
-            have = ~np.isnan(labels[k])
-            weights[k] = _fit(view, np.where(have, labels[k], 0), np.where(have, np.where(known, 1.0, 0.3), 0.0), size)
-            scores[k] = _sigmoid(view.dot(weights[k][:-1]) + weights[k][-1])
+            means, label, n = given.get(k, (np.zeros((0, size)), np.zeros(0), np.zeros(0)))
+            own = np.where(back, 0.0, 1.0)
+            weights[k] = _fit(_Mixed(view, means), np.r_[y, label], np.r_[own, trust * own.sum() * n / max(1, n.sum())], size)
         if step < rounds:
-            for k, o in (("text", "meta"), ("meta", "text")):
-                free = np.isnan(labels[o]) & ~known
-                for value, p in ((1.0, scores[k]), (0.0, 1 - scores[k])):
-                    best = np.argsort(-np.where(free, p, -1), kind="stable")[:given]
-                    labels[o][best[free[best] & (p[best] >= sure)]] = value
+            given = pseudo(weights["text"], weights["meta"])
+    held = back if back.any() else np.ones(len(y), bool)
     logits = np.stack([view.dot(weights[k][:-1]) + weights[k][-1] for k, (view, _) in views.items()], 1)
-    ones = np.ones(back.sum())
-    scale = np.stack([_fit(_Dense(logits[back][:, [i]] / 10), y[back], ones, 1, l2=1e-3) for i in range(2)])
+    ones = np.ones(held.sum())
+    scale = np.stack([_fit(_Dense(logits[held][:, [i]] / 10), y[held], ones, 1, l2=1e-3) for i in range(2)])
     calibrated = _calibrated(logits, scale)
-    return QualityModel(weights["text"], weights["meta"], scale, _fit(_Dense(calibrated[back] / 10), y[back], ones, 2, l2=1e-3))
+    return QualityModel(weights["text"], weights["meta"], scale, _fit(_Dense(calibrated[held] / 10), y[held], ones, 2, l2=1e-3))
 
 
 def _calibrated(logits: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -149,46 +157,97 @@ def _features(text: pd.Series, lang: pd.Series, source: pd.Series) -> pd.DataFra
     return pd.DataFrame(rows, columns=["at", "value", "meta"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", fit_rows: int = FIT_ROWS, pool_rows: int = POOL_ROWS) -> QualityModel | None:
-    """A model from at most `fit_rows` labelled and `pool_rows` unlabelled rows, taken by a hash of the id.
+def _views(rows: pa.Table | pa.RecordBatch) -> tuple[_Sparse, _Dense]:
+    at, value, meta = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (rows[n] for n in ("at", "value", "meta")))
+    words = _Sparse(at.flatten().to_numpy(zero_copy_only=False), value.flatten().to_numpy(zero_copy_only=False), at.value_lengths().to_numpy(zero_copy_only=False))
+    return words, _Dense(meta.flatten().to_numpy(zero_copy_only=False).reshape(len(at), META).astype(np.float64))
 
-    Only these rows' features, bounded in number and size, reach the driver. None without a label of either class.
-    """
-    order = [F.xxhash64("id"), F.col("id")]
-    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
-    taken = F.broadcast(given.groupBy("id").agg(F.max("y").alias("y")).orderBy(*order).limit(fit_rows))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s"))
-    free = F.broadcast(merge_join(base.select("id").where("id IS NOT NULL"), given.select("id"), "id", "left_anti").orderBy(*order).limit(pool_rows).withColumn("y", F.lit(None).cast("double")))
-    chosen = base.join(taken, "id").unionByName(base.join(free, "id"))
-    rows = chosen.select("id", "y", F.pandas_udf(_features, _FEATURES)("t", "l", "s").alias("f")).select("id", "y", "f.*").toArrow().sort_by("id")
-    y = np.asarray(rows["y"].to_pandas(), np.float64)
-    if not (y == 1).any() or not (y == 0).any():
-        return None
-    at, value, meta = (rows[c].combine_chunks() for c in ("at", "value", "meta"))
-    words = _Sparse(at.flatten().to_numpy(), value.flatten().to_numpy(), at.value_lengths().to_numpy())
-    return co_train(words, _Dense(meta.flatten().to_numpy().reshape(len(y), META).astype(np.float64)), y)
 
+def _sure_sums(shared, sure: float):
+    """One partition's sums of features that a view is sure of, as (view that gets them, class, shard, feature, sum); feature -1 counts rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w_text, w_meta = shared.value
+        sizes = {0: BUCKETS, 1: META}
+        sums = {(v, c, s): np.zeros(sizes[v] + 1) for v in sizes for c in (0, 1) for s in range(SHARDS)}
+        for batch in batches:
+            words, meta = _views(batch)
+            p = {1: _sigmoid(words.dot(w_text[:-1]) + w_text[-1]), 0: _sigmoid(meta.dot(w_meta[:-1]) + w_meta[-1])}  # by the view that gets them
+            shard = batch["shard"].to_numpy()
+            for (v, c, s), total in sums.items():
+                ok = ((p[v] if c else 1 - p[v]) >= sure) & (shard == s)
+                total[:-1] += (words if v == 0 else meta).grad(ok.astype(np.float64), sizes[v])
+                total[-1] += ok.sum()
+        for (v, c, s), total in sums.items():
+            at = np.flatnonzero(total)
+            feature = np.where(at == len(total) - 1, -1, at)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), x, np.int32)) for x in (v, c, s)] + [pa.array(feature.astype(np.int32)), pa.array(total[at])], names=["view", "class", "shard", "feature", "total"])
 
-def score(docs: DataFrame, model: QualityModel | None, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """`docs` with p_text, p_meta and quality_score, the probabilities (classes taken as equally common) of good quality.
+    return run
 
-    From whole texts; null counts as empty. Without a model all three are null. A document is kept at 0.5 or more.
+
+def featured(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", key_col: str | None = None) -> DataFrame:
+    """(key, id, y, shard, at, value, meta) of every row, written once: hashed features of both views, and the label or null."""
+    given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
+    base = docs.select(F.col(key_col or id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s"))
+    # the labels have been written, so Spark knows their size and chooses the join by it
+    rows = base.join(stored(given), "id", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int"))
+    return stored(rows.select("key", "id", "y", "shard", F.pandas_udf(_features, _FEATURES)("t", "l", "s").alias("f")).select("key", "id", "y", "shard", "f.*"))
+
+
+def fit_features(rows: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> QualityModel | None:
+    """A model from `featured` rows: at most `fit_rows` labelled ones, taken by a hash of the id, and all unlabelled ones.
+
+    Each round scores every unlabelled row with both views, and sums the features of those that a view is sure of by class and shard; only
+    these sums, whose number does not depend on the table, and the labelled sample reach the driver. None without a label of either class.
     """
+    known = rows.where("y IS NOT NULL").orderBy(F.xxhash64("id"), "id").limit(fit_rows).select("id", "y", "at", "value", "meta").toArrow()
+    y = np.asarray(known["y"].to_pandas(), np.float64)
+    if not (y == 1).any() or not (y == 0).any():
+        return None
+    text, meta = _views(known)
+    free = rows.where("y IS NULL").select("shard", "at", "value", "meta")
+
+    def pseudo(w_text: np.ndarray, w_meta: np.ndarray) -> dict:
+        shared = rows.sparkSession.sparkContext.broadcast((w_text, w_meta))  # BUCKETS + META weights
+        sums = free.mapInArrow(_sure_sums(shared, sure), "view int, class int, shard int, feature int, total double").groupBy("view", "class", "shard", "feature").agg(F.sum("total").alias("total")).toPandas()
+        out = {}
+        for v, (name, size) in enumerate((("text", BUCKETS), ("meta", META))):
+            own = [g for _, g in sums[sums["view"] == v].groupby(["class", "shard"])]
+            total, n = np.zeros((len(own), size + 1)), np.zeros(len(own))
+            for i, g in enumerate(own):
+                total[i, g["feature"]] = g["total"]
+            n = total[:, -1].copy()
+            out[name] = total[:, :-1] / np.maximum(1, n)[:, None], np.array([float(g["class"].iloc[0]) for g in own]), n
+        return out
+
+    return co_train(text, meta, y, pseudo, rounds)
+
+
+def score_features(rows: DataFrame, model: QualityModel | None) -> DataFrame:
+    """`featured` rows as (key, p_text, p_meta, quality_score); without a model all three are null."""
     if model is None:
-        return docs.withColumns({c: F.lit(None).cast("double") for c in ("p_text", "p_meta", "quality_score")})
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS + META weights
+        return rows.select("key", *[F.lit(None).cast("double").alias(c) for c in ("p_text", "p_meta", "quality_score")])
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS + META weights
 
-    @F.pandas_udf("p_text double, p_meta double, quality_score double")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for text, lang, source in batches:
-            logits = np.empty((len(text), 2))
-            for i, (t, a, b) in enumerate(zip(text, lang, source)):
-                at, value = text_features(t)
-                logits[i] = value @ m.text[at] + m.text[-1], meta_features(t, a, b) @ m.meta[:-1] + m.meta[-1]
-            views = _calibrated(logits, m.scale)
+        for batch in batches:
+            words, meta = _views(batch)
+            views = _calibrated(np.stack([words.dot(m.text[:-1]) + m.text[-1], meta.dot(m.meta[:-1]) + m.meta[-1]], 1), m.scale)
             both = views / 10 @ m.combine[:-1] + m.combine[-1]
-            yield pd.DataFrame({"p_text": _sigmoid(views[:, 0]), "p_meta": _sigmoid(views[:, 1]), "quality_score": _sigmoid(both)})
+            yield pa.RecordBatch.from_arrays([batch["key"], *[pa.array(_sigmoid(z)) for z in (views[:, 0], views[:, 1], both)]], names=["key", "p_text", "p_meta", "quality_score"])
+
+    return rows.select("key", "at", "value", "meta").mapInArrow(run, f"key {dict(rows.dtypes)['key']}, p_text double, p_meta double, quality_score double")
+
 
-    found = docs.withColumn("_q", run(F.col(text_col), F.col(lang_col).cast("string"), F.col(source_col).cast("string")))
-    return found.withColumns({c: F.col(f"_q.{c}") for c in ("p_text", "p_meta", "quality_score")}).drop("_q")
+def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(id, p_text, p_meta, quality_score) for every row: the probabilities (classes taken as equally common) of good quality by both views and together.
+
+    Features of whole texts are computed once; null counts as empty, a null language or source as a value of its own. Labels other than 0 and 1
+    are none; of several labels of an id the largest holds. Scores do not depend on the order of rows, but for rounding; repeated rows get
+    the same scores each; null ids are never labelled. Without a label of either class the scores are null; an empty table gives
+    an empty result; other columns are not read. A document is kept at 0.5 or more.
+    """
+    rows = featured(docs, labels, id_col, text_col, lang_col, source_col, label_col)
+    return score_features(rows, fit_features(rows, fit_rows)).withColumnRenamed("key", id_col)

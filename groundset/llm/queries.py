@@ -47,9 +47,8 @@ def op4_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    model = quality.fit(docs, _table(spark, sf_dir, "labels"))
-    return quality.score(docs.select("doc_id", "text", "lang", "source"), model).select("doc_id", "p_text", "p_meta", "quality_score", (F.col("quality_score") >= 0.5).alias("kept"))
+    found = quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.withColumn("kept", F.col("quality_score") >= 0.5)
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

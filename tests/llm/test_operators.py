@@ -544,9 +544,47 @@ def test_quality_classifier(spark, edge, none):
     folder = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     held = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
-    model = quality.fit(docs, labels.where(~held))
-    got = quality.score(docs.join(labels.where(held), "doc_id"), model).collect()
+    got = quality.quality_scores(docs, labels.where(~held)).join(labels.where(held), "doc_id").collect()
     assert sum((r.quality_score >= 0.5) == bool(r.quality) for r in got) / len(got) >= 0.95
     assert all(0 <= x <= 1 for r in got for x in (r.p_text, r.p_meta, r.quality_score))
-    assert quality.score(edge, model).where("quality_score IS NULL").count() == 0 and quality.score(none, model).count() == 0
-    assert quality.fit(docs, labels.limit(0)) is None and quality.score(edge, None).where("quality_score IS NOT NULL").count() == 0
+    told = spark.createDataFrame([(1, 1), (8, 0), (9, 1), (11, 0), (6, 1), (6, 0)], "doc_id long, quality int")
+    scored = quality.quality_scores(edge, told).collect()
+    assert Counter(r.doc_id for r in scored) == Counter(r[0] for r in EDGE) and all(r.quality_score is not None for r in scored)
+    assert quality.quality_scores(none, told).count() == 0
+    assert quality.quality_scores(edge, told.limit(0)).where("quality_score IS NOT NULL").count() == 0
+
+
+def test_quality_against_plain_loops(spark):
+    """The same co-training over dense rows in memory: every unlabelled row is scored in each round, and the averages of the sure ones handed over."""
+    folder = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = docs.withColumns({"h": F.xxhash64("doc_id"), "shard": F.pmod(F.xxhash64("doc_id"), F.lit(quality.SHARDS))}).collect()
+    label = {r.doc_id: r.quality for r in labels.collect()}
+    text, meta = np.zeros((len(rows), quality.BUCKETS)), np.zeros((len(rows), quality.META))
+    for i, r in enumerate(rows):
+        at, value = quality.text_features(r.text)
+        np.add.at(text[i], at, value)
+        meta[i] = quality.meta_features(r.text, r.lang, r.source)
+    known = sorted((i for i, r in enumerate(rows) if r.doc_id in label), key=lambda i: (rows[i].h, rows[i].doc_id))
+    free = [i for i, r in enumerate(rows) if r.doc_id not in label]
+    assert known and free
+
+    def pseudo(w_text, w_meta):
+        out, p = {}, {}
+        for name, x, w in (("meta", text, w_text), ("text", meta, w_meta)):
+            p[name] = {i: 1 / (1 + math.exp(-(x[i] @ w[:-1] + w[-1]))) for i in free}
+        for name, x in (("text", text), ("meta", meta)):
+            means, classes, n = [], [], []
+            for c in (0, 1):
+                for s in range(quality.SHARDS):
+                    sure = [i for i in free if rows[i].shard == s and (p[name][i] if c else 1 - p[name][i]) >= quality.SURE]
+                    if sure:
+                        means.append(x[sure].mean(0)), classes.append(float(c)), n.append(len(sure))
+            out[name] = np.array(means).reshape(len(n), x.shape[1]), np.array(classes), np.array(n, float)
+        return out
+
+    model = quality.co_train(quality._Dense(text[known]), quality._Dense(meta[known]), np.array([float(label[rows[i].doc_id]) for i in known]), pseudo)
+    z = np.stack([text @ model.text[:-1] + model.text[-1], meta @ model.meta[:-1] + model.meta[-1]], 1) / 10 * model.scale[:, 0] + model.scale[:, 1]
+    want = 1 / (1 + np.exp(-(z / 10 @ model.combine[:-1] + model.combine[-1])))
+    got = {r.doc_id: r.quality_score for r in quality.quality_scores(docs, labels).collect()}
+    assert all(math.isclose(got[r.doc_id], w, abs_tol=1e-4) for r, w in zip(rows, want))
