@@ -186,17 +186,18 @@ def _sure_sums(shared, sure: float):
     return run
 
 
-def featured(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", key_col: str | None = None) -> DataFrame:
-    """(key, id, y, shard, at, value, meta) of every row, written once: hashed features of both views, and the label or null."""
+def featured(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """(id, y, shard, at, value, meta) of every row, written once: hashed features of both views, and the label of at most `fit_rows` ids, taken
+    by a hash of the id; null for all others."""
     given = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("double").alias("y")).where("id IS NOT NULL AND y IN (0, 1)").groupBy("id").agg(F.max("y").alias("y"))
-    base = docs.select(F.col(key_col or id_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s"))
-    # the labels have been written, so Spark knows their size and chooses the join by it
-    rows = base.join(stored(given), "id", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int"))
-    return stored(rows.select("key", "id", "y", "shard", F.pandas_udf(_features, _FEATURES)("t", "l", "s").alias("f")).select("key", "id", "y", "shard", "f.*"))
+    taken = F.broadcast(given.orderBy(F.xxhash64("id"), "id").limit(fit_rows))
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"), F.col(source_col).cast("string").alias("s"))
+    rows = base.join(taken, "id", "left").withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(SHARDS)).cast("int"))
+    return stored(rows.select("id", "y", "shard", F.pandas_udf(_features, _FEATURES)("t", "l", "s").alias("f")).select("id", "y", "shard", "f.*"))
 
 
 def fit_features(rows: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS, sure: float = SURE) -> QualityModel | None:
-    """A model from `featured` rows: at most `fit_rows` labelled ones, taken by a hash of the id, and all unlabelled ones.
+    """A model from `featured` rows: at most `fit_rows` labelled ones, and all others, whose labels if any are not looked at.
 
     Each round scores every unlabelled row with both views, and sums the features of those that a view is sure of by class and shard; only
     these sums, whose number does not depend on the table, and the labelled sample reach the driver. None without a label of either class.
@@ -225,9 +226,9 @@ def fit_features(rows: DataFrame, fit_rows: int = FIT_ROWS, rounds: int = ROUNDS
 
 
 def score_features(rows: DataFrame, model: QualityModel | None) -> DataFrame:
-    """`featured` rows as (key, p_text, p_meta, quality_score); without a model all three are null."""
+    """`featured` rows as (id, p_text, p_meta, quality_score); without a model all three are null."""
     if model is None:
-        return rows.select("key", *[F.lit(None).cast("double").alias(c) for c in ("p_text", "p_meta", "quality_score")])
+        return rows.select("id", *[F.lit(None).cast("double").alias(c) for c in ("p_text", "p_meta", "quality_score")])
     shared = rows.sparkSession.sparkContext.broadcast(model)  # BUCKETS + META weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,9 +237,9 @@ def score_features(rows: DataFrame, model: QualityModel | None) -> DataFrame:
             words, meta = _views(batch)
             views = _calibrated(np.stack([words.dot(m.text[:-1]) + m.text[-1], meta.dot(m.meta[:-1]) + m.meta[-1]], 1), m.scale)
             both = views / 10 @ m.combine[:-1] + m.combine[-1]
-            yield pa.RecordBatch.from_arrays([batch["key"], *[pa.array(_sigmoid(z)) for z in (views[:, 0], views[:, 1], both)]], names=["key", "p_text", "p_meta", "quality_score"])
+            yield pa.RecordBatch.from_arrays([batch["id"], *[pa.array(_sigmoid(z)) for z in (views[:, 0], views[:, 1], both)]], names=["id", "p_text", "p_meta", "quality_score"])
 
-    return rows.select("key", "at", "value", "meta").mapInArrow(run, f"key {dict(rows.dtypes)['key']}, p_text double, p_meta double, quality_score double")
+    return rows.select("id", "at", "value", "meta").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, p_text double, p_meta double, quality_score double")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", label_col: str = "quality", fit_rows: int = FIT_ROWS) -> DataFrame:
@@ -249,5 +250,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     the same scores each; null ids are never labelled. Without a label of either class the scores are null; an empty table gives
     an empty result; other columns are not read. A document is kept at 0.5 or more.
     """
-    rows = featured(docs, labels, id_col, text_col, lang_col, source_col, label_col)
-    return score_features(rows, fit_features(rows, fit_rows)).withColumnRenamed("key", id_col)
+    rows = featured(docs, labels, id_col, text_col, lang_col, source_col, label_col, fit_rows)
+    return score_features(rows, fit_features(rows, fit_rows)).withColumnRenamed("id", id_col)
