@@ -15,7 +15,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from .common import stored
 
 #: Words of the distinct-word table that are broadcast, at most, and the characters of such a word; words that a task remembers besides.
-BROADCAST_WORDS, BROADCAST_CHARS, TASK_WORDS = 1 << 17, 64, 1 << 17
+BROADCAST_WORDS, BROADCAST_CHARS, TASK_WORDS = 1 << 17, 64, 3 << 16
 #: Words are cut at ASCII white space only; other white space stays inside a word, where the tokenizer drops it.
 _WORD = re.compile(r"[^ \t-\r]+")
 _BATCH = 4096
