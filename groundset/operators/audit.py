@@ -142,3 +142,18 @@ def voters(votes: DataFrame, voter: str, vote: str, gold: str, confirmed: str) -
         F.count("*").alias("n"), F.round(F.avg(agree), 6).alias("agreement"), F.count(F.when(F.col(vote) == "none", 1)).alias("n_none"), F.count(F.when(F.col(vote).isNull(), 1)).alias("n_unparsed"),
         over(F.col(confirmed)).alias("on_confirmed"), over(~F.col(confirmed)).alias("on_rejected"),
     )
+
+
+def regeneration(questions: DataFrame, issues: DataFrame, checks: DataFrame, item: str, kind: str, discard: tuple[str, ...] = ("answerable", "off_topic", "unfaithful")) -> DataFrame:
+    """Per item with issues: the types to write anew, the types that stay, whether a type was flagged in two passes, and how many new candidates go.
+
+    `questions` and `issues` hold (item, kind), issues also `pass`; `checks` (item, kind, verdict) is an independent look at the new candidates, and
+    those with a verdict of `discard` go. Types of an item are few.
+    """
+    flagged = issues.groupBy(item, kind).agg(F.countDistinct("pass").alias("_n"))
+    bad = checks.where(F.col("verdict").isin(*discard)).select(item, kind).distinct().withColumn("_bad", F.lit(True))
+    marked = questions.select(item, kind).distinct().join(flagged.hint("merge"), [item, kind], "left").join(bad.hint("merge"), [item, kind], "left")
+    again = F.col("_n").isNotNull()
+    names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col(kind)))), ",")
+    r = marked.groupBy(item).agg(names(again).alias("regen_types"), names(~again).alias("kept"), F.coalesce(F.max("_n") >= 2, F.lit(False)).alias("second_pass"), F.count(F.when(again & F.col("_bad"), 1)).alias("n_discarded"), F.count("_n").alias("_some"))
+    return r.where("_some > 0").drop("_some")

@@ -77,12 +77,14 @@ def with_fallback(hits: DataFrame, query_id: str, ok: Column) -> DataFrame:
     return hits.withColumn("_any", any_ok).where(ok | ~F.col("_any")).drop("_any")
 
 
-def diverse(hits: DataFrame, query_id: str, doc_id: str, source: str, k: int) -> DataFrame:
-    """k passages of each query: the best of each source first, by score, then the others by score."""
-    first = F.row_number().over(W.partitionBy(query_id, source).orderBy(F.desc("score"), doc_id)) == 1
-    tiered = hits.withColumn("_first", first)
-    order = W.partitionBy(query_id).orderBy(F.desc("_first"), F.desc("score"), doc_id)
-    return tiered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_first")
+def diverse(hits: DataFrame, query_id: str, doc_id: str, source: str, k: int, anchor: Column | None = None) -> DataFrame:
+    """k passages of each query: the hit that `anchor` pins, if there is one, the best of each other source by score, then the rest by score."""
+    pinned = hits.withColumn("_pin", F.coalesce(anchor, F.lit(False)) if anchor is not None else F.lit(False))
+    taken = F.max(F.when(F.col("_pin"), F.col(source))).over(W.partitionBy(query_id))
+    best = F.row_number().over(W.partitionBy(query_id, source).orderBy(F.desc("score"), doc_id)) == 1
+    tiered = pinned.withColumn("_first", best & ~F.coalesce(F.col(source) == taken, F.lit(False)))
+    order = W.partitionBy(query_id).orderBy(F.desc("_pin"), F.desc("_first"), F.desc("score"), doc_id)
+    return tiered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("_pin", "_first")
 
 
 def retrieval_report(hits: DataFrame, query_id: str, source: str, on_topic: Column, least: tuple[int, int] = (4, 3)) -> DataFrame:

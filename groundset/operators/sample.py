@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.columns import jaccard, md5_int, tokens
+from ..functions.columns import jaccard, length_band, md5_int, tokens
 
 
 def draw(salt: str, key: str) -> Column:
@@ -130,3 +130,21 @@ def distractors(records: DataFrame, item: str, hard: bool, n: int = 3, most: int
     mixed = F.transform(F.array_sort(F.transform(answers, lambda o: F.struct(md5_int(F.concat(F.col(item).cast("string"), F.lit("opt"), o)).alias("h"), o.alias("o")))), lambda x: x["o"])
     done = chosen.select(item, "_gold", mixed.alias("options"), F.exists("_kept", lambda k: k["stage"] > 2).alias("fell_back"))
     return done.select(item, "options", (F.array_position("options", F.col("_gold")) - 1).alias("gold_position"), "fell_back")
+
+
+def collect_arm(jobs: DataFrame, replies: DataFrame, item: str, kind: str, order: list[str]) -> DataFrame:
+    """(item, kind, place, target, words, choice, in_band) for every job: the n-th job of an item and type takes the n-th reply to them.
+
+    `jobs` has `target`, `replies` have `words` and `choice`; of a job without a reply these are null and it is out of its band.
+    """
+    placed = lambda df: df.withColumn("place", F.row_number().over(W.partitionBy(item, kind).orderBy(*order)))
+    told = placed(replies).select(item, kind, "place", "words", "choice")
+    low, high = length_band(F.col("target"))
+    met = placed(jobs).select(item, kind, "place", "target").join(told.hint("merge"), [item, kind, "place"], "left")
+    return met.withColumn("in_band", F.coalesce(F.col("words").between(low, high), F.lit(False)))
+
+
+def arm_report(collected: DataFrame, kind: str, n_options: int) -> DataFrame:
+    """Per type: jobs, answered ones, replies that name an option there is, replies in their length band."""
+    n = lambda c, name: F.count(F.when(c, 1)).alias(name)
+    return collected.groupBy(kind).agg(F.count("*").alias("n_jobs"), F.count("words").alias("n_answered"), n(F.col("choice").between(0, n_options - 1), "n_valid"), n(F.col("in_band"), "n_in_band"))

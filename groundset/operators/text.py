@@ -147,3 +147,24 @@ def best_candidate(df: DataFrame, key: str, n: Column, target: Column, order: li
     low, high = C.length_band(target)
     place = F.struct((~n.between(low, high)).alias("out"), F.abs(n - target).alias("gap"), *order)
     return df.groupBy(key).agg(F.min(place).alias("best"), F.count("*").alias("n_candidates"))
+
+
+def telegraphed(question: Column, answer: Column, least: float = 0.5, pattern: str = "[a-z0-9]+") -> Column:
+    """Whether a question holds at least `least` of the distinct words of its answer; not if the answer has none."""
+    words = F.array_distinct(C.tokens(answer, pattern))
+    shared = F.size(F.array_intersect(words, C.tokens(question, pattern)))
+    return F.coalesce((F.size(words) > 0) & (shared >= least * F.size(words)), F.lit(False))
+
+
+def generalized(text: Column, rules: list[tuple[str, str]]) -> Column:
+    """`text` with what each pattern matches replaced by its general term, in the order of the rules."""
+    for pattern, term in rules:
+        text = F.regexp_replace(text, pattern, term)
+    return text
+
+
+def mark_repeats(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
+    """`df` with `repeats`: an earlier text of the group, by `order`, has the same set of words. The first one is found by a grouped minimum."""
+    keyed = df.withColumn("_w", F.xxhash64(F.array_sort(F.array_distinct(C.tokens(F.col(text))))))
+    first = keyed.groupBy(group, "_w").agg(F.min(order).alias("_first"))
+    return keyed.join(first.hint("merge"), [group, "_w"], "left").withColumn("repeats", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_w", "_first")

@@ -259,3 +259,13 @@ def browse_items(t):
     c = t.conversations.join(t.labels.select(F.col("doc_id").alias("conv_id"), F.lit(True).alias("seen")).hint("merge"), "conv_id", "left")
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
     return c.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max(F.coalesce("seen", F.lit(False))).alias("has_human"), F.translate(F.array_join(turns, " "), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("blob"))
+
+
+@query("""WITH q AS (SELECT DISTINCT l_orderkey, l_returnflag AS kind FROM lineitem), i AS (SELECT l_orderkey, l_returnflag AS kind, count(DISTINCT l_suppkey % 2) AS n FROM lineitem WHERE l_tax > 0.05 GROUP BY 1, 2), b AS (SELECT DISTINCT l_orderkey, l_returnflag AS kind, true AS bad FROM lineitem WHERE l_linenumber % 4 < 2)
+SELECT l_orderkey, string_agg(kind, ',' ORDER BY kind) FILTER (n IS NOT NULL) AS regen_types, coalesce(string_agg(kind, ',' ORDER BY kind) FILTER (n IS NULL), '') AS kept, max(n) >= 2 AS second_pass, count(*) FILTER (n IS NOT NULL AND bad) AS n_discarded
+FROM q LEFT JOIN i USING (l_orderkey, kind) LEFT JOIN b USING (l_orderkey, kind) GROUP BY 1 HAVING count(n) > 0""")
+def regeneration_plan(t):
+    rows = t.lineitem.withColumn("kind", F.col("l_returnflag"))
+    issues = rows.where("l_tax > 0.05").withColumn("pass", F.col("l_suppkey") % 2)
+    verdict = F.when(F.col("l_linenumber") % 4 == 0, "answerable").when(F.col("l_linenumber") % 4 == 1, "off_topic").otherwise("fine")
+    return A.regeneration(rows, issues, rows.withColumn("verdict", verdict), "l_orderkey", "kind")

@@ -60,6 +60,13 @@ def diverse_topk(t):
     return V.diverse(_hits(t), "query_id", "vec_id", "label", 6).select("query_id", "vec_id", "label", "rank")
 
 
+@query(_KNN + """, p AS (SELECT *, max(label) FILTER (r = 4) OVER (PARTITION BY query_id) AS own FROM h), f AS (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) = 1 AND label <> own AS first FROM p)
+SELECT query_id, vec_id, label, row_number() OVER (PARTITION BY query_id ORDER BY r = 4 DESC, first DESC, score DESC, vec_id) AS rank FROM f QUALIFY rank <= 6""")
+def anchored_topk(t):
+    """The fourth hit is the passage that an item cites already: it stays, and its source counts as seen."""
+    return V.diverse(_hits(t), "query_id", "vec_id", "label", 6, F.col("rank") == 4).select("query_id", "vec_id", "label", "rank")
+
+
 @query(_DIVERSE + ", r AS (SELECT query_id, sum((label < 5)::INT)::BIGINT AS on_topic, count(DISTINCT label) AS sources FROM d GROUP BY 1) SELECT *, on_topic >= 4 AND sources >= 3 AS ok FROM r")
 def retrieval_gate(t):
     return V.retrieval_report(V.diverse(_hits(t), "query_id", "vec_id", "label", 6), "query_id", "label", F.col("label") < 5)

@@ -124,3 +124,13 @@ def mcq_distractors_easy(t):
 @query()
 def mcq_distractors_hard(t):
     return P.distractors(_answers(t), "doc_id", hard=True)
+
+
+@query("""WITH j AS (SELECT l_orderkey, l_linestatus AS kind, l_quantity::INT AS target, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS place FROM lineitem),
+r AS (SELECT l_orderkey, l_linestatus AS kind, (l_partkey % 50 + 1)::INT AS words, l_suppkey % 6 AS choice, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS place FROM lineitem WHERE l_tax >= 0.03)
+SELECT kind, count(*) AS n_jobs, count(words) AS n_answered, count(*) FILTER (choice < 5) AS n_valid, count(*) FILTER (words BETWEEN greatest(1, round_even(least(target * 0.8::DOUBLE, target - 5.0::DOUBLE), 0)::INT) AND round_even(greatest(target * 1.25::DOUBLE, target + 5.0::DOUBLE), 0)::INT) AS n_in_band
+FROM j LEFT JOIN r USING (l_orderkey, kind, place) GROUP BY 1""")
+def arm_by_type(t):
+    """Jobs are lines of an order by type, the arm's replies those of them that it answered, in order."""
+    rows = t.lineitem.withColumns({"kind": F.col("l_linestatus"), "target": F.col("l_quantity").cast("int"), "words": (F.col("l_partkey") % 50 + 1).cast("int"), "choice": F.col("l_suppkey") % 6})
+    return P.arm_report(P.collect_arm(rows, rows.where("l_tax >= 0.03"), "l_orderkey", "kind", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]), "kind", 5)

@@ -170,3 +170,21 @@ def best_candidate(t):
 def quality_flags(t):
     x = F.col("text")
     return t.conversations.select("conv_id", "turn", x.rlike("^[A-Z ]{4,}").alias("header_noise"), (F.regexp_count(x, F.lit(r"\S+")) < 4).alias("too_short"), x.contains("?").alias("asks"))
+
+
+_WORDS = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+
+
+@query(rf"""WITH c AS (SELECT conv_id, turn, role, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role FROM conversations),
+w AS (SELECT conv_id, turn, text, {_WORDS.format("text")} AS qw, {_WORDS.format("answer")} AS aw FROM c WHERE role = 'user' AND next_role = 'assistant')
+SELECT conv_id, turn, coalesce(len(aw) > 0 AND len(list_intersect(aw, qw)) >= 0.3::DOUBLE * len(aw), false) AS telegraphs, turn > min(turn) OVER (PARTITION BY conv_id, list_sort(qw)) AS repeats,
+ md5(regexp_replace(regexp_replace(text, '[0-9]+', '#', 'g'), '\bthe\b', 'a', 'g')) AS general FROM w""")
+def question_policies(t):
+    """Questions that tell their answer, that repeat an earlier one of the item, and their text with general terms."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("conv_id").orderBy("turn")
+    c = t.conversations.select("conv_id", "turn", "role", "text", F.lead("text").over(w).alias("answer"), F.lead("role").over(w).alias("next_role")).where("role = 'user' AND next_role = 'assistant'")
+    told = T.telegraphed(F.col("text"), F.col("answer"), 0.3).alias("telegraphs")
+    general = F.md5(T.generalized(F.col("text"), [("[0-9]+", "#"), (r"\bthe\b", "a")])).alias("general")
+    return T.mark_repeats(c, "conv_id", "turn", "text").select("conv_id", "turn", told, "repeats", general)
