@@ -194,15 +194,16 @@ def _across(similarity: float):
 def _left_apart(met: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of a band's members that `links` leave in different groups and whose long sketches don't rule them out.
 
-    A bucket's members are compared in blocks of BLOCK_ROWS; a bucket of two has been settled by its tie.
+    A bucket's members are dealt by hash to blocks of about BLOCK_ROWS, so that no task reads a whole bucket, and every two
+    blocks are compared; a bucket of two has been settled by its tie.
     """
     groups = components(links)
     placed = merge_join(met.where(f"members > 2 AND kind >= {len(_MASKS)}"), groups.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high").select("bucket", "rows")
-    numbered = cut(merge_join(placed, mixed, "bucket").withColumn("block", F.floor((F.row_number().over(W.partitionBy("bucket").orderBy("root", "class")) - 1) / BLOCK_ROWS).cast("int")))
+    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high").select("bucket", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
+    numbered = cut(merge_join(placed, stored(mixed), "bucket").withColumn("block", F.pmod(F.xxhash64("class"), "blocks")))
     marks = merge_join(sets, numbered.select("class").distinct(), "class", "left_semi").select("class", F.size("s").alias("n"), _long_sketches("s").alias("sketch"))
-    last = F.floor((F.col("rows") - 1) / BLOCK_ROWS).cast("int")
-    dealt = merge_join(numbered, stored(marks), "class").withColumn("other", F.explode(F.sequence(F.lit(0), last))).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "root", "n", "sketch")
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    dealt = merge_join(numbered, stored(marks), "class").withColumn("other", others).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "root", "n", "sketch")
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInPandas(_across(similarity), "a long, b long").distinct()
 
 
@@ -227,12 +228,14 @@ def _near_rows(docs: DataFrame, key: str, id_col: str, text_col: str, words: int
     masks = F.array(*[F.lit(m).cast("long") for m in _MASKS])
     keys = F.concat(F.transform(masks, lambda m: F.xxhash64(F.lit("ball"), F.col("fp").bitwiseXOR(m))), "bands")
     each = classes.select("class", F.posexplode(keys).alias("kind", "bucket"))
-    met = stored(each.withColumn("members", F.count("*").over(W.partitionBy("bucket"))).where("members > 1"))
+    # counts and hubs are small and written first, so that AQE can split a hot bucket in the joins with them
+    crowded = stored(each.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    met = stored(merge_join(each, crowded, "bucket").select("class", "kind", "bucket", "members"))
     # every member is tied to the one that meets most others: of edits of one text, to that text
     degree = met.groupBy("class").agg(F.sum("members").alias("degree"))
     placed = merge_join(met, degree, "class")
     hubs = placed.groupBy("bucket").agg(F.max(F.struct("degree", (-F.col("class")).alias("less"))).alias("hub")).select("bucket", (-F.col("hub.less")).alias("a"))
-    pairs = merge_join(met.select("bucket", F.col("class").alias("b")), hubs, "bucket").where("a != b").select("a", "b").distinct()
+    pairs = merge_join(met.select("bucket", F.col("class").alias("b")), stored(hubs), "bucket").where("a != b").select("a", "b").distinct()
     marks = classes.select("class", "sketch")
     pairs = merge_join(merge_join(pairs, marks.select(F.col("class").alias("b"), F.col("sketch").alias("mb")), "b"), marks.select(F.col("class").alias("a"), F.col("sketch").alias("ma")), "a")
     pairs = stored(pairs.where(_promising(similarity)("ma", "mb")).select("a", "b"))
