@@ -166,6 +166,7 @@ def _long_sketches(sets: pd.Series) -> pd.Series:
 def _across(similarity: float):
     """Pairs of members of two blocks of a bucket that lie in different groups and must be verified. Rows come sorted by pair of blocks.
 
+    A pair counts in the first band it shares only; if that bucket holds no third member, its tie has settled the pair.
     Of one-bit values of sets with Jaccard similarity J, those that agree exceed those that differ by a share of J.
     """
     least = similarity - SLACK * math.sqrt((1 - similarity**2) / LONG)
@@ -175,7 +176,10 @@ def _across(similarity: float):
         bits = np.unpackbits(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1), axis=1).astype(np.float32) * 2 - 1
         fit = np.minimum(sizes[:, None], sizes[None, :]) >= (similarity - 1e-9) * np.maximum(sizes[:, None], sizes[None, :])
         i, j = np.nonzero(np.triu((bits @ bits.T >= least * LONG) & fit & (roots[:, None] != roots[None, :]), 1))
-        return pd.DataFrame({"a": names[i], "b": names[j]}, dtype="int64")
+        bands, met = np.stack(g["bands"]), np.zeros(len(i), bool)
+        for band in range(int(g["kind"].iloc[0]) - len(_MASKS)):
+            met |= bands[i, band] == bands[j, band]
+        return pd.DataFrame({"a": names[i[~met]], "b": names[j[~met]]}, dtype="int64")
 
     def run(batches):
         held = None
@@ -191,19 +195,20 @@ def _across(similarity: float):
     return run
 
 
-def _left_apart(met: DataFrame, links: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _left_apart(met: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """Pairs of a band's members that `links` leave in different groups and whose long sketches don't rule them out.
 
     A bucket's members are dealt by hash to blocks of about BLOCK_ROWS, so that no task reads a whole bucket, and every two
     blocks are compared; a bucket of two has been settled by its tie.
     """
     groups = components(links)
-    placed = merge_join(met.where(f"members > 2 AND kind >= {len(_MASKS)}"), groups.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "class", F.coalesce("root", "class").alias("root"))
+    placed = merge_join(met.where(f"members > 2 AND kind >= {len(_MASKS)}"), groups.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "kind", "class", F.coalesce("root", "class").alias("root"))
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high").select("bucket", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
     numbered = cut(merge_join(placed, stored(mixed), "bucket").withColumn("block", F.pmod(F.xxhash64("class"), "blocks")))
     marks = merge_join(sets, numbered.select("class").distinct(), "class", "left_semi").select("class", F.size("s").alias("n"), _long_sketches("s").alias("sketch"))
+    marks = merge_join(classes.select("class", "bands"), marks, "class")
     others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = merge_join(numbered, stored(marks), "class").withColumn("other", others).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "class", "root", "n", "sketch")
+    dealt = merge_join(numbered, stored(marks), "class").withColumn("other", others).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "kind", "class", "root", "n", "sketch", "bands")
     return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInPandas(_across(similarity), "a long, b long").distinct()
 
 
@@ -243,7 +248,7 @@ def _near_rows(docs: DataFrame, key: str, id_col: str, text_col: str, words: int
     # `wanted` has been written, so Spark knows its size and chooses the join by it
     sets = stored(docs.select(F.col(key).alias("wanted"), F.col(text_col).alias("text")).join(wanted, "wanted").select("class", _sets(words)("text").alias("s")))
     links = _verified(pairs, sets, similarity)
-    links = links.union(_verified(_left_apart(met, links, sets, similarity), sets, similarity))
+    links = links.union(_verified(_left_apart(met, links, classes, sets, similarity), sets, similarity))
     placed = merge_join(classes.select("class", "h1", "h2", "best"), components(links).select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     told = merge_join(placed.select("h1", "h2", "root"), placed.groupBy("root").agg(F.min("best").alias("best")), "root").select("h1", "h2", "best")
     return merge_join(rows.select("key", "id", "h1", "h2"), told, ["h1", "h2"]).select("key", "id", "best")
