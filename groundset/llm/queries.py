@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, exact_dedup, html_text, langid, lm_score, mixing, quality, repeats, simhash
+from . import bpe, byte_bpe, conversation, embedding_dedup, exact_dedup, html_text, langid, lm_score, mixing, quality, repeats, simhash, spelling
+from .common import merge_join, stored
 
 #: Folder of the public tokenizers' files.
 TOKENIZERS = os.environ.get("GROUNDSET_TOKENIZERS", "/opt/tokenizers")
@@ -78,8 +79,44 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.embedding_groups(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(_table(spark, sf_dir, "documents"))
+    h = F.crc32(F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("run")))
+    at = (h % F.length("run")).cast("int")
+    damaged = F.when(h % 199 == 0, F.concat(F.substring(F.col("run"), F.lit(1), at), F.substring(F.col("run"), at + 2, F.length("run")))).otherwise(F.col("run"))
+    return spelling.variant_forms(spelling.word_counts(runs.select(damaged.alias("word"))))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, path).select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def damaged_turns(conversations: DataFrame) -> DataFrame:
+    """`conversations` with the faults that operator 13 is asked to repair, dealt by the checksum of conversation and turn."""
+    space = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    rows = conversations.select("conv_id", "turn", space("role").alias("role"), space("text").alias("text"), (F.crc32(F.concat(space("conv_id"), F.lit(":"), space("turn"))) % 20).alias("kind"))
+    text = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    times = F.when(F.col("kind") == 3, 2).otherwise(1)
+    return rows.where("kind != 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.array_repeat(F.lit(0), times))).drop("col")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = _table(spark, sf_dir, "conversations")
+    repaired = stored(conversation.repair(damaged_turns(given)))
+    same = F.col("conv_id").eqNullSafe(F.col("conv"))
+    found = merge_join(given.select("conv_id").distinct(), conversation.report(repaired), same, "left").drop("conv")
+    found = merge_join(found, conversation.digests(repaired), same, "left")
+    numbers = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return found.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_mix, op4_stupid_backoff, op5_quality, op6_exact_dedup, op7_remove_repeats, op8_main_text, op9_bpe, op10_embedding_dedup)}
+    return {f.__name__: f for f in (op1_language_id, op2_simhash, op3_mix, op4_stupid_backoff, op5_quality, op6_exact_dedup, op7_remove_repeats, op8_main_text, op9_bpe, op10_embedding_dedup, op11_spelling, op12_byte_bpe, op13_conversations)}
 
 
 _OP3 = r"""
