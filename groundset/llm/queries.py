@@ -159,5 +159,71 @@ FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id NULLS LA
 """
 
 
+_CRC = """
+-- the table of CRC-32 by byte
+crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS t)"""
+
+
+def _crc32(key: str) -> str:
+    """CRC-32 of the UTF-8 bytes of an SQL string, with `crc` in scope."""
+    data = f"list_transform(range(strlen({key})), lambda i: ('0x' || substr(hex({key}), 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295, {data}), lambda c, b: xor(t[(xor(c, b) & 255) + 1], c >> 8)), 4294967295)"
+
+
+_OP11 = rf"""
+WITH RECURSIVE {_CRC},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+keyed AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS key FROM runs WHERE length(run) >= 6),
+summed AS (SELECT run, {_crc32("key")} AS h FROM keyed, crc),
+words AS (
+  SELECT word, count(*) AS n FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word FROM summed)
+  WHERE length(word) >= 6 GROUP BY 1 HAVING count(*) >= 5),
+-- words that differ by one edit: one is the other without a code point, or both are equal without the one at the same place
+less AS (SELECT DISTINCT word, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+one AS (
+  SELECT l.word AS a, w.word AS b FROM less l JOIN words w ON w.word = l.rest
+  UNION SELECT x.word, y.word FROM less x JOIN less y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word),
+near AS (SELECT a, b FROM one UNION SELECT b, a FROM one),
+best AS (SELECT a AS word, count(*) AS n_near, arg_min(b, {{'n': -w.n, 'b': b}}) AS b, max(w.n) AS n FROM near JOIN words w ON w.word = b GROUP BY 1),
+forms AS (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 5 * w.n THEN b END AS form, CASE WHEN best.n >= 5 * w.n THEN best.n END AS form_n FROM words w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS root, form AS next FROM forms UNION ALL SELECT walk.word, f.word, f.form FROM walk JOIN forms f ON f.word = walk.next)
+SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN walk ON walk.word = f.word AND walk.next IS NULL
+"""
+
+_OP13 = rf"""
+WITH RECURSIVE {_CRC},
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS key FROM conversations),
+dealt AS (SELECT conv_id, turn, role, text, {_crc32("key")} % 20 AS kind FROM given, crc),
+damaged AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) FROM dealt WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS last FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 AS again FROM placed),
+faulty AS (SELECT *, substr(role, 1, 1) AS r, CASE WHEN last = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN last NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM seen),
+counts AS (
+  SELECT conv_id, max(pos) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || r NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM (SELECT *, lag(r) OVER (PARTITION BY conv_id ORDER BY pos) AS before FROM faulty) GROUP BY 1),
+-- states: nothing yet, after a system, a user's, an assistant's turn; insertions from one to another
+inserted(q, r, c, a, o) AS (
+  VALUES (0, 0, 0, '', []::VARCHAR[]), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 5, 'I', ['user:']), (0, 3, 10, 'II', ['user:', 'assistant:']),
+         (1, 2, 5, 'I', ['user:']), (1, 3, 10, 'II', ['user:', 'assistant:']), (2, 3, 5, 'I', ['assistant:']), (3, 2, 5, 'I', ['user:'])),
+steps(q, role, r) AS (VALUES (0, 's', 1), (0, 'u', 2), (1, 'u', 2), (2, 'a', 3), (3, 'u', 2)),
+edits AS (
+  SELECT conv_id, pos, q, q AS r, 2 AS c, 'D' AS a, []::VARCHAR[] AS o FROM faulty, (SELECT DISTINCT unnest([0, 1, 2, 3]) AS q)
+  UNION ALL SELECT conv_id, pos, q, s.r, CASE fault WHEN 'truncated' THEN 5 ELSE 0 END, 'K', [f.role || ':' || text] FROM faulty f JOIN steps s ON s.role = f.r WHERE fault IN ('', 'truncated')
+  UNION ALL SELECT conv_id, pos, q, s.r, CASE fault WHEN 'truncated' THEN 6 ELSE 1 END, 'R', [CASE s.role WHEN 'u' THEN 'user:' ELSE 'assistant:' END || text] FROM faulty f, steps s WHERE s.role <> 's' AND fault IN ('', 'truncated')),
+moves AS (SELECT conv_id, pos, e.q, i.r, min({{'c': e.c + i.c, 'a': e.a || i.a, 'o': e.o || i.o}}) AS best FROM edits e JOIN inserted i ON i.q = e.r GROUP BY ALL),
+walk AS (
+  SELECT conv_id, 0::BIGINT AS pos, r, {{'c': c, 'a': a, 'o': o}} AS best FROM counts, inserted WHERE q = 0
+  UNION ALL SELECT w.conv_id, w.pos + 1, m.r, min({{'c': w.best.c + m.best.c, 'a': w.best.a || m.best.a, 'o': w.best.o || m.best.o}})
+  FROM walk w JOIN moves m ON m.conv_id IS NOT DISTINCT FROM w.conv_id AND m.pos = w.pos + 1 AND m.q = w.r GROUP BY w.conv_id, w.pos + 1, m.r),
+least AS (SELECT c.conv_id, min(best) AS best FROM counts c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = c.n WHERE w.r IN (0, 3) GROUP BY 1)
+SELECT g.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) g LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN least l ON l.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix": _OP3, "op6_exact_dedup": _OP6}
+    return {"op3_mix": _OP3, "op6_exact_dedup": _OP6, "op11_spelling": _OP11, "op13_conversations": _OP13}
