@@ -38,21 +38,29 @@ def stored(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    with freed_shuffles(df.sparkSession):
+    with lean(df.sparkSession):
         df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
-def freed_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, the shuffle files of a query go when the query ends, not when the driver next collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
+def configured(spark: SparkSession, **conf: str) -> Iterator[None]:
+    """Within it, the session has the given settings (`__` for a dot); those of before come back."""
+    names = {name.replace("__", "."): value for name, value in conf.items()}
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def lean(spark: SparkSession):
+    """Settings of eager steps: shuffle files go when the query ends, not when the driver next collects its garbage, and a batch for Python has
+    8 MB at most, as batches of 64 MB of long texts are held several times over by the task and its worker."""
+    return configured(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true", spark__sql__execution__arrow__maxBytesPerBatch="8m")
 
 
 def merge_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:

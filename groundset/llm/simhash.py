@@ -164,7 +164,8 @@ def _long_sketches(sets: pd.Series) -> pd.Series:
 
 
 def _across(similarity: float):
-    """Pairs of members of two blocks of a bucket that lie in different groups and must be verified. Rows come sorted by pair of blocks.
+    """Pairs of a bucket's strays and its members that lie in different groups and must be verified. Rows come sorted by pair of blocks: those
+    that ask (strays) and those that answer (all members); of two strays the smaller asks.
 
     A pair counts in the first band it shares only; if that bucket holds no third member, its tie has settled the pair.
     Of one-bit values of sets with Jaccard similarity J, those that agree exceed those that differ by a share of J.
@@ -172,14 +173,18 @@ def _across(similarity: float):
     least = similarity - SLACK * math.sqrt((1 - similarity**2) / LONG)
 
     def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        names, roots, sizes = (g[c].to_numpy() for c in ("class", "root", "n"))
+        asks = g["asks"].to_numpy(bool)
+        if asks.all() or not asks.any():
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
         bits = np.unpackbits(np.frombuffer(b"".join(g["sketch"]), np.uint8).reshape(len(g), -1), axis=1).astype(np.float32) * 2 - 1
-        fit = np.minimum(sizes[:, None], sizes[None, :]) >= (similarity - 1e-9) * np.maximum(sizes[:, None], sizes[None, :])
-        i, j = np.nonzero(np.triu((bits @ bits.T >= least * LONG) & fit & (roots[:, None] != roots[None, :]), 1))
+        (names, other), (roots, root), (sizes, size), (_, stray) = (((x := g[c].to_numpy())[asks], x[~asks]) for c in ("class", "root", "n", "stray"))
+        fit = np.minimum(sizes[:, None], size[None, :]) >= (similarity - 1e-9) * np.maximum(sizes[:, None], size[None, :])
+        i, j = np.nonzero((bits[asks] @ bits[~asks].T >= least * LONG) & fit & (roots[:, None] != root[None, :]) & (~stray[None, :].astype(bool) | (names[:, None] < other[None, :])))
         bands, met = np.stack(g["bands"]), np.zeros(len(i), bool)
+        left, right = bands[asks], bands[~asks]
         for band in range(int(g["kind"].iloc[0]) - len(_MASKS)):
-            met |= bands[i, band] == bands[j, band]
-        return pd.DataFrame({"a": names[i[~met]], "b": names[j[~met]]}, dtype="int64")
+            met |= left[i, band] == right[j, band]
+        return pd.DataFrame({"a": names[i[~met]], "b": other[j[~met]]}, dtype="int64")
 
     def run(batches):
         held = None
@@ -195,21 +200,36 @@ def _across(similarity: float):
     return run
 
 
-def _left_apart(met: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of a band's members that `links` leave in different groups and whose long sketches don't rule them out.
+def dealt_strays(placed: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """(bucket, i, j, asks, kind, class, root, stray): who is compared with whom in buckets of `placed` (bucket, kind, class, root) that hold several groups.
 
-    A bucket's members are dealt by hash to blocks of about BLOCK_ROWS, so that no task reads a whole bucket, and every two
-    blocks are compared; a bucket of two has been settled by its tie.
+    A bucket's members outside its largest group, its strays, are compared with all its members; those of the largest group are not compared with one
+    another, so a stray costs a crowd one pass. Both are dealt by hash to blocks of about BLOCK_ROWS, so no task reads
+    a whole bucket: a stray goes to each block of members, to ask, and every member to each block of strays, to answer.
     """
+    size = F.lit(block_rows or BLOCK_ROWS)
+    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("rows"))
+    mixed = sizes.groupBy("bucket").agg(F.max(F.struct("rows", "root")).alias("main"), F.sum("rows").alias("rows")).where("rows > main.rows")
+    mixed = stored(mixed.select("bucket", F.col("main.root").alias("main"), F.ceil((F.col("rows") - F.col("main.rows")) / size).alias("asking"), F.ceil(F.col("rows") / size).alias("answering")))
+    numbered = merge_join(placed, mixed, "bucket").withColumn("stray", F.col("root") != F.col("main"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    own = lambda n: F.pmod(F.xxhash64("class"), F.col(n))
+    asked = F.transform(upto("answering"), lambda j: F.struct(own("asking").alias("i"), j.alias("j"), F.lit(True).alias("asks")))
+    answered = F.transform(upto("asking"), lambda i: F.struct(i.alias("i"), own("answering").alias("j"), F.lit(False).alias("asks")))
+    cells = F.explode(F.when(F.col("stray"), F.concat(asked, answered)).otherwise(answered))
+    return numbered.withColumn("at", cells).select("bucket", "at.*", "kind", "class", "root", "stray")
+
+
+def _left_apart(met: DataFrame, links: DataFrame, classes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of a band's members that `links` leave in different groups and whose long sketches don't rule them out. A bucket of two has been
+    settled by its tie."""
     groups = components(links)
     placed = merge_join(met.where(f"members > 2 AND kind >= {len(_MASKS)}"), groups.select(F.col("node").alias("class"), "root"), "class", "left").select("bucket", "kind", "class", F.coalesce("root", "class").alias("root"))
-    mixed = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("rows")).where("low < high").select("bucket", F.ceil(F.col("rows") / BLOCK_ROWS).alias("blocks"))
-    numbered = cut(merge_join(placed, stored(mixed), "bucket").withColumn("block", F.pmod(F.xxhash64("class"), "blocks")))
-    marks = merge_join(sets, numbered.select("class").distinct(), "class", "left_semi").select("class", F.size("s").alias("n"), _long_sketches("s").alias("sketch"))
-    marks = merge_join(classes.select("class", "bands"), marks, "class")
-    others = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
-    dealt = merge_join(numbered, stored(marks), "class").withColumn("other", others).select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "kind", "class", "root", "n", "sketch", "bands")
-    return dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class").mapInPandas(_across(similarity), "a long, b long").distinct()
+    dealt = stored(dealt_strays(placed))
+    marks = merge_join(sets, dealt.select("class").distinct(), "class", "left_semi").select("class", F.size("s").alias("n"), _long_sketches("s").alias("sketch"))
+    marks = stored(merge_join(classes.select("class", "bands"), marks, "class"))
+    cells = merge_join(dealt, marks, "class").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "class")
+    return cells.mapInPandas(_across(similarity), "a long, b long").distinct()
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
