@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from .text import gram_table, held_grams
+from pyspark.sql.types import StructType
 
 
 def find_span(text: Column, quote: Column) -> tuple[Column, Column]:
@@ -32,21 +33,129 @@ def snap(df: DataFrame, text: str, quote: str) -> DataFrame:
     return placed.withColumns({"char_start": F.when(F.col("found").isNotNull(), at), "char_end": F.when(F.col("found").isNotNull(), at + F.length("found"))})
 
 
-def locate(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, text: str = "text", n: int = 4) -> DataFrame:
+#: (code points of a gram, grams of a window) by the least length of a quote without its white space: long quotes meet their documents on the least
+#: gram of a window, shorter ones on a gram of as many code points as they surely have.
+GRAMS = {32: (16, 17), 6: (6, 1), 3: (3, 1), 2: (2, 1), 1: (1, 1)}
+#: Distinct quote grams that are broadcast to the documents, at most: 8 bytes each.
+BROADCAST_ANCHORS = 1 << 20
+_MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
+
+
+def _gram_hashes(text: str, size: int) -> np.ndarray:
+    """64-bit hashes of all grams of `size` code points of a text without its ASCII white space, by doubling."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = (points[(points != 32) & ((points < 9) | (points > 13))] + np.uint64(1)) * _MIX
+    have, out, at = 1, None, 0
+    while True:
+        if size & have:  # the grams so far, followed by one of `have` code points
+            power = np.uint64(pow(_STEP, have, 1 << 64))
+            out, at = (h, have) if out is None else (out[: max(0, len(h) - at)] * power + h[at : at + len(out)], at + have)
+        if have * 2 > size:
+            break
+        h, have = h[: max(0, len(h) - have)] * np.uint64(pow(_STEP, have, 1 << 64)) + h[have:], have * 2
+    out = (out ^ (out >> np.uint64(31))) * _MIX
+    return out ^ (out >> np.uint64(29))
+
+
+def _window_least(h: np.ndarray, window: int) -> np.ndarray:
+    """The least of each `window` hashes in a row."""
+    have = 1
+    while have < window and len(h):
+        step = min(have, window - have)
+        h, have = np.minimum(h[: max(0, len(h) - step)], h[step:]), have + step
+    return h
+
+
+def _quote_gram(quotes: pd.Series) -> pd.DataFrame:
+    """The class and the gram of a quote: the least hash of its first window, or of all its grams."""
+    out = []
+    for quote in quotes:
+        kind, gram = None, None
+        size = len(quote) - sum(c in " \t\n\x0b\x0c\r" for c in quote) if quote else 0
+        if size:
+            kind = next(k for k in GRAMS if size >= k)
+            h = _gram_hashes(quote, GRAMS[kind][0])
+            gram = int((h[: GRAMS[kind][1]] if GRAMS[kind][1] > 1 else h).min().view(np.int64))
+        out.append((kind, gram))
+    return pd.DataFrame(out, columns=["kind", "gram"]).astype({"kind": "Int32", "gram": "Int64"})
+
+
+def _document_grams(kinds: list[int], wanted):
+    """(doc, gram) of the distinct grams of each text that quotes of these classes may have; only wanted ones, if they were broadcast."""
+
+    def run(batches):
+        own = wanted.value if wanted is not None else None
+        for batch in batches:
+            docs, grams = [], []
+            for doc, text in zip(batch["_doc"], batch["body"]):
+                held = np.unique(np.concatenate([_window_least(_gram_hashes(text, GRAMS[k][0]), GRAMS[k][1]) for k in kinds])).view(np.int64) if text else np.zeros(0, np.int64)
+                if own is not None:
+                    held = held[np.isin(held, own)] if len(own) < len(held) else held[own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held]
+                if len(held):
+                    docs.append(np.full(len(held), doc, dtype=object))
+                    grams.append(held)
+            if docs:
+                yield pd.DataFrame({"_doc": np.concatenate(docs), "gram": np.concatenate(grams)})
+
+    return run
+
+
+def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(quote, doc): pairs of quotes (quote, text) and documents (_doc, body) among which are all that hold a quote, also with other white space.
+
+    A document that holds a quote holds it without white space too. Then a quote of 32 code points or more has a window of 17 grams of 16 whose
+    least hash is the least of some window of the document; a shorter quote has a gram that is one of the document's. Quotes and documents meet on these hashes,
+    whatever the script and wherever in a word a quote begins. Grams that no quote has go where they arise, if the quotes' ones are few
+    enough to be broadcast, which is counted first; else both sides are shuffled by gram.
+    """
+    keyed = quotes.select("quote", F.pandas_udf(_quote_gram, "kind int, gram long")("text").alias("g")).select("quote", "g.*").where("kind IS NOT NULL")
+    kinds = [r["kind"] for r in keyed.select("kind").distinct().collect()]  # five at most
+    if not kinds:
+        return quotes.sparkSession.createDataFrame([], StructType([quotes.schema["quote"], docs.schema["_doc"]]))
+    some = keyed.select("gram").distinct()
+    few = some.limit(BROADCAST_ANCHORS + 1).toPandas()["gram"].to_numpy(np.int64)  # at most so many longs
+    wanted = quotes.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= BROADCAST_ANCHORS else None
+    found = docs.select("_doc", "body").mapInPandas(_document_grams(sorted(kinds), wanted), f"_doc {docs.schema['_doc'].dataType.simpleString()}, gram long")
+    return found.join(keyed.select("quote", "gram").hint("merge"), "gram").select("quote", "_doc")
+
+
+def locate(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, text: str = "text") -> DataFrame:
     """(quote, doc, found, char_start, char_end) for every document that holds a quote, also with other white space.
 
-    Quotes begin and end at word boundaries. Documents and quotes meet on one word n-gram of the quote, or on one
-    word of a quote that has fewer than n words; only these pairs are searched. Quotes without a word are not found.
+    Quotes may be in any script and begin or end inside a word. Candidates come from an index of gram hashes; only they are
+    searched, so every pair is exact. Null, empty and blank quotes are not found; a repeated quote id is a quote of its own.
     """
-    longer = gram_table(quotes, quote_id, text, n).groupBy(quote_id).agg(F.min("gram").alias("gram"))
-    shorter = gram_table(quotes, quote_id, text, 1).groupBy(quote_id).agg(F.min("gram").alias("gram")).join(longer.hint("merge"), quote_id, "left_anti")
-    named = docs.select(F.col(doc_id).alias("_doc"), text)
-    pairs = held_grams(named, "_doc", text, n, longer).join(longer.hint("merge"), "gram").select("_doc", quote_id)
-    if not shorter.isEmpty():
-        pairs = pairs.union(held_grams(named, "_doc", text, 1, shorter).join(shorter.hint("merge"), "gram").select("_doc", quote_id))
-    held = pairs.join(quotes.select(F.col(quote_id), F.col(text).alias("quote")).hint("shuffle_hash"), quote_id)
-    met = held.join(docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("body")).hint("merge"), "_doc")
-    return snap(met, "body", "quote").where("found IS NOT NULL").select(quote_id, F.col("_doc").alias(doc_id), "found", "char_start", "char_end")
+    q = quotes.select(F.col(quote_id).alias("quote"), F.col(text).alias("text"))
+    d = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("body"))
+    held = candidates(q, d).distinct().join(q.withColumnRenamed("text", "said").hint("shuffle_hash"), "quote")
+    met = held.join(d.hint("merge"), "_doc")
+    return snap(met, "body", "said").where("found IS NOT NULL").select(F.col("quote").alias(quote_id), F.col("_doc").alias(doc_id), "found", "char_start", "char_end")
+
+
+def assemble(parts: DataFrame, sources: DataFrame, item: str, number: str, kind: str, question: str, quote: str, cited: str, source_id: str, text: str = "text") -> DataFrame:
+    """Questions of items from generated parts: each part's quoted answer is snapped to the source it cites.
+
+    Returns every part with qid (`item#number`), answer (the exact text of the source), char_start, char_end, and `kept`: false where the quote
+    is not in the cited source or the source is unknown; then the answer and offsets are null. A part that cites nothing keeps the answer given
+    as its quote, and is dropped if that is null or empty.
+    """
+    given = parts.select(*parts.columns, F.col(cited).alias("_doc"))
+    body = sources.select(F.col(source_id).alias("_doc"), F.col(text).alias("_body"))
+    met = snap(given.join(body.hint("merge"), "_doc", "left"), "_body", quote)
+    free = F.col(cited).isNull()
+    kept = F.when(free, F.coalesce(F.col(quote), F.lit("")) != "").otherwise(F.col("found").isNotNull())
+    qid = F.concat_ws("#", F.col(item).cast("string"), F.col(number).cast("string"))
+    return met.select(item, qid.alias("qid"), kind, question, F.when(free, F.col(quote)).otherwise(F.col("found")).alias("answer"), F.col(cited), "char_start", "char_end", kept.alias("kept"))
+
+
+def assembly_report(assembled: DataFrame, sources: DataFrame, item: str, kind: str, cited: str, source_id: str, text: str = "text") -> DataFrame:
+    """Per kind: items, parts, parts kept and dropped, and kept ones whose offsets don't give their answer, which must be none."""
+    body = sources.select(F.col(source_id).alias(cited), F.col(text).alias("_body"))
+    told = F.expr("substring(_body, cast(char_start + 1 AS int), cast(char_end - char_start AS int))")
+    joined = assembled.join(body.hint("merge"), cited, "left")
+    bad = F.col("kept") & F.col(cited).isNotNull() & ~F.coalesce(told == F.col("answer"), F.lit(False))
+    n = lambda c: F.count(F.when(c, 1))
+    return joined.groupBy(kind).agg(F.countDistinct(item).alias("n_items"), F.count("*").alias("n_parts"), n(F.col("kept")).alias("n_kept"), n(~F.col("kept")).alias("n_dropped"), n(bad).alias("n_bad"))
 
 
 def mismatches(cited: DataFrame, chunks: DataFrame, key: str, text: str = "text") -> DataFrame:

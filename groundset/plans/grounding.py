@@ -19,6 +19,18 @@ def span_locate(t):
     return exact.select("item_id", "doc_id", "char_start", "char_end")
 
 
+@query("""WITH q AS (SELECT item_id * 3 AS quote_id, substr(text, 3, length(text) - 5) AS quote FROM benchmark UNION ALL SELECT item_id * 3 + 1, substr(text, 4, 12) FROM benchmark UNION ALL SELECT item_id * 3 + 2, substr(text, 2, 4) FROM benchmark WHERE item_id % 10 = 0)
+SELECT quote_id, doc_id, strpos(text, quote) - 1 AS char_start, strpos(text, quote) - 1 + length(quote) AS char_end FROM q JOIN documents ON contains(text, quote)""")
+def span_locate_inside(t):
+    """Quotes that begin and end inside words: whole benchmark texts but for their ends, twelve characters, and a few of four."""
+    b = t.benchmark
+    cuts = [b.select((F.col("item_id") * 3 + i).alias("quote_id"), cut.alias("text")) for i, cut in enumerate((F.expr("substring(text, 3, length(text) - 5)"), F.substring("text", 4, 12)))]
+    cuts.append(b.where("item_id % 10 = 0").select((F.col("item_id") * 3 + 2).alias("quote_id"), F.substring("text", 2, 4).alias("text")))
+    quotes = cuts[0].union(cuts[1]).union(cuts[2])
+    found = G.locate(quotes, t.documents, "quote_id", "doc_id").join(quotes.hint("shuffle_hash"), "quote_id").where("found = text")
+    return found.select("quote_id", "doc_id", "char_start", "char_end")
+
+
 @query(f"""WITH {_SPANS}, d AS (SELECT min(doc_id) AS doc_id, text FROM documents GROUP BY text), k AS (SELECT s.* FROM s JOIN d USING (doc_id))
 SELECT source, count(*) AS n_spans, count(DISTINCT item_id) AS n_items, count(DISTINCT doc_id) AS n_documents FROM k GROUP BY 1""")
 def grounding_report(t):
@@ -68,6 +80,39 @@ def assemble_questions(t):
     return parts.where("n_questions > 0")
 
 
+_PARTS = r"""src AS (SELECT doc_id, substr(text, 8, 60) AS quote, text FROM documents),
+parts AS (
+  SELECT conv_id AS item, 0 AS nr, 'recognition' AS kind, role AS question, substr(text, 1, 20) AS quote, NULL::BIGINT AS cited FROM conversations WHERE turn = 1
+  UNION ALL SELECT conv_id, 1, 'doctrine', role, CASE WHEN conv_id % 4 = 0 THEN reverse(quote) WHEN conv_id % 4 = 1 THEN regexp_replace(quote, '[ \n]+', ' ' || chr(10) || ' ', 'g') ELSE quote END, conv_id FROM conversations JOIN src ON doc_id = conv_id WHERE turn = 1
+  UNION ALL SELECT conv_id, 2, 'reasoning', role, quote, CASE WHEN conv_id % 5 = 0 THEN -1 ELSE conv_id END FROM conversations JOIN src ON doc_id = conv_id + conv_id % 2 WHERE turn = 1),
+met AS (SELECT p.*, d.text AS body, array_to_string(list_transform(list_filter(regexp_split_to_array(p.quote, '[\t-\r ]+'), lambda w: w <> ''), lambda w: regexp_escape(w)), '[\t-\r ]+') AS pattern FROM parts p LEFT JOIN src d ON d.doc_id = p.cited),
+snapped AS (SELECT *, CASE WHEN quote <> '' AND contains(body, quote) THEN quote WHEN trim(quote, chr(32) || chr(9) || chr(10) || chr(13)) <> '' THEN nullif(regexp_extract(body, pattern), '') END AS found FROM met),
+told AS (SELECT item, item || '#' || nr AS qid, kind, question, CASE WHEN cited IS NULL THEN quote ELSE found END AS answer, cited, strpos(body, found) - 1 AS char_start, strpos(body, found) - 1 + length(found) AS char_end, CASE WHEN cited IS NULL THEN coalesce(quote, '') <> '' ELSE found IS NOT NULL END AS kept FROM snapped)"""
+
+
+def _assembled(t):
+    first = t.conversations.where("turn = 1").select(F.col("conv_id").alias("item"), F.col("role").alias("question"), "text")
+    src = t.documents.select("doc_id", F.substring("text", 8, 60).alias("quote"))
+    by = lambda shift: first.withColumn("doc_id", F.col("item") + shift).join(src.hint("merge"), "doc_id")
+    part = lambda df, nr, kind, quote, cited: df.select("item", F.lit(nr).alias("nr"), F.lit(kind).alias("kind"), "question", quote.alias("quote"), cited.cast("long").alias("cited"))
+    said = F.when(F.col("item") % 4 == 0, F.reverse("quote")).when(F.col("item") % 4 == 1, F.regexp_replace("quote", "[ \\n]+", " \n ")).otherwise(F.col("quote"))
+    parts = part(first, 0, "recognition", F.substring("text", 1, 20), F.lit(None))
+    parts = parts.union(part(by(0), 1, "doctrine", said, F.col("item"))).union(part(by(F.col("item") % 2), 2, "reasoning", F.col("quote"), F.when(F.col("item") % 5 == 0, -1).otherwise(F.col("item"))))
+    return G.assemble(parts, t.documents, "item", "nr", "kind", "question", "quote", "cited", "doc_id")
+
+
+@query(f"WITH {_PARTS} SELECT item, qid, kind, question, answer, cited, char_start, char_end, kept FROM told")
+def assembled_parts(t):
+    """Three parts of each conversation: one without a citation, one quoted from a document exactly, with other white space, or reversed, and one quoted
+    from the cited document, another one, or with an unknown citation."""
+    return _assembled(t)
+
+
+@query(f"WITH {_PARTS} SELECT kind, count(DISTINCT item) AS n_items, count(*) AS n_parts, count(*) FILTER (kept) AS n_kept, count(*) FILTER (NOT kept) AS n_dropped, count(*) FILTER (kept AND cited IS NOT NULL AND substr(text, char_start + 1, char_end - char_start) <> answer) AS n_bad FROM told LEFT JOIN src ON doc_id = cited GROUP BY 1")
+def assembly_report(t):
+    return G.assembly_report(_assembled(t), t.documents, "item", "kind", "cited", "doc_id")
+
+
 @query("""SELECT c.conv_id, c.turn, CASE WHEN l.toxic = 1 AND c.role = 'assistant' THEN 'withheld' ELSE c.role END AS role FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id""")
 def replace_by_type(t):
     patch = t.labels.where("toxic = 1").select(F.col("doc_id").alias("conv_id"), F.lit("assistant").alias("kind"), F.lit("withheld").alias("role"))
@@ -122,7 +167,8 @@ def extend_truncated_span(t):
 
 
 @query(rf"""WITH {_SPANS}, e AS (SELECT item_id, doc_id, char_start + length(regexp_extract(answer, '^[^.?!]*[.?!]')) AS char_end, body FROM s), x AS (SELECT item_id, doc_id, regexp_extract(substr(body, (char_end + 1)::BIGINT), '^[ 	
-]*([A-Z][^.?!]{{14,}}[.?!])', 1) AS sentence FROM e) SELECT item_id, doc_id, sentence FROM x WHERE sentence <> '' AND len(regexp_extract_all(sentence, '\S+')) <= 40""")
+
+]*([A-Z][^.?!]{{14,}}[.?!])', 1) AS sentence FROM e) SELECT item_id, doc_id, sentence FROM x WHERE sentence <> '' AND len(regexp_extract_all(sentence, '\S+')) <= 40""")
 def append_next_sentence(t):
     """The sentence after the first sentence of each located passage."""
     spans = _spans(t).join(t.benchmark.select("item_id", F.col("text").alias("quote")).hint("shuffle_hash"), "item_id").where("found = quote")

@@ -168,3 +168,45 @@ def test_sentence_windows_against_a_loop(spark):
             windows.setdefault(at, []).append(n)
         want += [(i, sum(w), len(w)) for w in windows.values()]
     assert sorted((r.id, r.n_words, r.n_sentences) for r in text.sentence_windows(df, "id", words=12).collect()) == sorted(want)
+
+
+def test_quotes_of_any_script_are_located_wherever_they_begin(spark):
+    import random
+
+    random.seed(2)
+    text = "Привет мир, plain words\nand 東京都 more of it; it's 100 % \U0001f600 done."
+    rows = [(1, text), (2, " ".join(random.choices(["mir", "мир", "plain", "東京", "it's", "x" * 40], k=300))), (3, None), (4, ""), (5, "".join(random.choices("ab東 ", k=3000))), (5, "twice " + text)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    said = ["Привет мир", "plain words", "lain wor", "東京都", "ривет", "it;  it's\n100", "😀", "%", "words and", "", "  ", None, "absent", "b東", "d 東京都 more of it; it's 100 % 😀 done"]
+    said += [r[1][at : at + n] for r in rows if r[1] for n in (1, 2, 4, 9, 31, 32, 33, 80) for at in random.sample(range(max(1, len(r[1]) - n)), min(6, max(1, len(r[1]) - n)))]
+    quotes = spark.createDataFrame(list(enumerate(said)), "quote_id long, text string")
+    got = {(r.quote_id, r.doc_id, r.char_start, r.char_end) for r in ground.locate(quotes, docs, "quote_id", "doc_id").collect()}
+
+    def find(t, q):
+        import re
+
+        at = t.find(q)
+        if at >= 0:
+            return at, at + len(q)
+        m = re.search(r"[ \t-\r]+".join(map(re.escape, q.split())), t)
+        return m and m.span()
+
+    want = {(i, d, *found) for i, q in enumerate(said) if q and q.strip() for d, t in rows if t and (found := find(t, q))}
+    assert got == want and {i for i, *_ in got} >= {0, 1, 2, 3, 4, 5, 6, 7, 8}
+    assert ground.locate(quotes, docs.limit(0), "quote_id", "doc_id").count() == 0 and ground.locate(quotes.limit(0), docs, "quote_id", "doc_id").count() == 0
+    # more quotes than may be broadcast
+    ground.BROADCAST_ANCHORS, before = 3, ground.BROADCAST_ANCHORS
+    try:
+        assert {(r.quote_id, r.doc_id, r.char_start, r.char_end) for r in ground.locate(quotes, docs, "quote_id", "doc_id").collect()} == want
+    finally:
+        ground.BROADCAST_ANCHORS = before
+
+
+def test_parts_are_snapped_dropped_and_counted(spark):
+    parts = spark.createDataFrame([(1, 0, "mcq", "q", "pick", None), (1, 1, "doctrine", "q", "b  c", 7), (1, 2, "reasoning", "q", "nowhere", 7), (2, 0, "mcq", "q", "", None), (2, 1, "doctrine", "q", "b c", 8), (2, 2, "reasoning", "q", None, 7)], "item long, nr int, kind string, question string, quote string, cited long")
+    sources = spark.createDataFrame([(7, "a b\nc d"), (9, None)], "doc_id long, text string")
+    out = ground.assemble(parts, sources, "item", "nr", "kind", "question", "quote", "cited", "doc_id")
+    got = {r.qid: (r.answer, r.char_start, r.char_end, r.kept) for r in out.collect()}
+    assert got == {"1#0": ("pick", None, None, True), "1#1": ("b\nc", 2, 5, True), "1#2": (None, None, None, False), "2#0": ("", None, None, False), "2#1": (None, None, None, False), "2#2": (None, None, None, False)}
+    report = {r.kind: (r.n_items, r.n_parts, r.n_kept, r.n_dropped, r.n_bad) for r in ground.assembly_report(out, sources, "item", "kind", "cited", "doc_id").collect()}
+    assert report == {"mcq": (2, 2, 1, 1, 0), "doctrine": (2, 2, 1, 1, 0), "reasoning": (2, 2, 0, 2, 0)}
