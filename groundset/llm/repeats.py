@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import merge_join, ranked, stored
 
 #: Bytes of a match, of an anchor; bytes of text worked on at once; passages of an indexed shard and of the largest indexed group.
-MATCH, ANCHOR, CHUNK, SHARD, GROUP = 50, 24, 1 << 18, 20_000, 20_000
+MATCH, ANCHOR, CHUNK, SHARD, GROUP = 50, 24, 1 << 18, 6_000, 6_000
 _RNG = np.random.default_rng(50)
 _A, _B = (_RNG.integers(0, 1 << 64, 256, np.uint64) for _ in range(2))
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -310,6 +310,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         hot = passages(merge_join(open_, large, "anchor", "left_semi")).mapInPandas(_windows, "window binary, id long, start int")
         lowest = hot.groupBy("window").agg(F.min("id").alias("least"))
         marks = marks.union(merge_join(hot, lowest, "window").where("least < id").select("id", "start", F.lit(1).alias("windows")))
+    marks = stored(marks)
     every = marks.groupBy("id").agg(F.collect_list(F.struct("start", "windows")).alias("marks"))
     joined = merge_join(texts, every, "id", "left").select("key", F.pandas_udf(_remove, _REMOVED)("text", "marks").alias("r"))
     return joined.select(F.col("key").alias(id_col), "r.*")
