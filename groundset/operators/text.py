@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -23,50 +23,56 @@ def lines(df: DataFrame, id_col: str, text: str = "text") -> DataFrame:
     return df.select(id_col, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
 
 
-#: Fold that packs pieces until a weight limit: state is (closed chunks, open chunk's weight).
-def packed(pieces: Column, weight, most: int) -> Column:
-    """Chunk number of each piece: a piece opens a new chunk if it would push a non-empty chunk above `most`."""
-    start = F.struct(F.array().cast("array<int>").alias("at"), F.lit(0).alias("open"), F.lit(0).alias("n"))
-
-    def step(s, p):
-        w = weight(p)
-        over = (s["open"] > 0) & (s["open"] + w > most)
-        n = s["n"] + over.cast("int")
-        return F.struct(F.concat(s["at"], F.array(n)).alias("at"), F.when(over, w).otherwise(s["open"] + w).alias("open"), n.alias("n"))
-
-    return F.aggregate(pieces, start, step, lambda s: s["at"])
+def _packed(heads: pd.Series, weights: pd.Series, budgets: pd.Series) -> pd.Series:
+    """Runs of pieces, in one pass over each text that keeps only boundaries: a heading closes a run and belongs to none; a piece opens a new run if it
+    would push one that isn't empty above the budget. Each run: the heading before it (-1: none), its first piece, its pieces."""
+    out = []
+    for head, weight, budget in zip(heads, weights, budgets):
+        runs, last, start, total = [], -1, 0, 0
+        for i, w in enumerate(weight.tolist()):
+            if head is not None and head[i]:
+                if i > start:
+                    runs.append((last, start, i - start))
+                last, start, total = i, i + 1, 0
+            elif total and total + w > budget:
+                runs.append((last, start, i - start))
+                start, total = i, w
+            else:
+                total += w
+        if len(weight) > start:
+            runs.append((last, start, len(weight) - start))
+        out.append([{"head": h, "start": s, "n": n} for h, s, n in runs])
+    return pd.Series(out)
+
+
+def packed(weights: Column, budget: int, heads: Column | None = None) -> Column:
+    """Arrays of (head, start, n): the pieces of weights `weights` packed in order up to `budget`; see `_packed`. Linear in pieces."""
+    heads = F.lit(None).cast("array<boolean>") if heads is None else heads
+    return F.pandas_udf(_packed, "array<struct<head:int,start:int,n:int>>")(heads, weights, F.lit(budget))
 
 
 def chunk_documents(docs: DataFrame, id_col: str, is_heading, text: str = "text", budget: int = 800) -> DataFrame:
     """(id, section, chunk_idx, text): lines of a section packed to `budget` tokens of four characters.
 
-    A heading opens a section and is not part of its text; empty chunks are dropped; chunk_idx runs over the document.
-    Sections and chunks are computed inside a document's array of lines, so nothing is shuffled.
+    A heading opens a section and is not part of its text; empty chunks are dropped; chunk_idx runs over the document. Only the lines' weights and
+    heading marks go to Python, which returns boundaries; texts are cut and joined where they lie, once each, and nothing is shuffled.
     """
-    parts = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    start = F.struct(F.array().cast("array<struct<section:string,lines:array<string>>>").alias("done"), F.lit("root").alias("name"), F.array().cast("array<string>").alias("lines"))
-
-    def step(s, line):
-        closed = F.when(F.size(s["lines"]) > 0, F.concat(s["done"], F.array(F.struct(s["name"].alias("section"), s["lines"].alias("lines"))))).otherwise(s["done"])
-        here = is_heading(line)
-        return F.struct(F.when(here, closed).otherwise(s["done"]).alias("done"), F.when(here, line).otherwise(s["name"]).alias("name"), F.when(here, F.array().cast("array<string>")).otherwise(F.concat(s["lines"], F.array(line))).alias("lines"))
-
-    end = lambda s: F.when(F.size(s["lines"]) > 0, F.concat(s["done"], F.array(F.struct(s["name"].alias("section"), s["lines"].alias("lines"))))).otherwise(s["done"])
-    sections = docs.select(id_col, F.posexplode(F.aggregate(parts, start, step, end)).alias("section_no", "s")).select(id_col, "section_no", "s.*")
-    at = packed(F.col("lines"), lambda p: F.greatest(F.lit(1), F.floor(F.length(p) / 4).cast("int")), budget)
-    placed = sections.withColumn("at", at).select(id_col, "section_no", "section", F.explode(F.sequence(F.lit(0), F.element_at("at", -1))).alias("part"), "lines", "at")
-    own = F.filter(F.arrays_zip("lines", "at"), lambda z: z["at"] == F.col("part"))
-    chunks = placed.select(id_col, "section_no", "section", "part", C.collapse(F.array_join(F.transform(own, lambda z: z["lines"]), "\n")).alias("text")).where("text != ''")
-    order = W.partitionBy(id_col).orderBy("section_no", "part")  # one document's chunks
-    return chunks.select(id_col, "section", (F.row_number().over(order) - 1).alias("chunk_idx"), "text")
+    lines_of = docs.select(id_col, F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("_l"))
+    weight = F.transform("_l", lambda p: F.greatest(F.lit(1), F.floor(F.length(p) / 4).cast("int")))
+    placed = lines_of.withColumn("_runs", packed(weight, budget, F.transform("_l", is_heading)))
+    section = lambda r: F.when(r["head"] < 0, F.lit("root")).otherwise(F.get("_l", r["head"]))
+    body = lambda r: C.collapse(F.array_join(F.slice("_l", r["start"] + 1, r["n"]), "\n"))
+    chunks = F.filter(F.transform("_runs", lambda r: F.struct(section(r).alias("section"), body(r).alias("text"))), lambda c: c["text"] != "")
+    return placed.select(id_col, F.posexplode(chunks).alias("chunk_idx", "c")).select(id_col, "c.section", "chunk_idx", "c.text")
 
 
 def sentence_windows(df: DataFrame, id_col: str, text: str = "text", words: int = 100) -> DataFrame:
-    """(id, window, n_words): sentences packed in order until a window would pass `words`."""
-    pieces = C.split_claims(F.col(text), 1)
-    held = df.select(id_col, pieces.alias("p")).where(F.size("p") > 0).withColumn("at", packed(F.col("p"), lambda p: F.regexp_count(p, F.lit(r"\S+")), words))
-    each = held.select(id_col, F.explode(F.arrays_zip("p", "at")).alias("z"))
-    return each.groupBy(id_col, F.col("z.at").alias("window")).agg(F.sum(F.regexp_count("z.p", F.lit(r"\S+"))).alias("n_words"), F.count("*").alias("n_sentences"))
+    """(id, window, n_words, n_sentences): sentences packed in order until a window would pass `words`; a longer sentence is a window."""
+    sizes = F.transform(C.split_claims(F.col(text), 1), lambda p: F.regexp_count(p, F.lit(r"\S+")))
+    held = df.select(id_col, sizes.alias("_n")).where(F.size("_n") > 0)
+    total = lambda r: F.aggregate(F.slice("_n", r["start"] + 1, r["n"]), F.lit(0), lambda s, n: s + n)
+    windows = F.transform(packed(F.col("_n"), words), lambda r: F.struct(total(r).alias("n_words"), r["n"].alias("n_sentences")))
+    return held.select(id_col, F.posexplode(windows).alias("window", "w")).select(id_col, "window", "w.n_words", "w.n_sentences")
 
 
 def dedup_first(df: DataFrame, text: str, order: list[str]) -> DataFrame:
@@ -116,14 +122,27 @@ def containment_pairs(answers: DataFrame, passages: DataFrame, answer_id: str, p
 
 
 def jaccard_pairs(df: DataFrame, id_col: str, text: str = "text", least: float = 0.5, pattern: str = "[a-z0-9]+") -> DataFrame:
-    """(a, b, jaccard) of texts with at least one word in common and a Jaccard of `least` or more, a < b."""
-    words = df.select(id_col, F.explode(F.array_distinct(C.tokens(F.col(text), pattern))).alias("w"))
-    size = words.groupBy(id_col).agg(F.count("*").alias("n"))
-    sized = words.join(size.hint("shuffle_hash"), id_col)
-    a, b = [sized.select(F.col(id_col).alias(x), F.col("n").alias(f"n_{x}"), "w") for x in ("a", "b")]
-    met = a.join(b.hint("shuffle_hash"), "w").where("a < b").groupBy("a", "b", "n_a", "n_b").agg(F.count("*").alias("k"))
-    j = F.col("k") / (F.col("n_a") + F.col("n_b") - F.col("k"))
-    return met.where(j >= least).select("a", "b", F.round(j, 6).alias("jaccard"))
+    """(a, b, jaccard) of texts whose word sets have a Jaccard of `least` or more, which is above 0; a < b.
+
+    Words are ordered by the number of texts that hold them, rarest first. Of two sets that reach `least`, each holds a common word among its first
+    n - ceil(least * n) + 1, so only these are joined, between sets of sizes that can reach it: a word in every text is nobody's early word, unless
+    a text has nothing else. Pairs so found are verified on whole sets.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("a pair has something in common")
+    sets = df.select(F.col(id_col).alias("id"), F.array_distinct(C.tokens(F.col(text), pattern)).alias("w")).where(F.size("w") > 0)
+    words = sets.select("id", F.size("w").alias("n"), F.explode("w").alias("word"))
+    held = words.groupBy("word").agg(F.count("*").alias("texts"))
+    # few words share a text, so a text's ordered words fit where its set does
+    ordered = words.join(held.hint("merge"), "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("texts", "word"))).alias("w"))
+    early = F.slice("w", F.lit(1), (F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-9) + 1).cast("int"))
+    keyed = ordered.select("id", "n", F.explode(F.transform(early, lambda x: x["word"])).alias("word"))
+    a, b = [keyed.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), "word") for x in ("a", "b")]
+    fit = F.least("n_a", "n_b") >= least * F.greatest("n_a", "n_b") - 1e-9
+    met = a.join(b.hint("merge"), "word").where((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
+    whole = lambda x: sets.select(F.col("id").alias(x), F.col("w").alias(f"w_{x}")).hint("merge")
+    j = C.jaccard(F.col("w_a"), F.col("w_b"))
+    return met.join(whole("a"), "a").join(whole("b"), "b").where(j >= least).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
 def taxonomy(df: DataFrame, text: str, rules: list[tuple[str, str]]) -> DataFrame:

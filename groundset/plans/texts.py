@@ -31,7 +31,10 @@ def chunk_documents(t):
     return T.chunk_documents(t.documents, "doc_id", lambda line: T.heading(line, [TITLE], []), budget=100)
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT doc_id, list_filter(list_transform(string_split_regex(regexp_replace(text, '([.;])[ \t\r\f]+', '\1' || chr(10), 'g'), '[•\n]'), lambda p: regexp_replace(p, '^[ \t\n\r\f\x0B]+|[ \t\n\r\f\x0B]+$', '', 'g')), lambda p: length(p) >= 1) AS c FROM documents),
+n AS (SELECT doc_id, list_transform(c, lambda p: len(regexp_extract_all(p, '[^ \t\n\r\f\x0B]+'))) AS n FROM c WHERE len(c) > 0),
+f AS (SELECT doc_id, 1 AS i, n[1] AS open, 0 AS "window" FROM n UNION ALL SELECT f.doc_id, i + 1, CASE WHEN open > 0 AND open + n[i + 1] > 100 THEN n[i + 1] ELSE open + n[i + 1] END, "window" + (open > 0 AND open + n[i + 1] > 100)::INT FROM f JOIN n USING (doc_id) WHERE i < len(n))
+SELECT doc_id, "window", max(open)::BIGINT AS n_words, count(*) AS n_sentences FROM f GROUP BY 1, 2""")
 def sentence_windows(t):
     return T.sentence_windows(t.documents, "doc_id")
 
@@ -97,6 +100,14 @@ def jaccard_pairs(t):
     return T.jaccard_pairs(t.benchmark, "item_id", least=0.2)
 
 
+@query(r"""WITH w AS (SELECT conv_id * 1000 + turn AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations),
+p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS j FROM w a JOIN w b ON a.id < b.id)
+SELECT a, b, round(j, 6) AS jaccard FROM p WHERE j >= 0.15""")
+def jaccard_turns(t):
+    """Turns of all conversations with much the same words, whatever common words all of them share."""
+    return T.jaccard_pairs(t.conversations.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"), "id", least=0.15)
+
+
 @query(r"""WITH p AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS w FROM part), v AS (SELECT DISTINCT p_type AS label, list_distinct(regexp_extract_all(lower(p_type), '[a-z0-9]+')) AS w FROM part),
 j AS (SELECT p_partkey, label, len(list_intersect(p.w, v.w)) / (len(p.w) + len(v.w) - len(list_intersect(p.w, v.w))) AS j FROM p, v)
 SELECT p_partkey, label, round(j, 6) AS jaccard FROM j WHERE j > 0 QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY j DESC, label) = 1""")

@@ -210,3 +210,44 @@ def test_parts_are_snapped_dropped_and_counted(spark):
     assert got == {"1#0": ("pick", None, None, True), "1#1": ("b\nc", 2, 5, True), "1#2": (None, None, None, False), "2#0": ("", None, None, False), "2#1": (None, None, None, False), "2#2": (None, None, None, False)}
     report = {r.kind: (r.n_items, r.n_parts, r.n_kept, r.n_dropped, r.n_bad) for r in ground.assembly_report(out, sources, "item", "kind", "cited", "doc_id").collect()}
     assert report == {"mcq": (2, 2, 1, 1, 0), "doctrine": (2, 2, 1, 1, 0), "reasoning": (2, 2, 0, 2, 0)}
+
+
+def test_chunks_of_one_document_of_many_lines_against_a_loop(spark):
+    import random
+    import time
+
+    random.seed(6)
+    lines = [random.choice(("Head", "x" * random.randrange(60), "", "word " * random.randrange(90))) if i % 7 else "a b c" for i in range(100_000)]
+    docs = spark.createDataFrame([(1, "\n".join(lines)), (2, "Head\nHead\n"), (3, None)], "doc_id long, text string")
+    want, name, held, size = [], "root", [], 0
+
+    def close():
+        body = " ".join(" ".join(held).split())
+        if body:
+            want.append((name, body))
+
+    for line in lines:
+        weight = max(1, len(line) // 4)
+        if line == "Head":
+            close()
+            name, held, size = line, [], 0
+        elif size and size + weight > 100:
+            close()
+            held, size = [line], weight
+        else:
+            held, size = [*held, line] if len(held) < 50 else held + [line], size + weight
+    close()
+    began = time.time()
+    got = text.chunk_documents(docs, "doc_id", lambda line: text.heading(line, ["^Head$"], []), budget=100).orderBy("doc_id", "chunk_idx").collect()
+    assert [(r.section, r.text) for r in got] == want and [r.chunk_idx for r in got] == list(range(len(want))) and time.time() - began < 60
+
+
+def test_jaccard_join_against_all_pairs(spark):
+    import random
+
+    random.seed(8)
+    rows = [(i, " ".join({"every", *random.choices([f"w{n}" for n in range(40)], k=random.randrange(12))})) for i in range(150)] + [(200, ""), (201, None), (202, "every"), (203, "every")]
+    sets = {i: set((t or "").split()) for i, t in rows}
+    for least in (0.2, 0.5, 0.8, 1.0):
+        got = {(r.a, r.b) for r in text.jaccard_pairs(spark.createDataFrame(rows, "id long, text string"), "id", least=least).collect()}
+        assert got == {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
