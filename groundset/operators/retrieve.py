@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Vectors of a block of queries and of a block of the corpus that one task multiplies.
 QUERY_BLOCK, CORPUS_BLOCK = 1024, 16_384
+#: Centres of a corpus at most, and rows of the sample for each that they are fitted on.
+CENTRES, SAMPLE = 1024, 32
 
 
 def normalize(vec: Column) -> Column:
@@ -23,46 +25,149 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vec: str, k: int, differ: str | None = None) -> DataFrame:
-    """(query_id, corpus_id, score, rank): the k best inner products of each query, exact; ties by id.
-
-    With `differ`, only passages whose value in that column is another than the query's count, and the filter comes before the k best.
-
-    Both sides are dealt by hash into blocks of about QUERY_BLOCK and CORPUS_BLOCK rows. A task holds one block of each, multiplies
-    them, and passes on the k best of each query; these are few and are ranked in a last shuffle. Nothing passes through the driver.
+def _centres(corpus: DataFrame, rows: int) -> np.ndarray:
+    """A centre for each CORPUS_BLOCK rows, CENTRES at most, by k-means on a sample of at most SAMPLE rows for each. Any centres give exact results."""
+    n = min(CENTRES, -(-rows // CORPUS_BLOCK))
+    sample = corpus.where(F.pmod(F.xxhash64("key"), F.lit(max(1, rows // (n * SAMPLE)))) == 0).select("vec").limit(2 * n * SAMPLE).toPandas()["vec"]
+    x = np.stack(sample.to_numpy()).astype(np.float64) if len(sample) else np.zeros((1, 1))
+    centres = x[np.random.default_rng(7).permutation(len(x))[:n]]
+    for _ in range(8):
+        near = np.argmax(x @ centres.T - (centres**2).sum(1) / 2, 1)
+        centres = np.stack([x[near == i].mean(0) if (near == i).any() else centres[i] for i in range(len(centres))])
+    return centres
+
+
+def _nearest(centres: np.ndarray):
+    """Rows with the cell of the nearest centre and the distance to it."""
+
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                x = np.stack(batch["vec"].to_numpy()).astype(np.float64)
+                cell = np.argmax(x @ centres.T - (centres**2).sum(1) / 2, 1)
+                yield batch.assign(cell=cell.astype(np.int32), far=np.sqrt(((x - centres[cell]) ** 2).sum(1)))
+
+    return run
+
+
+def _wanted_cells(centres: np.ndarray, radius: np.ndarray, rows: np.ndarray, k: int, second: bool):
+    """Rows of queries with a cell to search. First those of the best centres until they hold k rows; then, of the others, those in which by
+    Cauchy and Schwarz a product may reach the k-th score found, q c + |q| r."""
+
+    def run(batches):
+        for batch in batches:
+            if not len(batch):
+                continue
+            x = np.stack(batch["vec"].to_numpy()).astype(np.float64)
+            mid, size = x @ centres.T, np.sqrt((x**2).sum(1))
+            order = np.argsort(-mid, 1)
+            before = np.cumsum(rows[order], 1) - rows[order]
+            first = np.zeros(mid.shape, bool)
+            np.put_along_axis(first, order, before < k, 1)
+            wanted = first & (rows > 0)
+            if second:
+                slack = 1e-9 * size[:, None] * (np.sqrt((centres**2).sum(1)) + radius)
+                wanted = ~first & (rows > 0) & (mid + size[:, None] * radius + slack >= batch["least"].to_numpy(np.float64)[:, None])
+            at, cell = np.nonzero(wanted)
+            yield batch.drop(columns="least").iloc[at].assign(cell=cell.astype(np.int32))
+
+    return run
+
+
+def _scored(queries: DataFrame, corpus: DataFrame, banned: DataFrame | None, kinds: tuple, k: int, differ: bool, n_q: int, one: bool) -> DataFrame:
+    """(query, doc, score): the k best of each query in each cell. `queries` (key, vec, value, cell) meet `corpus` (key, vec, value, cell, sub, subs).
+
+    A task holds a block of each, and the bans (who, key) that concern both. Blocks of the corpus are sent only to blocks of queries that want them;
+    `one`: the corpus is one block.
     """
-    kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[corpus_id]
-    n_q, n_c = -(-queries.count() // QUERY_BLOCK) or 1, -(-corpus.count() // CORPUS_BLOCK) or 1
-
-    def dealt(df: DataFrame, key: str, own: int, others: int, mine: str, other: str) -> DataFrame:
-        rows = df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), (F.col(differ) if differ else F.lit(0)).alias("value")).where("vec IS NOT NULL")
-        return rows.withColumn(mine, F.pmod(F.xxhash64("key"), F.lit(own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
 
     def best(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        bans, c = c[c["who"].notna()], c[c["who"].isna()].sort_values("key")
         if not len(q) or not len(c):
-            return pd.DataFrame({query_id: [], corpus_id: [], "score": []})
-        c = c.sort_values("key")
+            return pd.DataFrame({"query": [], "doc": [], "score": []})
         scores = np.stack(q["vec"].to_numpy()).astype(np.float64) @ np.stack(c["vec"].to_numpy()).astype(np.float64).T
         if differ:
             scores[q["value"].to_numpy()[:, None] == c["value"].to_numpy()[None, :]] = -np.inf
-        top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({query_id: np.repeat(q["key"].to_numpy(), top.shape[1]), corpus_id: c["key"].to_numpy()[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
-
-    q, c = dealt(queries, query_id, n_q, n_c, "_q", "_c"), dealt(corpus, corpus_id, n_c, n_q, "_c", "_q")
-    found = q.groupBy("_q", "_c").cogroup(c.groupBy("_q", "_c")).applyInPandas(best, f"{query_id} {kinds[0]}, {corpus_id} {kinds[1]}, score double")
-    order = W.partitionBy(query_id).orderBy(F.desc("score"), corpus_id)
-    return found.withColumn("rank", F.row_number().over(order)).where((F.col("rank") <= k) & (F.col("score") > float("-inf")))
+        if len(bans):
+            row, column = pd.Index(q["key"]).get_indexer_for(bans["who"].astype(q["key"].dtype)), pd.Index(c["key"]).get_indexer_for(bans["key"])
+            both = (row >= 0) & (column >= 0)
+            scores[row[both], column[both]] = -np.inf
+        if scores.shape[1] > k:
+            # the k best, and of those that tie with the last the first by key
+            least = np.partition(scores, -k, 1)[:, -k][:, None]
+            room = k - (scores > least).sum(1)
+            take = (scores > least) | ((scores == least) & (np.cumsum(scores == least, 1) <= room[:, None]))
+        else:
+            take = np.ones(scores.shape, bool)
+        row, column = np.nonzero(take & (scores > -np.inf))
+        return pd.DataFrame({"query": q["key"].to_numpy()[row], "doc": c["key"].to_numpy()[column], "score": scores[row, column]})
+
+    block = lambda key: F.pmod(F.xxhash64(key), F.lit(n_q)).cast("int")
+    asked = queries.withColumn("block", block("key"))
+    own = corpus.select("key", "vec", "value", "cell", "sub", F.lit(None).cast(kinds[0]).alias("who"))
+    if one:
+        left, right = asked.withColumn("sub", F.lit(0)), own.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
+    else:
+        left = asked.join(corpus.select("cell", "sub").distinct().hint("merge"), "cell")
+        right = own.join(asked.select("cell", "block").distinct().hint("merge"), "cell")
+    if banned is not None:
+        placed = corpus.select("key", "cell", "sub").join(banned.hint("merge"), "key")
+        right = right.unionByName(placed.select("key", F.lit(None).cast(corpus.schema["vec"].dataType).alias("vec"), F.lit(None).cast(corpus.schema["value"].dataType).alias("value"), "cell", "sub", "who", block("who").alias("block")))
+    keys = ["cell", "sub", "block"]
+    # new names for the columns of each side, which come from the same tables
+    return left.toDF(*left.columns).groupBy(*keys).cogroup(right.toDF(*right.columns).groupBy(*keys)).applyInPandas(best, f"query {kinds[0]}, doc {kinds[1]}, score double")
+
+
+def _top(found: DataFrame, k: int) -> DataFrame:
+    order = W.partitionBy("query").orderBy(F.desc("score"), "doc")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def knn(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vec: str, k: int, differ: str | None = None, banned: DataFrame | None = None) -> DataFrame:
+    """(query_id, corpus_id, score, rank): the k best inner products of each query, exact; ties by id. Null vectors are left out; ids are unique.
+
+    With `differ`, only passages whose value in that column is another than the query's count; `banned` (query_id, corpus_id) are passages that a query
+    must not get. Both hold before the k best.
+
+    A corpus of over CORPUS_BLOCK rows is dealt to cells by the nearest of some centres, and a cell to blocks by hash. Each query is first compared with
+    its best cells, then only with those that may hold a better product than its k-th so far. A task multiplies a block of queries and a block
+    of the corpus, and passes on the k best of each query. Only the centres, a bounded sample and a row for each cell pass through the driver.
+    """
+    kinds = dict(queries.dtypes)[query_id], dict(corpus.dtypes)[corpus_id]
+    side = lambda df, key: df.select(F.col(key).alias("key"), F.col(vec).alias("vec"), (F.col(differ) if differ else F.lit(0)).alias("value")).where("vec IS NOT NULL")
+    q, c = side(queries, query_id), side(corpus, corpus_id)
+    forbidden = None if banned is None else banned.select(F.col(query_id).alias("who"), F.col(corpus_id).alias("key")).where("who IS NOT NULL")
+    n_q, rows = -(-q.count() // QUERY_BLOCK) or 1, c.count()
+    scored = lambda q, c: _scored(q, c, forbidden, kinds, k, bool(differ), n_q, rows <= CORPUS_BLOCK)
+    if rows <= CORPUS_BLOCK:
+        found = scored(q.withColumn("cell", F.lit(0)), c.withColumns({"cell": F.lit(0), "sub": F.lit(0)}))
+    else:
+        centres = _centres(c, rows)
+        cells = c.mapInPandas(_nearest(centres), _fields(c, "cell int, far double"))
+        held, radius = np.zeros(len(centres), np.int64), np.zeros(len(centres))
+        for cell, n, far in cells.groupBy("cell").agg(F.count("*"), F.max("far")).collect():  # a row for each centre
+            held[cell], radius[cell] = n, far
+        subs = F.element_at(F.array(*[F.lit(int(-(-n // CORPUS_BLOCK) or 1)) for n in held]), F.col("cell") + 1)
+        placed = cells.withColumn("sub", F.pmod(F.xxhash64("key"), subs).cast("int")).drop("far")
+        searched = lambda q, second: q.mapInPandas(_wanted_cells(centres, radius, held, k, second), _fields(q.drop("least"), "cell int"))
+        near = _top(scored(searched(q.withColumn("least", F.lit(0.0)), False), placed), k)
+        reached = near.where(F.col("rank") == k).select(F.col("query").alias("key"), F.col("score").alias("least"))
+        rest = q.join(reached.hint("merge"), "key", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+        found = near.drop("rank").union(scored(searched(rest, True), placed))
+    return _top(found, k).select(F.col("query").alias(query_id), F.col("doc").alias(corpus_id), "score", "rank")
+
+
+def _fields(df: DataFrame, more: str) -> str:
+    return ", ".join([*(f"{name} {kind}" for name, kind in df.dtypes), more])
 
 
 def packet(queries: DataFrame, corpus: DataFrame, banned: DataFrame, query_id: str, corpus_id: str, vec: str, k: int, allowed: Column | None = None) -> DataFrame:
     """The k best passages of each query among the `allowed` ones, without those that `banned` (query, passage) forbids it: its own answers, leaks.
 
-    Both filters come before the k best: as many more are sought as the most that any query is forbidden.
+    Both filters come before the k best, however many passages a query is forbidden: a ban goes to the one task that compares the two.
     """
     forbidden = banned.select(query_id, corpus_id).distinct()
-    more = forbidden.groupBy(query_id).count().agg(F.max("count")).first()[0] or 0
-    hits = knn(queries, corpus if allowed is None else corpus.where(allowed), query_id, corpus_id, vec, k + more).join(forbidden.hint("merge"), [query_id, corpus_id], "left_anti")
-    return hits.withColumn("rank", F.row_number().over(W.partitionBy(query_id).orderBy(F.desc("score"), corpus_id))).where(F.col("rank") <= k)
+    return knn(queries, corpus if allowed is None else corpus.where(allowed), query_id, corpus_id, vec, k, banned=forbidden)
 
 
 def rerank(hits: DataFrame, query_id: str, doc_id: str, boost: Column, weight: float = 0.04, most: int = 3) -> DataFrame:

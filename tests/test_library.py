@@ -251,3 +251,45 @@ def test_jaccard_join_against_all_pairs(spark):
     for least in (0.2, 0.5, 0.8, 1.0):
         got = {(r.a, r.b) for r in text.jaccard_pairs(spark.createDataFrame(rows, "id long, text string"), "id", least=least).collect()}
         assert got == {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+
+
+def test_pruned_search_equals_all_products(spark):
+    """Many cells, bans, equal scores, a value that must differ, fewer rows than k; clustered vectors let most cells be skipped."""
+    import numpy as np
+
+    from groundset.operators import retrieve
+
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(12, 6)) * 8
+    x = np.round(middle[rng.integers(0, 12, 900)] + rng.normal(size=(900, 6)), 2)
+    x[10:14] = x[10]
+    corpus = spark.createDataFrame([(i, v.tolist(), i % 3) for i, v in enumerate(x)] + [(950, None, 0)], "doc long, vec array<double>, lot int").repartition(5)
+    queries = spark.createDataFrame([(i, (x[i] / 2).tolist(), i % 3) for i in range(0, 900, 17)] + [(997, None, 0)], "q long, vec array<double>, lot int")
+    banned = spark.createDataFrame([(17 * i, d) for i in range(0, 50, 2) for d in range(i, 900, 5)] + [(17, d) for d in range(897)], "q long, doc long")
+    before = retrieve.QUERY_BLOCK, retrieve.CORPUS_BLOCK
+    retrieve.QUERY_BLOCK, retrieve.CORPUS_BLOCK = 16, 40
+    try:
+        for differ, bans, k in ((None, None, 7), ("lot", None, 5), (None, banned, 6), ("lot", banned, 400)):
+            got = {(r.q, r.doc, r.rank): r.score for r in retrieve.knn(queries, corpus, "q", "doc", "vec", k, differ=differ, banned=bans).collect()}
+            no = {(r.q, r.doc) for r in bans.collect()} if bans else set()
+            want = {}
+            for i in range(0, 900, 17):
+                scores = sorted((-float(x[i] / 2 @ x[d]), d) for d in range(900) if (not differ or d % 3 != i % 3) and (i, d) not in no)[:k]
+                want |= {(i, d, at + 1): -s for at, (s, d) in enumerate(scores)}
+            # equal scores may differ in the last digit by the order of sums, so ranks are compared by score
+            assert {(i, at) for i, _, at in got} == {(i, at) for i, _, at in want}
+            a, b = ({(i, at): s for (i, _, at), s in found.items()} for found in (got, want))
+            assert all(abs(a[key] - b[key]) < 1e-9 for key in a)
+        centres = retrieve._centres(corpus.where("vec IS NOT NULL").withColumnRenamed("doc", "key"), 900)
+        assert len(centres) == 23
+        near = next(retrieve._nearest(centres)(iter([corpus.where("vec IS NOT NULL").toPandas()])))
+        radius, held = np.zeros(23), np.zeros(23, int)
+        for cell, far in zip(near["cell"], near["far"]):
+            radius[cell], held[cell] = max(radius[cell], far), held[cell] + 1
+        asked = queries.where("vec IS NOT NULL").toPandas()
+        least = [sorted((x[i] / 2 @ x.T), reverse=True)[6] for i in asked["q"]]
+        first = next(retrieve._wanted_cells(centres, radius, held, 7, False)(iter([asked.assign(least=0.0)])))
+        second = next(retrieve._wanted_cells(centres, radius, held, 7, True)(iter([asked.assign(least=least)])))
+        assert len(first) + len(second) < 0.5 * len(asked) * (held > 0).sum()  # over half of the pairs of query and cell are skipped
+    finally:
+        retrieve.QUERY_BLOCK, retrieve.CORPUS_BLOCK = before
