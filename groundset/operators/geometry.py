@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from .scratch import written
 
 
 def force_windows(df: DataFrame, start: str, end: str, most: float = 60.0, step: float = 30.0, least: float = 1.0) -> DataFrame:
@@ -81,22 +82,61 @@ def box_pairs(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
     return met.withColumns({"iou": C.iou("a", "b"), "inside": C.containment("a", "b")})
 
 
-def greedy_matches(a: DataFrame, b: DataFrame, frame: str, label: str, least: float = 0.5) -> DataFrame:
-    """One-to-one: each box of `a` in order takes the best free box of `b` in its frame and label with iou of `least` or more; of equals the last.
+#: Pairs of a group that are matched in one row; larger groups are matched in rounds.
+ROW_PAIRS = 1 << 12
+
+
+def one_to_one(pairs: DataFrame, group: list[str], choice: Column) -> DataFrame:
+    """`pairs` (group, a_idx, b_idx) that match if each a in the order of a_idx takes, of its b that are free, the least by `choice`. With `choice` as a column.
 
-    A frame's boxes of one label are matched together; only pairs that reach `least` are gathered.
+    A group of at most ROW_PAIRS pairs is matched in one row. A larger one is never gathered: in rounds every a offers to its best b, each b holds the
+    earliest a that has offered, and its pairs with later ones go; when all offers are held they are the matches. All b
+    rank the a alike, so this stable matching is the one that the serial order gives.
     """
-    pairs = box_pairs(a, b, [frame, label]).where(F.col("iou") >= least).select(frame, label, "a_idx", "b_idx", "iou")
-    ordered = F.array_sort(F.collect_list(F.struct("a_idx", (-F.col("iou")).alias("less"), (-F.col("b_idx")).alias("back"))))
-    kinds = dict(pairs.dtypes)
-    none = F.array().cast(f"array<struct<a_idx:{kinds['a_idx']},less:double,back:{kinds['b_idx']}>>")
+    rows = written(pairs.select(*group, "a_idx", "b_idx", choice.alias("choice")))
+    large = rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > ROW_PAIRS).select(*group)
+    many = not large.isEmpty()
+    small = rows.join(large.hint("merge"), group, "left_anti") if many else rows
+    none = F.array().cast(small.select(F.array(F.struct("a_idx", "choice", "b_idx")).alias("x")).schema["x"].dataType)
 
     def step(kept, p):
-        clash = F.exists(kept, lambda k: (k["a_idx"] == p["a_idx"]) | (k["back"] == p["back"]))
+        clash = F.exists(kept, lambda k: (k["a_idx"] == p["a_idx"]) | (k["b_idx"] == p["b_idx"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(p)))
 
-    matched = pairs.groupBy(frame, label).agg(ordered.alias("_pairs")).select(frame, label, F.explode(F.aggregate("_pairs", none, step)).alias("m"))
-    return matched.select(frame, label, "m.a_idx", (-F.col("m.back")).alias("b_idx"), (-F.col("m.less")).alias("iou"))
+    ordered = F.array_sort(F.collect_list(F.struct("a_idx", "choice", "b_idx")))
+    matched = small.groupBy(*group).agg(ordered.alias("_pairs")).select(*group, F.explode(F.aggregate("_pairs", none, step)).alias("m")).select(*group, "m.a_idx", "m.b_idx", "m.choice")
+    if not many:
+        return matched
+    alive = written(rows.join(large.hint("merge"), group, "left_semi"))
+    while True:
+        offers = alive.groupBy(*group, "a_idx").agg(F.min(F.struct("choice", "b_idx")).alias("_best")).select(*group, "a_idx", "_best.b_idx", "_best.choice")
+        held = written(offers.groupBy(*group, "b_idx").agg(F.min("a_idx").alias("_held"), F.count("*").alias("_offers")))
+        if held.where("_offers > 1").isEmpty():
+            return matched.unionByName(offers)
+        alive = written(alive.join(held.hint("merge"), [*group, "b_idx"], "left").where("_held IS NULL OR a_idx <= _held").select(*alive.columns))
+
+
+def greedy_matches(a: DataFrame, b: DataFrame, frame: str, label: str, least: float = 0.5) -> DataFrame:
+    """One-to-one: each box of `a` in order takes the best free box of `b` in its frame and label with iou of `least` or more; of equals the last."""
+    pairs = box_pairs(a, b, [frame, label]).where(F.col("iou") >= least)
+    found = one_to_one(pairs, [frame, label], F.struct((-F.col("iou")).alias("less"), (-F.col("b_idx")).alias("back")))
+    return found.select(frame, label, "a_idx", "b_idx", (-F.col("choice.less")).alias("iou"))
+
+
+def agreement(a: DataFrame, b: DataFrame, frame: str, label: str, least: float = 0.5) -> DataFrame:
+    """(frame, label, a_idx, b_idx, iou, found_by): the matched boxes of two sources, then those that only `a` or only `b` has."""
+    met = greedy_matches(a, b, frame, label, least)
+    one = lambda df, s: df.select(frame, label, F.col("idx").alias(f"{s}_idx")).join(met.select(frame, label, f"{s}_idx").hint("merge"), [frame, label, f"{s}_idx"], "left_anti")
+    both = met.withColumn("found_by", F.lit("both"))
+    return both.unionByName(one(a, "a").withColumn("found_by", F.lit("a")), allowMissingColumns=True).unionByName(one(b, "b").withColumn("found_by", F.lit("b")), allowMissingColumns=True)
+
+
+def agreement_rates(found: DataFrame, by: list[str]) -> DataFrame:
+    """Per group of `agreement`: boxes of both sources, of one only, and the shares of each source's boxes that the other has."""
+    n = lambda s: F.count(F.when(F.col("found_by") == s, 1))
+    r = found.groupBy(*by).agg(n("both").alias("n_matched"), n("a").alias("a_only"), n("b").alias("b_only"))
+    share = lambda only: F.round(F.try_divide(F.col("n_matched"), F.col("n_matched") + F.col(only)), 6)
+    return r.withColumns({"rate_a": share("a_only"), "rate_b": share("b_only")})
 
 
 def reviewed(boxes: DataFrame, verdicts: DataFrame, on: list[str], label: str, valid: Column) -> DataFrame:
@@ -117,17 +157,13 @@ def survival(proposals: DataFrame, reviewed: DataFrame, frame: str, label: str,
     """`proposals` (frame, label, idx, corners, other columns) with `fate` (kept, relabelled, deleted) and `iou`.
 
     In the order of idx, each proposal takes the best free reviewed box of its own label with iou of `least` or more, else the best
-    of another label, else it counts as deleted; of equal boxes the one with the larger idx. Only pairs of a frame that reach
-    `least` are gathered.
+    of another label, else it counts as deleted; of equal boxes the one with the larger idx.
     """
     side = lambda df, s: df.select(frame, F.col(label).alias(f"{s}_{label}"), *[F.col(c).alias(f"{s}_{c}") for c in ("idx", "x0", "y0", "x1", "y1")])
     met = side(proposals, "a").join(side(reviewed, "b").hint("merge"), frame).withColumn("iou", C.iou("a", "b")).where(F.col("iou") >= least)
-    pair = F.struct("a_idx", (F.col(f"a_{label}") != F.col(f"b_{label}")).alias("other"), (-F.col("iou")).alias("less"), (-F.col("b_idx")).alias("back"))
-    kinds = dict(met.dtypes)
-    none = F.array().cast(f"array<struct<a_idx:{kinds['a_idx']},other:boolean,less:double,back:{kinds['b_idx']}>>")
-    taken = F.aggregate("_pairs", none, lambda kept, p: F.when(F.exists(kept, lambda k: (k["a_idx"] == p["a_idx"]) | (k["back"] == p["back"])), kept).otherwise(F.concat(kept, F.array(p))))
-    matched = met.groupBy(frame).agg(F.array_sort(F.collect_list(pair)).alias("_pairs")).select(frame, F.explode(taken).alias("m"))
-    found = matched.select(frame, F.col("m.a_idx").alias("idx"), F.when(F.col("m.other"), "relabelled").otherwise("kept").alias("_fate"), (-F.col("m.less")).alias("iou"))
+    choice = F.struct((F.col(f"a_{label}") != F.col(f"b_{label}")).alias("other"), (-F.col("iou")).alias("less"), (-F.col("b_idx")).alias("back"))
+    matched = one_to_one(met, [frame], choice)
+    found = matched.select(frame, F.col("a_idx").alias("idx"), F.when(F.col("choice.other"), "relabelled").otherwise("kept").alias("_fate"), (-F.col("choice.less")).alias("iou"))
     return proposals.join(found.hint("merge"), [frame, "idx"], "left").withColumn("fate", F.coalesce("_fate", F.lit("deleted"))).drop("_fate")
 
 

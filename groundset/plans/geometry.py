@@ -106,20 +106,42 @@ def box_iou_pairs(t):
     return G.box_pairs(a, b, ["frame", "label"]).where("iou > 0").select("frame", "label", F.col("a_idx").cast("long").alias("a_idx"), F.col("b_idx").cast("long").alias("b_idx"), F.round("iou", 6).alias("iou"), F.round("inside", 6).alias("inside"))
 
 
-@query()
+def _greedy(group: str, prefer: str, where: str, boxes: str = "a") -> str:
+    """CTEs of the serial matching: box after box of a group takes the first of its ordered candidates that is free."""
+    on = " AND ".join(f"{{x}}.{c} = {{y}}.{c}" for c in group.split(", "))
+    return f"""turns AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY idx) AS turn FROM {boxes}),
+options AS (SELECT {group}, a_idx AS idx, list({{'b': b_idx, 'iou': iou, 'other': other}} ORDER BY {prefer}, iou DESC, b_idx DESC) AS options FROM {where} WHERE iou >= 0.5 GROUP BY ALL),
+greedy AS (
+  SELECT DISTINCT {group}, 0::BIGINT AS turn, NULL::BIGINT AS idx, []::BIGINT[] AS used, NULL::STRUCT(b BIGINT, iou DOUBLE, other BOOLEAN) AS took FROM turns
+  UNION ALL SELECT {", ".join(f"t.{c}" for c in group.split(", "))}, t.turn, t.idx, CASE WHEN took IS NULL THEN used ELSE list_append(used, took.b) END, list_filter(options, lambda o: NOT list_contains(CASE WHEN took IS NULL THEN used ELSE list_append(used, took.b) END, o.b))[1]
+  FROM greedy g JOIN turns t ON {on.format(x="g", y="t")} AND t.turn = g.turn + 1 LEFT JOIN options o ON {on.format(x="o", y="t")} AND o.idx = t.idx),
+matched AS (SELECT {group}, idx AS a_idx, took.b AS b_idx, took.iou AS iou, took.other AS other FROM greedy WHERE took IS NOT NULL)"""
+
+
+_AGREED = f"""WITH RECURSIVE {_PAIRS}, same AS (SELECT frame, label, a_idx::BIGINT AS a_idx, b_idx::BIGINT AS b_idx, iou, false AS other FROM p), {_greedy("frame, label", "other", "same")}"""
+_LAYERS = f"""{_AGREED}, layers AS (SELECT frame, label, a_idx, b_idx, iou, 'both' AS found_by FROM matched
+  UNION ALL SELECT frame, label, idx, NULL, NULL, 'a' FROM a WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.frame = a.frame AND m.label = a.label AND m.a_idx = a.idx)
+  UNION ALL SELECT frame, label, NULL, idx, NULL, 'b' FROM b WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.frame = b.frame AND m.label = b.label AND m.b_idx = b.idx))"""
+
+
+@query(_AGREED + " SELECT frame, label, a_idx, b_idx, round(iou, 6) AS iou FROM matched")
 def box_consensus(t):
     a, b = _boxes(t)
     return G.greedy_matches(a, b, "frame", "label").select("frame", "label", "a_idx", "b_idx", F.round("iou", 6).alias("iou"))
 
 
-@query(f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY frame, label, a_idx ORDER BY iou DESC, b_idx) AS ra, row_number() OVER (PARTITION BY frame, label, b_idx ORDER BY iou DESC, a_idx) AS rb FROM p WHERE iou >= 0.5),
-m AS (SELECT label, count(*) AS n_matched FROM r WHERE ra = 1 AND rb = 1 GROUP BY 1) SELECT label, n_matched, n_a, round(n_matched / n_a, 6) AS rate FROM m JOIN (SELECT label, count(*) AS n_a FROM a GROUP BY 1) USING (label)""")
+@query(_LAYERS + " SELECT frame, label, a_idx, b_idx, found_by FROM layers")
+def box_agreement(t):
+    a, b = _boxes(t)
+    return G.agreement(a, b, "frame", "label").select("frame", "label", "a_idx", "b_idx", "found_by")
+
+
+@query(_LAYERS + """ SELECT label, count(*) FILTER (found_by = 'both') AS n_matched, count(*) FILTER (found_by = 'a') AS a_only, count(*) FILTER (found_by = 'b') AS b_only,
+  round(count(*) FILTER (found_by = 'both') / count(*) FILTER (found_by <> 'b'), 6) AS rate_a, round(count(*) FILTER (found_by = 'both') / count(*) FILTER (found_by <> 'a'), 6) AS rate_b FROM layers GROUP BY 1""")
 def box_match_rates(t):
+    """Shares of each source's boxes that the other has, by the one-to-one matching."""
     a, b = _boxes(t)
-    p = G.box_pairs(a, b, ["frame", "label"]).where("iou >= 0.5")
-    best = lambda own, other: F.row_number().over(W.partitionBy("frame", "label", own).orderBy(F.desc("iou"), other)) == 1
-    m = p.withColumn("ra", best("a_idx", "b_idx")).withColumn("rb", best("b_idx", "a_idx")).where("ra AND rb").groupBy("label").agg(F.count("*").alias("n_matched"))
-    return m.join(a.groupBy("label").agg(F.count("*").alias("n_a")), "label").withColumn("rate", F.round(F.col("n_matched") / F.col("n_a"), 6))
+    return G.agreement_rates(G.agreement(a, b, "frame", "label"), ["label"])
 
 
 @query(f"""WITH {_BOX}, v AS (SELECT frame, idx, CASE WHEN idx % 4 = 1 THEN 'delete' WHEN idx % 4 = 2 THEN 'relabel' ELSE 'keep' END AS verdict, CASE WHEN frame % 2 = 0 THEN 'Z' ELSE '?' END AS new_label FROM b)
@@ -145,7 +167,11 @@ def box_tier(t):
     return j.select("frame", F.col("idx").cast("long").alias("idx"), F.when(F.col("idx") == 0, "hand").when(F.col("seen").isNull(), "unchecked").when(F.col("idx") % 3 == 2, "disputed").otherwise("verified").alias("tier"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOX}, r AS (SELECT * REPLACE (CASE WHEN idx % 4 = 1 THEN 'Z' ELSE label END AS label) FROM b),
+o AS (SELECT a.frame, a.idx::BIGINT AS a_idx, b.idx::BIGINT AS b_idx, a.label <> b.label AS other, {_IOU} AS i, (a.x1 - a.x0) * (a.y1 - a.y0) AS aa, (b.x1 - b.x0) * (b.y1 - b.y0) AS ab FROM a JOIN r b ON a.frame = b.frame),
+near AS (SELECT *, i / (aa + ab - i) AS iou FROM o), {_greedy("frame", "other", "near")},
+fates AS (SELECT (a.idx % 3)::VARCHAR AS tier, m.iou, CASE WHEN m.other IS NULL THEN 'deleted' WHEN m.other THEN 'relabelled' ELSE 'kept' END AS fate FROM a LEFT JOIN matched m ON m.frame = a.frame AND m.a_idx = a.idx)
+SELECT tier, count(*) AS n, count(*) FILTER (fate <> 'deleted') AS n_kept, count(*) FILTER (fate = 'relabelled') AS n_relabelled, round(avg((fate = 'deleted')::INT), 6) AS deletion_rate, round(count(*) FILTER (iou >= 0.99) / nullif(count(*) FILTER (fate <> 'deleted'), 0), 6) AS unmoved FROM fates GROUP BY ROLLUP (tier)""")
 def proposal_survival(t):
     a, b = _boxes(t)
     reviewed = b.withColumn("label", F.when(F.col("idx") % 4 == 1, "Z").otherwise(F.col("label")))

@@ -293,3 +293,25 @@ def test_pruned_search_equals_all_products(spark):
         assert len(first) + len(second) < 0.5 * len(asked) * (held > 0).sum()  # over half of the pairs of query and cell are skipped
     finally:
         retrieve.QUERY_BLOCK, retrieve.CORPUS_BLOCK = before
+
+
+def test_matching_in_rounds_is_the_serial_one(spark):
+    import random
+
+    random.seed(12)
+    rows = [(g, a, b, random.randrange(4)) for g in range(6) for a in range(25) for b in range(20) if random.random() < 0.3]
+    pairs = spark.createDataFrame(rows, "g long, a_idx long, b_idx long, cost long")
+    want = set()
+    for g in range(6):
+        free = set(range(20))
+        for a in range(25):
+            best = min(((c, b) for x, y, b, c in rows if (x, y) == (g, a) and b in free), default=None)
+            if best:
+                free.remove(best[1])
+                want.add((g, a, best[1]))
+    before = geometry.ROW_PAIRS
+    try:
+        for geometry.ROW_PAIRS in (10_000, 150, 0):  # in rows, some groups in rounds, all of them
+            assert {(r.g, r.a_idx, r.b_idx) for r in geometry.one_to_one(pairs, ["g"], F.col("cost")).collect()} == want
+    finally:
+        geometry.ROW_PAIRS = before
