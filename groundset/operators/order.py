@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .scratch import written
+
 
 def indexed(df: DataFrame, *keys: str) -> DataFrame:
     """`df` with 0-based `idx` in the order of `keys`, which are unique: range partitions are numbered inside, and their sizes added up.
 
-    The sorted partitions are cached in memory and on disk, since two passes must see the same ones.
+    The partitions are written to the scratch folder, since two passes must see the same ones.
     """
-    parts = df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()).persist()
+    parts = written(df.repartitionByRange(*keys).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # a row for each partition
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = parts.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*keys)))

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import jaccard, length_band, md5_int, tokens
+from .scratch import written
 
 
 def draw(salt: str, key: str) -> Column:
@@ -56,7 +57,7 @@ def allocate_within(df: DataFrame, outer: str, inner: str, takes: DataFrame) ->
 def pick(df: DataFrame, stratum: str, takes: DataFrame, key: str, salt: str) -> DataFrame:
     """The first `take` rows of each stratum by md5."""
     r = df.withColumn("_h", draw(salt, key)).withColumn("_rn", F.row_number().over(W.partitionBy(stratum).orderBy("_h", key)))
-    return r.join(takes.select(stratum, "take"), stratum).where("_rn <= take").drop("_h", "_rn", "take")
+    return r.join(takes.select(stratum, "take").hint("merge"), stratum).where("_rn <= take").drop("_h", "_rn", "take")
 
 
 def round_robin(df: DataFrame, group: str, key: str, total: int) -> DataFrame:
@@ -75,8 +76,9 @@ def rotated(df: DataFrame, concept: str, key: str, salt: str) -> DataFrame:
     return r.withColumn("donor_rank", (F.col("rank") + (most or 0)) % max(1, n or 0)).drop("_h")
 
 
-def distractor_candidates(records: DataFrame, item: str, pool: list[str], most: int, salt: str) -> DataFrame:
-    """(item, place, answer, concept, facet): up to `most` answers of the same `pool` (columns of `records`; none: of all) for each record.
+def distractor_candidates(records: DataFrame, item: str, pool: list[str], most: int, salt: str, asked: DataFrame | None = None) -> DataFrame:
+    """(item, place, answer, concept, facet, n_pool): up to `most` answers of the same `pool` (columns of `records`; none: of all) for each record, or for those of
+    `asked`, and the size of the pool.
 
     The distinct answers of a pool stand in a circle in md5 order; a record's candidates are the next ones from a place that md5 of its
     item draws. Each record joins `most` places, so a large pool makes no pairs of records.
@@ -86,27 +88,26 @@ def distractor_candidates(records: DataFrame, item: str, pool: list[str], most:
     key = F.concat_ws("\x1f", F.lit(salt), *[F.col(c).cast("string") for c in pool])
     answers = records.select(key.alias("_pool"), "concept", "facet", "answer").distinct().withColumn("_h", md5_int(F.concat(F.lit(salt), "answer")))
     ring = indexed(answers, "_pool", "_h", "answer", "concept", "facet")
-    spans = ring.groupBy("_pool").agg(F.min("idx").alias("_low"), F.count("*").alias("_n"))
-    asked = records.select(item, key.alias("_pool")).join(spans.hint("merge"), "_pool")
+    spans = ring.groupBy("_pool").agg(F.min("idx").alias("_low"), F.count("*").alias("n_pool"))
+    asked = (records if asked is None else asked).select(item, key.alias("_pool")).join(spans.hint("merge"), "_pool")
     start = md5_int(F.concat(F.lit(salt), F.col(item).cast("string")))
-    places = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(most), "_n") - 1), lambda i: F.col("_low") + (start + i) % F.col("_n"))
-    asked = asked.select(item, F.posexplode(places).alias("place", "idx"))
-    return asked.join(ring.hint("merge"), "idx").select(item, "place", "answer", "concept", "facet")
+    places = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(most), "n_pool") - 1), lambda i: F.col("_low") + (start + i) % F.col("n_pool"))
+    asked = asked.select(item, "n_pool", F.posexplode(places).alias("place", "idx"))
+    return asked.join(ring.hint("merge"), "idx").select(item, "place", "answer", "concept", "facet", "n_pool")
 
 
-def distractors(records: DataFrame, item: str, hard: bool, n: int = 3, most: int = 24, alike: float = 0.6, salt: str = "mcq") -> DataFrame:
-    """(item, options, gold_position, fell_back) of the records (item, concept, facet, answer) that get `n` distractors.
+def _chosen(records: DataFrame, asked: DataFrame, item: str, hard: bool, n: int, most: int, alike: float, salt: str) -> DataFrame:
+    """(item, _gold, _kept, _settled): the greedy choice among the next `most` answers of each pool, and whether longer looks can't change it.
 
-    Distractors have a Jaccard similarity of at most `alike` to the answer and to one another. Easy ones come from other concepts, one
-    of each: first of the same facet, then of any. Hard ones come from other facets of the same concept: one of each facet, then
-    any; if these are too few, from other concepts as the easy ones. Each stage looks at the next `most` answers of its pool.
-    Options stand in md5 order. Greedy choice runs over one record's candidates, an array of at most 4 * `most`.
+    A stage is spent if its pool was looked at as a whole or each of its tags has been taken. A choice is settled if every stage before that of its last
+    answer is spent; one that lacks answers, if all stages are.
     """
-    gold = records.select(item, F.col("concept").alias("_c"), F.col("facet").alias("_f"), F.col("answer").alias("_gold"))
+    gold = asked.select(item, F.col("concept").alias("_c"), F.col("facet").alias("_f"), F.col("answer").alias("_gold"))
 
     def stage(pool: list[str], order: int, ok: Column, tag: Column) -> DataFrame:
-        found = distractor_candidates(records, item, pool, most, f"{salt}{order}").join(gold.hint("merge"), item).where(ok)
-        return found.select(item, F.lit(order).alias("stage"), "place", "answer", tag.alias("tag"))
+        found = distractor_candidates(records, item, pool, most, f"{salt}{order}", asked).join(gold.hint("merge"), item)
+        # an answer that doesn't qualify leaves the pool's size behind
+        return found.select(item, F.lit(order).alias("stage"), "place", F.when(ok, F.col("answer")).alias("answer"), F.when(ok, tag).alias("tag"), "n_pool")
 
     away = F.col("concept") != F.col("_c")
     of = F.concat(F.lit("c:"), F.col("concept").cast("string"))
@@ -114,9 +115,13 @@ def distractors(records: DataFrame, item: str, hard: bool, n: int = 3, most: int
     if hard:
         inside = (F.col("concept") == F.col("_c")) & (F.col("facet") != F.col("_f")) & (F.col("answer") != F.col("_gold"))
         first = stage(["concept"], 1, inside, F.concat(F.lit("f:"), F.col("facet").cast("string")))
-        stages = [first, first.select(item, F.lit(2).alias("stage"), "place", "answer", F.lit(None).cast("string").alias("tag")), *stages]
+        stages = [first, first.select(item, F.lit(2).alias("stage"), "place", "answer", F.lit(None).cast("string").alias("tag"), "n_pool"), *stages]
     every = functools.reduce(DataFrame.union, stages)
-    listed = every.groupBy(item).agg(F.array_sort(F.collect_list(F.struct("stage", "place", "answer", "tag"))).alias("_list")).join(gold.hint("merge"), item)
+    size = lambda s: F.coalesce(F.max(F.when(F.col("stage") == s, F.col("n_pool"))), F.lit(0)).alias(f"_n{s}")
+    own = F.collect_list(F.when(F.col("answer").isNotNull(), F.struct("stage", "place", "answer", "tag")))
+    listed = every.groupBy(item).agg(F.array_sort(own).alias("_list"), *[size(s) for s in (1, 2, 3, 4)]).join(gold.hint("merge"), item)
+    tags = lambda by, of, name: records.groupBy(*[F.col(c).alias(k) for c, k in by]).agg((F.countDistinct(of) - 1).alias(name))
+    listed = listed.join(tags([("concept", "_c")], "facet", "_t1").hint("merge"), "_c", "left").join(tags([("facet", "_f")], "concept", "_t3").hint("merge"), "_f", "left").crossJoin(F.broadcast(tags([], "concept", "_t4")))  # the last is one row
     words = lambda x: F.array_distinct(tokens(x))
     near = lambda a, b: jaccard(words(a), words(b)) > alike
     kind = dict(records.dtypes)["answer"]
@@ -125,7 +130,35 @@ def distractors(records: DataFrame, item: str, hard: bool, n: int = 3, most: int
         clash = F.exists(kept, lambda k: F.coalesce(k["tag"] == c["tag"], F.lit(False)) | near(k["answer"], c["answer"]))
         return F.when((F.size(kept) >= n) | near(c["answer"], F.col("_gold")) | clash, kept).otherwise(F.concat(kept, F.array(F.struct(c["stage"].alias("stage"), c["answer"].alias("answer"), c["tag"].alias("tag")))))
 
-    chosen = listed.withColumn("_kept", F.aggregate("_list", F.array().cast(f"array<struct<stage:int,answer:{kind},tag:string>>"), step)).where(F.size("_kept") >= n)
+    chosen = listed.withColumn("_kept", F.aggregate("_list", F.array().cast(f"array<struct<stage:int,answer:{kind},tag:string>>"), step))
+    taken = lambda *s: F.size(F.filter("_kept", lambda k: k["stage"].isin(*s)))
+    full = F.size("_kept") >= n
+    last = F.when(full, F.element_at("_kept", -1)["stage"]).otherwise(5)
+    spent = {1: taken(1) >= F.col("_t1"), 2: F.lit(False), 3: taken(3) >= F.col("_t3"), 4: taken(3, 4) >= F.col("_t4")}
+    settled = functools.reduce(Column.__and__, [(last <= s) | (F.col(f"_n{s}") <= most) | F.coalesce(spent[s], F.lit(False)) for s in spent])
+    return chosen.select(item, "_gold", "_kept", settled.alias("_settled"))
+
+
+def distractors(records: DataFrame, item: str, hard: bool, n: int = 3, most: int = 24, alike: float = 0.6, salt: str = "mcq") -> DataFrame:
+    """(item, options, gold_position, fell_back) of the records (item, concept, facet, answer) that get `n` distractors.
+
+    Distractors have a Jaccard similarity of at most `alike` to the answer and to one another. Easy ones come from other concepts, one
+    of each: first of the same facet, then of any. Hard ones come from other facets of the same concept: one of each facet, then
+    any; if these are too few, from other concepts as the easy ones. Options stand in md5 order.
+
+    Every record looks at the next `most` answers of each pool; those whose choice longer looks could change look four times as far, and so on
+    until their pools are spent: the result is that of a search of all answers. Greedy choice runs over one record's candidates.
+    """
+    asked, found = records, None
+    while True:
+        judged = written(_chosen(records, asked, item, hard, n, most, alike, salt))
+        settled = judged.where("_settled")
+        found = settled if found is None else found.union(settled)
+        rest = judged.where("NOT _settled").select(item)
+        if rest.isEmpty():
+            break
+        asked, most = records.join(rest.hint("merge"), item, "left_semi"), most * 4
+    chosen = found.where(F.size("_kept") >= n)
     answers = F.concat(F.array("_gold"), F.transform("_kept", lambda k: k["answer"]))
     mixed = F.transform(F.array_sort(F.transform(answers, lambda o: F.struct(md5_int(F.concat(F.col(item).cast("string"), F.lit("opt"), o)).alias("h"), o.alias("o")))), lambda x: x["o"])
     done = chosen.select(item, "_gold", mixed.alias("options"), F.exists("_kept", lambda k: k["stage"] > 2).alias("fell_back"))

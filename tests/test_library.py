@@ -315,3 +315,39 @@ def test_matching_in_rounds_is_the_serial_one(spark):
             assert {(r.g, r.a_idx, r.b_idx) for r in geometry.one_to_one(pairs, ["g"], F.col("cost")).collect()} == want
     finally:
         geometry.ROW_PAIRS = before
+
+
+def test_distractors_equal_a_search_of_all_answers(spark):
+    """600 near-equal answers and a few distinct ones; concepts with too few facets; pools larger than the first look."""
+    import hashlib
+
+    words = [f"w{i:02d}" for i in range(90)]
+    rows = [(i, f"c{i % 3}", f"f{i % 2}", f"all these words are the same in every answer but {i}") for i in range(600)]
+    rows += [(600 + i, f"c{i % 9}", f"f{i % 4}", " ".join(words[i * 9 : i * 9 + 8])) for i in range(9)]
+    jac = lambda a, b: len(set(a.split()) & set(b.split())) / len(set(a.split()) | set(b.split()))
+    md5 = lambda s: int(hashlib.md5(s.encode()).hexdigest()[:8], 16)
+
+    def ring(salt, pool, item):
+        stand = sorted({(md5(salt + t), t, c, f) for _, c, f, t in rows if pool is None or pool(c, f)})
+        start = md5(f"{salt}{item}") % len(stand)
+        return [x[1:] for x in stand[start:] + stand[:start]]
+
+    for hard in (False, True):
+        want = {}
+        for item, concept, facet, gold in rows:
+            stages = [(3, lambda c, f: f == facet), (4, None)]
+            if hard:
+                stages = [(1, lambda c, f: c == concept), (2, lambda c, f: c == concept), *stages]
+            kept, tags = [], set()
+            for stage, pool in stages:
+                for t, c, f in ring(f"mcq{min(stage, 1) if stage < 3 else stage}", pool, item):
+                    if (c == concept and f != facet and t != gold) if stage < 3 else c != concept:
+                        tag = f"f{f}" if stage == 1 else None if stage == 2 else f"c:{c}"
+                        if len(kept) < 3 and jac(t, gold) <= 0.6 and all(jac(t, k) <= 0.6 for k in kept) and (tag is None or tag not in tags):
+                            kept.append(t)
+                            tags.add(tag)
+            if len(kept) == 3:
+                want[item] = {gold, *kept}
+        df = spark.createDataFrame(rows, "item int, concept string, facet string, answer string")
+        got = {r.item: set(r.options) for r in sample.distractors(df, "item", hard, most=8).collect()}
+        assert got == want and len(want) > 600
