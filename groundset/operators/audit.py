@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_int
+from .scratch import written
 
 
 def vote(label: Column, confidence: Column, valid: list[str]) -> Column:
@@ -32,6 +33,45 @@ def gate(items: DataFrame, votes: DataFrame, item: str, label: str, vote: str, l
     return items.join(named.hint("merge"), item).where(F.col("n_agree") >= least)
 
 
+def with_ancestors(items: DataFrame, item: str, parent: str, ok: str) -> DataFrame:
+    """`items` with `ok` false also where any item that they derive from, at whatever distance, is not ok; an unknown parent counts as ok.
+
+    Each round joins every item with its ancestor and takes over the ancestor's own one, so a chain takes as many rounds as its length has
+    binary digits; a circle ends when no verdict changes any more and every chain that ends has ended.
+    """
+    state = written(items.select(F.col(item).alias("_item"), F.col(parent).alias("_up"), F.coalesce(F.col(ok), F.lit(False)).alias("_ok")))
+    before = None
+    while True:
+        now = tuple(state.agg(F.count("_up"), F.count(F.when(~F.col("_ok"), 1))).first())
+        if not now[0] or now == before:
+            break
+        before = now
+        above = state.select(F.col("_item").alias("_up"), F.col("_up").alias("_next"), F.col("_ok").alias("_above"))
+        state = written(state.join(above.hint("merge"), "_up", "left").select("_item", F.col("_next").alias("_up"), (F.col("_ok") & F.coalesce("_above", F.lit(True))).alias("_ok")))
+    return items.drop(ok).join(state.select(F.col("_item").alias(item), F.col("_ok").alias(ok)).hint("merge"), item)
+
+
+def released(items: DataFrame, votes: DataFrame, item: str, label: str, vote: str, least: int, parent: str) -> DataFrame:
+    """`items` with `n_agree` and `status`: kept, not_agreed (an item with a label that fewer than `least` voters name), or derived (from an item that goes).
+    An item without a label is a refusal, which no vote concerns."""
+    named = votes.join(items.select(item, F.col(label).alias("_label")).hint("merge"), item).groupBy(item).agg(F.count(F.when(F.col(vote) == F.col("_label"), 1)).alias("n_agree"))
+    told = items.join(named.hint("merge"), item, "left").withColumn("n_agree", F.coalesce("n_agree", F.lit(0).cast("long")))
+    told = told.withColumn("_own", F.col(label).isNull() | (F.col("n_agree") >= least))
+    told = with_ancestors(told.withColumn("_all", F.col("_own")), item, parent, "_all")
+    return told.withColumn("status", F.when(~F.col("_own"), "not_agreed").when(~F.col("_all"), "derived").otherwise("kept")).drop("_own", "_all")
+
+
+def vote_matrix(votes: DataFrame, item: str, voter: str, vote: str, voters: list) -> DataFrame:
+    """One row per item with a column for each of `voters`, named by them; null where one has no vote."""
+    return votes.groupBy(item).pivot(voter, voters).agg(F.min(vote))
+
+
+def transitions(df: DataFrame, before: str, after: str, most: int = 10) -> DataFrame:
+    """(before, after, n): the most frequent changes of a label, `most` of them; ties by label."""
+    changed = df.where(~F.col(before).eqNullSafe(F.col(after))).groupBy(before, after).agg(F.count("*").alias("n"))
+    return changed.orderBy(F.desc("n"), before, after).limit(most)
+
+
 def audit_tier(verdict: Column) -> Column:
     """yes / partial / no to primary / review / salvage; a missing verdict goes to review."""
     return F.when(verdict == "yes", "primary").when(verdict == "no", "salvage").otherwise("review")

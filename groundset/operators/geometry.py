@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.columns import md5_int
+from .order import indexed
 from .scratch import written
 
 
@@ -181,3 +183,35 @@ def coco_import(annotations: DataFrame, categories: DataFrame, shipped: DataFram
     at = lambda v, m: F.round(v / m, 4)
     corners = [at(F.col("x"), width).alias("x0"), at(F.col("y"), height).alias("y0"), at(F.col("x") + F.col("w"), width).alias("x1"), at(F.col("y") + F.col("h"), height).alias("y1")]
     return own.select("image_id", "idx", "label", *corners)
+
+
+def split_with_repair(boxes: DataFrame, frame: str, label: str, share: float = 0.2, salt: str = "split") -> DataFrame:
+    """(frame, split): `share` of the frames, drawn by md5, go to validation; a class without a training frame then moves its first validation frame back.
+
+    Classes are looked at in order, and one that an earlier move has served moves nothing. Frames are numbered by range partitions; what is
+    folded in one row is a frame and its classes for each class without a training frame.
+    """
+    labels = boxes.select(frame, label).distinct()
+    h = md5_int(F.concat(F.lit(salt), F.col(frame).cast("string")))
+    frames = indexed(labels.select(frame).distinct().withColumn("_h", h), "_h", frame)
+    n = F.floor(F.lit(share) * F.lit(frames.count()))
+    drawn = frames.withColumn("_val", F.col("idx") < n)
+    held = labels.join(drawn.hint("merge"), frame)
+    lacking = held.groupBy(label).agg(F.bool_and("_val").alias("_none"), F.min(F.struct("idx", frame)).alias("_first")).where("_none").select(F.col(label).alias("_class"), F.col(f"_first.{frame}").alias(frame))
+    classes = labels.join(lacking.select(frame).distinct().hint("merge"), frame, "left_semi").groupBy(frame).agg(F.collect_set(label).alias("_has"))
+    rows = F.array_sort(F.collect_list(F.struct("_class", F.col(frame).alias("f"), "_has")))
+
+    def step(moved, c):
+        served = F.exists(moved, lambda m: F.array_contains(m["_has"], c["_class"]))
+        return F.when(served, moved).otherwise(F.concat(moved, F.array(c)))
+
+    listed = lacking.join(classes.hint("merge"), frame).agg(rows.alias("_rows"))
+    none = F.filter("_rows", lambda r: F.lit(False))
+    back = listed.select(F.explode(F.aggregate("_rows", none, step)).alias("m")).select(F.col("m.f").alias(frame), F.lit(True).alias("_back"))
+    told = drawn.join(back.hint("merge"), frame, "left")
+    return told.select(frame, F.when(F.col("_val") & F.col("_back").isNull(), "val").otherwise("train").alias("split"))
+
+
+def centre_labels(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
+    """A pixel box as `cx cy w h` in shares of the image, six digits each."""
+    return F.concat_ws(" ", *[F.format_string("%.6f", v) for v in ((x + w / 2) / width, (y + h / 2) / height, w / width, h / height)])

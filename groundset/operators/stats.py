@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_int, wilson
+from .order import indexed
 
 
 def accuracy(df: DataFrame, by: list[str], pred: str, gold: str) -> DataFrame:
@@ -122,3 +123,20 @@ def control_table(df: DataFrame, by: list[str], gold: str, base: str, controls:
         aggs += [F.count(F.when(right(base) & ~right(c), 1)).alias(f"_{name}_b"), F.count(F.when(~right(base) & right(c), 1)).alias(f"_{name}_c")]
     r = df.groupBy(*by).agg(*aggs)
     return r.withColumns({f"{name}_p": mcnemar(F.col(f"_{name}_b"), F.col(f"_{name}_c")) for name in controls}).drop(*[f"_{name}_{x}" for name in controls for x in "bc"])
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], exclusive: bool = False) -> DataFrame:
+    """Per group: `n` and the quantiles named in `at`, exact, with linear interpolation; null values don't count.
+
+    Rows are range-partitioned by group and value and numbered in that order, so no task holds a group; two order statistics of each quantile are then
+    looked up by number. `exclusive`: the quantile p stands at p (n + 1), as of a sample, and beyond the ends of a small one.
+    """
+    rows = indexed(df.select(*by, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL"), *by, "_v")
+    spans = rows.groupBy(*by).agg(F.min("idx").alias("_low"), F.count("*").alias("n"))
+    place = {name: F.lit(p) * (F.col("n") + 1) - 1 if exclusive else F.lit(p) * (F.col("n") - 1) for name, p in at.items()}
+    below = {name: F.greatest(F.lit(0), F.least(F.floor(pos), F.col("n") - 2)).cast("long") for name, pos in place.items()}
+    looked = F.array(*[F.struct(F.lit(f"{name} {i}").alias("which"), (F.col("_low") + F.least(lo + i, F.col("n") - 1)).alias("idx")) for name, lo in below.items() for i in (0, 1)])
+    wanted = spans.select(*by, "n", F.explode(looked).alias("w")).select(*by, "n", "w.*")
+    met = wanted.join(rows.select("idx", "_v").hint("merge"), "idx").groupBy(*by, "n").agg(*[F.max(F.when(F.col("which") == f"{name} {i}", F.col("_v"))).alias(f"{name} {i}") for name in at for i in (0, 1)])
+    mixed = {name: F.col(f"`{name} 0`") + (place[name] - below[name]) * (F.col(f"`{name} 1`") - F.col(f"`{name} 0`")) for name in at}
+    return met.select(*by, "n", *[v.alias(name) for name, v in mixed.items()])

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import md5_int
 from ..operators import audit as A
+from ..operators import stats as S
 from .registry import query
 
 
@@ -41,6 +42,36 @@ def consensus_outcome(t):
     return A.consensus(_votes(t), "item", "vote", 5).groupBy(F.when(w == "none", "none").when(w == "N", "agree").otherwise("other").alias("outcome")).agg(F.count("*").alias("n"))
 
 
+#: Orders as items: those with a finished or open status have a label, others are refusals; of seven in a row, each derives from the one before.
+_ITEMS = "i AS (SELECT o_orderkey AS item, CASE o_orderstatus WHEN 'F' THEN 'R' WHEN 'O' THEN 'N' END AS released, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey - 1 END AS derived_from FROM orders)"
+
+
+def _items(t):
+    status = F.col("o_orderstatus")
+    return t.orders.select(F.col("o_orderkey").alias("item"), F.when(status == "F", "R").when(status == "O", "N").alias("released"), F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderkey") - 1).alias("derived_from"))
+
+
+@query(f"""WITH RECURSIVE {_VOTES}, {_ITEMS}, g AS (SELECT i.item, released, derived_from, count(*) FILTER (vote = released) AS n_agree FROM i LEFT JOIN v USING (item) GROUP BY ALL),
+k AS (SELECT *, released IS NULL OR n_agree >= 1 AS own FROM g), gone AS (SELECT item FROM k WHERE NOT own UNION SELECT k.item FROM k JOIN gone ON k.derived_from = gone.item)
+SELECT item, n_agree, CASE WHEN NOT own THEN 'not_agreed' WHEN item IN (SELECT item FROM gone) THEN 'derived' ELSE 'kept' END AS status FROM k""")
+def release_gate(t):
+    """Items whose label a voter names, without those that derive, over up to six steps, from one that goes."""
+    return A.released(_items(t), _votes(t), "item", "released", "vote", 1, "derived_from").select("item", "n_agree", "status")
+
+
+@query(f"WITH {_VOTES} SELECT item, " + ", ".join(f"min(CASE WHEN voter % 6 = {i} THEN vote END) AS voter_{i}" for i in range(6)) + " FROM v GROUP BY 1")
+def vote_matrix(t):
+    votes = _votes(t).select("item", F.concat(F.lit("voter_"), (F.col("voter") % 6).cast("string")).alias("voter"), "vote")
+    return A.vote_matrix(votes, "item", "voter", "vote", [f"voter_{i}" for i in range(6)])
+
+
+@query(f"WITH {_CONSENSUS}, {_ITEMS} SELECT coalesce(released, 'refusal') AS released, winner, count(*) AS n FROM i JOIN c USING (item) WHERE coalesce(released, 'refusal') <> winner GROUP BY 1, 2 ORDER BY n DESC, 1, 2 LIMIT 10")
+def consensus_transitions(t):
+    """The ten most frequent changes from the released label to the consensus."""
+    met = _items(t).withColumn("released", F.coalesce("released", F.lit("refusal"))).join(A.consensus(_votes(t), "item", "vote", 5).hint("merge"), "item")
+    return A.transitions(met, "released", "winner")
+
+
 @query(f"WITH {_VOTES}, i AS (SELECT o_orderkey AS item, CASE WHEN o_orderstatus = 'F' THEN 'R' ELSE 'N' END AS released FROM orders), g AS (SELECT item, released, count(*) FILTER (vote = released) AS n_agree FROM v JOIN i USING (item) GROUP BY 1, 2) SELECT item, released, n_agree FROM g WHERE n_agree >= 2")
 def consensus_gate(t):
     items = t.orders.select(F.col("o_orderkey").alias("item"), F.when(F.col("o_orderstatus") == "F", "R").otherwise("N").alias("released"))
@@ -238,8 +269,10 @@ def verify_expected(t):
 
 @query("""SELECT lang, count(*) AS n, count(DISTINCT source) AS n_sources, median(n_chars) AS median_chars, max(n_chars) AS max_chars, round(quantile_cont(n_chars, 0.25), 4) AS q1, round(quantile_cont(n_chars, 0.75), 4) AS q3 FROM documents GROUP BY 1""")
 def composition_counts(t):
-    q = lambda p: F.round(F.percentile("n_chars", F.lit(p)), 4)
-    return t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.percentile("n_chars", F.lit(0.5)).alias("median_chars"), F.max("n_chars").alias("max_chars"), q(0.25).alias("q1"), q(0.75).alias("q3"))
+    counts = t.documents.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("source").alias("n_sources"), F.max("n_chars").alias("max_chars"))
+    cuts = S.quantiles(t.documents, ["lang"], "n_chars", {"median_chars": 0.5, "q1": 0.25, "q3": 0.75}).drop("n")
+    met = counts.join(cuts.withColumnRenamed("lang", "_lang").hint("merge"), F.col("lang").eqNullSafe(F.col("_lang"))).drop("_lang")
+    return met.withColumns({c: F.round(c, 4) for c in ("q1", "q3")})
 
 
 @query("""SELECT doc_id, CASE WHEN quality = 0 AND toxic = 1 THEN 'drop' WHEN quality = 0 OR toxic = 1 THEN 'fix' ELSE 'keep' END AS verdict FROM labels""")

@@ -226,3 +226,26 @@ def grouped_split(t):
     n = t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
     r = t.customer.withColumn("rn", F.row_number().over(W.partitionBy("c_mktsegment").orderBy(h, "c_custkey"))).join(n, "c_mktsegment")
     return r.select("c_custkey", F.when((F.col("rn") <= F.floor(F.col("n") * 0.2)) & (F.col("n") > 1), "val").otherwise("train").alias("split"))
+
+
+#: Orders as frames, their parts' priorities and rare customers as classes: a class of one frame falls into validation now and then.
+_CLASSED = "c AS (SELECT o_orderkey AS frame, o_orderpriority AS label FROM orders UNION SELECT o_orderkey, 'rare ' || o_custkey FROM orders WHERE o_custkey % 40 = 1)"
+
+
+@query(f"""WITH RECURSIVE {_CLASSED}, f AS (SELECT frame, row_number() OVER (ORDER BY ('0x' || substr(md5('split' || frame), 1, 8))::BIGINT, frame) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT frame FROM c)),
+d AS (SELECT frame, idx, idx < floor(0.2::DOUBLE * n) AS val FROM f), l AS (SELECT label, arg_min(frame, idx) AS frame, row_number() OVER (ORDER BY label) AS nr FROM c JOIN d USING (frame) GROUP BY 1 HAVING bool_and(val)),
+m AS (SELECT 0::BIGINT AS nr, []::BIGINT[] AS moved, []::VARCHAR[] AS served UNION ALL
+  SELECT l.nr, CASE WHEN list_contains(served, l.label) THEN moved ELSE list_append(moved, l.frame) END, CASE WHEN list_contains(served, l.label) THEN served ELSE list_concat(served, has) END FROM m JOIN l ON l.nr = m.nr + 1 JOIN (SELECT frame, list(label) AS has FROM c GROUP BY 1) h ON h.frame = l.frame)
+SELECT frame, CASE WHEN val AND NOT list_contains((SELECT arg_max(moved, nr) FROM m), frame) THEN 'val' ELSE 'train' END AS split FROM d""")
+def split_with_repair(t):
+    own = t.orders.select(F.col("o_orderkey").alias("frame"), F.col("o_orderpriority").alias("label"))
+    rare = t.orders.where("o_custkey % 40 = 1").select(F.col("o_orderkey").alias("frame"), F.concat(F.lit("rare "), F.col("o_custkey").cast("string")).alias("label"))
+    return G.split_with_repair(own.union(rare), "frame", "label")
+
+
+@query(f"""WITH {_BOX} SELECT frame, idx, printf('%.6f %.6f %.6f %.6f', (x0 + x1) / 2 * 640 / 640, (y0 + y1) / 2 * 480 / 480, (x1 - x0) * 640 / 640, (y1 - y0) * 480 / 480) AS line FROM a""")
+def centre_labels(t):
+    """Lines of a detector's training labels."""
+    a, _ = _boxes(t)
+    w, h = F.lit(640.0), F.lit(480.0)
+    return a.select("frame", F.col("idx").cast("long").alias("idx"), G.centre_labels(F.col("x0") * w, F.col("y0") * h, (F.col("x1") - F.col("x0")) * w, (F.col("y1") - F.col("y0")) * h, w, h).alias("line"))

@@ -106,7 +106,7 @@ def clean_rate(t):
 
 @query("""WITH q AS (SELECT quantile_cont(n_chars, 1 / 3.0::DOUBLE) AS a, quantile_cont(n_chars, 2 / 3.0::DOUBLE) AS b FROM documents) SELECT lang, CASE WHEN n_chars <= a THEN 1 WHEN n_chars <= b THEN 2 ELSE 3 END AS tertile, count(*) AS n, round(avg(n_chars), 4) AS mean FROM documents, q GROUP BY 1, 2""")
 def tertile_rates(t):
-    q = t.documents.agg(F.percentile("n_chars", F.lit(1 / 3)).alias("a"), F.percentile("n_chars", F.lit(2 / 3)).alias("b"))
+    q = S.quantiles(t.documents, [], "n_chars", {"a": 1 / 3, "b": 2 / 3}).drop("n")
     tertile = F.when(F.col("n_chars") <= F.col("a"), 1).when(F.col("n_chars") <= F.col("b"), 2).otherwise(3)
     return t.documents.crossJoin(F.broadcast(q)).groupBy("lang", tertile.alias("tertile")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"))  # q is one row
 

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import stats as S
 from ..operators import text as T
 from .registry import query
 
@@ -165,6 +166,18 @@ def _turns(t):
     return c.withColumn("answer", F.lead("n").over(w)).withColumn("next_role", F.lead("role").over(w)).where("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", "n", "answer")
 
 
+@query(_TURNS + """, d AS (SELECT turn % 3 AS kind, answer - n AS d, answer BETWEEN greatest(1, round_even(least(n * 0.8::DOUBLE, n - 5.0::DOUBLE), 0)::INT) AND round_even(greatest(n * 1.25::DOUBLE, n + 5.0::DOUBLE), 0)::INT AS inside FROM q),
+s AS (SELECT kind, count(*) AS n, count(*) FILTER (inside) AS n_in_band, list(d ORDER BY d)::DOUBLE[] AS x FROM d GROUP BY 1), p AS (SELECT *, [greatest(1, least(n - 1, floor(p * (n + 1))))::BIGINT FOR p IN [0.25::DOUBLE, 0.5::DOUBLE, 0.75::DOUBLE]] AS j FROM s WHERE n > 1)
+SELECT kind, n, n_in_band, round(x[j[1]] + (0.25::DOUBLE * (n + 1) - j[1]) * (x[j[1] + 1] - x[j[1]]), 4) AS q1, round(x[j[2]] + (0.5::DOUBLE * (n + 1) - j[2]) * (x[j[2] + 1] - x[j[2]]), 4) AS median, round(x[j[3]] + (0.75::DOUBLE * (n + 1) - j[3]) * (x[j[3] + 1] - x[j[3]]), 4) AS q3 FROM p""")
+def length_deviation(t):
+    """Answers' deviation in words from their targets: how many lie in the band, the median and the quartiles of the sample."""
+    low, high = C.length_band(F.col("n"))
+    d = _turns(t).select((F.col("turn") % 3).alias("kind"), (F.col("answer") - F.col("n")).alias("d"), F.col("answer").between(low, high).alias("inside"))
+    counts = d.groupBy("kind").agg(F.count(F.when(F.col("inside"), 1)).alias("n_in_band"))
+    cuts = S.quantiles(d, ["kind"], "d", {"q1": 0.25, "median": 0.5, "q3": 0.75}, exclusive=True).where("n > 1")
+    return cuts.join(counts.hint("merge"), "kind").select("kind", "n", "n_in_band", *[F.round(c, 4).alias(c) for c in ("q1", "median", "q3")])
+
+
 @query(_TURNS + " SELECT conv_id, turn, n, answer, greatest(1, round_even(least(n * 0.8::DOUBLE, n - 5.0::DOUBLE), 0)::INT) AS low, round_even(greatest(n * 1.25::DOUBLE, n + 5.0::DOUBLE), 0)::INT AS high FROM q")
 def length_band(t):
     low, high = C.length_band(F.col("n"))
