@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators.scratch import new_folder
 from ..sources import records as R
 from .registry import query
 
@@ -93,15 +94,88 @@ def export_items(t):
     return nested.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit(":"), x["text"])), "\x1e").alias("turns"))
 
 
-_DIGESTED = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderpriority"], "documents": ["doc_id", "lang", "source", "text"]}
-_DIGEST = " UNION ALL ".join(f"SELECT '{name}' AS name, sha256(concat_ws(chr(31), {', '.join(f'{c}::VARCHAR' for c in cols)})) AS d FROM {name}" for name, cols in _DIGESTED.items())
+_DIGESTED = {
+    "region": "r_regionkey r_name", "nation": "n_nationkey n_name n_regionkey", "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment", "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+    "part": "p_partkey p_name p_brand p_type p_size p_retailprice", "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority", "documents": "doc_id text lang source n_chars",
+    "conversations": "conv_id turn role text", "labels": "doc_id quality toxic", "benchmark": "item_id text", "pages": "page_id url html",
+}
+_ROW = "sha256(array_to_string([{}], chr(31)))"
+_DIGEST = " UNION ALL ".join(f"SELECT '{name}' AS name, " + _ROW.format(", ".join(f"coalesce({c}::VARCHAR, chr(30))" for c in cols.split())) + f" AS d FROM {name}" for name, cols in _DIGESTED.items())
 
 
 @query(f"""WITH r AS ({_DIGEST}), s AS (SELECT name, substr(d, 1, 3) AS shard, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM r GROUP BY 1, 2)
 SELECT name, sum(n)::BIGINT AS n_rows, sha256(string_agg(d, '' ORDER BY shard)) AS digest FROM s GROUP BY 1""")
 def package_digest(t):
-    """A digest of each table whatever the order of its rows: of the digests of 4096 shards of sorted row digests."""
-    return functools.reduce(DataFrame.union, [R.table_digest(getattr(t, name), name, cols) for name, cols in _DIGESTED.items()])
+    """A digest of all columns of each table whatever the order of its rows: of the digests of 4096 shards of sorted row digests."""
+    return functools.reduce(DataFrame.union, [R.table_digest(getattr(t, name), name, getattr(t, name).columns) for name in _DIGESTED])
+
+
+_PACKAGED = {"orders": ("json", ("o_orderstatus",)), "customer": ("csv", ()), "labels": ("parquet", ()), "conversations": ("json", ("role",))}
+
+
+def _schema(df):
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+@query(f"""WITH r AS ({_DIGEST}), s AS (SELECT name, substr(d, 1, 3) AS shard, count(*) AS n, sha256(string_agg(d, '' ORDER BY d)) AS d FROM r GROUP BY 1, 2)
+SELECT name, sum(n)::BIGINT AS n_rows, sha256(string_agg(d, '' ORDER BY shard)) AS digest, true AS listed FROM s WHERE name IN ('orders', 'customer', 'labels', 'conversations') GROUP BY 1""")
+def package_round_trip(t):
+    """Tables written as JSON lines, CSV and Parquet, some partitioned, and read back: the digest of all their columns is that of the source, and the
+    manifest lists every row of their files."""
+    folder, found = new_folder(t.spark, "package"), []
+    for name, (kind, by) in _PACKAGED.items():
+        source, path = getattr(t, name), f"{folder}/{name}"
+        R.write_records(source, path, kind, by)
+        back = R.read_records(t.spark, path, _schema(source), kind).select(*source.columns)
+        listed = R.file_manifest(t.spark, path, name, kind, _schema(source)).groupBy("name").agg(F.sum("n_rows").alias("n_listed"))
+        found.append(R.table_digest(back, name, source.columns).join(listed.hint("merge"), "name").select("name", "n_rows", "digest", (F.col("n_listed") == F.col("n_rows")).alias("listed")))
+    return functools.reduce(DataFrame.union, found)
+
+
+@query("SELECT name, position::INT AS position, field, type FROM (" + " UNION ALL ".join(f"SELECT '{name}' AS name, row_number() OVER () - 1 AS position, column_name AS field, CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type FROM (DESCRIBE {name})" for name in _DIGESTED) + ")")
+def field_manifest(t):
+    return functools.reduce(DataFrame.union, [R.field_manifest(name, getattr(t, name)) for name in _DIGESTED])
+
+
+#: Events in files of 50, dealt by a number; some files are cut off, others lack their list. Keys are users.
+_BATCHED = """WITH b AS (SELECT event_id // 50 AS batch, event_id, user_id, value FROM events), good AS (SELECT * FROM b WHERE batch % 7 <> 3 AND batch % 11 <> 5)"""
+
+
+def _batches(t):
+    folder = new_folder(t.spark, "batches")
+    rows = t.events.select(F.floor(F.col("event_id") / 50).alias("batch"), "user_id", "event_id", "value")
+    items = F.to_json(F.array_sort(F.collect_list(F.struct("event_id", "user_id", "value"))))
+    whole = F.concat(F.lit('{"items": '), F.col("_items"), F.lit("}"))
+    text = F.when(F.col("batch") % 7 == 3, F.substring(whole, 1, 40)).when(F.col("batch") % 11 == 5, F.lit('{"other": 1}')).otherwise(whole)
+    rows.groupBy("batch").agg(items.alias("_items")).select("batch", text.alias("value")).write.partitionBy("batch").text(folder)
+    return R.read_batches(t.spark, folder, "event_id bigint, user_id bigint, value double")
+
+
+@query(_BATCHED + " SELECT user_id, event_id, value, batch FROM good QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY batch DESC, event_id DESC) = 1")
+def collected_batches(t):
+    """Batch files read back, those that can't be read left out; the last batch wins."""
+    rows = _batches(t).where("NOT bad").withColumn("batch", F.regexp_extract("batch_file", r"/batch=(\d+)/", 1).cast("long"))
+    return R.latest_wins(rows.select("user_id", "event_id", "value", "batch", "pos"), ["user_id"], ["batch", "pos"]).select("user_id", "event_id", "value", "batch")
+
+
+@query(_BATCHED + """ SELECT (SELECT count(DISTINCT batch) FROM b) AS n_files, (SELECT count(DISTINCT batch) FROM b) - (SELECT count(DISTINCT batch) FROM good) AS n_bad, (SELECT count(*) FROM good) AS n_rows,
+  (SELECT count(DISTINCT user_id) FROM good) AS n_keys, (SELECT count(*) FROM (SELECT DISTINCT c_custkey FROM customer) WHERE c_custkey NOT IN (SELECT user_id FROM good)) AS n_missing""")
+def batch_report(t):
+    """Files, unreadable ones, rows and keys of the batches, and customers that no readable batch has."""
+    return R.batch_report(_batches(t), t.customer.select(F.col("c_custkey").alias("user_id")), "user_id")
+
+
+#: Replies by event number: nested objects, lists, broken ones, values of the wrong type. `@` stands for the event's number.
+_SHAPES = ['{"a": {"k": @}, "k": @, "ok": true} and {so on}', 'first {x} </think> so {"a": {"k": @}, "k": @, "ok": true}', 'a list: [{"k": @, "ok": false}, {"k": 2}]', '{"k": @,, "ok": true}', '{"k": "@", "ok": "true"}', "nothing", "[@, 2]", 'assistantfinal{"k": @.5, "ok": 1, "text": "a } in it"}']
+
+
+@query("""WITH e AS (SELECT event_id, (props::JSON->>'k')::BIGINT AS k, event_id % 8 AS kind FROM events)
+SELECT event_id, kind IN (1, 2, 4, 7) AS read, CASE WHEN kind = 1 THEN k END AS k, CASE WHEN kind = 1 THEN true END AS ok, CASE WHEN kind = 1 THEN k END AS inner_k, CASE WHEN kind = 2 THEN k END AS first_k, CASE WHEN kind = 7 THEN 'a } in it' END AS said FROM e""")
+def reply_verdicts(t):
+    shape = F.element_at(F.array(*[F.lit(x) for x in _SHAPES]), (F.col("event_id") % 8).cast("int") + 1)
+    v = t.events.select("event_id", R.reply_variant(F.replace(shape, F.lit("@"), F.get_json_object("props", "$.k"))).alias("v"))
+    value = lambda path, kind: R.typed(F.col("v"), path, kind)
+    return v.select("event_id", F.col("v").isNotNull().alias("read"), value("$.k", "int").alias("k"), value("$.ok", "boolean").alias("ok"), value("$.a.k", "int").alias("inner_k"), value("$.items[0].k", "int").alias("first_k"), value("$.text", "string").alias("said"))
 
 
 @query("""SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')""")

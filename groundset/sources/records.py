@@ -17,9 +17,23 @@ def read_records(spark: SparkSession, path: str, schema: str, kind: str = "json"
     return reader.csv(path, header=True) if kind == "csv" else reader.format(kind).load(path)
 
 
-def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Batch outputs below `path` with the file each row came from, for `latest_wins`."""
-    return spark.read.schema(schema).json(path).withColumn("batch_file", F.input_file_name())
+def read_batches(spark: SparkSession, path: str, item: str, items: str = "items") -> DataFrame:
+    """Rows of batch files below `path`, each a JSON object whose list `items` holds rows of schema `item`: batch_file, pos and the row's fields.
+
+    A file that can't be read, or has no such list, gives one row with `bad` and null fields. File and position order the rows for `latest_wins`.
+    """
+    read = spark.read.schema(f"{items} array<struct<{item}>>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True, recursiveFileLookup=True)
+    rows = read.select(F.col("_metadata.file_path").alias("batch_file"), (F.col("_corrupt").isNotNull() | F.col(items).isNull()).alias("bad"), F.col(items).alias("_items"))
+    return rows.select("batch_file", "bad", F.posexplode_outer(F.when(~F.col("bad"), F.col("_items"))).alias("pos", "_row")).select("batch_file", "bad", "pos", "_row.*")
+
+
+def batch_report(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """One row: batch files, those that can't be read, rows, distinct keys, and keys of `wanted` that no readable file has."""
+    good = rows.where("NOT bad AND pos IS NOT NULL")
+    missing = wanted.select(key).distinct().join(good.select(key).distinct().hint("merge"), key, "left_anti").agg(F.count("*").alias("n_missing"))
+    files = rows.groupBy("batch_file").agg(F.max("bad").alias("bad")).agg(F.count("*").alias("n_files"), F.count(F.when(F.col("bad"), 1)).alias("n_bad"))
+    held = good.agg(F.count("*").alias("n_rows"), F.countDistinct(key).alias("n_keys"))
+    return files.crossJoin(held).crossJoin(missing)  # a row each
 
 
 def write_records(df: DataFrame, path: str, kind: str = "json", by: tuple[str, ...] = ()) -> None:
@@ -46,6 +60,29 @@ def reply_json(reply: Column, schema: str) -> Column:
     return F.from_json(F.regexp_extract(body, r"(?s)\{.*\}", 0), schema)
 
 
+def reply_variant(reply: Column) -> Column:
+    """What a model's reply says, whatever its shape: the outermost {...} after its last reasoning mark, parsed, else the outermost [...], if it
+    holds objects only; null if neither can be read. A list is given as `{"items": [...]}`."""
+    body = F.regexp_replace(reply, r"(?s)^.*(</think>|assistantfinal)", "")
+
+    def strict(text: Column) -> Column:
+        # inside brackets, as the parser reads one value and passes over what follows it
+        held = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+        return F.when(F.size(held) == 1, F.get(held, F.lit(0)))
+
+    text = F.regexp_extract(body, r"(?s)\[.*\]", 0)
+    objects = F.try_variant_get(strict(text), "$", "array<variant>")
+    fit = (F.size(objects) > 0) & F.forall(objects, lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    return F.coalesce(strict(F.regexp_extract(body, r"(?s)\{.*\}", 0)), F.when(fit, F.try_parse_json(F.concat(F.lit('{"items": '), text, F.lit("}")))))
+
+
+def typed(reply: Column, path: str, kind: str) -> Column:
+    """The value at `path` of a reply if it has the very type (`int`, `boolean`, `string`): "3" is no number and 1 no truth value. Else null."""
+    names = {"int": "BIGINT", "boolean": "BOOLEAN", "string": "STRING"}
+    found = F.try_variant_get(reply, path, "variant")
+    return F.when(F.schema_of_variant(found) == names[kind], F.try_variant_get(reply, path, "bigint" if kind == "int" else kind))
+
+
 def parse_rate(df: DataFrame, ok: Column, by: list[str]) -> DataFrame:
     """Share of rows whose verdict satisfies its schema."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.sum(ok.cast("int")).cast("long").alias("n_ok"), F.round(F.avg(ok.cast("double")), 6).alias("rate"))
@@ -94,8 +131,23 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 
 def row_digest(*cols: str) -> Column:
-    """SHA-256 of a row's columns as text, joined by a unit separator; null as the empty text."""
-    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]), 256)
+    """SHA-256 of a row's columns as text, joined by a unit separator; null as a record separator, which differs from the empty text."""
+    return F.sha2(F.concat_ws("\x1f", *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in cols]), 256)
+
+
+def field_manifest(name: str, df: DataFrame) -> DataFrame:
+    """(name, position, field, type) of a table's columns, as its metadata file lists them."""
+    rows = [(name, i, f.name, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields)]
+    return df.sparkSession.createDataFrame(rows, "name string, position int, field string, type string")
+
+
+def file_manifest(spark: SparkSession, path: str, name: str, kind: str, schema: str) -> DataFrame:
+    """(name, file, n_rows, n_bytes, sha256) of the data files of a written table: what a receiver checks them by."""
+    files = file_digests(spark, path).where(F.col("path").rlike(r"/part-[^/]*$"))
+    rows = read_records(spark, path, schema, kind).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("n_rows"))
+    bare = lambda c: F.regexp_replace(c, "^file:/+", "/")
+    held = rows.select(bare(F.col("path")).alias("file"), "n_rows")
+    return files.select(F.lit(name).alias("name"), bare(F.col("path")).alias("file"), "n_bytes", "sha256").join(held.hint("merge"), "file", "left").select("name", "file", F.coalesce("n_rows", F.lit(0).cast("long")).alias("n_rows"), "n_bytes", "sha256")
 
 
 def table_digest(df: DataFrame, name: str, cols: list[str]) -> DataFrame:
