@@ -10,11 +10,17 @@ from groundset.llm import exact_dedup, langid, mixing, queries, simhash
 from groundset.llm.common import ensure_checkpoint_dir
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of 8 MB for Python in the pipeline's session: of 64 MB, the default, a task and its worker hold several at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told, null languages filled in; texts that are null, empty or without a letter go. Repeated rows stay.
 
     Any column may be null, any table empty; extra columns pass through whatever their names.
     """
+    small_batches(spark)
     return langid.drop_unidentified(docs)
 
 
@@ -44,6 +50,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: number of token ids, digest of the ids, digest of the decoded text. Null text counts as empty; repeated rows each get a row."""
+    small_batches(spark)
     return queries._bpe_digests(docs)
 
 

@@ -88,10 +88,9 @@ def encode_decode(docs: DataFrame, path: str, text_col: str = "text", broadcast_
 def _encode_texts(path: str, shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = _tokenizer(path)
-        piece = [tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))]
-        entry = lambda ids: (np.array(ids, np.int32).tobytes(), " ".join([piece[i] for i in ids]))
+        piece = np.array([tok.id_to_token(i) or "" for i in range(tok.get_vocab_size(with_added_tokens=True))], object)
         names, flat, ends = shared.value
-        table = {w.as_py(): entry(flat[a:b]) for w, a, b in zip(names, ends[:-1], ends[1:])}
+        table = {w.as_py(): flat[a:b].astype(np.int32).tobytes() for w, a, b in zip(names, ends[:-1], ends[1:])}  # a word's ids, packed
         fixed = len(table)
         for batch in batches:
             # a batch of long texts is worked on in slices, so that memory follows the texts' size
@@ -110,11 +109,9 @@ def _encode_texts(path: str, shared, text_col: str):
                             new = list({w for w in words if w not in table})
                         for i in range(0, len(new), _BATCH):
                             part = new[i : i + _BATCH]
-                            table.update((w, entry(e.ids)) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)))
-                    found = [table[w] for w in words]
-                    encoded.append(b"".join([f[0] for f in found]))
-                    # a word that is all white space to the tokenizer has no pieces, and so no place between spaces
-                    decoded.append(" ".join([f[1] for f in found if f[0]]))
+                            table.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)))
+                    encoded.append(b"".join([table[w] for w in words]))
+                    decoded.append(" ".join(piece[np.frombuffer(encoded[-1], np.int32)].tolist()))
                     sizes.append(len(encoded[-1]) // 4)
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
                 part = batch.slice(start, at - start)
