@@ -197,3 +197,49 @@ def regeneration(questions: DataFrame, issues: DataFrame, checks: DataFrame, ite
     names = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col(kind)))), ",")
     r = marked.groupBy(item).agg(names(again).alias("regen_types"), names(~again).alias("kept"), F.coalesce(F.max("_n") >= 2, F.lit(False)).alias("second_pass"), F.count(F.when(again & F.col("_bad"), 1)).alias("n_discarded"), F.count("_n").alias("_some"))
     return r.where("_some > 0").drop("_some")
+
+
+def audit_precision(df: DataFrame, by: list[str], verdict: str, cross: str) -> DataFrame:
+    """Per group: items, audited ones, and shares of them: precise (yes or partial), clear (yes); of items that the cross-check rejects, those not clear, and of those
+    that it accepts (yes or partial), the clear ones. Only audited items count for precision; an unaudited one is not clear."""
+    v, c = F.col(verdict), F.col(cross)
+    n = lambda x: F.count(F.when(x, 1))
+    share = lambda x, of: F.round(F.try_divide(n(of & F.coalesce(x, F.lit(False))), n(of)), 6)
+    clear, accepted = F.coalesce(v == "yes", F.lit(False)), F.coalesce(c.isin("yes", "partial"), F.lit(False))
+    rejected = F.coalesce(c == "no", F.lit(False))
+    return df.groupBy(*by).agg(F.count("*").alias("n"), F.count(v).alias("n_audited"), share(v.isin("yes", "partial"), v.isNotNull()).alias("precision"), share(clear, v.isNotNull()).alias("clear"), share(~clear, rejected).alias("rejected_rightly"), share(clear, accepted).alias("accepted_rightly"))
+
+
+def confusion(df: DataFrame, one: str, other: str) -> DataFrame:
+    """(one, other, n): how often two verdicts meet; null is a verdict of its own."""
+    return df.groupBy(one, other).agg(F.count("*").alias("n"))
+
+
+def assign_roles(known: DataFrame, given: DataFrame, item: str, role: str, label: str, least: float = 0.9) -> DataFrame:
+    """(given, known, rate, problem) of each given rater: the known role whose labels its own agree with most, ties by name; `problem` says why it is no
+    identification: `agreement` below `least`, or a role `claimed` by several. Null: identified."""
+    best = match_roles(known, given, item, role, label)
+    claims = best.where(F.col("rate") >= least).groupBy("known").agg(F.count("*").alias("_n"))
+    told = best.join(claims.hint("merge"), "known", "left")
+    return told.select("given", "known", "rate", F.when(F.col("rate") < least, "agreement").when(F.col("_n") > 1, "claimed").alias("problem"))
+
+
+def kept_dependents(tables: dict[str, tuple[DataFrame, str]], dropped: DataFrame, item: str) -> dict[str, DataFrame]:
+    """Each dependent table (rows, name of its item column) without the rows of dropped items; rows without an item stay."""
+    gone = dropped.select(F.col(item).alias("_gone")).distinct()
+    return {name: rows.join(gone.hint("merge"), F.col(key) == F.col("_gone"), "left_anti") for name, (rows, key) in tables.items()}
+
+
+def worst(df: DataFrame, value: str, key: str, most: int = 6) -> DataFrame:
+    """The `most` rows of least `value`; ties by key."""
+    return df.orderBy(value, key).limit(most)
+
+
+def audit_verdict(original: Column, reperceived: Column, other: Column) -> Column:
+    """What an auditor's three answers say of a concept: the original one is right, else the second look's, else another, else none."""
+    return F.when(original, "original").when(reperceived, "reperceived").when(other, "other").otherwise("none")
+
+
+def disagreement_verdict(a_ok: Column, b_ok: Column, answerable: Column) -> Column:
+    """Of two disagreeing fields: refuse what can't be answered, else say which of them needs fixing."""
+    return F.when(~answerable, "refuse").when(a_ok & b_ok, "ok").when(~a_ok & ~b_ok, "fix_both").when(~a_ok, "fix_a").otherwise("fix_b")

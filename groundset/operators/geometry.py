@@ -215,3 +215,17 @@ def split_with_repair(boxes: DataFrame, frame: str, label: str, share: float = 0
 def centre_labels(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
     """A pixel box as `cx cy w h` in shares of the image, six digits each."""
     return F.concat_ws(" ", *[F.format_string("%.6f", v) for v in ((x + w / 2) / width, (y + h / 2) / height, w / width, h / height)])
+
+
+def review_rates(boxes: DataFrame, verdicts: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """Per group of boxes: how many were kept, relabelled and deleted (no verdict: kept), and the shares of the last two."""
+    j = boxes.join(verdicts.select(*on, "verdict").hint("merge"), on, "left").withColumn("_v", F.coalesce("verdict", F.lit("keep")))
+    n = lambda v: F.count(F.when(F.col("_v") == v, 1))
+    r = j.groupBy(*by).agg(F.count("*").alias("n"), n("keep").alias("n_kept"), n("relabel").alias("n_relabelled"), n("delete").alias("n_deleted"))
+    return r.withColumns({"relabel_rate": F.round(F.col("n_relabelled") / F.col("n"), 6), "deletion_rate": F.round(F.col("n_deleted") / F.col("n"), 6)})
+
+
+def missed_labels(wanted: DataFrame, boxes: DataFrame, frame: str, label: str) -> DataFrame:
+    """(frame, labels): the sorted labels that each frame should have and no box of it has; the next request list. Frames that lack none have no row."""
+    lacking = wanted.select(frame, label).distinct().join(boxes.select(frame, label).distinct().hint("merge"), [frame, label], "left_anti")
+    return lacking.groupBy(frame).agg(F.array_sort(F.collect_set(label)).alias("labels"))  # a frame has as many labels as there are classes at most

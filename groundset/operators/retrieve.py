@@ -205,3 +205,10 @@ def group_overlap(df: DataFrame, group: str, member: str, element: str) -> DataF
     # of c members that hold an element, c (c - 1) / 2 pairs share it: pairs are counted, not made
     per = rows.groupBy(group, element).agg(F.count("*").alias("c")).groupBy(group).agg(F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("shared"))
     return n.join(per.hint("shuffle_hash"), group).select(group, "n", F.round(F.when(F.col("n") > 1, F.col("shared") / (F.col("n") * (F.col("n") - 1) / 2)), 6).alias("mean_overlap"))
+
+
+def retrieval_summary(report: DataFrame, least: tuple[int, int] = (4, 3), share: float = 0.9) -> DataFrame:
+    """One row over `retrieval_report`: queries, means, shares of queries with enough passages on topic and enough sources, and whether each share passes."""
+    rate = lambda c, n: F.avg((F.col(c) >= n).cast("int"))
+    topic, sources = rate("on_topic", least[0]), rate("sources", least[1])
+    return report.agg(F.count("*").alias("n"), F.round(F.avg("on_topic"), 6).alias("mean_on_topic"), F.round(F.avg("sources"), 6).alias("mean_sources"), F.round(topic, 6).alias("enough_on_topic"), F.round(sources, 6).alias("enough_sources"), (topic >= share).alias("topic_ok"), (sources >= share).alias("sources_ok"))

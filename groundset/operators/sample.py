@@ -181,3 +181,23 @@ def arm_report(collected: DataFrame, kind: str, n_options: int) -> DataFrame:
     """Per type: jobs, answered ones, replies that name an option there is, replies in their length band."""
     n = lambda c, name: F.count(F.when(c, 1)).alias(name)
     return collected.groupBy(kind).agg(F.count("*").alias("n_jobs"), F.count("words").alias("n_answered"), n(F.col("choice").between(0, n_options - 1), "n_valid"), n(F.col("in_band"), "n_in_band"))
+
+
+def blinded(records: DataFrame, key: list[str], salt: str) -> tuple[DataFrame, DataFrame]:
+    """(shown, keys) of pooled records: `shown` has rec_id, a digest of the salt and the key columns, and the columns that aren't key; `keys` has rec_id and the key columns,
+    and is kept apart. The order of rec_id is the shuffle."""
+    rec = F.sha2(F.concat_ws("\x1f", F.lit(salt), *[F.coalesce(F.col(c).cast("string"), F.lit("\x1e")) for c in key]), 256).alias("rec_id")
+    return records.select(rec, *[c for c in records.columns if c not in key]), records.select(rec, *key)
+
+
+def with_abstain(options: Column, abstain: str) -> Column:
+    """Options with the abstain option at the end, unless they have it."""
+    return F.when(F.array_contains(options, abstain), options).otherwise(F.concat(options, F.array(F.lit(abstain))))
+
+
+def job_labels(jobs: DataFrame, reference: DataFrame, votes: DataFrame, item: str, label: str, voter: str, vote: str, named: int | str | None = None) -> DataFrame:
+    """`jobs` with `given`: the reference's label of the item, or the vote of the voter `named`; jobs whose voter abstained (`none`) or has no vote go."""
+    if named is None:
+        return jobs.join(reference.select(item, F.col(label).alias("given")).hint("merge"), item)
+    told = votes.where((F.col(voter) == named) & (F.col(vote) != "none")).select(item, F.col(vote).alias("given"))
+    return jobs.join(told.hint("merge"), item)

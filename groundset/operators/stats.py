@@ -140,3 +140,29 @@ def quantiles(df: DataFrame, by: list[str], value: str, at: dict[str, float], ex
     met = wanted.join(rows.select("idx", "_v").hint("merge"), "idx").groupBy(*by, "n").agg(*[F.max(F.when(F.col("which") == f"{name} {i}", F.col("_v"))).alias(f"{name} {i}") for name in at for i in (0, 1)])
     mixed = {name: F.col(f"`{name} 0`") + (place[name] - below[name]) * (F.col(f"`{name} 1`") - F.col(f"`{name} 0`")) for name in at}
     return met.select(*by, "n", *[v.alias(name) for name, v in mixed.items()])
+
+
+def risk_schemes(df: DataFrame, by: list[str], wrong: Column, answered: Column, severity: Column, schemes: dict[str, dict[int, float]], default: float = 2.0) -> DataFrame:
+    """(by, scheme, n_answered, risk): the weight of wrong answers over the number answered, 0 if nothing is, for each scheme of weights by severity.
+
+    Severities that a scheme doesn't list weigh `default` of it (its weight of 2, as an unknown concept has severity 2). Every answered refusal counts as
+    wrong: pass the union of predictions and refusals, with `wrong` true for the latter.
+    """
+    def weight(scheme):
+        out = None
+        for s, w in scheme.items():
+            out = F.when(severity == s, float(w)) if out is None else out.when(severity == s, float(w))
+        return out.otherwise(float(scheme.get(2, default)))
+
+    hit = F.coalesce(answered & wrong, F.lit(False))
+    sums = df.groupBy(*by).agg(F.count(F.when(answered, 1)).alias("n_answered"), *[F.sum(F.when(hit, weight(s)).otherwise(0.0)).alias(f"w_{name}") for name, s in schemes.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("scheme"), F.coalesce(F.try_divide(f"w_{name}", "n_answered"), F.lit(0.0)).alias("risk")) for name in schemes]))
+    return sums.select(*by, "n_answered", each.alias("s")).select(*by, "s.scheme", "n_answered", F.round("s.risk", 6).alias("risk"))
+
+
+def clean_pairs(df: DataFrame, item: str, arm: str, clean: str, arms: tuple[str, str]) -> DataFrame:
+    """One row over the items that have both arms, an arm being clean if all its rows are: items, those clean in one arm only, and the exact McNemar p."""
+    each = df.where(F.col(arm).isin(*arms)).groupBy(item).agg(*[F.bool_and(F.when(F.col(arm) == a, F.col(clean))).alias(f"c{i}") for i, a in enumerate(arms)]).where("c0 IS NOT NULL AND c1 IS NOT NULL")
+    n = lambda c: F.count(F.when(F.expr(c), 1))
+    told = each.agg(F.count("*").alias("n_items"), n("c0 AND NOT c1").alias("only_first"), n("c1 AND NOT c0").alias("only_second"))
+    return told.withColumn("p", mcnemar(F.col("only_first"), F.col("only_second")))

@@ -187,3 +187,14 @@ def mark_repeats(df: DataFrame, group: str, order: str, text: str) -> DataFrame:
     keyed = df.withColumn("_w", F.xxhash64(F.array_sort(F.array_distinct(C.tokens(F.col(text))))))
     first = keyed.groupBy(group, "_w").agg(F.min(order).alias("_first"))
     return keyed.join(first.hint("merge"), [group, "_w"], "left").withColumn("repeats", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_w", "_first")
+
+
+def packet_containment(answers: DataFrame, packets: DataFrame, passages: DataFrame, answer_id: str, passage_id: str, text: str = "text", n: int = 4) -> DataFrame:
+    """(answer, n_grams, shared, containment): the share of an answer's distinct n-grams that any passage of its packet (answer, passage) holds. Answers
+    without an n-gram have no row. A gram counts once, however many passages hold it."""
+    a = gram_table(answers, answer_id, text, n)
+    held = held_grams(passages, passage_id, text, n, a)
+    met = a.join(packets.select(answer_id, passage_id).distinct().hint("merge"), answer_id).join(held.hint("merge"), [passage_id, "gram"]).select(answer_id, "gram").distinct()
+    size = a.groupBy(answer_id).agg(F.count("*").alias("n_grams"))
+    told = size.join(met.groupBy(answer_id).agg(F.count("*").alias("shared")).hint("merge"), answer_id, "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
+    return told.withColumn("containment", F.round(F.col("shared") / F.col("n_grams"), 6))

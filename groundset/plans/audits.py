@@ -302,3 +302,65 @@ def regeneration_plan(t):
     issues = rows.where("l_tax > 0.05").withColumn("pass", F.col("l_suppkey") % 2)
     verdict = F.when(F.col("l_linenumber") % 4 == 0, "answerable").when(F.col("l_linenumber") % 4 == 1, "off_topic").otherwise("fine")
     return A.regeneration(rows, issues, rows.withColumn("verdict", verdict), "l_orderkey", "kind")
+
+
+_AUDITED = """a AS (SELECT doc_id, source, CASE WHEN quality = 1 THEN 'yes' WHEN toxic = 0 THEN 'partial' WHEN toxic = 1 THEN 'no' END AS verdict, ['yes', 'partial', 'no'][(n_chars % 3 + 1)::INT] AS cross_check FROM documents LEFT JOIN labels USING (doc_id))"""
+
+
+def _audited(t):
+    d = t.documents.select("doc_id", "source", "n_chars").join(t.labels.hint("merge"), "doc_id", "left")
+    verdict = F.when(F.col("quality") == 1, "yes").when(F.col("toxic") == 0, "partial").when(F.col("toxic") == 1, "no")
+    return d.select("doc_id", "source", verdict.alias("verdict"), F.element_at(F.array(*map(F.lit, ("yes", "partial", "no"))), (F.col("n_chars") % 3 + 1).cast("int")).alias("cross_check"))
+
+
+@query(f"""WITH {_AUDITED} SELECT source, count(*) AS n, count(verdict) AS n_audited, round(count(*) FILTER (verdict IN ('yes', 'partial')) / nullif(count(verdict), 0), 6) AS "precision", round(count(*) FILTER (verdict = 'yes') / nullif(count(verdict), 0), 6) AS clear,
+  round(count(*) FILTER (cross_check = 'no' AND coalesce(verdict <> 'yes', true)) / nullif(count(*) FILTER (cross_check = 'no'), 0), 6) AS rejected_rightly, round(count(*) FILTER (cross_check <> 'no' AND verdict = 'yes') / nullif(count(*) FILTER (cross_check <> 'no'), 0), 6) AS accepted_rightly FROM a GROUP BY 1""")
+def audit_precision(t):
+    return A.audit_precision(_audited(t), ["source"], "verdict", "cross_check")
+
+
+@query(f"WITH {_AUDITED} SELECT cross_check, verdict, count(*) AS n FROM a GROUP BY 1, 2")
+def audit_confusion(t):
+    return A.confusion(_audited(t), "cross_check", "verdict")
+
+
+@query("""WITH k AS (SELECT doc_id, 'q' AS known, quality AS a FROM labels UNION ALL SELECT doc_id, 't', toxic FROM labels), g AS (
+  SELECT doc_id, 'x' AS given, CASE WHEN doc_id % 30 = 0 THEN 1 - quality ELSE quality END AS b FROM labels UNION ALL SELECT doc_id, 'y', toxic FROM labels UNION ALL SELECT doc_id, 'z', toxic FROM labels UNION ALL SELECT doc_id, 'w', CASE WHEN doc_id % 2 = 0 THEN 1 - quality ELSE quality END FROM labels),
+r AS (SELECT given, known, round(avg((a = b)::INT), 6) AS rate FROM k JOIN g USING (doc_id) GROUP BY 1, 2), b AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY given ORDER BY rate DESC, known) = 1)
+SELECT given, known, rate, CASE WHEN rate < 0.9 THEN 'agreement' WHEN count(*) FILTER (rate >= 0.9) OVER (PARTITION BY known) > 1 THEN 'claimed' END AS problem FROM b""")
+def rater_identity(t):
+    """Four raters' files against two known roles: one is identified, two claim the same role, one agrees with none."""
+    one = lambda role, v: t.labels.select("doc_id", F.lit(role).alias("role"), v.alias("label"))
+    off = lambda n: F.when(F.col("doc_id") % n == 0, 1 - F.col("quality")).otherwise(F.col("quality"))
+    known = one("q", F.col("quality")).union(one("t", F.col("toxic")))
+    given = one("x", off(30)).union(one("y", F.col("toxic"))).union(one("z", F.col("toxic"))).union(one("w", off(2)))
+    return A.assign_roles(known, given, "doc_id", "role", "label")
+
+
+_DROPPED = "dropped AS (SELECT doc_id, source, CASE WHEN quality = 0 THEN 'quality' ELSE 'toxic' END AS reason FROM documents JOIN labels USING (doc_id) WHERE quality = 0 OR toxic = 1)"
+
+
+@query(f"""WITH {_DROPPED} SELECT 'conversations' AS name, (SELECT count(*) FROM conversations) AS n_before, (SELECT count(*) FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM dropped)) AS n_kept
+UNION ALL SELECT 'labels', (SELECT count(*) FROM labels), (SELECT count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM dropped)) UNION ALL SELECT 'embeddings', (SELECT count(*) FROM embeddings), (SELECT count(*) FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM dropped))""")
+def dropped_dependents(t):
+    """Rows of the tables that hang on items, before and after those of dropped items went."""
+    tables = {"conversations": (t.conversations, "conv_id"), "labels": (t.labels, "doc_id"), "embeddings": (t.embeddings, "vec_id")}
+    kept = A.kept_dependents(tables, dropped_ledger(t), "doc_id")
+    count = lambda df, name, c: df.agg(F.count("*").alias(c)).withColumn("name", F.lit(name))
+    parts = [count(tables[name][0], name, "n_before").join(count(kept[name], name, "n_kept").hint("merge"), "name") for name in tables]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+@query(f"WITH {_DROPPED}, c AS (SELECT doc_id, source FROM documents) SELECT c.source, count(*) AS n, count(*) FILTER (reason = 'quality') AS n_quality, count(*) FILTER (reason = 'toxic') AS n_toxic, count(*) FILTER (reason IS NULL) AS n_kept FROM c LEFT JOIN dropped d USING (doc_id) GROUP BY 1")
+def dropped_by_source(t):
+    d = t.documents.select("doc_id", "source").join(dropped_ledger(t).select("doc_id", "reason").hint("merge"), "doc_id", "left")
+    n = lambda c: F.count(F.when(c, 1))
+    return d.groupBy("source").agg(F.count("*").alias("n"), n(F.col("reason") == "quality").alias("n_quality"), n(F.col("reason") == "toxic").alias("n_toxic"), n(F.col("reason").isNull()).alias("n_kept"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'original' WHEN o_custkey % 3 = 0 THEN 'reperceived' WHEN o_custkey % 3 = 1 THEN 'other' ELSE 'none' END AS audit,
+  CASE WHEN o_custkey % 11 = 0 THEN 'refuse' WHEN o_custkey % 2 = 0 AND o_orderstatus <> 'P' THEN 'ok' WHEN o_custkey % 2 = 1 AND o_orderstatus = 'P' THEN 'fix_both' WHEN o_custkey % 2 = 1 THEN 'fix_a' ELSE 'fix_b' END AS disagreement FROM orders""")
+def verdict_rollups(t):
+    c = F.col("o_custkey")
+    audit = A.audit_verdict(F.col("o_orderstatus") == "F", c % 3 == 0, c % 3 == 1)
+    return t.orders.select("o_orderkey", audit.alias("audit"), A.disagreement_verdict(c % 2 == 0, F.col("o_orderstatus") != "P", c % 11 != 0).alias("disagreement"))

@@ -249,3 +249,17 @@ def centre_labels(t):
     a, _ = _boxes(t)
     w, h = F.lit(640.0), F.lit(480.0)
     return a.select("frame", F.col("idx").cast("long").alias("idx"), G.centre_labels(F.col("x0") * w, F.col("y0") * h, (F.col("x1") - F.col("x0")) * w, (F.col("y1") - F.col("y0")) * h, w, h).alias("line"))
+
+
+@query(f"""WITH {_BOX}, v AS (SELECT frame, idx, CASE WHEN idx % 4 = 1 THEN 'delete' WHEN idx % 4 = 2 THEN 'relabel' ELSE 'keep' END AS verdict FROM b), j AS (SELECT a.label, CASE WHEN a.idx = 0 THEN 'hand' ELSE 'drawn' END AS tier, coalesce(verdict, 'keep') AS verdict FROM a LEFT JOIN v USING (frame, idx))
+SELECT label, tier, count(*) AS n, count(*) FILTER (verdict = 'keep') AS n_kept, count(*) FILTER (verdict = 'relabel') AS n_relabelled, count(*) FILTER (verdict = 'delete') AS n_deleted, round(count(*) FILTER (verdict = 'relabel') / count(*), 6) AS relabel_rate, round(count(*) FILTER (verdict = 'delete') / count(*), 6) AS deletion_rate FROM j GROUP BY 1, 2""")
+def box_review_rates(t):
+    a, b = _boxes(t)
+    v = b.select("frame", "idx", F.when(F.col("idx") % 4 == 1, "delete").when(F.col("idx") % 4 == 2, "relabel").otherwise("keep").alias("verdict"))
+    return G.review_rates(a.withColumn("tier", F.when(F.col("idx") == 0, "hand").otherwise("drawn")), v, ["frame", "idx"], ["label", "tier"])
+
+
+@query(f"WITH {_BOX} SELECT frame, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM a WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.frame = a.frame AND b.label = a.label AND b.idx % 2 = 0) GROUP BY 1")
+def missed_label_requests(t):
+    a, b = _boxes(t)
+    return G.missed_labels(a, b.where("idx % 2 = 0"), "frame", "label").withColumn("labels", F.array_join("labels", ","))

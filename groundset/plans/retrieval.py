@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import retrieve as V
+from ..operators.audit import worst
 from .registry import query
 
 _KNN = """WITH q AS (SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0),
@@ -84,3 +85,21 @@ def allow_list_packet(t):
     q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     own = q.select("query_id", F.explode(F.sequence(F.col("query_id"), F.col("query_id") + 9)).alias("vec_id")).where("vec_id = query_id OR (query_id + vec_id) % 3 = 0")
     return V.packet(q, t.embeddings, own, "query_id", "vec_id", "embedding", 8, F.col("label") <= 5).select("query_id", "vec_id", F.col("rank").cast("long").alias("rank"))
+
+
+_REPORT = _DIVERSE + ", r AS (SELECT query_id, sum((label < 5)::INT)::BIGINT AS on_topic, count(DISTINCT label) AS sources FROM d GROUP BY 1)"
+
+
+def _report(t):
+    return V.retrieval_report(V.diverse(_hits(t), "query_id", "vec_id", "label", 6), "query_id", "label", F.col("label") < 5)
+
+
+@query(_REPORT + " SELECT count(*) AS n, round(avg(on_topic), 6) AS mean_on_topic, round(avg(sources), 6) AS mean_sources, round(avg((on_topic >= 4)::INT), 6) AS enough_on_topic, round(avg((sources >= 3)::INT), 6) AS enough_sources, avg((on_topic >= 4)::INT) >= 0.9 AS topic_ok, avg((sources >= 3)::INT) >= 0.9 AS sources_ok FROM r")
+def retrieval_summary(t):
+    return V.retrieval_summary(_report(t))
+
+
+@query(_REPORT + " SELECT query_id, on_topic FROM r ORDER BY on_topic, query_id LIMIT 6")
+def retrieval_worst(t):
+    """The six queries with the fewest passages on topic."""
+    return worst(_report(t), "on_topic", "query_id").select("query_id", "on_topic")

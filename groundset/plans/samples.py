@@ -134,3 +134,34 @@ def arm_by_type(t):
     """Jobs are lines of an order by type, the arm's replies those of them that it answered, in order."""
     rows = t.lineitem.withColumns({"kind": F.col("l_linestatus"), "target": F.col("l_quantity").cast("int"), "words": (F.col("l_partkey") % 50 + 1).cast("int"), "choice": F.col("l_suppkey") % 6})
     return P.arm_report(P.collect_arm(rows, rows.where("l_tax >= 0.03"), "l_orderkey", "kind", ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity"]), "kind", 5)
+
+
+@query("""SELECT sha256(concat_ws(chr(31), 'salt', role, conv_id::VARCHAR, turn::VARCHAR)) AS rec_id, role, conv_id, turn, md5(text) AS shown FROM conversations""")
+def blind_pool_keys(t):
+    """The key table of the pooled records, met with what is shown of them."""
+    shown, keys = P.blinded(t.conversations.select("role", "conv_id", "turn", "text"), ["role", "conv_id", "turn"], "salt")
+    return keys.join(shown.hint("merge"), "rec_id").select("rec_id", "role", "conv_id", "turn", F.md5("text").alias("shown"))
+
+
+@query("""WITH c AS (SELECT conv_id, turn, role, text, string_split(text, ' ')[1:4] AS words, l.toxic FROM conversations c LEFT JOIN labels l ON l.doc_id = c.conv_id)
+SELECT conv_id || '#' || turn AS id, CASE role WHEN 'user' THEN 'recognition' WHEN 'assistant' THEN 'doctrine' ELSE 'refusal' END AS kind, CASE WHEN role = 'user' THEN array_to_string(CASE WHEN list_contains(words, 'the') THEN words ELSE list_append(words, 'the') END, '|') END AS options,
+  CASE role WHEN 'user' THEN words[1] WHEN 'assistant' THEN substr(text, 1, 60) ELSE 'REFUSE' END AS gold, CASE WHEN role = 'assistant' THEN NULL ELSE coalesce(toxic + 1, 2) END AS severity FROM c""")
+def eval_projection(t):
+    """Each type's own fields: options with the abstain option once, gold answers, severity where the type has it."""
+    c = t.conversations.join(t.labels.select(F.col("doc_id").alias("conv_id"), "toxic").hint("merge"), "conv_id", "left").withColumn("words", F.slice(F.split("text", " "), 1, 4))
+    r = F.col("role")
+    gold = F.when(r == "user", F.get("words", F.lit(0))).when(r == "assistant", F.substring("text", 1, 60)).otherwise("REFUSE")
+    kind = F.when(r == "user", "recognition").when(r == "assistant", "doctrine").otherwise("refusal")
+    options = F.when(r == "user", F.array_join(P.with_abstain(F.col("words"), "the"), "|"))
+    return c.select(F.concat_ws("#", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), kind.alias("kind"), options.alias("options"), gold.alias("gold"), F.when(r != "assistant", F.coalesce(F.col("toxic") + 1, F.lit(2))).alias("severity"))
+
+
+@query("""WITH v AS (SELECT l_orderkey AS item, l_suppkey AS voter, min(CASE WHEN l_tax > 0.06 THEN 'none' ELSE l_returnflag END) AS vote FROM lineitem GROUP BY 1, 2), j AS (SELECT o_orderkey AS item, o_custkey % 50 AS target FROM orders)
+SELECT 'reference' AS source, item, target, o_orderstatus AS given FROM j JOIN orders ON o_orderkey = item UNION ALL SELECT 'voter', item, target, vote FROM j JOIN v USING (item) WHERE voter = 3 AND vote <> 'none'""")
+def jobs_with_label(t):
+    """Jobs with the reference's label, and jobs with the label that one voter named; where that one abstained there is no job."""
+    jobs = t.orders.select(F.col("o_orderkey").alias("item"), (F.col("o_custkey") % 50).alias("target"))
+    reference = t.orders.select(F.col("o_orderkey").alias("item"), F.col("o_orderstatus").alias("label"))
+    votes = t.lineitem.groupBy(F.col("l_orderkey").alias("item"), F.col("l_suppkey").alias("voter")).agg(F.min(F.when(F.col("l_tax") > 0.06, "none").otherwise(F.col("l_returnflag"))).alias("vote"))
+    told = lambda source, named: P.job_labels(jobs, reference, votes, "item", "label", "voter", "vote", named).select(F.lit(source).alias("source"), "item", "target", "given")
+    return told("reference", None).union(told("voter", 3))

@@ -169,3 +169,25 @@ def control_report(t):
     first = F.when(F.col("o_orderkey") % 9 == 0, "F").otherwise(F.col("pred"))
     arms = _predictions(t).withColumns({"swap": F.lit("O"), "first": first})
     return S.control_table(arms, ["o_orderpriority"], "gold", "pred", {"swapped": "swap", "first_only": "first"})
+
+
+_POOL = f"""WITH {_PRED}, u AS (SELECT o_orderpriority, pred, pred <> gold AS wrong, severity FROM p UNION ALL SELECT o_orderpriority, CASE WHEN o_orderkey % 5 = 0 THEN 'answered' END, true, severity FROM p WHERE gold = 'P'),
+w(scheme, s1, s2, s3) AS (VALUES ('flat', 1.0::DOUBLE, 1.0::DOUBLE, 1.0::DOUBLE), ('default', 1, 2, 3), ('convex', 1, 4, 9))"""
+
+
+@query(_POOL + " SELECT o_orderpriority, scheme, count(pred) AS n_answered, round(coalesce(sum(CASE severity WHEN 1 THEN s1 WHEN 2 THEN s2 ELSE s3 END) FILTER (wrong AND pred IS NOT NULL), 0) / count(pred), 6) AS risk FROM u, w GROUP BY 1, 2")
+def risk_by_scheme(t):
+    """Weighted wrong answers over the answered, of predictions and refusals together; a refusal that was answered is always wrong."""
+    p = _predictions(t)
+    pool = p.select("o_orderpriority", "pred", (F.col("pred") != F.col("gold")).alias("wrong"), "severity")
+    refused = p.where("gold = 'P'").select("o_orderpriority", F.when(F.col("o_orderkey") % 5 == 0, "answered").alias("pred"), F.lit(True).alias("wrong"), "severity")
+    schemes = {"flat": {1: 1, 2: 1, 3: 1}, "default": {1: 1, 2: 2, 3: 3}, "convex": {1: 1, 2: 4, 3: 9}}
+    return S.risk_schemes(pool.union(refused), ["o_orderpriority"], F.col("wrong"), F.col("pred").isNotNull(), F.col("severity"), schemes)
+
+
+@query("""WITH i AS (SELECT l_orderkey, bool_and(l_returnflag <> 'R' AND l_tax <= 0.07) FILTER (l_linestatus = 'F') AS a, bool_and(l_returnflag <> 'R' AND l_tax <= 0.07) FILTER (l_linestatus = 'O') AS c FROM lineitem GROUP BY 1), n AS (SELECT count(*) AS n_items, count(*) FILTER (a AND NOT c) AS only_first, count(*) FILTER (c AND NOT a) AS only_second FROM i WHERE a IS NOT NULL AND c IS NOT NULL)
+SELECT *, round(least(1.0, 2 * (SELECT sum(exp(lgamma(only_first + only_second + 1) - lgamma(i + 1) - lgamma(only_first + only_second - i + 1) - (only_first + only_second) * ln(2.0::DOUBLE))) FROM range(0, least(only_first, only_second) + 1) r(i))), 6) AS p FROM n""")
+def clean_pairs(t):
+    """Items that are clean in one arm as a whole and not in the other."""
+    rows = t.lineitem.select("l_orderkey", "l_linestatus", ((F.col("l_returnflag") != "R") & (F.col("l_tax") <= 0.07)).alias("clean"))
+    return S.clean_pairs(rows, "l_orderkey", "l_linestatus", "clean", ("F", "O")).withColumn("p", F.round("p", 6))

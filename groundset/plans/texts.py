@@ -212,3 +212,14 @@ def question_policies(t):
     told = T.telegraphed(F.col("text"), F.col("answer"), 0.3).alias("telegraphs")
     general = F.md5(T.generalized(F.col("text"), [("[0-9]+", "#"), (r"\bthe\b", "a")])).alias("general")
     return T.mark_repeats(c, "conv_id", "turn", "text").select("conv_id", "turn", told, "repeats", general)
+
+
+@query(r"""WITH bw AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark), dw AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
+bg AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM bw), dg AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) AS g FROM dw),
+n AS (SELECT item_id, count(*) AS n_grams FROM bg GROUP BY 1), k AS (SELECT item_id, count(DISTINCT g) AS shared FROM bg JOIN dg USING (g) WHERE doc_id % 8 = item_id % 8 GROUP BY 1)
+SELECT item_id, n_grams, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / n_grams, 6) AS containment FROM n LEFT JOIN k USING (item_id)""")
+def packet_containment(t):
+    """Each benchmark text against the union of the documents of its packet, an eighth of all."""
+    b = t.benchmark.select("item_id", (F.col("item_id") % 8).alias("packet"))
+    packets = b.join(t.documents.select("doc_id", (F.col("doc_id") % 8).alias("packet")).hint("merge"), "packet")
+    return T.packet_containment(t.benchmark, packets, t.documents, "item_id", "doc_id")
