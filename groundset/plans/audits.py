@@ -1,9 +1,11 @@
 """Votes from `lineitem` (order = item, supplier = voter, return flag = vote), audits from `labels` over `documents`."""
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.columns import md5_int
 from ..operators import audit as A
+from ..operators import browse as B
 from ..operators import stats as S
 from .registry import query
 
@@ -364,3 +366,37 @@ def verdict_rollups(t):
     c = F.col("o_custkey")
     audit = A.audit_verdict(F.col("o_orderstatus") == "F", c % 3 == 0, c % 3 == 1)
     return t.orders.select("o_orderkey", audit.alias("audit"), A.disagreement_verdict(c % 2 == 0, F.col("o_orderstatus") != "P", c % 11 != 0).alias("disagreement"))
+
+
+@query("""WITH l AS (SELECT l_orderkey AS item, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS idx, l_returnflag AS label FROM lineitem),
+b AS (SELECT item, count(*) AS n_boxes, string_agg(label, '' ORDER BY idx) AS labels FROM l GROUP BY 1)
+SELECT o_orderkey AS item, coalesce(n_boxes, 0) AS n_boxes, coalesce(labels, '') AS labels, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority || '|' || o_orderstatus END AS easy, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus || '|' || o_custkey END AS hard FROM orders LEFT JOIN b ON item = o_orderkey""")
+def browse_rows(t):
+    """Orders as items with their lines as boxes and the options of both variants."""
+    idx = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1
+    boxes = t.lineitem.select(F.col("l_orderkey").alias("item"), idx.alias("idx"), F.col("l_returnflag").alias("label"), *[F.col(c).alias(k) for c, k in (("l_discount", "x0"), ("l_tax", "y0"), ("l_quantity", "x1"), ("l_extendedprice", "y1"))])
+    o = t.orders.withColumn("item", F.col("o_orderkey"))
+    easy = o.where("item % 2 = 0").select("item", F.lit("easy").alias("variant"), F.array("o_orderpriority", "o_orderstatus").alias("options"))
+    hard = o.where("item % 3 = 0").select("item", F.lit("hard").alias("variant"), F.array("o_orderstatus", F.col("o_custkey").cast("string")).alias("options"))
+    rows = B.browse_rows(o.select("item"), boxes, easy.union(hard), "item")
+    return rows.select("item", F.size("boxes").cast("long").alias("n_boxes"), F.array_join(F.transform("boxes", lambda x: x["label"]), "").alias("labels"), F.array_join("easy", "|").alias("easy"), F.array_join("hard", "|").alias("hard"))
+
+
+@query("""WITH i AS (SELECT doc_id, lang, source, (quality IS NOT NULL)::VARCHAR AS human FROM documents LEFT JOIN labels USING (doc_id))
+SELECT 'lang' AS facet, lang AS value, count(*) AS n FROM i GROUP BY 2 UNION ALL SELECT 'source', source, count(*) FROM i GROUP BY 2 UNION ALL SELECT 'human', human, count(*) FROM i GROUP BY 2""")
+def browse_facets(t):
+    d = t.documents.select("doc_id", "lang", "source").join(t.labels.hint("merge"), "doc_id", "left").withColumn("human", F.col("quality").isNotNull())
+    return B.facet_counts(d, ["lang", "source", "human"])
+
+
+_BLOB = "translate(string_agg(text, ' ' ORDER BY turn), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(f"""WITH i AS (SELECT conv_id, {_BLOB} AS blob FROM conversations GROUP BY 1), q AS (SELECT item_id, translate(substr(text, 5, 1 + item_id % 6), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS said FROM benchmark)
+SELECT item_id AS needle, conv_id, row_number() OVER (PARTITION BY item_id ORDER BY conv_id) AS rank FROM i JOIN q ON said <> '' AND contains(blob, said) QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY conv_id) <= 300""")
+def browse_search(t):
+    """Substrings of the benchmark, of one to six characters, in the turns of whole conversations: the first 300 hits of each."""
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    items = t.conversations.groupBy("conv_id").agg(B.blob(F.array_join(turns, " ")).alias("blob"))
+    needles = t.benchmark.select(F.col("item_id").alias("needle"), B.blob(F.expr("substring(text, 5, cast(1 + item_id % 6 AS int))")).alias("blob"))
+    return B.search(items, needles, "conv_id", "needle")
