@@ -55,6 +55,13 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & (F.size(vec) > 0) & finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
+def _tame(vec: Column) -> Column:
+    """A vector whose squares would leave the range of doubles, divided by its largest component, which changes no angle; others as they are."""
+    most = F.array_max(F.transform(vec, lambda x: F.abs(x.cast("double"))))
+    wide = F.transform(vec, lambda x: x.cast("double"))
+    return F.when(most.between(1e-100, 1e100), wide).otherwise(F.transform(wide, lambda x: x / most))
+
+
 def _dot(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -85,7 +92,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     Rows link at a cosine, in double precision, of `cosine` or more; candidates come from Hamming tables and are all
     checked against the original vectors. Equal vectors are one class, so a group of copies is compared once and
     counted with its size. Unusable vectors (null, empty, zero, with null or non-finite components) link with nothing;
-    vectors of different lengths never link. Repeated rows count each; null ids are never a component_id unless no
+    vectors of different lengths never link, very small and very large ones link like any other. Repeated rows count each; null ids are never a component_id unless no
     row of the component has an id. An empty table gives an empty result; other columns are not read.
 
     The rotation is learned from at most FIT_ROWS vectors; every vector is indexed and every one is a query.
@@ -93,7 +100,7 @@ def embedding_groups(vectors: DataFrame, id_col: str = "vec_id", vec_col: str =
     vec = F.col(vec_col)
     rows = cut(vectors.select(F.col(id_col).alias("id"), F.when(usable(vec), vec).alias("vec")).withColumns({"h1": F.xxhash64("vec"), "h2": F.xxhash64(F.lit("other"), "vec")}))
     grouped = rows.where("vec IS NOT NULL").groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("vec").alias("vec"))
-    classes = cut(grouped.withColumn("class", F.struct("h1", "h2")).withColumn("dim", F.size("vec")))
+    classes = cut(grouped.withColumn("class", F.struct("h1", "h2")).withColumn("dim", F.size("vec")).withColumn("vec", _tame(F.col("vec"))))
     links = None
     for dim, n in sorted((r["dim"], r["count"]) for r in classes.groupBy("dim").count().collect()):  # one row for each length of vector
         found = _class_links(classes.where(F.col("dim") == dim), dim, n, cosine)
