@@ -130,37 +130,37 @@ def display_names(items: DataFrame, concept: str, answer: str) -> DataFrame:
     return counts.groupBy(concept).agg(F.min(F.struct((-F.col("n")).alias("less"), answer)).alias("b")).select(concept, F.col(f"b.{answer}").alias("display"))
 
 
-def correct_concepts(items: DataFrame, verdicts: DataFrame, inventory: DataFrame, item: str, concept: str, answer: str, salt: str = "fix", n_options: int = 4) -> DataFrame:
-    """(item, action, concept, corrected_from, answer, options) after a concept audit.
+def correct_concepts(items: DataFrame, verdicts: DataFrame, inventory: DataFrame, item: str, concept: str, answer: str, refusal: str, salt: str = "fix", n_options: int = 4) -> DataFrame:
+    """(item, action, concept, corrected_from, answer, options) after a concept audit; action is agreed, confirmed, corrected or refused.
 
     Items without a verdict, and those whose verdict is `original`, stay. A verdict `reperceived` or `other` with a `correct` concept
     that `inventory` holds rebuilds the item: the answer is the concept's display name, the distractors are the next names
-    from a place that md5 draws, and md5 orders the options. All else becomes a refusal without a concept.
+    from a place that md5 draws, and md5 orders the options. All else becomes a refusal without a concept, with `refusal` as its answer.
     """
     from .order import indexed
 
     names = display_names(items, concept, answer)
     known = inventory.select(F.col(concept).alias("correct")).distinct().join(names.select(F.col(concept).alias("correct"), "display").hint("merge"), "correct", "left")
     j = items.select(item, concept, answer).join(verdicts.select(item, "verdict", "correct").hint("merge"), item, "left").join(known.withColumn("held", F.lit(True)).hint("merge"), "correct", "left")
-    action = F.when(F.col("verdict").isNull(), "unchanged_agree").when(F.col("verdict") == "original", "unchanged_confirmed")
-    action = action.when(F.col("verdict").isin("reperceived", "other") & F.col("held"), "concept_corrected").otherwise("moved_to_refusal")
+    action = F.when(F.col("verdict").isNull(), "agreed").when(F.col("verdict") == "original", "confirmed")
+    action = action.when(F.col("verdict").isin("reperceived", "other") & F.col("held"), "corrected").otherwise("refused")
     j = j.withColumn("action", action).withColumn("shown", F.coalesce("display", "correct"))
     labels = indexed(names.select("display").distinct(), "display")
     n = labels.count()
     start = md5_int(F.concat(F.lit(salt), F.col(item).cast("string")))
-    asked = j.where("action = 'concept_corrected'").select(item, "shown", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(min(n, n_options) - 1)), lambda i: (start + i) % max(1, n))).alias("place", "idx"))
+    asked = j.where("action = 'corrected'").select(item, "shown", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(min(n, n_options) - 1)), lambda i: (start + i) % max(1, n))).alias("place", "idx"))
     near = asked.join(labels.select("idx", "display").hint("merge"), "idx").where("display != shown")
     taken = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("place", "display"))), 1, n_options - 1), lambda x: x["display"])
     drawn = near.groupBy(item, "shown").agg(taken.alias("distractors"))
     mixed = F.array_sort(F.transform(F.concat(F.array("shown"), "distractors"), lambda o: F.struct(md5_int(F.concat(F.lit(salt), F.col(item).cast("string"), o)).alias("h"), o.alias("o"))))
     drawn = drawn.select(item, F.transform(mixed, lambda x: x["o"]).alias("options"))
-    moved, fixed = F.col("action") == "moved_to_refusal", F.col("action") == "concept_corrected"
+    moved, fixed = F.col("action") == "refused", F.col("action") == "corrected"
     return j.join(drawn.hint("merge"), item, "left").select(
         item,
         "action",
         F.when(fixed, F.col("correct")).when(~moved, F.col(concept)).alias(concept),
         F.when(fixed, F.col(concept)).alias("corrected_from"),
-        F.when(moved, "Cannot be determined from the image").when(fixed, F.col("shown")).otherwise(F.col(answer)).alias(answer),
+        F.when(moved, refusal).when(fixed, F.col("shown")).otherwise(F.col(answer)).alias(answer),
         "options",
     )
 

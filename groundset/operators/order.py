@@ -19,3 +19,11 @@ def indexed(df: DataFrame, *keys: str) -> DataFrame:
     starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inner = parts.withColumn("_at", F.row_number().over(W.partitionBy("_part").orderBy(*keys)))
     return inner.join(F.broadcast(starts), "_part").withColumn("idx", F.col("_start") + F.col("_at") - 1).drop("_part", "_at", "_start")
+
+
+def ranked_within(df: DataFrame, group: str, *keys: str) -> DataFrame:
+    """`df` with `rank`, from 1, in each group by `keys`, which are unique in it: rows are range-partitioned by group and keys, so a large group is split."""
+    rows = indexed(df, group, *keys)
+    first = rows.groupBy(F.col(group).alias("_group")).agg(F.min("idx").alias("_first"))
+    met = rows.join(first.hint("merge"), F.col(group).eqNullSafe(F.col("_group")))
+    return met.withColumn("rank", F.col("idx") - F.col("_first") + 1).drop("idx", "_group", "_first")

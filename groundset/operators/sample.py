@@ -55,9 +55,11 @@ def allocate_within(df: DataFrame, outer: str, inner: str, takes: DataFrame) ->
 
 
 def pick(df: DataFrame, stratum: str, takes: DataFrame, key: str, salt: str) -> DataFrame:
-    """The first `take` rows of each stratum by md5."""
-    r = df.withColumn("_h", draw(salt, key)).withColumn("_rn", F.row_number().over(W.partitionBy(stratum).orderBy("_h", key)))
-    return r.join(takes.select(stratum, "take").hint("merge"), stratum).where("_rn <= take").drop("_h", "_rn", "take")
+    """The first `take` rows of each stratum by md5. A large stratum is ranked in range partitions."""
+    from .order import ranked_within
+
+    r = ranked_within(df.withColumn("_h", draw(salt, key)), stratum, "_h", key)
+    return r.join(takes.select(stratum, "take").hint("merge"), stratum).where("rank <= take").drop("_h", "rank", "take")
 
 
 def round_robin(df: DataFrame, group: str, key: str, total: int) -> DataFrame:

@@ -12,6 +12,10 @@ from ..functions.columns import md5_int, wilson
 from .order import indexed
 
 
+#: Clusters of a bootstrap that are broadcast at most: 24 bytes each.
+BROADCAST_CLUSTERS = 1 << 19
+
+
 def accuracy(df: DataFrame, by: list[str], pred: str, gold: str) -> DataFrame:
     """n, right and share right, an unparsed prediction counting as wrong, with its Wilson interval."""
     right = F.coalesce(F.col(pred) == F.col(gold), F.lit(False)).cast("int")
@@ -33,17 +37,30 @@ def risk(df: DataFrame, by: list[str], wrong: Column, answered: Column, severity
     return r.select(*by, "n", over("n_answered", "n").alias("coverage"), over("n_wrong", "n_answered").alias("error"), over("weighted", "n_answered").alias("risk"))
 
 
+def _log_factorial(n: Column) -> Column:
+    """Exact up to 20, then by Stirling's series, whose error there is below 1e-12."""
+    x = n.cast("double")
+    series = x * F.log(x) - x + 0.5 * F.log(x * (2 * math.pi)) + 1 / (12 * x) - 1 / (360 * F.pow(x, F.lit(3))) + 1 / (1260 * F.pow(x, F.lit(5)))
+    return F.when(n <= 20, F.log(F.factorial(F.least(n, F.lit(20)).cast("int")).cast("double"))).otherwise(series)
+
+
 def mcnemar(b: Column, c: Column) -> Column:
-    """Two-sided exact p of discordant counts, from a sum of binomial terms in log space; 1 without a discordant pair."""
+    """Two-sided exact p of discordant counts; 1 without a discordant pair.
+
+    The binomial tail is its last term times a sum of falling products, of which those beyond about nine standard deviations add nothing: the work
+    grows with the root of the counts.
+    """
     n, k = b + c, F.least(b, c)
-    start = F.struct(F.lit(0.0).alias("log"), (-n * math.log(2)).alias("none"), F.exp(-n * math.log(2)).alias("sum"))
+    last = F.exp(_log_factorial(n) - _log_factorial(k) - _log_factorial(n - k) - n * math.log(2))
+    terms = F.least(k, F.ceil(9 * F.sqrt(n)) + 40).cast("long")
+    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("sum"))
 
-    def step(s, i):
-        log = s["log"] + F.log((n - i + 1).cast("double")) - F.log(i.cast("double"))
-        return F.struct(log.alias("log"), s["none"].alias("none"), (s["sum"] + F.exp(log + s["none"])).alias("sum"))
+    def step(s, j):
+        term = s["term"] * (k - j + 1) / (n - k + j)
+        return F.struct(term.alias("term"), (s["sum"] + term).alias("sum"))
 
-    tail = F.aggregate(F.when(k > 0, F.sequence(F.lit(1).cast("long"), k.cast("long"))).otherwise(F.array().cast("array<bigint>")), start, step, lambda s: s["sum"])
-    return F.round(F.least(F.lit(1.0), 2 * tail), 6)
+    total = F.aggregate(F.when(terms > 0, F.sequence(F.lit(1).cast("long"), terms)).otherwise(F.array().cast("array<bigint>")), start, step, lambda s: s["sum"])
+    return F.round(F.least(F.lit(1.0), 2 * last * total), 6)
 
 
 def ac1(ratings: DataFrame, item: str, label: str) -> DataFrame:
@@ -63,7 +80,8 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int = 1000,
     """(mean, low, high): the mean, and the 2.5 and 97.5 % quantiles of means over resampled clusters.
 
     Clusters are reduced to a sum and a count first; a repetition draws as many clusters as there are, by md5 of its
-    number and the slot, so reps x clusters small rows are joined, never reps x rows.
+    number and the slot, so reps x clusters small rows are joined, never reps x rows. Up to BROADCAST_CLUSTERS clusters, which are counted first, are sent to
+    the draws, which are then summed where they are made, and only a row for each repetition and task is shuffled.
     """
     from .order import indexed
 
@@ -71,7 +89,8 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int = 1000,
     k = sums.count()
     draws = sums.select(F.col("idx").alias("slot")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     draws = draws.select("rep", (md5_int(F.concat(F.lit(salt), F.col("rep").cast("string"), F.lit("-"), F.col("slot").cast("string"))) % max(1, k)).alias("idx"))
-    means = draws.join(sums.hint("shuffle_hash"), "idx").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("m"))
+    few = sums.select("idx", "s", "n")
+    means = draws.join(F.broadcast(few) if k <= BROADCAST_CLUSTERS else few.hint("shuffle_hash"), "idx").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("m"))
     whole = sums.agg(F.round(F.sum("s") / F.sum("n"), 6).alias("mean"))
     return whole.crossJoin(F.broadcast(means.agg(F.round(F.percentile("m", F.lit(0.025)), 6).alias("low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("high"))))  # one row each
 

@@ -198,3 +198,14 @@ def packet_containment(answers: DataFrame, packets: DataFrame, passages: DataFra
     size = a.groupBy(answer_id).agg(F.count("*").alias("n_grams"))
     told = size.join(met.groupBy(answer_id).agg(F.count("*").alias("shared")).hint("merge"), answer_id, "left").withColumn("shared", F.coalesce("shared", F.lit(0).cast("long")))
     return told.withColumn("containment", F.round(F.col("shared") / F.col("n_grams"), 6))
+
+
+def holds_phrase(df: DataFrame, phrases: DataFrame, text: str, phrase: str, name: str, most: int = 10_000) -> DataFrame:
+    """`df` with `name`: whether `text` holds any text of the parameter table `phrases`, A-Z and a-z being equal. The table becomes one pattern; more than
+    `most` phrases are an error. Null texts hold none."""
+    lower = lambda c: F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    listed = [r[0] for r in phrases.where(F.col(phrase) != "").select(lower(F.col(phrase)).alias("p")).distinct().orderBy("p").limit(most + 1).collect()]
+    if len(listed) > most:
+        raise ValueError("a table of phrases, not of texts")
+    quoted = "|".join("\\Q" + p.replace("\\E", "\\E\\\\E\\Q") + "\\E" for p in listed)
+    return df.withColumn(name, F.coalesce(lower(F.col(text)).rlike(quoted), F.lit(False)) if listed else F.lit(False))

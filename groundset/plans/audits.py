@@ -154,12 +154,12 @@ def next_different_answer(t):
 
 
 @query("""WITH u AS (SELECT conv_id, min(turn) AS turn FROM conversations WHERE role = 'user' GROUP BY 1), q AS (SELECT c.conv_id, min(c.text) AS question FROM conversations c JOIN u USING (conv_id, turn) WHERE c.role = 'user' GROUP BY 1)
-SELECT c.conv_id, c.turn, 'answerability' AS task, 'how_same_frames' AS condition, length(question) AS n_chars FROM conversations c JOIN q USING (conv_id) WHERE c.role = 'assistant'""")
+SELECT c.conv_id, c.turn, 'answerability' AS task, 'other_question' AS condition, length(question) AS n_chars FROM conversations c JOIN q USING (conv_id) WHERE c.role = 'assistant'""")
 def same_context_question(t):
     """The third control: each refusal with another question of the item whose context it reuses."""
     first = t.conversations.where("role = 'user'").groupBy("conv_id").agg(F.min(F.struct("turn", "text")).alias("q"))
     refused = t.conversations.where("role = 'assistant'").select("conv_id", "turn")
-    return refused.join(first.hint("merge"), "conv_id").select("conv_id", "turn", F.lit("answerability").alias("task"), F.lit("how_same_frames").alias("condition"), F.length("q.text").alias("n_chars"))
+    return refused.join(first.hint("merge"), "conv_id").select("conv_id", "turn", F.lit("answerability").alias("task"), F.lit("other_question").alias("condition"), F.length("q.text").alias("n_chars"))
 
 
 _MD5 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
@@ -168,17 +168,17 @@ _MD5 = "('0x' || substr(md5({}), 1, 8))::BIGINT"
 @query(f"""WITH v AS (SELECT p_partkey, p_brand, p_type, {_MD5.format("'audit' || p_partkey")} % 5 AS h, 'Brand#' || (p_partkey % 31 + 1) AS correct FROM part),
 m AS (SELECT p_brand, p_type AS display FROM (SELECT p_brand, p_type, count(*) AS n FROM part GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, p_type) = 1),
 l AS (SELECT display, row_number() OVER (ORDER BY display) - 1 AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT display FROM m)),
-j AS (SELECT v.*, m.display, CASE WHEN h = 0 THEN 'unchanged_agree' WHEN h = 1 THEN 'unchanged_confirmed' WHEN h IN (2, 3) AND m.display IS NOT NULL THEN 'concept_corrected' ELSE 'moved_to_refusal' END AS action FROM v LEFT JOIN m ON m.p_brand = v.correct),
-a AS (SELECT p_partkey, display AS shown, unnest(range(0, least(4, (SELECT max(n) FROM l)))) AS place FROM j WHERE action = 'concept_corrected'),
+j AS (SELECT v.*, m.display, CASE WHEN h = 0 THEN 'agreed' WHEN h = 1 THEN 'confirmed' WHEN h IN (2, 3) AND m.display IS NOT NULL THEN 'corrected' ELSE 'refused' END AS action FROM v LEFT JOIN m ON m.p_brand = v.correct),
+a AS (SELECT p_partkey, display AS shown, unnest(range(0, least(4, (SELECT max(n) FROM l)))) AS place FROM j WHERE action = 'corrected'),
 d AS (SELECT p_partkey, shown, place, l.display FROM a JOIN l ON l.idx = ({_MD5.format("'fix' || p_partkey")} + place) % l.n WHERE l.display <> shown QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY place) <= 3),
 o AS (SELECT p_partkey, string_agg(display, ',' ORDER BY {_MD5.format("'fix' || p_partkey || display")}, display) AS options FROM (SELECT p_partkey, display FROM d UNION ALL SELECT DISTINCT p_partkey, shown FROM a) GROUP BY 1)
-SELECT p_partkey, action, CASE action WHEN 'concept_corrected' THEN correct WHEN 'moved_to_refusal' THEN NULL ELSE p_brand END AS p_brand, CASE WHEN action = 'concept_corrected' THEN p_brand END AS corrected_from,
-CASE action WHEN 'moved_to_refusal' THEN 'Cannot be determined from the image' WHEN 'concept_corrected' THEN display ELSE p_type END AS p_type, options FROM j LEFT JOIN o USING (p_partkey)""")
+SELECT p_partkey, action, CASE action WHEN 'corrected' THEN correct WHEN 'refused' THEN NULL ELSE p_brand END AS p_brand, CASE WHEN action = 'corrected' THEN p_brand END AS corrected_from,
+CASE action WHEN 'refused' THEN 'no answer' WHEN 'corrected' THEN display ELSE p_type END AS p_type, options FROM j LEFT JOIN o USING (p_partkey)""")
 def apply_concept_verdict(t):
     h = md5_int(F.concat(F.lit("audit"), F.col("p_partkey").cast("string"))) % 5
     verdict = F.when(h == 1, "original").when(h == 2, "reperceived").when(h == 3, "other").otherwise("none")
     verdicts = t.part.where(h > 0).select("p_partkey", verdict.alias("verdict"), F.concat(F.lit("Brand#"), (F.col("p_partkey") % 31 + 1).cast("string")).alias("correct"))
-    found = A.correct_concepts(t.part, verdicts, t.part.select("p_brand"), "p_partkey", "p_brand", "p_type")
+    found = A.correct_concepts(t.part, verdicts, t.part.select("p_brand"), "p_partkey", "p_brand", "p_type", "no answer")
     return found.withColumn("options", F.array_join("options", ","))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import geometry as G
+from ..operators.order import ranked_within
 from .registry import query
 
 _GAPS = """g AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS t0, epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS t1 FROM events),
@@ -224,8 +225,8 @@ SELECT c_custkey, CASE WHEN rn <= floor(n * 0.2) AND n > 1 THEN 'val' ELSE 'trai
 def grouped_split(t):
     h = C.md5_int(F.concat(F.lit("split"), F.col("c_custkey").cast("string")))
     n = t.customer.groupBy("c_mktsegment").agg(F.count("*").alias("n"))
-    r = t.customer.withColumn("rn", F.row_number().over(W.partitionBy("c_mktsegment").orderBy(h, "c_custkey"))).join(n, "c_mktsegment")
-    return r.select("c_custkey", F.when((F.col("rn") <= F.floor(F.col("n") * 0.2)) & (F.col("n") > 1), "val").otherwise("train").alias("split"))
+    r = ranked_within(t.customer.select("c_custkey", "c_mktsegment", h.alias("h")), "c_mktsegment", "h", "c_custkey").join(n.hint("merge"), "c_mktsegment")
+    return r.select("c_custkey", F.when((F.col("rank") <= F.floor(F.col("n") * 0.2)) & (F.col("n") > 1), "val").otherwise("train").alias("split"))
 
 
 #: Orders as frames, their parts' priorities and rare customers as classes: a class of one frame falls into validation now and then.

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import sample as P
+from ..operators.order import ranked_within
 from .registry import query
 
 _ALLOC = """n AS (SELECT c_mktsegment, count(*) AS n, c_mktsegment = 'MACHINERY' AS whole FROM customer GROUP BY 1), f AS (SELECT coalesce(sum(n) FILTER (whole), 0) AS whole_n, sum(n) FILTER (NOT whole) AS rest FROM n),
@@ -95,7 +96,7 @@ def collect_arm(t):
 
 @query("""SELECT p_brand, n, round(avg_rank, 4) AS avg_rank FROM (SELECT p_brand, count(*) AS n, avg(pos) AS avg_rank FROM (SELECT p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY ('0x' || substr(md5('gold' || p_partkey), 1, 8))::BIGINT, p_partkey) % 4 AS pos FROM part) GROUP BY 1)""")
 def gold_position_balance(t):
-    r = t.part.withColumn("pos", F.row_number().over(W.partitionBy("p_brand").orderBy(P.draw("gold", "p_partkey"), "p_partkey")) % 4)
+    r = ranked_within(t.part.select("p_brand", "p_partkey", P.draw("gold", "p_partkey").alias("h")), "p_brand", "h", "p_partkey").withColumn("pos", F.col("rank") % 4)
     return r.groupBy("p_brand").agg(F.count("*").alias("n"), F.round(F.avg("pos"), 4).alias("avg_rank"))
 
 

@@ -223,3 +223,11 @@ def packet_containment(t):
     b = t.benchmark.select("item_id", (F.col("item_id") % 8).alias("packet"))
     packets = b.join(t.documents.select("doc_id", (F.col("doc_id") % 8).alias("packet")).hint("merge"), "packet")
     return T.packet_containment(t.benchmark, packets, t.documents, "item_id", "doc_id")
+
+
+@query("""WITH p AS (SELECT DISTINCT translate(substr(text, 1, 9), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS phrase FROM benchmark)
+SELECT doc_id, EXISTS (SELECT 1 FROM p WHERE contains(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), phrase)) AS abstains FROM documents""")
+def phrase_table_flag(t):
+    """Documents that hold any phrase of a parameter table, here the beginnings of the benchmark's texts."""
+    phrases = t.benchmark.select(F.substring("text", 1, 9).alias("phrase"))
+    return T.holds_phrase(t.documents, phrases, "text", "phrase", "abstains").select("doc_id", "abstains")

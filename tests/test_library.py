@@ -351,3 +351,15 @@ def test_distractors_equal_a_search_of_all_answers(spark):
         df = spark.createDataFrame(rows, "item int, concept string, facet string, answer string")
         got = {r.item: set(r.options) for r in sample.distractors(df, "item", hard, most=8).collect()}
         assert got == want and len(want) > 600
+
+
+def test_mcnemar_of_large_counts(spark):
+    import math
+
+    def exact(b, c):
+        n, k = b + c, min(b, c)
+        return min(1.0, 2 * sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2)) for i in range(k + 1)))
+
+    pairs = [(60_000, 59_500), (59_900, 60_000), (3, 40), (21, 20), (10, 11), (1500, 1400), (0, 25), (25, 0)]
+    got = spark.createDataFrame(pairs, "b long, c long").select("b", "c", stats.mcnemar(F.col("b"), F.col("c")).alias("p")).collect()
+    assert all(abs(r.p - exact(r.b, r.c)) < 2e-6 for r in got) and len(got) == len(pairs)
