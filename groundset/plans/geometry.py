@@ -38,7 +38,10 @@ def prefilter_reason(t):
     return t.events.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""WITH c AS (SELECT vec_id, label, list_reduce(list_prepend(0::HUGEINT, list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 THEN (1::HUGEINT << i::INT) ELSE 0 END)), lambda s, b: s + b)::UBIGINT AS code FROM embeddings),
+g AS (SELECT label, list(vec_id ORDER BY vec_id) AS ids, list(code ORDER BY vec_id) AS codes FROM c GROUP BY 1),
+k AS (SELECT label, ids, list_reduce(list_transform(range(1, len(ids) + 1), lambda i: [i]), lambda kept, i: CASE WHEN len(kept) < 6 AND len(list_filter(kept, lambda k: bit_count(xor(codes[k], codes[i[1]])) <= 6)) = 0 THEN list_append(kept, i[1]) ELSE kept END) AS kept FROM g)
+SELECT label, ids[unnest(kept)] AS vec_id FROM k""")
 def greedy_hamming_dedup(t):
     coded = t.embeddings.select("label", "vec_id", G.sign_code(F.col("embedding")).alias("code"))
     return G.greedy_hamming(coded, "label", "code", ["vec_id"])

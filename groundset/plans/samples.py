@@ -117,14 +117,32 @@ def mcq_candidates(t):
     return P.distractor_candidates(_answers(t), "doc_id", ["facet"], 8, "mcq").select("doc_id", "place", "answer", "concept")
 
 
-@query()
+def _mcq(hard: bool) -> str:
+    """The greedy choice over each item's whole pools, stage after stage in md5 order from its own place."""
+    stages = [(1, "concept", "concept = own AND facet <> face AND answer <> gold", "'f:' || facet"), (2, "concept", "concept = own AND facet <> face AND answer <> gold", "NULL")] if hard else []
+    stages += [(3, "facet", "concept <> own", "'c:' || concept"), (4, "''", "concept <> own", "'c:' || concept")]
+    md5 = lambda x: f"('0x' || substr(md5({x}), 1, 8))::BIGINT"
+    near = lambda a, b: f"len(list_intersect({a}, {b})) > 0.6::DOUBLE * (len({a}) + len({b}) - len(list_intersect({a}, {b})))"
+    rings = ", ".join(f"""p{n} AS (SELECT DISTINCT {key} AS pool, facet, concept, answer FROM rec),
+r{n} AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY {md5(f"'mcq{n if n > 2 else 1}' || answer")}, answer, concept, facet) - 1 AS spot, count(*) OVER (PARTITION BY pool) AS n FROM p{n}),
+s{n} AS (SELECT i.doc_id, {n} AS stage, (spot - {md5(f"'mcq{n if n > 2 else 1}' || i.doc_id")} % n + n) % n AS place, r.answer, {tag} AS tag FROM (SELECT doc_id, concept AS own, facet AS face, answer AS gold, {key} AS pool FROM rec) i JOIN r{n} r USING (pool) WHERE {ok})""" for n, key, ok, tag in stages)
+    every = " UNION ALL ".join(f"SELECT * FROM s{n}" for n, *_ in stages)
+    return f"""WITH {_ANSWERS}, words AS (SELECT DISTINCT answer, list_distinct(regexp_extract_all(lower(answer), '[a-z0-9]+')) AS w FROM rec), {rings}, e AS ({every}),
+l AS (SELECT e.doc_id, rec.answer AS gold, list({{'s': e.stage, 'a': e.answer, 't': e.tag, 'w': x.w}} ORDER BY e.stage, e.place) AS c FROM e JOIN rec USING (doc_id) JOIN words x ON x.answer = e.answer JOIN words g ON g.answer = rec.answer WHERE NOT {near("x.w", "g.w")} GROUP BY ALL),
+k AS (SELECT doc_id, gold, list_reduce(list_prepend(c[1:0], list_transform(c, lambda x: [x])), lambda kept, x: CASE WHEN len(kept) < 3 AND len(list_filter(kept, lambda j: coalesce(j.t = x[1].t, false) OR {near("j.w", "x[1].w")})) = 0 THEN list_append(kept, x[1]) ELSE kept END) AS kept FROM l),
+o AS (SELECT doc_id, gold, list_prepend(gold, list_transform(kept, lambda j: j.a)) AS options, len(list_filter(kept, lambda j: j.s > 2)) > 0 AS fell_back FROM k WHERE len(kept) = 3),
+u AS (SELECT doc_id, gold, fell_back, unnest(options) AS o FROM o), m AS (SELECT doc_id, gold, fell_back, list(o ORDER BY {md5("doc_id || 'opt' || o")}, o) AS options FROM u GROUP BY ALL)
+SELECT doc_id, array_to_string(options, '|') AS options, list_position(options, gold) - 1 AS gold_position, fell_back FROM m"""
+
+
+@query(_mcq(False))
 def mcq_distractors_easy(t):
-    return P.distractors(_answers(t), "doc_id", hard=False)
+    return P.distractors(_answers(t), "doc_id", hard=False).withColumn("options", F.array_join("options", "|"))
 
 
-@query()
+@query(_mcq(True))
 def mcq_distractors_hard(t):
-    return P.distractors(_answers(t), "doc_id", hard=True)
+    return P.distractors(_answers(t), "doc_id", hard=True).withColumn("options", F.array_join("options", "|"))
 
 
 @query("""WITH j AS (SELECT l_orderkey, l_linestatus AS kind, l_quantity::INT AS target, row_number() OVER (PARTITION BY l_orderkey, l_linestatus ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS place FROM lineitem),
