@@ -2,24 +2,17 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, byte_bpe, conversation, embedding_dedup, exact_dedup, html_text, langid, lm_score, mixing, quality, repeats, simhash, spelling
 from .common import merge_join, stored
 
-#: Folder of the public tokenizers' files.
-TOKENIZERS = os.environ.get("GROUNDSET_TOKENIZERS", "/opt/tokenizers")
-
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
-    """Where the `public_tokenizers` module or, if it isn't installed, the tokenizer folder has a file."""
-    try:
-        import public_tokenizers
-    except ModuleNotFoundError:
-        return os.path.join(TOKENIZERS, name)
+    """Where the public tokenizers' files are."""
+    import public_tokenizers
+
     return public_tokenizers.path(name)
 
 
@@ -90,7 +83,7 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    path = tokenizer_path("byte_bpe_50k.tiktoken")
     encoded = byte_bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
     return byte_bpe.decode(encoded, path).select("doc_id", F.floor(F.octet_length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
