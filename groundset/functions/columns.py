@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,3 +114,10 @@ def iou(a: str, b: str) -> Column:
 def containment(a: str, b: str) -> Column:
     """Share of box a inside box b; 0 for an empty box."""
     return F.when(box_area(a) > 0, overlap(a, b) / box_area(a)).otherwise(0.0)
+
+
+def ascii_bounds(pattern: str) -> str:
+    r"""`pattern` with `\b` between an ASCII letter, digit or underscore and anything else, as in SQL: Java's own takes letters such as \u00f1 for parts of words."""
+    word = "[0-9A-Za-z_]"
+    bound = f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"
+    return re.sub(r"\\(.)", lambda m: bound if m[1] == "b" else m[0], pattern, flags=re.S)
