@@ -30,3 +30,25 @@ def test_blocks_of_word_sets_give_the_pairs_of_all_texts(spark, monkeypatch):
         got = text._by_blocks(sized, least).collect()
         assert {(r.a, r.b, round(r.jaccard, 6)) for r in got} == want and len(got) == len(want) > 0
         assert {tuple(r) for r in text.jaccard_pairs(df, "id", least=least).collect()} == want
+
+
+def test_search_takes_memory_of_a_slice_and_not_of_a_block():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from groundset.operators import retrieve
+
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(1024, 8))
+    rows = np.full(1024, 10)
+    asked = pd.DataFrame({"key": np.arange(1_500), "vec": list(rng.normal(size=(1_500, 8)).astype(np.float32)), "value": 0, "least": -1e9})
+    tracemalloc.start()
+    n = sum(len(x) for x in retrieve._wanted_cells(centres, np.ones(1024), rows, 20, True)(iter([asked])))
+    near = pd.concat(retrieve._nearest(centres)(iter([asked])))
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert n == 1_500 * 1022 and len(near) == 1_500
+    assert peak < 40
+    assert [s.stop - s.start for s in retrieve._slices(1000, retrieve.PRODUCTS // 300)] == [300, 300, 300, 100]
