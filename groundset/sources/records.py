@@ -17,16 +17,28 @@ def read_records(spark: SparkSession, path: str, schema: str, kind: str = "json"
     return reader.csv(path, header=True) if kind == "csv" else reader.format(kind).load(path)
 
 
-def read_batches(spark: SparkSession, path: str, item: str, items: str = "items") -> DataFrame:
+def read_batches(spark: SparkSession, path: str, item: str, items: str = "items", packed: bool = False) -> DataFrame:
     """Rows of batch files below `path`, each a JSON object whose list `items` holds rows of schema `item`: batch_file, pos and the row's fields.
 
     A file that can't be read, or has no such list, gives one row with `bad` and null fields. File and position order the rows for `latest_wins`.
+    `packed`: many small batch files are kept as rows (batch_file, text) of Parquet files, as `write_batches` keeps them, since a file, and for some a
+    folder, for each makes the listing and opening of files the main cost.
     """
-    read = spark.read.schema(f"{items} array<struct<{item}>>, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True, recursiveFileLookup=True)
-    rows = read.select(F.col("_metadata.file_path").alias("batch_file"), (F.col("_corrupt").isNotNull() | F.col(items).isNull()).alias("bad"), F.col(items).alias("_items"))
+    schema = f"{items} array<struct<{item}>>, _corrupt string"
+    if packed:
+        files = spark.read.schema("batch_file string, text string").parquet(path)
+        read = files.select("batch_file", F.from_json("text", schema, {"columnNameOfCorruptRecord": "_corrupt"}).alias("_j")).select("batch_file", "_j.*")
+    else:
+        read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(path, multiLine=True, recursiveFileLookup=True).withColumn("batch_file", F.col("_metadata.file_path"))
+    rows = read.select("batch_file", (F.col("_corrupt").isNotNull() | F.col(items).isNull()).alias("bad"), F.col(items).alias("_items"))
     return rows.select("batch_file", "bad", F.posexplode_outer(F.when(~F.col("bad"), F.col("_items"))).alias("pos", "_row")).select("batch_file", "bad", "pos", "_row.*")
 
 
+def write_batches(df: DataFrame, path: str, name: Column, text: Column) -> None:
+    """Small batch files, a row of `df` for each, as rows (batch_file, text) of Parquet files."""
+    df.select(name.alias("batch_file"), text.alias("text")).write.parquet(path)
+
+
 def batch_report(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """One row: batch files, those that can't be read, rows, distinct keys, and keys of `wanted` that no readable file has."""
     good = rows.where("NOT bad AND pos IS NOT NULL")

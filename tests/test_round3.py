@@ -52,3 +52,16 @@ def test_search_takes_memory_of_a_slice_and_not_of_a_block():
     assert n == 1_500 * 1022 and len(near) == 1_500
     assert peak < 40
     assert [s.stop - s.start for s in retrieve._slices(1000, retrieve.PRODUCTS // 300)] == [300, 300, 300, 100]
+
+
+def test_packed_batches_read_like_files_of_their_own(spark, tmp_path):
+    from groundset.sources import records
+
+    texts = ['{"items": [{"k": 1}, {"k": 2}]}', '{"items": [{"k": 3}', '{"other": 1}', '{"items": []}', "no json", '{"items": [{"k": "x"}]}', '{"items": 5}', '{\n"items": [{"k": 7}]\n}']
+    for i, x in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(x)
+    records.write_batches(spark.createDataFrame([*enumerate(texts), (8, ""), (9, None)], "i int, t string"), str(tmp_path / "packed"), F.concat(F.lit("/"), "i", F.lit(".json")), F.col("t"))
+    name = F.regexp_extract("batch_file", "/([0-9]+).json$", 1).cast("int").alias("i")
+    own = {tuple(r) for r in records.read_batches(spark, str(tmp_path / "*.json"), "k int").select(name, "bad", "pos", "k").collect()}
+    packed = {tuple(r) for r in records.read_batches(spark, str(tmp_path / "packed"), "k int", packed=True).select(name, "bad", "pos", "k").collect()}
+    assert packed == own | {(8, True, None, None), (9, True, None, None)} and len(own) >= len(texts)
