@@ -12,8 +12,8 @@ from ..functions.columns import md5_int, wilson
 from .order import indexed
 
 
-#: Clusters of a bootstrap that are broadcast at most: 24 bytes each.
-BROADCAST_CLUSTERS = 1 << 19
+#: Clusters of a bootstrap that are broadcast at most, 24 bytes each, and draws that a task makes.
+BROADCAST_CLUSTERS, DRAWS = 1 << 23, 1 << 21
 
 
 def accuracy(df: DataFrame, by: list[str], pred: str, gold: str) -> DataFrame:
@@ -87,7 +87,8 @@ def cluster_bootstrap(df: DataFrame, cluster: str, value: str, reps: int = 1000,
 
     sums = indexed(df.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n")), cluster)
     k = sums.count()
-    draws = sums.select(F.col("idx").alias("slot")).withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    slots = sums.select(F.col("idx").alias("slot")).repartition(min(4096, 1 + k * reps // DRAWS), "slot")  # a slot is a few bytes, but has `reps` draws
+    draws = slots.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
     draws = draws.select("rep", (md5_int(F.concat(F.lit(salt), F.col("rep").cast("string"), F.lit("-"), F.col("slot").cast("string"))) % max(1, k)).alias("idx"))
     few = sums.select("idx", "s", "n")
     means = draws.join(F.broadcast(few) if k <= BROADCAST_CLUSTERS else few.hint("shuffle_hash"), "idx").groupBy("rep").agg((F.sum("s") / F.sum("n")).alias("m"))

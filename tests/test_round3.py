@@ -65,3 +65,15 @@ def test_packed_batches_read_like_files_of_their_own(spark, tmp_path):
     own = {tuple(r) for r in records.read_batches(spark, str(tmp_path / "*.json"), "k int").select(name, "bad", "pos", "k").collect()}
     packed = {tuple(r) for r in records.read_batches(spark, str(tmp_path / "packed"), "k int", packed=True).select(name, "bad", "pos", "k").collect()}
     assert packed == own | {(8, True, None, None), (9, True, None, None)} and len(own) >= len(texts)
+
+
+def test_bootstrap_draws_are_dealt_by_their_number(spark, monkeypatch, capsys):
+    from groundset.operators import stats
+
+    df = spark.range(400).select((F.col("id") % 90).alias("c"), (F.col("id") % 7).cast("double").alias("v"))
+    whole = stats.cluster_bootstrap(df, "c", "v", reps=50).first()
+    monkeypatch.setattr(stats, "DRAWS", 1000)
+    split = stats.cluster_bootstrap(df, "c", "v", reps=50)
+    assert split.first() == whole
+    split.explain()
+    assert "hashpartitioning(slot" in capsys.readouterr().out.replace("#", " #").replace("( ", "(")
