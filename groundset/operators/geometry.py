@@ -95,19 +95,21 @@ def one_to_one(pairs: DataFrame, group: list[str], choice: Column) -> DataFrame:
     earliest a that has offered, and its pairs with later ones go; when all offers are held they are the matches. All b
     rank the a alike, so this stable matching is the one that the serial order gives.
     """
-    rows = written(pairs.select(*group, "a_idx", "b_idx", choice.alias("choice")))
-    large = rows.groupBy(*group).agg(F.count("*").alias("_n")).where(F.col("_n") > ROW_PAIRS).select(*group)
-    many = not large.isEmpty()
-    small = rows.join(large.hint("merge"), group, "left_anti") if many else rows
-    none = F.array().cast(small.select(F.array(F.struct("a_idx", "choice", "b_idx")).alias("x")).schema["x"].dataType)
+    rows = pairs.select(*group, "a_idx", "b_idx", choice.alias("choice"))
+    pair = F.struct("a_idx", "choice", "b_idx")
+    none = F.array().cast(rows.select(F.array(pair).alias("x")).schema["x"].dataType)
 
     def step(kept, p):
         clash = F.exists(kept, lambda k: (k["a_idx"] == p["a_idx"]) | (k["b_idx"] == p["b_idx"]))
         return F.when(clash, kept).otherwise(F.concat(kept, F.array(p)))
 
-    ordered = F.array_sort(F.collect_list(F.struct("a_idx", "choice", "b_idx")))
-    matched = small.groupBy(*group).agg(ordered.alias("_pairs")).select(*group, F.explode(F.aggregate("_pairs", none, step)).alias("m")).select(*group, "m.a_idx", "m.b_idx", "m.choice")
-    if not many:
+    # pairs are counted, gathered and matched where their join leaves them, sorted by group; a large group leaves its number alone
+    counted = rows.withColumn("_n", F.count("*").over(W.partitionBy(*group)))
+    gathered = counted.groupBy(*group).agg(F.max("_n").alias("_n"), F.array_sort(F.collect_list(F.when(F.col("_n") <= ROW_PAIRS, pair))).alias("_pairs"))
+    found = written(gathered.select(*group, "_n", F.explode_outer(F.aggregate("_pairs", none, step)).alias("m")))
+    matched = found.where("m IS NOT NULL").select(*group, "m.a_idx", "m.b_idx", "m.choice")
+    large = found.where(F.col("_n") > ROW_PAIRS).select(*group)
+    if large.isEmpty():
         return matched
     alive = written(rows.join(large.hint("merge"), group, "left_semi"))
     while True:
@@ -126,8 +128,11 @@ def greedy_matches(a: DataFrame, b: DataFrame, frame: str, label: str, least: fl
 
 
 def agreement(a: DataFrame, b: DataFrame, frame: str, label: str, least: float = 0.5) -> DataFrame:
-    """(frame, label, a_idx, b_idx, iou, found_by): the matched boxes of two sources, then those that only `a` or only `b` has."""
-    met = greedy_matches(a, b, frame, label, least)
+    """(frame, label, a_idx, b_idx, iou, found_by): the matched boxes of two sources, then those that only `a` or only `b` has.
+
+    The matches are used three times and matched once.
+    """
+    met = written(greedy_matches(a, b, frame, label, least))
     one = lambda df, s: df.select(frame, label, F.col("idx").alias(f"{s}_idx")).join(met.select(frame, label, f"{s}_idx").hint("merge"), [frame, label, f"{s}_idx"], "left_anti")
     both = met.withColumn("found_by", F.lit("both"))
     return both.unionByName(one(a, "a").withColumn("found_by", F.lit("a")), allowMissingColumns=True).unionByName(one(b, "b").withColumn("found_by", F.lit("b")), allowMissingColumns=True)
@@ -136,11 +141,24 @@ def agreement(a: DataFrame, b: DataFrame, frame: str, label: str, least: float =
 def agreement_rates(found: DataFrame, by: list[str]) -> DataFrame:
     """Per group of `agreement`: boxes of both sources, of one only, and the shares of each source's boxes that the other has."""
     n = lambda s: F.count(F.when(F.col("found_by") == s, 1))
-    r = found.groupBy(*by).agg(n("both").alias("n_matched"), n("a").alias("a_only"), n("b").alias("b_only"))
+    return _with_rates(found.groupBy(*by).agg(n("both").alias("n_matched"), n("a").alias("a_only"), n("b").alias("b_only")))
+
+
+def _with_rates(r: DataFrame) -> DataFrame:
     share = lambda only: F.round(F.try_divide(F.col("n_matched"), F.col("n_matched") + F.col(only)), 6)
     return r.withColumns({"rate_a": share("a_only"), "rate_b": share("b_only")})
 
 
+def match_rates(a: DataFrame, b: DataFrame, frame: str, label: str, least: float = 0.5) -> DataFrame:
+    """`agreement_rates` per label. Boxes are only counted: those of one source alone are its boxes less the matched ones, so no box meets its match again."""
+    met = greedy_matches(a, b, frame, label, least)
+    one = lambda df, s: df.select(label, F.lit(s).alias("_of")).groupBy(label, "_of").agg(F.count("*").alias("_n"))
+    n = lambda s: F.coalesce(F.sum(F.when(F.col("_of") == s, F.col("_n"))), F.lit(0))
+    every = one(a, "a").unionByName(one(b, "b")).unionByName(one(met, "both"))
+    r = every.groupBy(label).agg(n("both").alias("n_matched"), (n("a") - n("both")).alias("a_only"), (n("b") - n("both")).alias("b_only"))
+    return _with_rates(r)
+
+
 def reviewed(boxes: DataFrame, verdicts: DataFrame, on: list[str], label: str, valid: Column) -> DataFrame:
     """Boxes after review: deleted ones gone, relabelled ones with a valid new label, others kept."""
     j = boxes.join(verdicts.hint("merge"), on, "left").withColumn("verdict", F.coalesce("verdict", F.lit("keep")))

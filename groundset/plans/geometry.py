@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import geometry as G
 from ..operators.order import ranked_within
+from ..operators.scratch import written
 from .registry import query
 
 _GAPS = """g AS (SELECT user_id, event_id, epoch(ts)::DOUBLE AS t0, epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id))::DOUBLE AS t1 FROM events),
@@ -87,9 +88,19 @@ def _boxes(t):
     rows = t.lineitem.withColumn("idx", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1)
     q, d, x = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
     a = rows.select(F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("label"), "idx", (d * 5).alias("x0"), (x * 5).alias("y0"), (d * 5 + 0.1 + q / 200).alias("x1"), (x * 5 + 0.1 + q / 200).alias("y1"))
+    return a, _other(a)
+
+
+def _other(a):
+    """The second source: most boxes of the first, moved."""
     shift = 0.02 * (F.col("idx") % 3)
-    b = a.where("idx % 5 != 4").select("frame", "label", "idx", (F.col("x0") + shift).alias("x0"), "y0", (F.col("x1") + shift).alias("x1"), "y1")
-    return a, b
+    return a.where("idx % 5 != 4").select("frame", "label", "idx", (F.col("x0") + shift).alias("x0"), "y0", (F.col("x1") + shift).alias("x1"), "y1")
+
+
+def _written_boxes(t):
+    """Both, numbered and written once, for plans that read them several times."""
+    a = written(_boxes(t)[0])
+    return a, _other(a)
 
 
 _IOU = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
@@ -130,13 +141,13 @@ _LAYERS = f"""{_AGREED}, layers AS (SELECT frame, label, a_idx, b_idx, iou, 'bot
 
 @query(_AGREED + " SELECT frame, label, a_idx, b_idx, round(iou, 6) AS iou FROM matched")
 def box_consensus(t):
-    a, b = _boxes(t)
+    a, b = _written_boxes(t)
     return G.greedy_matches(a, b, "frame", "label").select("frame", "label", "a_idx", "b_idx", F.round("iou", 6).alias("iou"))
 
 
 @query(_LAYERS + " SELECT frame, label, a_idx, b_idx, found_by FROM layers")
 def box_agreement(t):
-    a, b = _boxes(t)
+    a, b = _written_boxes(t)
     return G.agreement(a, b, "frame", "label").select("frame", "label", "a_idx", "b_idx", "found_by")
 
 
@@ -144,8 +155,8 @@ def box_agreement(t):
   round(count(*) FILTER (found_by = 'both') / count(*) FILTER (found_by <> 'b'), 6) AS rate_a, round(count(*) FILTER (found_by = 'both') / count(*) FILTER (found_by <> 'a'), 6) AS rate_b FROM layers GROUP BY 1""")
 def box_match_rates(t):
     """Shares of each source's boxes that the other has, by the one-to-one matching."""
-    a, b = _boxes(t)
-    return G.agreement_rates(G.agreement(a, b, "frame", "label"), ["label"])
+    a, b = _written_boxes(t)
+    return G.match_rates(a, b, "frame", "label")
 
 
 @query(f"""WITH {_BOX}, v AS (SELECT frame, idx, CASE WHEN idx % 4 = 1 THEN 'delete' WHEN idx % 4 = 2 THEN 'relabel' ELSE 'keep' END AS verdict, CASE WHEN frame % 2 = 0 THEN 'Z' ELSE '?' END AS new_label FROM b)
@@ -177,7 +188,7 @@ near AS (SELECT *, i / (aa + ab - i) AS iou FROM o), {_greedy("frame", "other",
 fates AS (SELECT (a.idx % 3)::VARCHAR AS tier, m.iou, CASE WHEN m.other IS NULL THEN 'deleted' WHEN m.other THEN 'relabelled' ELSE 'kept' END AS fate FROM a LEFT JOIN matched m ON m.frame = a.frame AND m.a_idx = a.idx)
 SELECT tier, count(*) AS n, count(*) FILTER (fate <> 'deleted') AS n_kept, count(*) FILTER (fate = 'relabelled') AS n_relabelled, round(avg((fate = 'deleted')::INT), 6) AS deletion_rate, round(count(*) FILTER (iou >= 0.99) / nullif(count(*) FILTER (fate <> 'deleted'), 0), 6) AS unmoved FROM fates GROUP BY ROLLUP (tier)""")
 def proposal_survival(t):
-    a, b = _boxes(t)
+    a, b = _written_boxes(t)
     reviewed = b.withColumn("label", F.when(F.col("idx") % 4 == 1, "Z").otherwise(F.col("label")))
     fates = G.survival(a.withColumn("tier", (F.col("idx") % 3).cast("string")), reviewed, "frame", "label")
     return G.survival_report(fates, "tier")

@@ -86,3 +86,33 @@ def test_phrases_with_common_beginnings_stand_once(spark):
     got = [r.hit for r in text.holds_phrase(df, spark.createDataFrame([(p,) for p in phrases], "p string"), "t", "p", "hit").select("hit").collect()]
     assert got == [x is not None and any(p.lower() in x.lower() for p in phrases) for x in texts]
     assert text._any_of(["alike", "alive", "alive too", "b"]) == "(?:\\Qali\\E(?:\\Qke\\E|\\Qve\\E)|\\Qb\\E)"
+
+
+def _two_sources(spark):
+    import random
+
+    rng = random.Random(5)
+    box = lambda f, i: (f % 7, rng.choice(["a", "b", None]), i, *(lambda x, y: (x, y, x + 1.0, y + 1.0))(rng.choice([0.0, 0.2, 0.4]), rng.choice([0.0, 0.1])))
+    make = lambda n: spark.createDataFrame([box(i, i) for i in range(n)] + [(9, "only", 0, 0.0, 0.0, 0.0, 0.0)] * (n % 2), "frame long, label string, idx long, x0 double, y0 double, x1 double, y1 double")
+    return make(61), make(50)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_agreement_matches_boxes_once_and_rates_only_count_them(spark, monkeypatch):
+    from groundset.operators import geometry
+
+    a, b = _two_sources(spark)
+    for most in (1 << 12, 3):
+        monkeypatch.setattr(geometry, "ROW_PAIRS", most)
+        found = geometry.agreement(a, b, "frame", "label")
+        assert "collect_list" not in _plan(found)
+        rates = geometry.match_rates(a, b, "frame", "label")
+        assert "anti" not in _plan(rates).lower()
+        want = sorted(map(str, geometry.agreement_rates(found, ["label"]).collect()))
+        assert sorted(str(r) for r in rates.select("label", "n_matched", "a_only", "b_only", "rate_a", "rate_b").collect()) == want and len(want) == 4
+        if most > 3:
+            whole = sorted(map(str, found.collect()))
+        assert sorted(map(str, found.collect())) == whole
