@@ -215,9 +215,8 @@ def coco_tables(t):
 
 @query(f"WITH {_PAIRS} SELECT a.frame, a.idx, round(max(p.inside), 6) AS best, max(p.inside) >= 0.5 AS ok FROM a LEFT JOIN p ON p.frame = a.frame AND p.label = a.label AND p.a_idx = a.idx GROUP BY 1, 2")
 def region_check(t):
-    a, b = _boxes(t)
-    best = G.box_pairs(a, b, ["frame", "label"]).groupBy("frame", F.col("a_idx").alias("idx")).agg(F.max("inside").alias("best"))
-    j = a.select("frame", "idx").join(best.hint("merge"), ["frame", "idx"], "left")
+    a, b = _written_boxes(t)
+    j = G.best_inside(a, b, ["frame", "label"], "frame")
     return j.select("frame", F.col("idx").cast("long").alias("idx"), F.round("best", 6).alias("best"), (F.col("best") >= 0.5).alias("ok"))
 
 

@@ -116,3 +116,18 @@ def test_agreement_matches_boxes_once_and_rates_only_count_them(spark, monkeypat
         if most > 3:
             whole = sorted(map(str, found.collect()))
         assert sorted(map(str, found.collect())) == whole
+
+
+def test_best_containment_takes_one_join(spark):
+    from groundset.operators import geometry
+
+    a, b = _two_sources(spark)
+    best = geometry.best_inside(a, b, ["frame", "label"], "frame")
+    assert _plan(best).count("SortMergeJoin") == 1
+    area = lambda x0, y0, x1, y1: max(x1 - x0, 0.0) * max(y1 - y0, 0.0)
+    want = set()
+    for p in a.collect():
+        met = [q for q in b.collect() if q.frame == p.frame and q.label == p.label is not None]
+        inside = [area(max(p.x0, q.x0), max(p.y0, q.y0), min(p.x1, q.x1), min(p.y1, q.y1)) / area(p.x0, p.y0, p.x1, p.y1) if area(p.x0, p.y0, p.x1, p.y1) else 0.0 for q in met]
+        want.add((p.frame, p.idx, round(max(inside), 6) if inside else None))
+    assert {(r.frame, r.idx, None if r.best is None else round(r.best, 6)) for r in best.collect()} == want
