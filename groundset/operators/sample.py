@@ -78,6 +78,19 @@ def rotated(df: DataFrame, concept: str, key: str, salt: str) -> DataFrame:
     return r.withColumn("donor_rank", (F.col("rank") + (most or 0)) % max(1, n or 0)).drop("_h")
 
 
+#: Rows of one value of a key from which on what is known of the value is broadcast: at most one value for as many rows.
+HOT = 1 << 16
+
+
+def told_of(rows: DataFrame, known: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined to `known`, which has a row for each value of `key` and its number of rows as `_rows`. Rows of a value that has over HOT of them stay where they are,
+    so no task gets all of them; others are shuffled by the key."""
+    hot, cold = known.where(F.col("_rows") > HOT).drop("_rows"), known.where(F.col("_rows") <= HOT).drop("_rows")
+    near = rows.join(F.broadcast(hot), key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold.hint("merge"), key, how)
+    return near.unionByName(rest)
+
+
 def distractor_candidates(records: DataFrame, item: str, pool: list[str], most: int, salt: str, asked: DataFrame | None = None) -> DataFrame:
     """(item, place, answer, concept, facet, n_pool): up to `most` answers of the same `pool` (columns of `records`; none: of all) for each record, or for those of
     `asked`, and the size of the pool.
@@ -91,7 +104,9 @@ def distractor_candidates(records: DataFrame, item: str, pool: list[str], most:
     answers = records.select(key.alias("_pool"), "concept", "facet", "answer").distinct().withColumn("_h", md5_int(F.concat(F.lit(salt), "answer")))
     ring = indexed(answers, "_pool", "_h", "answer", "concept", "facet")
     spans = ring.groupBy("_pool").agg(F.min("idx").alias("_low"), F.count("*").alias("n_pool"))
-    asked = (records if asked is None else asked).select(item, key.alias("_pool")).join(spans.hint("merge"), "_pool")
+    asked = (records if asked is None else asked).select(item, key.alias("_pool"))
+    spans = written(asked.groupBy("_pool").agg(F.count("*").alias("_rows")).join(spans.hint("merge"), "_pool"))
+    asked = told_of(asked, spans, "_pool")
     start = md5_int(F.concat(F.lit(salt), F.col(item).cast("string")))
     places = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.lit(most), "n_pool") - 1), lambda i: F.col("_low") + (start + i) % F.col("n_pool"))
     asked = asked.select(item, "n_pool", F.posexplode(places).alias("place", "idx"))
@@ -105,6 +120,11 @@ def _chosen(records: DataFrame, asked: DataFrame, item: str, hard: bool, n: int,
     answer is spent; one that lacks answers, if all stages are.
     """
     gold = asked.select(item, F.col("concept").alias("_c"), F.col("facet").alias("_f"), F.col("answer").alias("_gold"))
+    # the numbers of tags meet the bare records, before lists make them long
+    tags = lambda by, of, name: records.groupBy(*[F.col(c).alias(k) for c, k in by]).agg((F.countDistinct(of) - 1).alias(name), F.count("*").alias("_rows"))
+    of_concepts, of_facets = written(tags([("concept", "_c")], "facet", "_t1")), written(tags([("facet", "_f")], "concept", "_t3"))
+    gold = told_of(told_of(gold, of_concepts, "_c", "left"), of_facets, "_f", "left").crossJoin(F.broadcast(tags([], "concept", "_t4").drop("_rows")))  # the last is one row
+    gold = written(gold)
 
     def stage(pool: list[str], order: int, ok: Column, tag: Column) -> DataFrame:
         found = distractor_candidates(records, item, pool, most, f"{salt}{order}", asked).join(gold.hint("merge"), item)
@@ -122,8 +142,6 @@ def _chosen(records: DataFrame, asked: DataFrame, item: str, hard: bool, n: int,
     size = lambda s: F.coalesce(F.max(F.when(F.col("stage") == s, F.col("n_pool"))), F.lit(0)).alias(f"_n{s}")
     own = F.collect_list(F.when(F.col("answer").isNotNull(), F.struct("stage", "place", "answer", "tag")))
     listed = every.groupBy(item).agg(F.array_sort(own).alias("_list"), *[size(s) for s in (1, 2, 3, 4)]).join(gold.hint("merge"), item)
-    tags = lambda by, of, name: records.groupBy(*[F.col(c).alias(k) for c, k in by]).agg((F.countDistinct(of) - 1).alias(name))
-    listed = listed.join(tags([("concept", "_c")], "facet", "_t1").hint("merge"), "_c", "left").join(tags([("facet", "_f")], "concept", "_t3").hint("merge"), "_f", "left").crossJoin(F.broadcast(tags([], "concept", "_t4")))  # the last is one row
     words = lambda x: F.array_distinct(tokens(x))
     near = lambda a, b: jaccard(words(a), words(b)) > alike
     kind = dict(records.dtypes)["answer"]

@@ -118,12 +118,13 @@ def test_agreement_matches_boxes_once_and_rates_only_count_them(spark, monkeypat
         assert sorted(map(str, found.collect())) == whole
 
 
-def test_best_containment_takes_one_join(spark):
+def test_best_containment_takes_one_join_of_bounded_tasks(spark, monkeypatch):
     from groundset.operators import geometry
 
+    monkeypatch.setattr(geometry, "TASK_BOXES", 10)
     a, b = _two_sources(spark)
-    best = geometry.best_inside(a, b, ["frame", "label"], "frame")
-    assert _plan(best).count("SortMergeJoin") == 1
+    best = geometry.best_inside(a, b, ["frame", "label"])
+    assert _plan(best).count("SortMergeJoin") == 1 and ", 12), REPARTITION_BY_NUM" in _plan(best)
     area = lambda x0, y0, x1, y1: max(x1 - x0, 0.0) * max(y1 - y0, 0.0)
     want = set()
     for p in a.collect():
@@ -131,3 +132,29 @@ def test_best_containment_takes_one_join(spark):
         inside = [area(max(p.x0, q.x0), max(p.y0, q.y0), min(p.x1, q.x1), min(p.y1, q.y1)) / area(p.x0, p.y0, p.x1, p.y1) if area(p.x0, p.y0, p.x1, p.y1) else 0.0 for q in met]
         want.add((p.frame, p.idx, round(max(inside), 6) if inside else None))
     assert {(r.frame, r.idx, None if r.best is None else round(r.best, 6)) for r in best.collect()} == want
+
+
+def test_rows_of_a_frequent_key_stay_in_their_tasks(spark, monkeypatch):
+    from groundset.operators import sample
+
+    monkeypatch.setattr(sample, "HOT", 25)
+    rows = spark.range(0, 400, 1, 4).select("id", F.when(F.col("id") < 300, "hot").when(F.col("id") < 390, F.concat(F.lit("k"), (F.col("id") % 4).cast("string"))).alias("key"))
+    known = rows.where("key != 'k3'").groupBy("key").agg(F.count("*").alias("_rows"), F.max("id").alias("last"))
+    for how, n in (("inner", 300 + 68), ("left", 400)):
+        got = sample.told_of(rows, known, "key", how).withColumn("at", F.spark_partition_id()).collect()
+        assert len(got) == n and len({r.at for r in got if r.key == "hot"}) >= 3
+        assert {r.last for r in got if r.key == "hot"} == {299} and all(r.last is None for r in got if r.key in (None, "k3"))
+    records = spark.createDataFrame([(i, f"c{i % 3}" if i % 11 else None, f"f{i % 4}", f"w{i} x{i * 7 % 50} y{i % 13} common") for i in range(60)], "id long, concept string, facet string, answer string")
+    split = sorted(map(str, sample.distractors(records, "id", True, most=100).collect()))
+    monkeypatch.setattr(sample, "HOT", 1 << 16)
+    assert sorted(map(str, sample.distractors(records, "id", True, most=100).collect())) == split
+
+
+def test_packets_meet_only_pairs_that_share_a_gram(spark):
+    answers = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d"), (3, "a")], "item long, text string")
+    passages = spark.createDataFrame([(10, "x a b c d"), (11, "b c d e a b c d"), (12, "z z z z")], "doc long, text string")
+    packets = spark.createDataFrame([(1, 10), (1, 10), (1, 12), (2, 12), (3, 10)], "item long, doc long")
+    got = text.packet_containment(answers, packets, passages, "item", "doc")
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, 0.5), (2, 1, 0, 0.0)}
+    joins = [line for line in _plan(got).splitlines() if "SortMergeJoin" in line]
+    assert not any("doc" in line and "gram" in line for line in joins) and any("LeftSemi" in line for line in joins)
