@@ -159,12 +159,20 @@ def match_rates(a: DataFrame, b: DataFrame, frame: str, label: str, least: float
     return _with_rates(r)
 
 
-def best_inside(a: DataFrame, b: DataFrame, on: list[str], frame: str) -> DataFrame:
-    """(frame, idx, best): for every box of `a`, the largest share of it that lies inside a box of `b` of the same `on`; null if there is none."""
-    side = lambda df, s: df.select(*on, *[F.col(c).alias(f"{s}_{c}") for c in ("idx", "x0", "y0", "x1", "y1")])
+#: Boxes of both sources that one task compares, about.
+TASK_BOXES = 1 << 18
+
+
+def best_inside(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
+    """(on, idx, best): for every box of `a`, the largest share of it that lies inside a box of `b` of the same `on`; null if there is none.
+
+    Tasks grow in number with the boxes, not in size, and the maximum is taken where the join leaves its rows.
+    """
+    tasks = -(-(a.count() + b.count()) // TASK_BOXES) or 1
+    side = lambda df, s: df.select(*on, *[F.col(c).alias(f"{s}_{c}") for c in ("idx", "x0", "y0", "x1", "y1")]).repartition(tasks, *on)
     met = side(a, "a").join(side(b, "b").hint("merge"), on, "left")
     inside = F.when(F.col("b_idx").isNotNull(), C.containment("a", "b"))
-    return met.groupBy(frame, F.col("a_idx").alias("idx")).agg(F.max(inside).alias("best"))
+    return met.groupBy(*on, F.col("a_idx").alias("idx")).agg(F.max(inside).alias("best"))
 
 
 def reviewed(boxes: DataFrame, verdicts: DataFrame, on: list[str], label: str, valid: Column) -> DataFrame:

@@ -83,9 +83,10 @@ a AS (SELECT frame, label, idx, d * 5 AS x0, x * 5 AS y0, d * 5 + 0.1::DOUBLE +
 b AS (SELECT frame, label, idx, x0 + 0.02::DOUBLE * (idx % 3) AS x0, y0, x1 + 0.02::DOUBLE * (idx % 3) AS x1, y1 FROM a WHERE idx % 5 <> 4)"""
 
 
-def _boxes(t):
+def _boxes(t, tasks=None):
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
-    rows = t.lineitem.withColumn("idx", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1)
+    lines = t.lineitem.repartition(tasks, "l_orderkey") if tasks else t.lineitem
+    rows = lines.withColumn("idx", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)) - 1)
     q, d, x = F.col("l_quantity"), F.col("l_discount"), F.col("l_tax")
     a = rows.select(F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("label"), "idx", (d * 5).alias("x0"), (x * 5).alias("y0"), (d * 5 + 0.1 + q / 200).alias("x1"), (x * 5 + 0.1 + q / 200).alias("y1"))
     return a, _other(a)
@@ -98,8 +99,8 @@ def _other(a):
 
 
 def _written_boxes(t):
-    """Both, numbered and written once, for plans that read them several times."""
-    a = written(_boxes(t)[0])
+    """Both, numbered and written once, for plans that read them several times; in tasks of a bounded size."""
+    a = written(_boxes(t, -(-t.lineitem.count() // G.TASK_BOXES) or 1)[0])
     return a, _other(a)
 
 
@@ -216,7 +217,7 @@ def coco_tables(t):
 @query(f"WITH {_PAIRS} SELECT a.frame, a.idx, round(max(p.inside), 6) AS best, max(p.inside) >= 0.5 AS ok FROM a LEFT JOIN p ON p.frame = a.frame AND p.label = a.label AND p.a_idx = a.idx GROUP BY 1, 2")
 def region_check(t):
     a, b = _written_boxes(t)
-    j = G.best_inside(a, b, ["frame", "label"], "frame")
+    j = G.best_inside(a, b, ["frame", "label"])
     return j.select("frame", F.col("idx").cast("long").alias("idx"), F.round("best", 6).alias("best"), (F.col("best") >= 0.5).alias("ok"))
 
 
