@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 
 def find_span(text: Column, quote: Column) -> tuple[Column, Column]:
@@ -36,25 +37,39 @@ def snap(df: DataFrame, text: str, quote: str) -> DataFrame:
 #: (code points of a gram, grams of a window) by the least length of a quote without its white space: long quotes meet their documents on the least
 #: gram of a window, shorter ones on a gram of as many code points as they surely have.
 GRAMS = {32: (16, 17), 6: (6, 1), 3: (3, 1), 2: (2, 1), 1: (1, 1)}
-#: Distinct quote grams that are broadcast to the documents, at most: 8 bytes each.
+#: Quotes, and code points of all of them, that are broadcast to the documents, at most.
+BROADCAST_QUOTES, BROADCAST_POINTS = 1 << 15, 1 << 23
+#: Distinct quote grams that are broadcast to the documents if the quotes are not, at most: 8 bytes each.
 BROADCAST_ANCHORS = 1 << 20
+#: Code points that are hashed at once while quotes are looked for, so that the hashes stay in the processor's cache.
+SLICE = 1 << 15
 _MIX, _STEP = np.uint64(0xBF58476D1CE4E5B9), 0x9E3779B97F4A7C15
+_FOUND = ["quote", "_doc", "found", "char_start", "char_end"]
+_SPACES = " \t\n\x0b\x0c\r"
+
 
+def _points(text: str) -> np.ndarray:
+    """Code points of a text without its ASCII white space."""
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return points[(points != 32) & ((points < 9) | (points > 13))]
 
-def _gram_hashes(text: str, size: int) -> np.ndarray:
-    """64-bit hashes of all grams of `size` code points of a text without its ASCII white space, by doubling."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = (points[(points != 32) & ((points < 9) | (points > 13))] + np.uint64(1)) * _MIX
-    have, out, at = 1, None, 0
+
+def _gram_hashes(points: np.ndarray, sizes: list[int]) -> dict[int, np.ndarray]:
+    """64-bit hashes of all grams of each of `sizes` code points, by doubling."""
+    h = (points.astype(np.uint64) + np.uint64(1)) * _MIX
+    have, out, at = 1, {}, dict.fromkeys(sizes, 0)
     while True:
-        if size & have:  # the grams so far, followed by one of `have` code points
-            power = np.uint64(pow(_STEP, have, 1 << 64))
-            out, at = (h, have) if out is None else (out[: max(0, len(h) - at)] * power + h[at : at + len(out)], at + have)
-        if have * 2 > size:
-            break
+        for size in sizes:
+            if size & have:  # the grams so far, followed by one of `have` code points
+                if at[size]:
+                    power = np.uint64(pow(_STEP, have, 1 << 64))
+                    out[size] = out[size][: max(0, len(h) - at[size])] * power + h[at[size] : at[size] + len(out[size])]
+                else:
+                    out[size] = h
+                at[size] += have
+        if have * 2 > max(sizes):
+            return out
         h, have = h[: max(0, len(h) - have)] * np.uint64(pow(_STEP, have, 1 << 64)) + h[have:], have * 2
-    out = (out ^ (out >> np.uint64(31))) * _MIX
-    return out ^ (out >> np.uint64(29))
 
 
 def _window_least(h: np.ndarray, window: int) -> np.ndarray:
@@ -71,10 +86,10 @@ def _quote_gram(quotes: pd.Series) -> pd.DataFrame:
     out = []
     for quote in quotes:
         kind, gram = None, None
-        size = len(quote) - sum(c in " \t\n\x0b\x0c\r" for c in quote) if quote else 0
-        if size:
-            kind = next(k for k in GRAMS if size >= k)
-            h = _gram_hashes(quote, GRAMS[kind][0])
+        points = _points(quote or "")
+        if len(points):
+            kind = next(k for k in GRAMS if len(points) >= k)
+            h = _gram_hashes(points, [GRAMS[kind][0]])[GRAMS[kind][0]]
             gram = int((h[: GRAMS[kind][1]] if GRAMS[kind][1] > 1 else h).min().view(np.int64))
         out.append((kind, gram))
     return pd.DataFrame(out, columns=["kind", "gram"]).astype({"kind": "Int32", "gram": "Int64"})
@@ -88,7 +103,8 @@ def _document_grams(kinds: list[int], wanted):
         for batch in batches:
             docs, grams = [], []
             for doc, text in zip(batch["_doc"], batch["body"]):
-                held = np.unique(np.concatenate([_window_least(_gram_hashes(text, GRAMS[k][0]), GRAMS[k][1]) for k in kinds])).view(np.int64) if text else np.zeros(0, np.int64)
+                h = _gram_hashes(_points(text or ""), [GRAMS[k][0] for k in kinds])
+                held = np.unique(np.concatenate([_window_least(h[GRAMS[k][0]], GRAMS[k][1]) for k in kinds])).view(np.int64)
                 if own is not None:
                     held = held[np.isin(held, own)] if len(own) < len(held) else held[own[np.minimum(np.searchsorted(own, held), len(own) - 1)] == held]
                 if len(held):
@@ -100,21 +116,60 @@ def _document_grams(kinds: list[int], wanted):
     return run
 
 
-def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(quote, doc): pairs of quotes (quote, text) and documents (_doc, body) among which are all that hold a quote, also with other white space.
+def _span(body: str, bare: str, quote: str) -> tuple[str, int, int] | None:
+    """What `snap` finds: the quote's first exact occurrence in a body, else the first that differs in white space. `bare` is the body without white space."""
+    at = body.find(quote)
+    if at >= 0:
+        return quote, at, at + len(quote)
+    words = [w for w in re.split(f"[{_SPACES}]+", quote) if w]
+    if words == [quote] or "".join(words) not in bare:
+        return None
+    m = re.search(f"[{_SPACES}]+".join(map(re.escape, words)), body)
+    return m and (m[0], *m.span())
 
-    A document that holds a quote holds it without white space too. Then a quote of 32 code points or more has a window of 17 grams of 16 whose
-    least hash is the least of some window of the document; a shorter quote has a gram that is one of the document's. Quotes and documents meet on these hashes,
-    whatever the script and wherever in a word a quote begins. Grams that no quote has go where they arise, if the quotes' ones are few
-    enough to be broadcast, which is counted first; else both sides are shuffled by gram.
+
+def _quotes_held(quotes):
+    """(quote, doc, found, char_start, char_end) of the broadcast quotes (quote, text, kind, gram) that each text holds."""
+
+    def run(batches):
+        own, by_gram = quotes.value, {}
+        if not own:
+            return
+        for i, (*_, gram) in enumerate(own):
+            by_gram.setdefault(gram, []).append(i)
+        sizes = sorted({GRAMS[kind][0] for _, _, kind, _ in own})
+        shift = np.uint64(56 - len(by_gram).bit_length())
+        marked = np.zeros(1 << 64 - int(shift), dtype=bool)  # by a hash's first bits, 128 to 256 for each gram
+        marked[np.array(list(by_gram), dtype=np.int64).view(np.uint64) >> shift] = True
+        for batch in batches:
+            out = []
+            for doc, text in zip(batch["_doc"], batch["body"]):
+                points = _points(text or "")
+                met = []
+                for at in range(0, len(points), SLICE):
+                    for h in _gram_hashes(points[at : at + SLICE + max(sizes) - 1], sizes).values():
+                        met.append(h[marked[(h >> shift).view(np.int64)]])
+                held = [i for gram in np.unique(np.concatenate(met)).view(np.int64).tolist() for i in by_gram.get(gram, ())] if met else []
+                bare = points.tobytes().decode("utf-32-le", "surrogatepass") if held else ""
+                out += [(own[i][0], doc, *span) for i in held if (span := _span(text, bare, own[i][1]))]
+                if len(out) >= 1 << 13:
+                    yield pd.DataFrame(out, columns=_FOUND)
+                    out = []
+            if out:
+                yield pd.DataFrame(out, columns=_FOUND)
+
+    return run
+
+
+def candidates(keyed: DataFrame, docs: DataFrame, kinds: list[int]) -> DataFrame:
+    """(quote, doc): pairs of quotes (quote, kind, gram) and documents (_doc, body) among which are all that hold a quote, also with other white space.
+
+    Grams that no quote has go where they arise, if the quotes' ones are few enough to be broadcast, which is counted first; else both sides
+    are shuffled by gram.
     """
-    keyed = quotes.select("quote", F.pandas_udf(_quote_gram, "kind int, gram long")("text").alias("g")).select("quote", "g.*").where("kind IS NOT NULL")
-    kinds = [r["kind"] for r in keyed.select("kind").distinct().collect()]  # five at most
-    if not kinds:
-        return quotes.sparkSession.createDataFrame([], StructType([quotes.schema["quote"], docs.schema["_doc"]]))
     some = keyed.select("gram").distinct()
     few = some.limit(BROADCAST_ANCHORS + 1).toPandas()["gram"].to_numpy(np.int64)  # at most so many longs
-    wanted = quotes.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= BROADCAST_ANCHORS else None
+    wanted = keyed.sparkSession.sparkContext.broadcast(np.sort(few)) if len(few) <= BROADCAST_ANCHORS else None
     found = docs.select("_doc", "body").mapInPandas(_document_grams(sorted(kinds), wanted), f"_doc {docs.schema['_doc'].dataType.simpleString()}, gram long")
     return found.join(keyed.select("quote", "gram").hint("merge"), "gram").select("quote", "_doc")
 
@@ -122,14 +177,26 @@ def candidates(quotes: DataFrame, docs: DataFrame) -> DataFrame:
 def locate(quotes: DataFrame, docs: DataFrame, quote_id: str, doc_id: str, text: str = "text") -> DataFrame:
     """(quote, doc, found, char_start, char_end) for every document that holds a quote, also with other white space.
 
-    Quotes may be in any script and begin or end inside a word. Candidates come from an index of gram hashes; only they are
-    searched, so every pair is exact. Null, empty and blank quotes are not found; a repeated quote id is a quote of its own.
+    Quotes may be in any script and begin or end inside a word. Only documents with a gram of a quote are searched for it, so every pair
+    is exact. Null, empty and blank quotes are not found; a repeated quote id is a quote of its own.
+
+    A document that holds a quote holds it without white space too. Then a quote of 32 code points or more has a window of 17 grams of 16 whose
+    least hash is the least of some window of the document; a shorter quote has a gram that is one of the document's. Quotes and documents meet on
+    these hashes, whatever the script and wherever in a word a quote begins. Quotes that are few enough are broadcast, which is counted first, and
+    looked for where each document is read; else quotes and documents meet by a join on gram, and the texts of the pairs by another.
     """
-    q = quotes.select(F.col(quote_id).alias("quote"), F.col(text).alias("text"))
-    d = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("body"))
-    held = candidates(q, d).distinct().join(q.withColumnRenamed("text", "said").hint("shuffle_hash"), "quote")
-    met = held.join(d.hint("merge"), "_doc")
-    return snap(met, "body", "said").where("found IS NOT NULL").select(F.col("quote").alias(quote_id), F.col("_doc").alias(doc_id), "found", "char_start", "char_end")
+    q = quotes.select(F.col(quote_id).alias("quote"), F.col(text).alias("text")).where(F.col("quote").isNotNull() & F.col("text").rlike(f"[^{_SPACES}]"))
+    d = docs.select(F.col(doc_id).alias("_doc"), F.col(text).alias("body")).where("_doc IS NOT NULL")
+    keyed = q.select("quote", "text", F.pandas_udf(_quote_gram, "kind int, gram long")("text").alias("g")).select("quote", "text", "g.*")
+    n = keyed.agg(F.count("*").alias("quotes"), F.sum(F.length("text")).alias("points"), F.collect_set("kind").alias("kinds")).first()  # five kinds at most
+    if n["quotes"] <= min(BROADCAST_QUOTES, BROADCAST_ANCHORS) and (n["points"] or 0) <= BROADCAST_POINTS:
+        few = q.sparkSession.sparkContext.broadcast([tuple(r) for r in keyed.collect()])
+        kind = {c: t.schema[c].dataType.simpleString() for t, c in ((q, "quote"), (d, "_doc"))}
+        met = d.mapInPandas(_quotes_held(few), f"quote {kind['quote']}, _doc {kind['_doc']}, found string, char_start long, char_end long")
+    else:
+        held = candidates(keyed, d, n["kinds"]).distinct().join(q.withColumnRenamed("text", "said").hint("shuffle_hash"), "quote")
+        met = snap(held.join(d.hint("merge"), "_doc"), "body", "said").where("found IS NOT NULL")
+    return met.select(F.col("quote").alias(quote_id), F.col("_doc").alias(doc_id), "found", "char_start", "char_end")
 
 
 def assemble(parts: DataFrame, sources: DataFrame, item: str, number: str, kind: str, question: str, quote: str, cited: str, source_id: str, text: str = "text") -> DataFrame:

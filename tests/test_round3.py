@@ -158,3 +158,36 @@ def test_packets_meet_only_pairs_that_share_a_gram(spark):
     assert {tuple(r) for r in got.collect()} == {(1, 2, 1, 0.5), (2, 1, 0, 0.0)}
     joins = [line for line in _plan(got).splitlines() if "SortMergeJoin" in line]
     assert not any("doc" in line and "gram" in line for line in joins) and any("LeftSemi" in line for line in joins)
+
+
+def test_quotes_are_looked_for_where_documents_are_read(spark, monkeypatch):
+    import random
+    import re
+
+    from groundset.operators import ground
+
+    rng = random.Random(5)
+    monkeypatch.setattr(ground, "SLICE", 64, raising=False)
+    words = ["the", "of", "Мир", "東京", "\U0001f600", "a.b", "(c)", "\\E", "é\u00a0x", "longer", "w" * 40]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" ", " ", "\n", "\t ", ""]) for _ in range(n))
+    docs = [(i, text(rng.choice((1, 5, 40, 200)))) for i in range(30)] + [((1 << 53) + 1, text(60)), (None, text(60)), (31, None), (32, " \n"), (5, text(50))]
+    said = [(i, t[at : at + n]) for i, (_, t) in enumerate(docs) if t for n in (1, 3, 5, 7, 20, 40, 300) for at in [rng.randrange(len(t))]]
+    said += [(1000 + i, re.sub(r"[ \n\t]+", lambda m: rng.choice(["  ", "\r\n"]), q)) for i, q in said] + [(7, "the"), (7, "\n"), (8, " "), (9, None), (None, "of"), (3000, "absent text")]
+
+    def find(t, q):
+        if (at := t.find(q)) >= 0:
+            return q, at, at + len(q)
+        m = re.search(r"[ \t-\r]+".join(map(re.escape, [w for w in re.split(r"[ \t-\r]+", q) if w])), t)
+        return m and (m[0], *m.span())
+
+    want = sorted((i, d, *f) for i, q in said if i is not None and q and q.strip(" \t\n\x0b\x0c\r") for d, t in docs if d is not None and t and (f := find(t, q)))
+    asked = spark.createDataFrame(said, "q long, text string")
+    held = spark.createDataFrame(docs, "d long, text string").coalesce(1)
+    got = ground.locate(asked, held, "q", "d")
+    assert "Exchange" not in _plan(got) and sorted(map(tuple, got.collect())) == want
+    assert {(1 << 53) + 1, 5} <= {d for _, d, *_ in want} and {1000 <= i < 2000 and f != dict(said)[i] for i, _, f, *_ in want} == {True, False}
+    # too many to be broadcast: their grams are, then neither
+    monkeypatch.setattr(ground, "BROADCAST_QUOTES", 0)
+    assert sorted(map(tuple, ground.locate(asked, held, "q", "d").collect())) == want
+    monkeypatch.setattr(ground, "BROADCAST_ANCHORS", 0)
+    assert sorted(map(tuple, ground.locate(asked, held, "q", "d").collect())) == want
