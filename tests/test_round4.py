@@ -55,3 +55,33 @@ def test_words_whose_hashes_meet_get_another_seed(spark, monkeypatch):
     monkeypatch.setattr(text.F, "xxhash64", narrow)
     numbers = text._word_numbers(_sets(spark, [(1, "a b c d e"), (2, "c d f")], "long"))
     assert len(seen) == 3 and spark.range(1).select(F.array(F.lit("a"), F.lit("b"), F.lit("c")).alias("w")).select(F.size(F.array_distinct(numbers))).first()[0] == 3
+
+
+def _embeddings(spark, folder, rows, files=3):
+    """A folder of given tables that has only `embeddings`, and DuckDB over it."""
+    import duckdb
+
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(files).write.parquet(f"{folder}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{folder}/embeddings.parquet/*.parquet')")
+    return con
+
+
+def test_anchored_packets_look_for_sources_among_all_passages(spark, tmp_path, monkeypatch):
+    from compare import differences
+    from groundset.operators import retrieve
+    from groundset.plans import registry
+
+    rng = np.random.default_rng(8)
+    axis = np.eye(8)[0]
+    for case, sources in enumerate((9, 5, 1)):
+        # the first source fills more than sixty places before any other; small whole numbers, so that there are ties
+        rows = [(i, [float(x) for x in np.rint(6 * (axis if i < 150 or i % 20 == 0 else -axis) + rng.normal(size=8))], 0 if i < 150 else int(rng.integers(sources))) for i in range(400)]
+        con = _embeddings(spark, tmp_path / str(case), rows)
+        for block, asked in ((16_384, 1024), (40, 7)):
+            monkeypatch.setattr(retrieve, "CORPUS_BLOCK", block)
+            monkeypatch.setattr(retrieve, "QUERY_BLOCK", asked)
+            got = registry.queries()["anchored_topk"](spark, str(tmp_path / str(case)))
+            assert differences(got, con, registry.oracle_sql()["anchored_topk"]) == ""
+        found = got.where("query_id < 150").groupBy("query_id").agg(F.countDistinct("label").alias("n")).collect()
+        assert {r.n for r in found} == {min(sources, 6)} and len(found) == 8
