@@ -85,3 +85,33 @@ def test_anchored_packets_look_for_sources_among_all_passages(spark, tmp_path, m
             assert differences(got, con, registry.oracle_sql()["anchored_topk"]) == ""
         found = got.where("query_id < 150").groupBy("query_id").agg(F.countDistinct("label").alias("n")).collect()
         assert {r.n for r in found} == {min(sources, 6)} and len(found) == 8
+
+
+def test_pages_with_an_article_count_by_the_text_around_it(spark):
+    from groundset.llm import html_text
+
+    menu, notice, said, other = (" ".join(f"{name}{i}" for i in range(11)) for name in ("menu", "notice", "said", "other"))
+    marked = lambda k, head: f"<body><div>{head}</div><article><p>{said} article {k}</p></article></body>"
+    rows = [(1, "http://www.h.org/1", f"<body><div>{menu}</div><p>own words {said}</p><div>{notice}</div></body>"), (2, "http://h.org/2", marked(2, menu)), (3, "http://h.org/3", marked(3, f"{menu} {notice}"))]
+    rows += [(4, "http://h.org/4", marked(3, f"{menu} {notice}"))]  # a copy of page 3: `notice` is on two pages
+    rows += [(10 + i, "http://g.org/", marked(i, other)) for i in range(4)] + [(20, "http://f.org/", f"<p>{other}</p>"), (21, "http://h.org/", f"<p>{other}</p>"), (22, "http://h.org/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = {r.page_id: r.text for r in html_text.extract_main_text(df).collect()}
+    assert got == {1: f"own words {said} {notice}", 2: f"{said} article 2", 3: f"{said} article 3", 4: f"{said} article 3"} | {10 + i: f"{said} article {i}" for i in range(4)} | {20: other, 21: other, 22: ""}
+
+
+def test_pages_beside_count_as_in_the_suffix_array_of_the_host(spark, monkeypatch):
+    from groundset.llm import html_text
+
+    rng = random.Random(9)
+    parts = [" ".join(rng.choices("abcdefgh", k=rng.choice((6, 9, 14, 30)))) for _ in range(14)]
+    texts = sorted({" ".join(rng.choice(parts) if rng.random() < 0.5 else f"own{i}x{k}" for k in range(7)) for i in range(90)})
+    pages = [(i, "h", t) for i, t in enumerate(texts)]
+    want = {i: set(np.flatnonzero(b)) for (i, _, t), b in zip(pages, html_text.shared_runs([t.split(" ") for t in texts], list(range(len(texts))))) if i < 10}
+    make = lambda rows: spark.createDataFrame(rows, "_page long, _host string, open string").repartition(3)
+    for shard, group in ((4_000, 4_000), (5, 2)):
+        monkeypatch.setattr(html_text, "SHARD", shard)
+        monkeypatch.setattr(html_text, "GROUP", group)
+        alone = {r._page: set(r.starts) for r in html_text.repeated_starts(make(pages[:10])).collect()}
+        got = {r._page: set(r.starts) for r in html_text.repeated_starts(make(pages[:10]), make(pages[10:] + pages[10:40] + [(500, "g", texts[0])])).collect()}
+        assert got == {i: s for i, s in want.items() if s} != alone
